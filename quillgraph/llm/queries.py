@@ -52,3 +52,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
     return substring_dedup(spark, table(spark, sf_dir, "documents"), length=20, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), k=5, num=75, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
