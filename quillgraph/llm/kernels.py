@@ -125,15 +125,20 @@ class Tokens:
     ``first[d]`` to ``first[d + 1]`` are the words of document d.
     """
 
-    def __init__(self, chunk: Chunk, lower: bool):
+    def __init__(self, chunk: Chunk, lower: bool, space: np.ndarray | None = None):
+        """``space``: which of the 256 bytes separate words, by default ASCII white space."""
         data, off = chunk.data, chunk.offsets
+        weights = _WORD_LOWER if lower else _WORD
+        if space is not None:
+            weights = np.where(space, np.uint64(0), _BYTE[LOWER] if lower else _BYTE)
+        space_of = SPACE if space is None else space
         n = len(data)
         if n == 0:
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             self.first = np.zeros(chunk.n + 1, np.int64)
             return
-        space = SPACE[data]
+        space = space_of[data]
         edge = off[:-1][off[:-1] < n]
         begin = ~space
         begin[1:] &= space[:-1]
@@ -147,7 +152,7 @@ class Tokens:
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(chunk.n), np.diff(self.first))
         if len(self.start):
-            w = (_WORD_LOWER if lower else _WORD)[data]
+            w = weights[data]
             w *= powers(_Q, n)
             self.hash = mix(np.add.reduceat(w, self.start) * powers(_QI, n)[self.start])
         else:

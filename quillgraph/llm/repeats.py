@@ -7,6 +7,9 @@ around equal anchors, and a window can only repeat if its anchor does.
 
 1. :func:`repeated_anchors` counts anchors (distinct hashes of each chunk first)
    and writes those that occur twice or more as sorted array files.
+   Anchors with very many different surroundings (a line that a third of all
+   documents hold) are listed as *hot*: their windows are dealt by content, not
+   by anchor, so that they spread over all partitions.
 2. The callers bring the surroundings of repeated anchors together and report
    windows with an earlier equal as runs ``(doc, start, windows)``.
 3. :func:`apply_runs` brings the runs to their documents.
@@ -25,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import PACKED, Chunk, Tokens, _slide, bucket, byte_grams, chunks, grams, packed, runs, unpacked
+from .kernels import CHUNK_BYTES, PACKED, Chunk, Tokens, _slide, bucket, byte_grams, chunks, grams, mix, packed, runs, unpacked
 from .shared import Workspace, array_names, id_partition, read_array, write_array
 
 MAPPED_BYTES = 16 << 30
+#: An anchor is hot from so many different surroundings on, if they are also this many for each chunk that has it.
+HOT, HOT_PER_CHUNK = 500, 3
+#: Text bytes at once, by unit: a byte costs more arrays than a word does.
+LIMITS = {"word": CHUNK_BYTES, "byte": 1 << 20}
 
 
 class Windows:
@@ -58,38 +65,57 @@ class Windows:
         self.start = np.flatnonzero(ok)
         self.anchor = (least[self.start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
+    def surroundings(self, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor in turn: its hash, and a hash that tells different stretches of its windows apart."""
+        first = runs(self.anchor)
+        if not len(first):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        begin, last = self.start[first], self.start[np.append(first[1:], len(self.start)) - 1]
+        h = self.hash[self.anchor[first]]
+        return h, mix(h + mix(self.hash[begin] + np.uint64(1)) + mix(self.hash[last + length - gram] + np.uint64(2)))
+
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
-def repeated_anchors(docs: DataFrame, unit: str, gram: int, length: int, work: Workspace, parts: int) -> tuple[str, int]:
-    """Folder of the sorted files of anchors that occur at least twice, and how many there are."""
-    folder = work.folder("anchors")
+def repeated_anchors(docs: DataFrame, unit: str, gram: int, length: int, work: Workspace, parts: int) -> tuple[str, str, int]:
+    """Folders of the sorted files of anchors that occur at least twice and of the hot ones, and how many repeat."""
+    folder, hot = work.folder("anchors"), work.folder("hot")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            w = Windows(chunk, unit, gram, length)
-            at = w.anchor[runs(w.anchor)]
-            h = np.sort(w.hash[at])
+        for chunk in chunks(batches, limit=LIMITS[unit]):
+            h, around = Windows(chunk, unit, gram, length).surroundings(gram, length)
+            order = np.lexsort((around, h))
+            h, around = h[order], around[order]
             first = runs(h)
+            if not len(first):
+                continue
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
             many = np.diff(np.append(first, len(h))) > 1
-            yield from packed(bucket(h[first], parts), [h[first], many])
+            yield from packed(bucket(h[first], parts), [h[first], np.add.reduceat(fresh.astype(np.uint32), first).astype(np.uint32), many])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, many = unpacked(batches, [np.uint64, bool])
+        h, kinds, many = unpacked(batches, [np.uint64, np.uint32, bool])
         order = np.argsort(h)
-        h, many = h[order], many[order]
+        h, kinds, many = h[order], kinds[order], many[order]
         first = runs(h)
         if not len(first):
             return
-        again = (np.diff(np.append(first, len(h))) > 1) | np.logical_or.reduceat(many, first)
-        h = h[first[again]]
-        if len(h):
-            write_array(folder, f"{int(bucket(h[:1], parts)[0]):08d}", h)
-        yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
+        seen = np.diff(np.append(first, len(h)))
+        again = (seen > 1) | np.logical_or.reduceat(many, first)
+        kinds = np.add.reduceat(kinds.astype(np.int64), first)
+        very = again & (kinds >= HOT) & (kinds >= HOT_PER_CHUNK * seen)
+        h = h[first]
+        name = f"{int(bucket(h[:1], parts)[0]):08d}"
+        if again.any():
+            write_array(folder, name, h[again])
+        if very.any():
+            write_array(hot, name, h[very])
+        yield pa.RecordBatch.from_arrays([pa.array([int(again.sum())], pa.int64())], ["n"])
 
     found = docs.mapInArrow(find, PACKED).repartitionById(parts, "pid").mapInArrow(keep, "n long")
-    return folder, found.agg(F.sum("n")).first()[0] or 0
+    return folder, hot, found.agg(F.sum("n")).first()[0] or 0
 
 
 class AnchorFiles:

@@ -47,12 +47,12 @@ def _later(content: np.ndarray, seed: np.ndarray, doc: np.ndarray, start: np.nda
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, length: int, work: Workspace, parts: int) -> DataFrame:
     """Packed runs (doc, start, windows) of the windows that have an earlier equal."""
-    folder, count = repeated_anchors(docs, "word", GRAM, length, work, parts)
+    folder, hot, count = repeated_anchors(docs, "word", GRAM, length, work, parts)
     out = None
     for low, high in slices(folder, count, parts):
 
         def seeds(batches: Iterator[pa.RecordBatch], low=low, high=high) -> Iterator[pa.RecordBatch]:
-            files = AnchorFiles(folder, parts, low, high)
+            files, very = AnchorFiles(folder, parts, low, high), AnchorFiles(hot, parts, low, high)
             for chunk in chunks(batches):
                 w = Windows(chunk, "word", GRAM, length)
                 if not len(w.start):
@@ -67,7 +67,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int, work: Works
                 seed = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 first, later = _later(content, seed, doc, at)
                 marks = as_runs(doc[later], at[later])
-                for kind, rows in ((0, packed(bucket(anchor[first], parts), [content[first], seed[first], doc[first], at[first]])), (1, run_rows(marks, parts))):
+                for kind, rows in ((0, packed(bucket(np.where(very.has(anchor[first]), content[first], anchor[first]), parts), [content[first], seed[first], doc[first], at[first]])), (1, run_rows(marks, parts))):
                     for b in rows:
                         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, kind, np.int32))], ["pid", "blob", "kind"])
 
@@ -123,5 +123,5 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = 20, id_c
         found = repeated_runs(spark, docs, length, work, parts)
         out = apply_runs(docs, found, parts, each, "doc_id long, n_words long, n_removed long, spans array<long>, kept_text string, kept_sha256 string")
         out = work.table(ids_back(out), "result")
-    work.drop("anchors")
+    work.drop("anchors", "hot")
     return out

@@ -19,7 +19,8 @@ number of contexts, where one list of all suffixes would grow with each round.
 
 Texts are UTF-8 bytes, null as empty.  Matches never cross documents.  Equal
 contexts inside one chunk of text are settled there, so copies travel once for
-each chunk.  Rows that repeat an id are the same document read twice: they do
+each chunk.  Around hot anchors each window is a context of its own, dealt by
+its content.  Rows that repeat an id are the same document read twice: they do
 not mark each other.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernels import PACKED, bucket, chunks, mix, powers, runs, splitmix, spread
-from .repeats import AnchorFiles, Windows, apply_runs, as_runs, covered, repeated_anchors, run_rows, slices
+from .repeats import LIMITS, AnchorFiles, Windows, apply_runs, as_runs, covered, repeated_anchors, run_rows, slices
 from .shared import Workspace, _local, ids_back, partitions, small_batches, texts
 
 GRAM = 32
@@ -217,14 +218,14 @@ def later_windows(heads: list[np.ndarray], data: np.ndarray, at: np.ndarray, len
 
 def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) -> DataFrame:
     """Packed runs (doc, start, windows) of byte windows that have an earlier equal."""
-    folder, total = repeated_anchors(docs, "byte", GRAM, length, work, parts)
+    folder, hot, total = repeated_anchors(docs, "byte", GRAM, length, work, parts)
     rounds = _local(work.folder("rounds"))
     out = None
     for low, high in slices(folder, total, parts):
 
         def cut(batches: Iterator[pa.RecordBatch], low=low, high=high) -> Iterator[pa.RecordBatch]:
-            files = AnchorFiles(folder, parts, low, high)
-            for chunk in chunks(batches):
+            files, very = AnchorFiles(folder, parts, low, high), AnchorFiles(hot, parts, low, high)
+            for chunk in chunks(batches, limit=LIMITS["byte"]):
                 w = Windows(chunk, "byte", GRAM, length)
                 if not len(w.start):
                     continue
@@ -235,6 +236,13 @@ def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) ->
                 if not len(first):
                     continue
                 begin, anchor = w.start[first], w.anchor[first]
+                key = w.hash[anchor]
+                heat = very.has(key)
+                if heat.any():  # each window by itself, under its content
+                    n = count[heat]
+                    alone = np.repeat(begin[heat], n) + spread(n)
+                    begin, anchor, count = np.concatenate([begin[~heat], alone]), np.concatenate([anchor[~heat], alone]), np.concatenate([count[~heat], np.ones(len(alone), count.dtype)])
+                    key = np.concatenate([key[~heat], _hash_slices(chunk.data, alone, np.full(len(alone), length))])
                 local = w.doc(begin)
                 doc = chunk.column("doc_id")[local]
                 size = count + length - 1
@@ -252,7 +260,7 @@ def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) ->
                 reps = count[later]
                 marks = as_runs(np.repeat(doc[later], reps), np.repeat(place[later], reps) + spread(reps))
                 one = order[head]
-                h = w.hash[anchor[one]]
+                h = key[one]
                 rows = _blobs(bucket(h, parts), [h, doc[one], place[one].astype(np.uint32), left[one].astype(np.uint8), count[one].astype(np.uint8)], chunk.data, begin[one], size[one])
                 for kind, bs in ((0, [rows] if rows else []), (1, run_rows(marks, parts))):
                     for b in bs:
@@ -315,5 +323,5 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 100, id_col
     with small_batches(spark):
         out = apply_runs(docs, repeated_runs(docs, length, work, parts), parts, each, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string")
         out = work.table(ids_back(out), "result")
-    work.drop("anchors", "rounds")
+    work.drop("anchors", "hot", "rounds")
     return out
