@@ -65,13 +65,17 @@ class Windows:
         self.start = np.flatnonzero(ok)
         self.anchor = (least[self.start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
+    def keys(self, anchors: np.ndarray) -> np.ndarray:
+        """Hashes of anchors, spread evenly again: as least hashes they are all small."""
+        return mix(self.hash[anchors] + np.uint64(0x5851F42D4C957F2D))
+
     def surroundings(self, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each anchor in turn: its hash, and a hash that tells different stretches of its windows apart."""
         first = runs(self.anchor)
         if not len(first):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         begin, last = self.start[first], self.start[np.append(first[1:], len(self.start)) - 1]
-        h = self.hash[self.anchor[first]]
+        h = self.keys(self.anchor[first])
         return h, mix(h + mix(self.hash[begin] + np.uint64(1)) + mix(self.hash[last + length - gram] + np.uint64(2)))
 
     def doc(self, at: np.ndarray) -> np.ndarray:

@@ -57,8 +57,9 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int, work: Works
                 w = Windows(chunk, "word", GRAM, length)
                 if not len(w.start):
                     continue
-                hit = files.has(w.hash[w.anchor])
-                start, anchor = w.start[hit], w.hash[w.anchor[hit]]
+                key = w.keys(w.anchor)
+                hit = files.has(key)
+                start, anchor = w.start[hit], key[hit]
                 if not len(start):
                     continue
                 content = grams(w.tokens.hash, length)[start]

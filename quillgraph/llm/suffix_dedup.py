@@ -231,12 +231,12 @@ def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) ->
                     continue
                 first = runs(w.anchor)
                 count = np.diff(np.append(first, len(w.anchor)))
-                hit = files.has(w.hash[w.anchor[first]])
+                hit = files.has(w.keys(w.anchor[first]))
                 first, count = first[hit], count[hit]
                 if not len(first):
                     continue
                 begin, anchor = w.start[first], w.anchor[first]
-                key = w.hash[anchor]
+                key = w.keys(anchor)
                 heat = very.has(key)
                 if heat.any():  # each window by itself, under its content
                     n = count[heat]
