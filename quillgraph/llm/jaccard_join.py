@@ -171,7 +171,7 @@ def merge_lists(docs: DataFrame, k: int, num: int, den: int, frequent: str, part
             at = np.arange(len(doc)) - np.repeat(runs(doc), np.diff(np.append(runs(doc), len(doc))))
             n = s.n[doc]
             short = at < n - required(n, num, den) + 1
-            doc, h = doc[short], h[short]
+            doc, h = doc[short], mix(h[short])  # the least hashes, spread evenly again
             yield from packed(bucket(h, parts), [h, s.cls[doc], s.n[doc].astype(np.uint32)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
