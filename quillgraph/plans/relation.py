@@ -9,7 +9,8 @@ to check the result.
 Expressions are SQL text in the dialect both sides share, with a few words that
 differ: ``startswith``, ``endswith``, ``a div b`` (integer division) and the
 aggregates ``LIST(x)`` and ``SET(x)`` (all, or distinct, values of a column as
-one comma-joined string in ascending order).
+one comma-joined string in ascending order); ``BASENAME(x)`` is what follows
+the last slash of a path.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ def _outside_literals(e: str, change) -> str:
 
 def spark_expr(e: str) -> str:
     def change(x: str) -> str:
+        x = re.sub(r"\bBASENAME\(([^()]+)\)", r"element_at(split(\1, '/'), -1)", x)
         x = re.sub(r"\bSET\(([^()]+)\)", r"concat_ws(',', array_sort(collect_set(\1)))", x)
         return re.sub(r"\bLIST\(([^()]+)\)", r"concat_ws(',', array_sort(collect_list(\1)))", x)
 
@@ -54,6 +56,7 @@ def spark_expr(e: str) -> str:
 
 def ansi_expr(e: str) -> str:
     def change(x: str) -> str:
+        x = re.sub(r"\bBASENAME\(([^()]+)\)", r"string_split(\1, '/')[-1]", x)
         x = re.sub(r"\bSET\(([^()]+)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')", x)
         x = re.sub(r"\bLIST\(([^()]+)\)", r"coalesce(string_agg(\1, ',' ORDER BY \1), '')", x)
         x = x.replace("startswith(", "starts_with(").replace("endswith(", "ends_with(")

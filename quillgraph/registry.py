@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.catalog import CATALOG, Query
+from .sources.driver_tables import GraphTables
+
+
+def key(name: str) -> str:
+    return name.replace("-", "_")
+
+
+def _runner(query: Query) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.run(GraphTables(spark, sf_dir))
+
+    run.__doc__ = query.about
+    return run
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return CATALOG["hub-functions-by-caller-breadth"].run(GraphTables(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {key(n): _runner(q) for n, q in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key(n): q.sql() for n, q in CATALOG.items()}
