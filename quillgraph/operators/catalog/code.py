@@ -26,7 +26,7 @@ symbols("test-functions-by-stem", "test functions that contain a stem", lambda p
 symbols("test-fixture-helpers-by-stem", "private helpers of tests", lambda p: all_of(has("f.symbol", p.stem), has("f.symbol", "test_"), has("f.symbol", "/_", "#_")), 20, TESTS, stem="n1")
 symbols("test-private-function-helpers-by-stem", "module-level private helpers of tests", lambda p: all_of(has("f.symbol", p.stem), has("f.symbol", "test_"), has("f.symbol", "/_"), lacks("f.symbol", "#__")), 20, TESTS, stem="n1")
 symbols("test-inner-class-helpers-by-stem", "inner-class helpers of tests", lambda p: all_of(has("f.symbol", p.stem), has("f.symbol", "test_"), has("f.symbol", "#__"), lacks("f.symbol", "tests.test_")), 20, TESTS, stem="n1")
-define(TESTS, "functions-mentioning-test-entity", "functions that mention an entity about tests", lambda p: rel("FUNCTION_MENTIONS m", ("semi", "Function f", "f.symbol = m.src"), ("semi", "Entity e", "e.id = m.dst"), where=f"m.dst = {p.test_entity_id}", out={"function_symbol": "m.src"}, order=["function_symbol"], limit=30), test_entity_id="test-algeria")
+define(TESTS, "functions-mentioning-test-entity", "functions that mention an entity about tests", lambda p: rel("FUNCTION_MENTIONS m", ("semi", "Function f", "f.symbol = m.src"), ("semi", "Entity e", "e.id = m.dst"), where=f"m.dst = {p.test_entity_id}", out={"function_symbol": "m.src"}, order=["function_symbol"], limit=30), test_entity_id="test-nation_10")
 
 TYPE_CARD = "type_symbol=symbol file_path=file line body_excerpt"
 
@@ -42,10 +42,10 @@ types("error-type-catalog", "types of errors", lambda p: all_of(ends("t.symbol",
 types("failure-mode-class-catalog", "types of failures", lambda p: all_of(ends("t.symbol", "Error#", "Exception#", "Failure#", "Issue#", "Fault#", "Diagnosis#"), no_test_symbol("t")))
 types("signal-class-by-substring", "types of signals", lambda p: all_of(has("t.symbol", p.term), has("t.symbol", "Signal", "Signature", "Detector", "Record", "Observation"), no_test_symbol("t")), term="T1")
 
-define(SYMBOLS, "functions-by-symbol-pattern", "functions whose symbol contains a text", lambda p: rel("Function f", where=all_of(has("f.symbol", p.pattern), outside_tests("f")), out=cols("f", "symbol file line language"), order=["file", "line", "symbol"], limit=50), pattern="supply/n1")
+define(SYMBOLS, "functions-by-symbol-pattern", "functions whose symbol contains a text", lambda p: rel("Function f", where=all_of(has("f.symbol", p.pattern), outside_tests("f")), out=cols("f", "symbol file line language"), order=["file", "line", "symbol"], limit=50), pattern="supply/n4/s")
 define(SYMBOLS, "functions-in-directory", "functions under a path", lambda p: rel("Function f", where=starts("f.file", p.prefix), out=cols("f", "symbol file line signature"), order=["file", "line", "symbol"]), prefix="src/supply/")
 define(SYMBOLS, "functions-in-file", "functions of a file", lambda p: rel("Function f", where=f"f.file = {p.path}", out=cols("f", "symbol line doc_comment signature"), order=["line", "symbol"]), path="backend/app/core/n1.py")
-define(SYMBOLS, "types-in-file", "types of a file", lambda p: rel("Type t", where=f"t.file = {p.path}", out=cols("t", "symbol kind line doc_comment signature"), order=["line", "symbol"]), path="frontend/src/types/brand12.ts")
+define(SYMBOLS, "types-in-file", "types of a file", lambda p: rel("Type t", where=f"t.file = {p.path}", out=cols("t", "symbol kind line doc_comment signature"), order=["line", "symbol"]), path="frontend/src/types/brand8.ts")
 define(TESTS, "tests-in-file", "tests of a file", lambda p: rel("Function f", where=all_of(f"f.file = {p.path}", has("f.symbol", "tests/")), out=cols("f", "symbol line doc_comment"), order=["line", "symbol"]), path="backend/tests/test_n1.py")
 define(SYMBOLS, "function-files-by-pattern", "functions by file", lambda p: rel("Function f", where=has("f.file", p.pattern), by={"file": "f.file"}, agg={"fn_count": "count(f.symbol)"}, order=["-fn_count", "file"]), pattern="core")
 define(SYMBOLS, "public-api-functions", "public functions by file", lambda p: rel("Function f", where=all_of(lacks("f.file", "/tests/", "/test_"), lacks("f.symbol", "__init__", "/_")), by={"file": "f.file"}, agg={"public_fn_count": "count(f.symbol)"}, order=["-public_fn_count", "file"], limit=25))
@@ -70,7 +70,7 @@ define(SYMBOLS, "path-axis-fingerprint-cython-aware", "the same, aware of cython
 ), pattern="lib")
 
 # ------------------------------------------------------------------- calls
-ONE = "app/n1/c24()."
+ONE = "supply/n4/s77()."
 
 
 def slices(name: str, about: str, mine: str, other: str, alias: str, by_file: str | None) -> None:
@@ -83,7 +83,7 @@ def slices(name: str, about: str, mine: str, other: str, alias: str, by_file: st
             return rel(*joins, **base, by={f"{alias}_file": "o.file"}, agg={by_file: "count(DISTINCT o.symbol)"}, order=[f"-{by_file}", f"{alias}_file"], limit=25)
         return rel(*joins, **base, out={f"{alias}_symbol": "o.symbol", f"{alias}_file": "o.file"}, distinct=True, order=[f"{alias}_symbol"])
 
-    define(CALLS, name, about, build, symbol=ONE if mine == "src" else "supply/n1/s3().")
+    define(CALLS, name, about, build, symbol=ONE)
 
 
 slices("function-backward-slice", "direct callers of a function", "dst", "src", "caller", None)
@@ -121,8 +121,8 @@ def _ends(p, mine: str, other: str):
         "CALLS r", ("Function o", f"o.symbol = r.{other}"), ("semi", "Function me", f"me.symbol = r.{mine}"), where=f"r.{mine} = {p.symbol} AND o.symbol <> {p.symbol}", name="n", what="count(DISTINCT o.file)")
 
 
-define(CALLS, "function-shape-summary", "call shape of a function", lambda p: side_by_side(*_ends(p, "dst", "src"), *_ends(p, "src", "dst"), out={"caller_count": "c0.n", "caller_file_count": "c1.n", "callee_count": "c2.n", "callee_file_count": "c3.n", "shape": shape("c0.n", "c1.n", "c2.n")}), symbol="supply/n1/s3().")
-define(CALLS, "function-direct-callers-count", "distinct callers of a function", lambda p: rel("Function f", ("left", rel("CALLS r", ("semi", "Function c", "c.symbol = r.src"), by={"k": "r.dst"}, agg={"n": "count(DISTINCT r.src)"}), "i.k = f.symbol", "i"), where=f"f.symbol = {p.function_symbol}", out={"function_symbol": "f.symbol", "direct_caller_count": "coalesce(i.n, 0)"}), function_symbol="supply/n1/s3().")
+define(CALLS, "function-shape-summary", "call shape of a function", lambda p: side_by_side(*_ends(p, "dst", "src"), *_ends(p, "src", "dst"), out={"caller_count": "c0.n", "caller_file_count": "c1.n", "callee_count": "c2.n", "callee_file_count": "c3.n", "shape": shape("c0.n", "c1.n", "c2.n")}), symbol="supply/n4/s77().")
+define(CALLS, "function-direct-callers-count", "distinct callers of a function", lambda p: rel("Function f", ("left", rel("CALLS r", ("semi", "Function c", "c.symbol = r.src"), by={"k": "r.dst"}, agg={"n": "count(DISTINCT r.src)"}), "i.k = f.symbol", "i"), where=f"f.symbol = {p.function_symbol}", out={"function_symbol": "f.symbol", "direct_caller_count": "coalesce(i.n, 0)"}), function_symbol="supply/n4/s77().")
 define(CALLS, "callgraph-roots", "functions that nothing calls", lambda p: rel("Function f", ("anti", "CALLS c", "c.dst = f.symbol"), out=dotted("f", "symbol file line language"), order=["f.file", "f.line", "f.symbol"]))
 define(CALLS, "dead-files", "files none of whose functions is called or handles an endpoint", lambda p: rel(
     "File f", ("semi", "DEFINED_IN_FILE d", "d.dst = f.path"), ("anti", rel("DEFINED_IN_FILE d", ("semi", rel("CALLS c", out={"s": "c.dst"}, union=[rel("ENDPOINT_HANDLED_BY h", out={"s": "h.dst"})]), "u.s = d.src", "u"), out={"path": "d.dst"}), "g.path = f.path", "g"), out=dotted("f", "path language loc"), order=["-f.loc", "f.path"],
@@ -158,7 +158,7 @@ def leaves(where: str):
 
 ANY = "1 = 1"
 define(CALLS, "leaf-with-deps-files", "small files that only call others", lambda p: rel(leaves(ANY), order=["-external_count", "impl_count", "file_path"], limit=50))
-define(CALLS, "leaf-with-deps-files-by-basename", "such files by the end of their path", lambda p: rel(leaves(ends("f.file", p.basename)), order=["-external_count", "file_path"], limit=50), basename=".pyx")
+define(CALLS, "leaf-with-deps-files-by-basename", "such files by the end of their path", lambda p: rel(leaves(ends("f.file", p.basename)), order=["-external_count", "file_path"], limit=50), basename=".spec.tsx")
 define(CALLS, "leaf-with-deps-files-by-path-prefix", "such files by the beginning of their path", lambda p: rel(leaves(starts("f.file", p.path_prefix)), order=["-external_count", "file_path"], limit=50), path_prefix="frontend/")
 define(CALLS, "leaf-with-deps-count-by-basename", "number of such files", lambda p: rel(leaves(ends("f.file", p.basename)), agg={"template_instance_count": "count(file_path)"}), basename=".tsx")
 define(CALLS, "template-directory-survey", "files under a path with a label of their calls", lambda p: rel(
@@ -170,7 +170,7 @@ define(CALLS, "function-call-count-between-files", "calls from one file to anoth
 
 
 def pattern_calls(name: str, about: str, mine: str, other: str, alias: str, more: str = "1 = 1") -> None:
-    define(CALLS, name, about, lambda p: rel("CALLS r", ("Function t", f"t.symbol = r.{mine}"), ("Function o", f"o.symbol = r.{other}"), where=all_of(has("t.symbol", p.pattern), outside_tests("t"), more), out={"target_symbol": "t.symbol", f"{alias}_symbol": "o.symbol", f"{alias}_file": "o.file"}, order=["target_symbol", f"{alias}_file", f"{alias}_symbol"], limit=100), pattern="supply/n1")
+    define(CALLS, name, about, lambda p: rel("CALLS r", ("Function t", f"t.symbol = r.{mine}"), ("Function o", f"o.symbol = r.{other}"), where=all_of(has("t.symbol", p.pattern), outside_tests("t"), more), out={"target_symbol": "t.symbol", f"{alias}_symbol": "o.symbol", f"{alias}_file": "o.file"}, order=["target_symbol", f"{alias}_file", f"{alias}_symbol"], limit=100), pattern="supply/n4/s")
 
 
 pattern_calls("function-callers-of-symbol-pattern", "callers of functions that match a text", "dst", "src", "caller")
@@ -227,11 +227,11 @@ define(CONTEXT, "node-context-doc", "a document with its tags and links", lambda
 define(CONTEXT, "node-context-entity", "an entity with the documents that cover it", lambda p: side_by_side(
     rel("Entity e", where=f"e.id = {p.entity}", out=cols("e", "id display description")), about(rel("COVERS r", ("Doc o", "o.id = r.src"), where=f"r.dst = {p.entity}", out={"item": "concat_ws('|', o.id, o.path, o.kind, CAST(r.line AS STRING))"}), "set"),
     out={**cols("c0", "id display description"), "neighbors": "c1.list"},
-), entity="brand-32")
+), entity="build-economy")
 define(CONTEXT, "node-context-function", "a function with its documents, entities, type and calls", lambda p: side_by_side(
     rel("Function f", where=f"f.symbol = {p.symbol}", out=cols("f", "symbol file line doc_comment signature")),
     neighbours("FUNCTION_DEFINED_IN", "src", "dst", "Doc", "id", p.symbol, "id", "path"), neighbours("FUNCTION_BELONGS_TO", "src", "dst", "Entity", "id", p.symbol, "id", "display"), neighbours("FUNCTION_MENTIONS", "src", "dst", "Entity", "id", p.symbol, "id", "display"),
     neighbours("METHOD_OF", "src", "dst", "Type", "symbol", p.symbol, "symbol"), neighbours("CALLS", "src", "dst", "Function", "symbol", p.symbol, "symbol", "file", "line"), neighbours("CALLS", "dst", "src", "Function", "symbol", p.symbol, "symbol", "file", "line"),
     out={**cols("c0", "symbol file line doc_comment signature"), **{k: f"c{i}.list" for i, k in enumerate(("docs", "entities_belongs", "entities_mentions", "method_of", "calls_out", "calls_in"), 1)}},
-), symbol="supply/n1/s3().")
+), symbol="supply/n4/s77().")
 assert any_of

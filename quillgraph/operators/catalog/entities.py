@@ -18,7 +18,7 @@ listing("entities-by-id-pattern", "ids that contain a text", lambda p: has("e.id
 listing("entities-by-description-substring", "descriptions that contain a text", lambda p: has("e.description", p.pattern), BRIEF, 20, pattern="anchored")
 listing("entities-by-id-or-description-substring", "id or description contains a text", lambda p: any_of(has("e.id", p.pattern), has("e.description", p.pattern)), BRIEF, 20, pattern="brand-1")
 listing("entities-by-display-substring", "display names that contain a text", lambda p: has("e.display", p.pattern), FULL, 20, pattern="A")
-listing("entity-pair-comparison", "two entities side by side", lambda p: f"e.id = {p.entity_a} OR e.id = {p.entity_b}", limit=None, entity_a="brand-11", entity_b="africa")
+listing("entity-pair-comparison", "two entities side by side", lambda p: f"e.id = {p.entity_a} OR e.id = {p.entity_b}", limit=None, entity_a="brand-9", entity_b="africa")
 listing("cluster-derived-entities", "entities that a cluster suggested", lambda p: clustered("e"), BRIEF)
 listing("promoted-entities", "entities that are not cluster-derived", lambda p: f"NOT {clustered('e')}", BRIEF)
 listing("promoted-with-pointer-entities", "promoted entities that point somewhere", lambda p: all_of(f"NOT {clustered('e')}", has("e.description", "`")), BRIEF)
@@ -34,7 +34,7 @@ MORE_VERBS = (*VERBS, "benchmark-", "profile-", "serve-", "show-", "list-", "che
 listing("cli-subcommand-pattern-entities", "clusters named like commands", lambda p: all_of(clustered("e"), starts("e.id", *VERBS)), limit=40, order=("entity_id",))
 listing("cli-subcommand-pattern-entities-v2", "clusters named like commands, more verbs", lambda p: all_of(clustered("e"), starts("e.id", *MORE_VERBS)), limit=50, order=("entity_id",))
 
-define(AXIS, "entity-card-summary", "one entity with its promotion label", lambda p: rel("Entity e", where=f"e.id = {p.entity_id}", out={**cols("e", FULL), "promotion_label": promotion("e")}), entity_id="brand-12")
+define(AXIS, "entity-card-summary", "one entity with its promotion label", lambda p: rel("Entity e", where=f"e.id = {p.entity_id}", out={**cols("e", FULL), "promotion_label": promotion("e")}), entity_id="brand-8")
 define(
     AXIS,
     "entity-card-with-file-axis",
@@ -59,14 +59,14 @@ define(
             "role_label": ladder(("c1.fn_count > 50", "FACT"), ("c1.fn_count BETWEEN 1 AND 30", "PATTERN"), ("c1.fn_count BETWEEN 31 AND 50", "MID"), default="unclassified"),
         },
     ),
-    entity_id="brand-12",
+    entity_id="brand-8",
 )
 define(
     AXIS,
     "entity-fact-vs-pattern-classifier-v2",
     "label by the density in the description",
     lambda p: rel("Entity e", where=f"e.id = {p.entity_id}", out={**cols("e", FULL), "role_label": ladder((f"NOT {clustered('e')}", "unclassified-promoted"), (density("e", 0), "FACT"), (density("e", 1), "MID"), default="PATTERN")}),
-    entity_id="brand-12",
+    entity_id="brand-8",
 )
 
 # Pairs of a word and its plural: the plural without its s is the other id, or begins with it.
@@ -89,7 +89,7 @@ define(AXIS, "entity-relations", "authored and derived relations between entitie
 define(AXIS, "entity-callers", "callers of the functions of an entity", lambda p: rel(
     rel("FUNCTION_BELONGS_TO b", out=cols("b", "src dst"), union=[rel("FUNCTION_MENTIONS m", out=cols("m", "src dst"))]), ("CALLS c", "c.dst = r.src"), ("Function caller", "caller.symbol = c.src"), ("semi", "Function target", "target.symbol = r.src"),
     alias="r", where=f"r.dst = {p.entity}", out=dotted("caller", "symbol file line"), distinct=True, order=["caller.file", "caller.line", "caller.symbol"],
-), entity="brand-12")
+), entity="brand-8")
 define(AXIS, "concept-work-list", "mentioned entities by how few authored documents cover them", lambda p: rel(
     rel("FUNCTION_MENTIONS m", ("semi", "Entity e", "e.id = m.dst"), by={"entity": "m.dst"}, agg={"functions": "count(DISTINCT m.src)"}),
     ("left", rel("COVERS c", ("Doc d", "d.id = c.src AND d.role NOT IN ('ontology-entity', 'ontology-value', 'ontology-axis', 'ontology-migration', 'index')"), by={"eid": "c.dst"}, agg={"chapters": "count(DISTINCT d.id)"}), "k.eid = f.entity", "k"),
@@ -98,17 +98,17 @@ define(AXIS, "concept-work-list", "mentioned entities by how few authored docume
 define(AXIS, "docs-via-shared-entity-coverage", "documents that share telling entities with one", lambda p: rel(
     rel("COVERS c", by={"eid": "c.dst"}, agg={"n": "count(DISTINCT c.src)"}, having="n <= 7"), ("semi", "COVERS s", f"s.dst = k.eid AND s.src = {p.doc_id}"), ("COVERS c", "c.dst = k.eid"), ("Doc d", "d.id = c.src"),
     alias="k", where=f"c.src <> {p.doc_id}", by={"doc_id": "d.id", "title": "d.title"}, agg={"shared_entities": "SET(c.dst)", "shared_count": "count(DISTINCT c.dst)"}, order=["-shared_count", "doc_id"], limit=25,
-), doc_id="user-probe-36")
+), doc_id="audit-run-15")
 define(AXIS, "entities-via-shared-doc-coverage", "entities covered by the documents that cover one", lambda p: rel(
     "COVERS c", ("semi", "COVERS s", f"s.src = c.src AND s.dst = {p.entity_id}"), ("Entity o", "o.id = c.dst"), where=f"o.id <> {p.entity_id}",
     by={"entity_id": "o.id", "display": "o.display"}, agg={"shared_doc_count": "count(DISTINCT c.src)"}, order=["-shared_doc_count", "entity_id"], limit=25,
-), entity_id="brand-32")
+), entity_id="build-economy")
 define(AXIS, "entity-cooccurrence", "pairs of entities that documents cover together", lambda p: rel(
     "COVERS x", ("COVERS y", "y.src = x.src AND x.dst < y.dst"), ("semi", "Entity a", "a.id = x.dst"), ("semi", "Entity b", "b.id = y.dst"),
     by={"entity_a": "x.dst", "entity_b": "y.dst"}, agg={"cooccur_count": "count(*)"}, having="cooccur_count >= 2", order=["-cooccur_count", "entity_a", "entity_b"], limit=25,
 ))
 define(AXIS, "competitive-tools", "entities with attributes", lambda p: rel("Entity e", ("entity_attributes a", "a.entity_id = e.id"), by=cols("e", "id display description"), agg={"attributes": "LIST(a.value)"}, order=["id"]))
-define(AXIS, "function-entity-touch-card", "entities that a function mentions", lambda p: rel("FUNCTION_MENTIONS m", ("Entity e", "e.id = m.dst"), ("semi", "Function f", "f.symbol = m.src"), where=f"m.src = {p.function_symbol}", out=cols("e", "entity_id=id display is_god_node mention_count"), order=["-is_god_node", "-mention_count", "entity_id"], limit=20), function_symbol="web/Brand13/p1().")
+define(AXIS, "function-entity-touch-card", "entities that a function mentions", lambda p: rel("FUNCTION_MENTIONS m", ("Entity e", "e.id = m.dst"), ("semi", "Function f", "f.symbol = m.src"), where=f"m.src = {p.function_symbol}", out=cols("e", "entity_id=id display is_god_node mention_count"), order=["-is_god_node", "-mention_count", "entity_id"], limit=20), function_symbol="app/cli/n0/c786().")
 
 
 def mentions_of(edge: str, table: str, name: str, keep) -> object:
@@ -148,12 +148,12 @@ for _name, _source, _label in (("entity-flavor-distribution", FLAVORED, "flavor_
     define(AXIS, _name, f"entities by {_label}", lambda p, s=_source, c=_label: rel(s, by={c: c}, agg={"entity_count": "count(*)"}, order=["-entity_count", c]))
 
 IMPLEMENTED = per_entity(lambda a: lacks(f"{a}.file", "test"))
-define(AXIS, "entity-implementation-summary", "what implements an entity", lambda p: rel(IMPLEMENTED, where=f"id = {p.entity_id}", out={"entity_id": "id", "function_mentions_count": "fm", "type_mentions_count": "tm", "function_belongs_count": "bt", "distinct_implementation_files": "fm_files + tm_files"}), entity_id="brand-12")
+define(AXIS, "entity-implementation-summary", "what implements an entity", lambda p: rel(IMPLEMENTED, where=f"id = {p.entity_id}", out={"entity_id": "id", "function_mentions_count": "fm", "type_mentions_count": "tm", "function_belongs_count": "bt", "distinct_implementation_files": "fm_files + tm_files"}), entity_id="brand-8")
 define(AXIS, "entity-to-implementation-files", "files of the functions and types that mention an entity", lambda p: rel(
     rel("FUNCTION_MENTIONS m", ("Function x", "x.symbol = m.src"), ("semi", "Entity e", "e.id = m.dst"), where=all_of(f"m.dst = {p.entity_id}", lacks("x.file", "test")), out={"file_path": "x.file"}, distinct=True,
         union=[rel("TYPE_MENTIONS m", ("Type x", "x.symbol = m.src"), ("semi", "Entity e", "e.id = m.dst"), where=all_of(f"m.dst = {p.entity_id}", lacks("x.file", "test")), out={"file_path": "x.file"}, distinct=True)]),
     where="file_path IS NOT NULL", by={"file_path": "file_path"}, agg={"mention_count": "count(*)"}, order=["-mention_count", "file_path"], limit=20,
-), entity_id="brand-12")
+), entity_id="brand-8")
 
 define(AXIS, "axis-routing-card-for-vocabulary", "where a term occurs", lambda p: rel(
     "Entity e", where=has("e.id", p.term), agg={"axis_count": "count(e.id)"}, having="axis_count > 0", out={"axis": "'entity'", "axis_count": "axis_count"},

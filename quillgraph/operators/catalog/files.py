@@ -17,11 +17,11 @@ def listing(name: str, about: str, where, shown: str, order: list[str], limit: i
 listing("files-by-path-substring", "files whose path contains a text", lambda p: has("f.path", p.pattern), "path language loc", ["path"], None, pattern="core")
 listing("generated-files", "generated files", lambda p: has("f.path", *GENERATED), "path language loc", ["path"], None)
 listing("hand-written-source-files", "files written by hand", lambda p: all_of("f.language IS NOT NULL", lacks("f.path", *GENERATED)), "path language loc", ["path"], 200)
-listing("files-containing-entity-id-in-path", "files whose path names an entity", lambda p: all_of(has("f.path", p.entity_id), lacks("f.path", "test")), "path loc language", ["path", "-loc"], 30, entity_id="brand12")
+listing("files-containing-entity-id-in-path", "files whose path names an entity", lambda p: all_of(has("f.path", p.entity_id), lacks("f.path", "test")), "path loc language", ["path", "-loc"], 30, entity_id="brand8")
 listing("files-under-folder-path", "files of a folder by size", lambda p: all_of(has("f.path", p.folder_path), lacks("f.path", "test")), "file_path=path loc", ["-loc", "file_path"], 30, folder_path="frontend/src")
 listing("files-by-recency-desc", "files touched last", lambda p: "f.last_touched IS NOT NULL", "path last_touched loc", ["-last_touched", "path"], 10)
 listing("files-by-recency-asc", "files untouched for longest", lambda p: "f.last_touched IS NOT NULL", "path last_touched loc", ["last_touched", "path"], 10)
-listing("file-language-by-path", "language of a file", lambda p: f"f.path = {p.file_path}", "file_path=path language", ["file_path"], None, file_path="src/supply/n1.rs")
+listing("file-language-by-path", "language of a file", lambda p: f"f.path = {p.file_path}", "file_path=path language", ["file_path"], None, file_path="src/supply/n0.rs")
 listing("rust-production-source-files", "rust sources that are no tests", lambda p: all_of("f.language = 'rust'", starts("f.path", "src/"), ends("f.path", ".rs"), f"NOT {ends('f.path', '_tests.rs', '_test.rs', '/mod.rs')}"), "path loc", ["path"], 100)
 listing("test-files-for-domain", "test files of a domain", lambda p: all_of(has("f.path", p.domain), has("f.path", "test")), "file_path=path loc", ["-loc", "file_path"], 30, "test-surface", domain="n1")
 listing("test-files-by-stem", "test files of a stem", lambda p: all_of(has("f.path", "test_"), has("f.path", p.stem)), "file_path=path loc", ["-loc", "file_path"], 30, "test-surface", stem="n1")
@@ -63,7 +63,7 @@ define(LAYOUT, "files-by-basename-and-path-prefix-count", "number of files by bo
 define(LAYOUT, "cython-file-count", "number of cython files", lambda p: counted("File f", where=all_of(ends("f.path", *CYTHON), lacks("f.path", "tests/")), name="cython_file_count"))
 define(LAYOUT, "cython-presence-by-pattern", "whether a path has cython files", lambda p: rel(counted("File f", where=all_of(has("f.path", p.pattern), ends("f.path", *CYTHON)), name="n"), out={"cython_file_count": "n", "has_cython": ladder(("n >= 1", "yes"), default="no")}), pattern="lib")
 define(LAYOUT, "files-by-pattern-language-split", "files of a path by language", lambda p: rel("File f", where=all_of(has("f.path", p.pattern), "f.loc IS NOT NULL AND f.loc > 0"), by={"language": "f.language"}, agg={"file_count": "count(f.path)", "total_loc": "CAST(sum(f.loc) AS BIGINT)", "max_loc": "max(f.loc)"}, order=["-total_loc", "language"]), pattern="lib")
-define(LAYOUT, "entity-organizational-shape", "how many files an entity's name spans", lambda p: rel(counted("File f", where=all_of(has("f.path", p.entity_id), lacks("f.path", "test")), name="n"), out={"total_file_matches": "n", "organizational_shape": ladder(("n = 0", "absent"), ("n = 1", "single-file"), default="multi-file-or-folder")}), entity_id="brand12")
+define(LAYOUT, "entity-organizational-shape", "how many files an entity's name spans", lambda p: rel(counted("File f", where=all_of(has("f.path", p.entity_id), lacks("f.path", "test")), name="n"), out={"total_file_matches": "n", "organizational_shape": ladder(("n = 0", "absent"), ("n = 1", "single-file"), default="multi-file-or-folder")}), entity_id="brand8")
 BACK_TEST, FRONT_TEST = has("f.path", "/test", "/tests/"), has("f.path", "/test", ".spec.", "/tests/")
 define(LAYOUT, "resource-shape-classifier", "sources and tests of a resource on both ends", lambda p: rel(
     "File f", where=all_of(has("f.path", p.resource_stem), "f.language IS NOT NULL", lacks("f.path", "/__init__", ".gen.")),

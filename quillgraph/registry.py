@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import lint, typed  # noqa: F401  (typed registers its plans)
+from .operators.analytics import EXTRA
 from .operators.catalog import CATALOG, Query
 from .sources.driver_tables import GraphTables
 
@@ -26,9 +28,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CATALOG["hub-functions-by-caller-breadth"].run(GraphTables(spark, sf_dir))
 
 
+LINT = {"lint_issues": lint.plan, "lint_summary": lint.summary}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key(n): _runner(q) for n, q in CATALOG.items()}
+    found = {key(n): _runner(q) for n, q in CATALOG.items()}
+    found |= {n: (lambda spark, sf_dir, f=f: f(GraphTables(spark, sf_dir))) for n, (f, _) in EXTRA.items()}
+    found |= {n: (lambda spark, sf_dir, f=f: f().spark(GraphTables(spark, sf_dir))) for n, f in LINT.items()}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key(n): q.sql() for n, q in CATALOG.items()}
+    found = {key(n): q.sql() for n, q in CATALOG.items()}
+    found |= {n: sql for n, (_, sql) in EXTRA.items() if sql}
+    found |= {n: lint.sql(f()) for n, f in LINT.items()}
+    return found

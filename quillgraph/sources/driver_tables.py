@@ -13,7 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings")
 
 # Tags the catalogue asks for, with the documents that have them (id modulo m is r).
 TAGS = (
@@ -140,7 +140,12 @@ PROJECTION: dict[str, str] = {
     "INFORMED_BY": "SELECT a.id AS src, b.id AS dst, 5 AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 9 WHERE a.dkey % 6 = 0",
     "DEPENDS_ON": "SELECT a.id AS src, b.id AS dst, 2 AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 11 WHERE a.dkey % 3 <> 1",
     "SUPERSEDES": "SELECT a.id AS src, b.id AS dst, 1 AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 13 WHERE a.dkey % 26 = 0",
-    "COVERS": "SELECT d.id AS src, e.id AS dst, CAST(d.dkey % 30 AS INT) AS line, 0 AS inferred FROM Doc d JOIN (SELECT id, row_number() OVER (ORDER BY id) AS k FROM entity_seed) e ON d.dkey % 41 = e.k OR (d.dkey % 9 = 2 AND d.dkey % 13 + 30 = e.k) WHERE d.dkey % 2 = 0",
+    "entity_rank": "SELECT id, row_number() OVER (ORDER BY id) AS k FROM entity_seed",
+    "COVERS": """
+        SELECT d.id AS src, e.id AS dst, CAST(d.dkey % 30 AS INT) AS line, 0 AS inferred FROM Doc d JOIN entity_rank e ON d.dkey % 41 = e.k WHERE d.dkey % 2 = 0
+        UNION ALL SELECT d.id, e.id, 31, 1 FROM Doc d JOIN entity_rank e ON d.dkey % 5 + 42 = e.k WHERE d.dkey % 4 = 0
+        UNION ALL SELECT d.id, e.id, 32, 1 FROM Doc d JOIN entity_rank e ON d.dkey % 13 + 47 = e.k WHERE d.dkey % 9 = 2
+        UNION ALL SELECT d.id, e.id, 33, 1 FROM Doc d JOIN entity_rank e ON d.dkey % 4 + 61 = e.k WHERE d.dkey < 25""",
     "FUNCTION_DEFINED_IN": "SELECT f.symbol AS src, d.id AS dst FROM Function f JOIN Doc d ON f.fkind = 's' AND d.dkey = f.fkey",
     "RELATES_TO": "SELECT a.id AS src, b.id AS dst, 'part-of' AS type, 1 AS frequency FROM entity_seed a JOIN entity_seed b ON a.entity_class = 'nation' AND b.entity_class = 'region' AND a.n % 6 = b.n",
     "ENTITY_CALLS": "SELECT a.dst AS src, b.dst AS dst, count(*) AS frequency FROM CALLS c JOIN FUNCTION_BELONGS_TO a ON a.src = c.src JOIN FUNCTION_MENTIONS b ON b.src = c.dst WHERE a.dst <> b.dst GROUP BY a.dst, b.dst",
