@@ -37,7 +37,7 @@ def _ends(kind: str) -> str:
 PROJECTION: dict[str, str] = {
     "Function": """
         SELECT symbol, file, language, fkind, fkey, 1 + CAST(fkey % 400 AS INT) AS line,
-          CASE WHEN fkey % 3 = 0 THEN NULL WHEN fkey % 3 = 1 THEN '' ELSE concat('Does step ', CAST(fkey AS STRING)) END AS doc_comment,
+          CASE WHEN fkey % 3 = 0 THEN NULL WHEN fkey % 3 = 1 THEN '' ELSE concat('Does step ', CAST(fkey AS STRING), CASE fkey % 4 WHEN 0 THEN ' for Africa' WHEN 1 THEN ' in the Middle East' WHEN 2 THEN ' across Europes' ELSE '' END) END AS doc_comment,
           CASE WHEN fkey % 4 = 0 THEN NULL WHEN fkey % 4 = 1 THEN '' ELSE concat('fn(', CAST(fkey % 9 AS STRING), ')') END AS signature,
           CASE WHEN fkey % 23 = 0 THEN 1 ELSE 0 END AS generated
         FROM (

@@ -281,3 +281,42 @@ def test_nothing_imports_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"(from|import)\s+\S*llm", p.read_text()), p
+
+
+def test_mentions_and_unstubbed(spark):
+    from quillgraph.operators import concepts
+
+    terms = concepts.term_index(spark.createDataFrame([("user-account", "User Account"), ("order", "order")], "id string, name string"))
+    f = spark.createDataFrame([("m/load_order().", "Reads user accounts"), ("m/x().", None)], "symbol string, doc_comment string")
+    assert {tuple(r) for r in concepts.mentions(f, terms).collect()} == {("m/load_order().", "user-account", "high"), ("m/load_order().", "order", "low")}
+    d = spark.createDataFrame([("1", "Then the Ledger and the Order go"), ("2", "we keep a Ledger here")], "id string, text string")
+    assert [(r.term, r.docs) for r in concepts.unstubbed(d, terms).collect()] == [("ledger", 2)]
+
+
+def test_affinity(spark):
+    from quillgraph.operators import concepts
+
+    few = [(i, "rare") for i in "abc"]
+    many = [(f"m{i:02d}", "common") for i in range(12)]
+    got = {tuple(r) for r in concepts.affinity(spark.createDataFrame(few + many, "id string, word string"), 400).collect()}
+    assert {("a", "b"), ("a", "c"), ("b", "c")} <= got and ("m00", "m03") not in got and len(got) == 3 + 11 + 10
+
+
+def test_louvain(spark):
+    from quillgraph.operators import concepts
+
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
+    got = concepts.louvain({p: 1.0 for p in pairs})
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+    assert concepts.louvain({}) == {}
+    with pytest.raises(ValueError):
+        concepts.louvain_of(edge_frame(spark, pairs), most_edges=3)
+
+
+def test_ego_graph(spark):
+    from quillgraph.operators import concepts
+
+    e = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    r = spark.createDataFrame([("a", "b", "part-of")], "src string, dst string, type string")
+    c = spark.createDataFrame([("b", "c"), ("c", "d")], "src string, dst string")
+    assert {tuple(x) for x in concepts.ego_graph(e, r, c, "a", 2).collect()} == {("a", "b", "part-of"), ("b", "c", "calls")}
