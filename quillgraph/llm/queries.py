@@ -40,25 +40,66 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("op5_suffix_dedup")
+@query(
+    "op5_suffix_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    win AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS k, substr(h, 2 * p + 1, 200) AS t FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 99)) AS p FROM d WHERE strlen(h) >= 200) AS q),
+    ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k, t ORDER BY doc_id, p) AS r FROM win),
+    hit AS (SELECT doc_id, p, p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM ranked WHERE r > 1),
+    runs AS (SELECT doc_id, p, sum(CASE WHEN gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit),
+    spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, g),
+    edges AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+    cut AS (SELECT doc_id, count(*) AS n, sum(b - a) AS k, max(b) AS last FROM spans GROUP BY doc_id),
+    parts AS (SELECT e.doc_id, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t FROM edges e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+    SELECT d.doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+      sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE parts.t || substr(h, 2 * last + 1) END)) AS kept_sha256
+    FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN parts ON parts.doc_id = d.doc_id
+    """,
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
     return suffix_dedup(spark, table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query("op7_substring_dedup")
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    win AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS p FROM d WHERE len(w) >= 20) AS s),
+    ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM win),
+    cut AS (SELECT DISTINCT doc_id, p + i AS pos FROM ranked, range(0, 20) AS t(i) WHERE r > 1),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+    kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.pos) AS t FROM words LEFT JOIN cut ON cut.doc_id = words.doc_id AND cut.pos = words.pos WHERE cut.pos IS NULL GROUP BY words.doc_id),
+    n AS (SELECT doc_id, count(*) AS k FROM cut GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.k, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
     return substring_dedup(spark, table(spark, sf_dir, "documents"), length=20, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op6_ngram_jaccard_join")
+@query(
+    "op6_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 5], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5) AS q
+      UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+    SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+    """,
+)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(spark, table(spark, sf_dir, "documents"), k=5, num=75, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), k=5, num=75, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_toxicity")
