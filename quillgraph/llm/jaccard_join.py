@@ -11,14 +11,15 @@ the remaining n - T + 1 short ones, and the long lists are only probed.
   are its least frequent shingles, ties by hash.
 * The short lists meet by hash range, one packed record per chunk and
   partition, and are merged there (:func:`merge_lists`).  In place of all pairs
-  of a list its members are first paired with one of them (a star).
+  each class is first paired with the one it meets most often (:func:`first_pairs`).
 * Every pair is settled by binary probes of one document's shingles in the
   other's sorted array, mapped from the shared folder (:func:`verify`), against
   the required overlap of the two sizes.
 * Components of the links found so far make most lists uniform.  Lists that
-  still hold several components give all pairs across them (sizes permitting),
+  hold several components then pair one member of each (:func:`bridge_pairs`),
+  again and again while that joins components.  What is left gives all pairs across (sizes permitting),
   which are probed too.  So no link between components is missed, and a group
-  of thousands of near copies costs a star, not its square.
+  of thousands of near copies costs a pair for each, not its square.
 
 Documents with equal shingle sets are one class from the start.
 A null or empty text, or one without words, has no shingles and no links; a
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,7 +41,11 @@ from .repeats import AnchorFiles, slices
 from .shared import Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
 
 #: A shingle is counted as frequent where this many classes of one chunk hold it.
-OFTEN = 8
+OFTEN = 2
+#: Rounds that bring components together go on while each finds so many links.
+BRIDGES = 10
+#: Pairs tried for a component in such a round.
+TRIES = 4
 
 
 class ShingleSets:
@@ -217,8 +222,12 @@ def _fits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return den * np.minimum(a, b) >= num * np.maximum(a, b)
 
 
-def star_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Each list's members with its first one, sizes permitting."""
+def first_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """For each class the partner it meets in most lists, among the lists' first members, sizes permitting.
+
+    One pair for each class at most: enough to bring a group of near copies
+    together, whatever its size.  Ties go to the smaller class.
+    """
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +236,53 @@ def star_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
             size = np.diff(np.append(first, len(h)))
             centre = np.repeat(first, size)
             ok = (np.arange(len(h)) != centre) & _fits(n, n[centre], num, den)
-            yield from _pairs(cls[centre[ok]], cls[ok])
+            a, b = cls[centre[ok]].view(np.int64), cls[ok].view(np.int64)
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(fresh)
+            met = np.diff(np.append(at, len(a)))
+            for s in range(0, len(at), 100_000):
+                e = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(a[at[e]]), pa.array(b[at[e]]), pa.array(met[e], pa.int64())], ["a", "b", "met"])
+
+    met = lists.mapInArrow(star, PAIRS + ", met long").groupBy("a", "b").agg(F.sum("met").alias("met"))
+    best = met.groupBy("b").agg(F.max(F.struct("met", (-F.col("a").cast("decimal(20,0)")).alias("low"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def bridge_pairs(lists: DataFrame, num: int, den: int, labels: str, parts: int) -> DataFrame:
+    """For each component the ``TRIES`` member pairs with other components that meet in most lists.
+
+    A list that holds several components pairs its first member with one member
+    of each other component, the nearest in size: a row a component, not a pair.
+    """
 
-    return lists.mapInArrow(star, PAIRS).distinct()
+    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Labels(labels, parts)
+        for batch in batches:
+            h, cls, n = unpacked([batch], LISTS)
+            label = known.of(cls)
+            first = runs(h)
+            size = np.diff(np.append(first, len(h)))
+            centre = np.repeat(first, size)
+            ok = np.flatnonzero((label != label[centre]) & _fits(n, n[centre], num, den))
+            far = np.abs(n[ok].astype(np.int64) - n[centre[ok]].astype(np.int64))
+            order = np.lexsort((cls[ok], far, label[ok], centre[ok]))
+            ok = ok[order]
+            fresh = np.ones(len(ok), bool)
+            fresh[1:] = (centre[ok[1:]] != centre[ok[:-1]]) | (label[ok[1:]] != label[ok[:-1]])
+            ok = ok[fresh]
+            a, b, la, lb = cls[centre[ok]], cls[ok], label[centre[ok]], label[ok]
+            for s in range(0, len(ok), 100_000):
+                e = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[e].view(np.int64)) for x in (a, b, la, lb)], ["a", "b", "la", "lb"])
+
+    met = lists.mapInArrow(bridge, PAIRS + ", la long, lb long").groupBy("a", "b", "la", "lb").agg(F.count("*").alias("met"))
+    rank = Window.partitionBy("lb").orderBy(F.desc("met"), "a", "b")
+    best = met.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= TRIES)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def cross_pairs(lists: DataFrame, num: int, den: int, labels: str, parts: int) -> DataFrame:
@@ -377,15 +430,26 @@ class SetFiles:
                     self.files.setdefault(int(x[:8]), []).append((read_array(folder, x, np.uint64), read_array(folder, x[:-3] + "span", np.int64).reshape(-1, 2), folder, x[:-3] + "data"))
         self.data: dict[tuple, np.ndarray] = {}
 
-    def get(self, key: int, pid: int) -> np.ndarray:
-        for keys, spans, folder, name in self.files.get(pid, ()):
-            at = int(np.searchsorted(keys, np.uint64(key)))
-            if at < len(keys) and int(keys[at]) == key:
-                if (folder, name) not in self.data:
-                    self.data[folder, name] = read_array(folder, name, np.uint64)
-                s, n = spans[at]
-                return self.data[folder, name][s : s + n]
-        raise KeyError(key)
+    def load(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of some classes, one after the other, and where each begins."""
+        key = mix(classes)
+        order = np.argsort(key)
+        pid = bucket(key[order], self.parts)
+        found: list = [None] * len(classes)
+        first = runs(pid)
+        for s, e in zip(first, np.append(first[1:], len(pid))):
+            for keys, spans, folder, name in self.files.get(int(pid[s]), ()):
+                at = np.minimum(np.searchsorted(keys, key[order[s:e]]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == key[order[s:e]])
+                if len(hit):
+                    if (folder, name) not in self.data:
+                        self.data[folder, name] = read_array(folder, name, np.uint64)
+                    held = self.data[folder, name]
+                    for i, (lo, size) in zip(order[s:e][hit], spans[at[hit]]):
+                        found[i] = held[lo : lo + size]
+        if any(x is None for x in found):
+            raise KeyError("a class without its set")
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
 
 def verify(pairs: DataFrame, folders: list[str], num: int, den: int, parts: int) -> DataFrame:
@@ -395,19 +459,25 @@ def verify(pairs: DataFrame, folders: list[str], num: int, den: int, parts: int)
         sets = SetFiles(folders, parts)
         for b in batches:
             a, c = b.column("a").to_numpy().view(np.uint64), b.column("b").to_numpy().view(np.uint64)
-            ka, kc = mix(a), mix(c)
-            pa_, pc = bucket(ka, parts), bucket(kc, parts)
+            if not len(a):
+                continue
+            order = np.lexsort((c, a))
+            a, c = a[order], c[order]
+            classes, place = np.unique(np.concatenate([a, c]), return_inverse=True)
+            data, first = sets.load(classes)
+            n = np.diff(first)
+            pa_, pc = place[: len(a)], place[len(a) :]
             ok = np.zeros(len(a), bool)
-            last, held = None, None
-            for i in np.argsort(ka, kind="stable"):
-                if last != ka[i]:
-                    last, held = ka[i], np.asarray(sets.get(int(ka[i]), int(pa_[i])))
-                other = np.asarray(sets.get(int(kc[i]), int(pc[i])))
-                few, many = (held, other) if len(held) < len(other) else (other, held)
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                shared = int((many[at] == few).sum())
-                ok[i] = den * shared >= num * (len(few) + len(many) - shared)
-            yield b.filter(pa.array(ok))
+            starts = runs(a)
+            for s, e in zip(starts, np.append(starts[1:], len(a))):
+                mine = data[first[pa_[s]] : first[pa_[s] + 1]]
+                for lo in range(s, e, 512):  # all partners of one class by one probe of its sorted array
+                    others = pc[lo : min(e, lo + 512)]
+                    probes = data[np.repeat(first[others], n[others]) + spread(n[others])]
+                    at = np.minimum(np.searchsorted(mine, probes), len(mine) - 1)
+                    shared = np.add.reduceat(mine[at] == probes, np.cumsum(n[others]) - n[others], dtype=np.int64)
+                    ok[lo : lo + len(others)] = linked(shared, len(mine), n[others], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(c[ok].view(np.int64))], ["a", "b"])
 
     return pairs.mapInArrow(probe, PAIRS)
 
@@ -428,23 +498,38 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         classes = work.table(classes.select("cls", F.when(F.col("c0") == F.col("c1"), F.col("doc_id")).otherwise(F.raise_error(F.lit("two shingle sets share a 64-bit class id")).cast("long")).alias("doc_id")), "classes")
 
-        def needed(pairs: DataFrame) -> DataFrame:
-            return classes.join(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi")
-
-        pairs = work.table(star_pairs(lists, num, den), "star")
-        write_sets(docs, k, needed(pairs), work.folder("sets-1"), work, "wanted-1", parts)
-        edges = work.table(verify(pairs, [work.folder("sets-1")], num, den, parts), "edges-1")
-        labels = components(edges, work, "labels-1")
-        write_labels(labels, work.folder("known"), parts)
-        more = work.table(cross_pairs(lists, num, den, work.folder("known"), parts).join(pairs, ["a", "b"], "left_anti"), "cross")
-        work.drop("lists")
-        if more.limit(1).count():
-            have = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-            write_sets(docs, k, needed(more).join(have, "cls", "left_anti"), work.folder("sets-2"), work, "wanted-2", parts)
-            found = work.table(verify(more, [work.folder("sets-1"), work.folder("sets-2")], num, den, parts), "edges-2")
-            if found.limit(1).count():
-                labels = components(edges.unionByName(found), work, "labels-2")
-        work.drop("sets-1", "sets-2", "known", "frequent")
+        stores: list[str] = []
+        have = None
+
+        def check(pairs: DataFrame, step: int) -> DataFrame:
+            """The pairs that link; the sets of classes not met before are written first."""
+            nonlocal have
+            ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+            new = work.table(ends if have is None else ends.join(have, "cls", "left_anti"), f"met-{step}")
+            have = new if have is None else have.unionByName(new)
+            stores.append(work.folder(f"sets-{step}"))
+            write_sets(docs, k, classes.join(new, "cls", "left_semi"), stores[-1], work, f"wanted-{step}", parts)
+            return work.table(verify(pairs, stores, num, den, parts), f"edges-{step}")
+
+        edges = check(work.table(first_pairs(lists, num, den), "first"), 0)
+        labels, step = components(edges, work, "labels-0"), 0
+        while True:
+            write_labels(labels, work.folder(f"known-{step}"), parts)
+            step += 1
+            # components that have a link are brought together by pairs of theirs, as long as that succeeds
+            found = check(work.table(bridge_pairs(lists, num, den, work.folder(f"known-{step - 1}"), parts), f"bridges-{step}"), step)
+            n = found.count()
+            if n:
+                edges = edges.unionByName(found)
+                labels = components(edges, work, f"labels-{step}")
+            if n < BRIDGES:
+                break
+        # what is left: all pairs across components
+        write_labels(labels, work.folder("known-last"), parts)
+        found = check(work.table(cross_pairs(lists, num, den, work.folder("known-last"), parts), "cross"), step + 1)
+        if found.limit(1).count():
+            labels = components(edges.unionByName(found), work, "labels-last")
+        work.drop("lists", "frequent", "known-last", *[f"known-{i}" for i in range(step)], *[f"sets-{i}" for i in range(step + 2)])
         named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = named.join(least, "label").select("cls", "component_id")

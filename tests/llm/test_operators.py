@@ -191,7 +191,7 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard_components(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("often", [1, 8])
+@pytest.mark.parametrize("often", [1, 2, 8])
 def test_jaccard_at_the_threshold(spark, monkeypatch, often):
     """Chains of edits around 0.75, so that links fall on both sides and components need several of them."""
     from quillgraph.llm import jaccard_join
