@@ -9,12 +9,20 @@ ends with one end token.  Training takes these steps, each over all documents:
    dealt by their context, so a context's totals come together.  Contexts of
    very frequent words (at most ``HOT_WORDS`` per partition, by their counts)
    are dealt by the whole gram and their totals added up afterwards.
-3. Each lower order counts the distinct left neighbours of its grams, taken
-   from the distinct grams of the order above.
+3. Each lower order counts the distinct left neighbours of its grams: grams one
+   word longer are read from the texts again and dealt by what follows their
+   first word.  Those of which all that is frequent words are dealt by the whole
+   and their numbers of neighbours added up afterwards.
 
-A gram's file holds sorted 64-bit hashes and a byte per count (larger counts in
-a short second file); a context's file hashes and totals.  Workers map them and
-look up all grams of a chunk in hash order.
+Steps 2 and 3 take ``ROUNDS`` passes over the texts, each for its share of the
+partitions, so that only so much of the grams is shuffled at a time; a pass's
+shuffle is removed with it.  Every gram is in exactly one pass.
+
+A partition's files hold the sorted 64-bit hashes of its contexts, and for each
+context the next words in order with a byte per count (larger counts in a short
+second file).  A context's totals are added up from these, but for wide ones,
+which have theirs written.  Workers map the files and look up all grams of a
+chunk in the order of their contexts.
 
 The model is a distribution over the lexicon and one unknown word for every
 context.  Texts begin after order - 1 start symbols, which are never predicted.
@@ -22,6 +30,7 @@ context.  Texts begin after order - 1 start symbols, which are never predicted.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +44,25 @@ from .shared import Workspace, array_names, ids_back, partitions, read_array, sm
 END = np.uint64(splitmix(31337))
 #: Words whose contexts are split: those with over 1 / (HOT_WORDS * partitions) of all tokens.
 HOT_WORDS = 4
+#: Passes over the texts for each order: what is shuffled at a time is so much less.
+ROUNDS = 2
+#: Contexts with so many next words have their totals written.
+WIDE = 16
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the job that made them while the body runs."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +78,17 @@ def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def unique_with_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the place of each hash among them."""
+    order = np.argsort(h)
+    h = h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return h[fresh], back
+
+
 def build_lexicon(docs: DataFrame, folder: str, parts: int) -> np.ndarray:
     """Write the sorted words and their counts; (words, tokens) by partition."""
 
@@ -89,7 +128,7 @@ class Lexicon:
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash; unknown words have count 0."""
-        unique, back = np.unique(h, return_inverse=True)
+        unique, back = unique_with_places(h)
         number, count = np.full(len(unique), self.unknown, np.int64), np.zeros(len(unique), np.int64)
         pid = bucket(unique, self.parts)
         first = runs(pid)
@@ -125,21 +164,58 @@ def place_of(columns: list[np.ndarray], context: np.ndarray, whole: np.ndarray,
     return bucket(np.where(split, whole, context), parts)
 
 
+def all_hot(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([np.isin(c, hot) for c in columns])
+
+
+def dealt(columns: list[np.ndarray], top: bool, hot: np.ndarray, parts: int) -> np.ndarray:
+    """Partition where a gram is counted, or, below the highest order, one word and the gram whose left neighbour it is."""
+    key = columns if top else columns[1:]
+    to = place_of(key, gram_hash(key[:-1]), gram_hash(key), hot, parts)
+    if not top and len(both := np.flatnonzero(all_hot(key, hot))):
+        to[both] = bucket(gram_hash([c[both] for c in columns]), parts)
+    return to
+
+
+def _fresh(columns: list[np.ndarray]) -> np.ndarray:
+    """Starts of the runs of equal rows in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(fresh)
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """Puts rows in the order of their columns, two of which make one key."""
+    at = len(columns) % 2
+    keys = [columns[0]] if at else []
+    keys += [(columns[i].astype(np.uint64) << np.uint64(32)) | columns[i + 1].astype(np.uint64) for i in range(at, len(columns), 2)]
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    if len(columns) == 2:
-        key = (columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-    else:
-        order = np.lexsort(columns[::-1])
+    order = _order(columns)
     columns, count = [c[order] for c in columns], count[order]
     if not len(count):
         return columns, count
-    fresh = np.ones(len(count), bool)
-    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(fresh)
+    at = _fresh(columns)
     return [c[at] for c in columns], np.add.reduceat(count.astype(np.int64), at)
 
 
+def planes(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The bytes of 32-bit columns, those of one place together: high ones are alike and pack well."""
+    out = []
+    for c in columns:
+        b = np.ascontiguousarray(c, np.uint32).view(np.uint8).reshape(-1, 4)
+        out += [b[:, i].copy() for i in range(4)]
+    return out
+
+
+def from_planes(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.column_stack(arrays[i : i + 4])).view(np.uint32).ravel() for i in range(0, len(arrays), 4)]
+
+
 class Model:
     """Training: what :func:`train` leaves for the workers, small except for its files."""
 
@@ -162,49 +238,105 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *out])
 
 
-def _count_order(rows: DataFrame, k: int, model: Model, work: Workspace) -> tuple[DataFrame, np.ndarray]:
-    """Write the files of order k; packed rows of the order below, and the numbers of grams counted 1 to 4 times."""
-    parts, hot = model.parts, model.hot
-    folder, lexicon_first = f"{work.base}/order-{k}", np.concatenate([[0], np.cumsum(model.sizes[:, 0])])
-    kinds = [np.uint32] * k + [np.uint32]
+def write_grams(folder: str, pid: int, columns: list[np.ndarray], count: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write the sorted grams of a partition; the numbers of those counted 1 to 4 times, and split contexts with their totals here."""
+    context = gram_hash(columns[:-1])
+    begin = runs(context)
+    length = np.diff(np.append(begin, len(context)))
+    sort = np.argsort(context[begin])
+    order = np.repeat(begin[sort], length[sort]) + spread(length[sort])
+    sums = count[order]
+    large = np.flatnonzero(sums >= 255)
+    # totals of the contexts: sum, and how many grams are counted once, twice, more often
+    totals = np.column_stack([np.add.reduceat(x.astype(np.int64), begin) for x in (count, count == 1, count == 2, count >= 3)])
+    split = all_hot([c[begin] for c in columns[:-1]], hot)
+    wide = np.flatnonzero((~split & ((length >= WIDE) | (np.maximum.reduceat(count, begin) >= 255)))[sort])
+    write_array(folder, f"{pid:08d}.word", columns[-1][order].astype(np.uint32))
+    write_array(folder, f"{pid:08d}.count", np.minimum(sums, 255).astype(np.uint8))
+    write_array(folder, f"{pid:08d}.large", large)
+    write_array(folder, f"{pid:08d}.largecount", sums[large].astype(np.int64))
+    write_array(folder, f"{pid:08d}.wide", wide)
+    write_array(folder, f"{pid:08d}.totals", totals[sort[wide]].ravel())
+    write_array(folder, f"{pid:08d}.first", np.concatenate([[0], np.cumsum(length[sort])]).astype(np.uint32))
+    write_array(folder, f"{pid:08d}.context", context[begin[sort]])
+    part = np.flatnonzero(split)
+    return np.array([(count == c).sum() for c in (1, 2, 3, 4)], np.int64), np.column_stack([context[begin[part]].view(np.int64), totals[part]]).ravel()
+
+
+def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tuple[list[DataFrame], np.ndarray]:
+    """Write the files of order k; for order 2 packed words with their numbers of left neighbours, and the numbers of grams counted 1 to 4 times."""
+    parts, hot, sizes, top = model.parts, model.hot, model.sizes, k == model.order
+    folder, words, lexicon_first = f"{work.base}/order-{k}", f"{work.base}/lexicon", np.concatenate([[0], np.cumsum(model.sizes[:, 0])])
+    n, rounds = k if top else k + 1, min(ROUNDS, parts)
+    names, schema = ["kind", "pid", "blob", "some", "extra"], "kind int, pid int, blob binary, some array<long>, extra array<long>"
+
+    def grams(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(words, sizes)
+        for chunk in chunks(batches):
+            h, first = token_hashes(chunk)
+            text, place = padded(lexicon.look(h)[0], first, n - 1, lexicon.start)
+            columns = [text[place - back].astype(np.uint32) for back in range(n - 1, -1, -1)]
+            to = dealt(columns, top, hot, parts)
+            mine = np.flatnonzero(to % rounds == turn)
+            columns, to = [c[mine] for c in columns], to[mine]
+            order = _order(columns)
+            columns, to = [c[order] for c in columns], to[order]
+            at = _fresh(columns)
+            count = [np.diff(np.append(at, len(to)))] if top else []
+            yield from packed(to[at] // rounds, planes([*[c[at] for c in columns], *count]))
+
+    def rows(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
+
+    def written(pid: int, columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 0 for the order below 2, and one of kind 2 with the statistics."""
+        if not len(count):
+            return
+        some, extra = write_grams(folder, pid, columns, count, hot)
+        if k == 2:
+            lower, left = _single(columns[1])
+            yield from rows(0, packed((np.searchsorted(lexicon_first, lower[0], side="right") - 1).astype(np.int32), [lower[0].astype(np.uint32), left.astype(np.uint32)]))
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int64())), pa.array([extra.tolist()], pa.list_(pa.int64()))], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = unpacked(batches, kinds)
-        columns, count = _summed(arrays[:-1], arrays[-1])
-        if not len(count):
+        columns = from_planes(unpacked(batches, [np.uint8] * (4 * (n + top))))
+        if not len(columns[0]):
             return
-        whole, context = gram_hash(columns), gram_hash(columns[:-1])
-        pid = int(place_of([c[:1] for c in columns], context[:1], whole[:1], hot, parts)[0])
-        order = np.argsort(whole)
-        small = np.minimum(count, 255).astype(np.uint8)
-        large = order[count[order] >= 255]
-        write_array(folder, f"{pid:08d}.count", small[order])
-        write_array(folder, f"{pid:08d}.large", whole[large])
-        write_array(folder, f"{pid:08d}.largecount", count[large])
-        write_array(folder, f"{pid:08d}.gram", whole[order])
-        # totals of the contexts: sum, and how many grams are counted once, twice, more often
-        begin = runs(context)
-        split = np.logical_and.reduce([np.isin(c[begin], hot) for c in columns[:-1]])
-        totals = np.column_stack([np.add.reduceat(x.astype(np.int64), begin) for x in (count, count == 1, count == 2, count >= 3)])
-        mine = np.flatnonzero(~split)
-        sort = mine[np.argsort(context[begin[mine]])]
-        write_array(folder, f"{pid:08d}.totals", totals[sort].astype(np.uint32).ravel())
-        write_array(folder, f"{pid:08d}.context", context[begin[sort]])
-        some = np.array([(count == c).sum() for c in (1, 2, 3, 4)], np.int64)
-        part = np.flatnonzero(split)
-        extra = np.column_stack([context[begin[part]].view(np.int64), totals[part]]).ravel()
-        lower, left = _summed(columns[1:], np.ones(len(count), np.uint32)) if k > 2 else _single(columns[1])
-        if k > 2:
-            to = place_of(lower, gram_hash(lower[:-1]), gram_hash(lower), hot, parts)
-        else:
-            to = (np.searchsorted(lexicon_first, lower[0], side="right") - 1).astype(np.int32)
-        for b in packed(to, [*[c.astype(np.uint32) for c in lower], left.astype(np.uint32)]):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int64())), pa.array([extra.tolist()], pa.list_(pa.int64()))], names)
-
-    names = ["pid", "blob", "some", "extra"]
-    out = work.table(rows.repartitionById(parts, "pid").mapInArrow(settle, "pid int, blob binary, some array<long>, extra array<long>"), f"rows-{k}")
-    stats = out.where("some is not null").select("some", "extra").collect()  # one short row a partition
+        pid = int(dealt([c[:1] for c in columns[:n]], top, hot, parts)[0])
+        if top:
+            yield from written(pid, *_summed(columns[:-1], columns[-1]))
+            return
+        # each distinct left neighbour once
+        columns = [*columns[1:], columns[0]]
+        order = _order(columns)
+        columns = [c[order] for c in columns]
+        at = _fresh(columns)
+        columns = [c[at] for c in columns[:-1]]
+        at = _fresh(columns)
+        left, columns = np.diff(np.append(at, len(columns[0]))), [c[at] for c in columns]
+        both = all_hot(columns, hot)
+        part = [c[both] for c in columns]
+        yield from rows(1, packed(bucket(gram_hash(part), parts), [*part, left[both].astype(np.uint32)]))
+        yield from written(pid, [c[~both] for c in columns], left[~both])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = unpacked(batches, [np.uint32] * (k + 1))
+        columns, count = _summed(arrays[:-1], arrays[-1])
+        if len(count):
+            yield from written(parts + int(bucket(gram_hash([c[:1] for c in columns]), parts)[0]), columns, count)
+
+    tables = []
+    for turn in range(rounds):
+        dealt_out = docs.mapInArrow(lambda batches, turn=turn: grams(batches, turn), PACKED).repartitionById(-(-(parts - turn) // rounds), "pid")
+        tables.append(work.table(dealt_out.mapInArrow(settle, schema), f"rows-{k}-{turn}"))
+    if not top:
+        again = tables[0]
+        for more in tables[1:]:
+            again = again.unionByName(more)
+        again = again.where("kind = 1").select("pid", "blob").repartitionById(parts, "pid")
+        tables.append(work.table(again.mapInArrow(add, schema), f"rows-{k}-hot"))
+    stats = [r for t in tables for r in t.where("kind = 2").select("some", "extra").collect()]  # one short row a partition
     some = np.sum([r.some for r in stats], axis=0) if stats else np.zeros(4)
     extra = [np.array(r.extra, np.int64).reshape(-1, 5) for r in stats if r.extra]
     if extra:
@@ -214,7 +346,7 @@ def _count_order(rows: DataFrame, k: int, model: Model, work: Workspace) -> tupl
         begin = runs(key[order])
         write_array(folder, "hot.totals", np.add.reduceat(extra[order, 1:], begin).astype(np.int64).ravel())
         write_array(folder, "hot.context", key[order][begin])
-    return out.where("blob is not null").select("pid", "blob"), some
+    return [t.where("kind = 0").select("pid", "blob") for t in tables], some
 
 
 def _single(words: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -231,25 +363,17 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
     # frequent words are few: less than HOT_WORDS * parts can have so large a share
     hot = [lexicon.first[pid] + np.flatnonzero(np.asarray(f[1]) * HOT_WORDS * parts > lexicon.tokens) for pid, f in sorted(lexicon.files.items())]
     model.hot = np.concatenate([*hot, [lexicon.start]]).astype(np.int64)
-    sizes, hot_words = model.sizes, model.hot
+    sizes = model.sizes
     if lexicon.size > 0xFFFFFFF0:
         raise ValueError("word numbers are 32 bits wide")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words, sizes)
-        for chunk in chunks(batches):
-            h, first = token_hashes(chunk)
-            text, place = padded(lexicon.look(h)[0], first, order - 1, lexicon.start)
-            columns, count = _summed([text[place - back].astype(np.uint32) for back in range(order - 1, -1, -1)], np.ones(len(place), np.uint32))
-            to = place_of(columns, gram_hash(columns[:-1]), gram_hash(columns), hot_words, parts)
-            yield from packed(to, [*columns, count.astype(np.uint32)])
-
-    rows = docs.mapInArrow(grams, PACKED)
     for k in range(order, 1, -1):
-        rows, some = _count_order(rows, k, model, work)
+        tables, some = _count_order(docs, k, model, work)
         model.discount[k] = discounts(some)
-        if k < order:
-            work.drop(f"rows-{k + 1}")
+        if k > 2:
+            work.drop(*[f"rows-{k}-{x}" for x in (*range(ROUNDS), "hot")])
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionByName(more)
     folder = work.folder("order-1")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +390,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
     total = np.sum(found, axis=0) if found else np.zeros(6)
     model.discount[1] = discounts(total[:4])
     model.unigram = np.array([total[4], total[0], total[1], total[5]], float)
-    work.drop("rows-2")
+    work.drop(*[f"rows-2-{x}" for x in (*range(ROUNDS), "hot")])
     return model
 
 
@@ -275,44 +399,91 @@ class Order:
 
     def __init__(self, folder: str, parts: int):
         self.parts = parts
-        read = lambda x, kind: read_array(folder, x, kind)
-        names = [x[:8] for x in array_names(folder) if x.endswith(".gram")]
-        self.grams = {int(x): (read(f"{x}.gram", np.uint64), read(f"{x}.count", np.uint8), read(f"{x}.large", np.uint64), read(f"{x}.largecount", np.int64)) for x in names}
-        self.contexts = {int(x): (read(f"{x}.context", np.uint64), read(f"{x}.totals", np.uint32).reshape(-1, 4)) for x in names}
+        read = lambda x, kind: np.asarray(read_array(folder, x, kind))
+        names = [x[:8] for x in array_names(folder) if x.endswith(".word")]
+        self.context = {int(x): (read(f"{x}.context", np.uint64), read(f"{x}.first", np.uint32)) for x in names}
+        self.grams = {int(x): (read(f"{x}.word", np.uint32), read(f"{x}.count", np.uint8), read(f"{x}.large", np.int64), read(f"{x}.largecount", np.int64)) for x in names}
+        self.wide = {int(x): (read(f"{x}.wide", np.int64), read(f"{x}.totals", np.int64).reshape(-1, 4)) for x in names}
         hot = "hot.context" in array_names(folder)
         self.hot = (read("hot.context", np.uint64), read("hot.totals", np.int64).reshape(-1, 4)) if hot else (np.zeros(0, np.uint64), np.zeros((0, 4), np.int64))
 
-    def counts(self, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(whole), np.int64)
-        order = np.lexsort((whole, place))
-        first = runs(place[order])
-        for s, e in zip(first, np.append(first[1:], len(order))):
-            mine = order[s:e]
-            if file := self.grams.get(int(place[mine[0]])):
-                h = whole[mine]
-                at = np.minimum(np.searchsorted(file[0], h), len(file[0]) - 1)
-                n = np.where(file[0][at] == h, file[1][at], 0).astype(np.int64)
-                many = np.flatnonzero(n == 255)
-                if len(many):
-                    n[many] = file[3][np.searchsorted(file[2], h[many])]
-                out[mine] = n
+    def spans(self, pid: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which contexts the partition has, their ranks, and where their words begin and end."""
+        known, first = self.context[pid]
+        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        hit = np.flatnonzero(known[at] == context)
+        at = at[hit]
+        return hit, at, first[at].astype(np.int64), first[at + 1].astype(np.int64)
+
+    def found(self, pid: int, low: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Counts of the wanted words between the given places of a partition."""
+        words, count, large, many = self.grams[pid]
+        out, last = np.zeros(len(want), np.int64), end
+        low, end, open_ = low.copy(), end.copy(), np.flatnonzero(low < end)
+        while len(open_):
+            # the first word that is not less, by halves within each context
+            l, h, w = low[open_], end[open_], want[open_]
+            middle = (l + h) >> 1
+            less = words[middle] < w
+            low[open_] = l = np.where(less, middle + 1, l)
+            end[open_] = h = np.where(less, h, middle)
+            open_ = open_[l < h]
+        ok = np.flatnonzero(low < last)
+        ok = ok[words[low[ok]] == want[ok]]
+        n = count[low[ok]].astype(np.int64)
+        if len(full := np.flatnonzero(n == 255)):
+            n[full] = many[np.searchsorted(large, low[ok[full]])]
+        out[ok] = n
         return out
 
-    def totals(self, context: np.ndarray) -> np.ndarray:
-        unique, back = np.unique(context, return_inverse=True)
-        out = np.zeros((len(unique), 4))
+    def look(self, context: np.ndarray, word: np.ndarray, split: np.ndarray, home: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count of each gram, the sum of its context and what is taken off there; ``home`` has the partitions of the ``split`` grams, others are in their context's."""
+        word = word.astype(np.uint32)
+        order = np.argsort(context)  # partitions are ranges of hashes
+        sorted_ = context[order]
+        begin = runs(sorted_)
+        unique, size = sorted_[begin], np.diff(np.append(begin, len(sorted_)))
+        want, counts, totals = word[order], np.zeros(len(word), np.int64), np.zeros((len(unique), 4))
         pid = bucket(unique, self.parts)
         first = runs(pid)
         for s, e in zip(first, np.append(first[1:], len(pid))):
-            if (file := self.contexts.get(int(pid[s]))) and len(file[0]):
-                at = np.minimum(np.searchsorted(file[0], unique[s:e]), len(file[0]) - 1)
-                hit = file[0][at] == unique[s:e]
-                out[s:e][hit] = file[1][at[hit]]
+            if (p := int(pid[s])) not in self.grams:
+                continue
+            hit, rank, low, end = self.spans(p, unique[s:e])
+            a, b = np.zeros(e - s, np.int64), np.zeros(e - s, np.int64)
+            a[hit], b[hit] = low, end
+            t = slice(begin[s], begin[e - 1] + size[e - 1])
+            counts[t] = self.found(p, np.repeat(a, size[s:e]), np.repeat(b, size[s:e]), want[t])
+            wide, written = self.wide[p]
+            if len(wide):
+                at = np.minimum(np.searchsorted(wide, rank), len(wide) - 1)
+                has = wide[at] == rank
+                totals[s + hit[has]] = written[at[has]]
+                hit, low, end = hit[~has], low[~has], end[~has]
+            narrow = end - low < WIDE  # what is wide and has no totals here is split
+            hit, low, length = hit[narrow], low[narrow], (end - low)[narrow]
+            if len(hit):
+                n = self.grams[p][1][np.repeat(low, length) + spread(length)]
+                starts = np.cumsum(length) - length
+                one, two = (np.add.reduceat(n == c, starts, dtype=np.int64) for c in (1, 2))
+                totals[s + hit] = np.column_stack([np.add.reduceat(n, starts, dtype=np.int64), one, two, length - one - two])
         if len(self.hot[0]):
             at = np.minimum(np.searchsorted(self.hot[0], unique), len(self.hot[0]) - 1)
             hit = self.hot[0][at] == unique
-            out[hit] = self.hot[1][at[hit]]
-        return out[back]
+            totals[hit] = self.hot[1][at[hit]]
+        out, sums, off = np.empty(len(word), np.int64), np.empty(len(word)), np.empty(len(word))
+        out[order], sums[order], off[order] = counts, np.repeat(totals[:, 0], size), np.repeat(totals[:, 1:] @ discount[1:], size)
+        at = np.flatnonzero(split)
+        if len(at):
+            out[at] = 0
+            at = at[np.argsort(home[at], kind="stable")]
+            first = runs(home[at])
+            for s, e in zip(first, np.append(first[1:], len(at))):
+                if (p := int(home[at[s]])) in self.grams:
+                    mine = at[s:e]
+                    hit, _, low, end = self.spans(p, context[mine])
+                    out[mine[hit]] = self.found(p, low, end, word[mine[hit]])
+        return out, sums, off
 
 
 class Scorer:
@@ -339,12 +510,13 @@ class Scorer:
         for k in range(2, m.order + 1):
             columns = [text[place - back] for back in range(k - 1, -1, -1)]
             whole, context = gram_hash(columns), gram_hash(columns[:-1])
-            totals = self.orders[k].totals(context)
-            count = self.orders[k].counts(whole, place_of(columns, context, whole, m.hot, m.parts))
+            split = all_hot(columns[:-1], m.hot)
+            home = np.where(split, bucket(whole, m.parts), -1)
+            if k < m.order:
+                home[split & np.isin(columns[-1], m.hot)] += m.parts
             d = m.discount[k]
-            seen = totals[:, 0] > 0
-            s = np.where(seen, totals[:, 0], 1)
-            p = np.where(seen, (count - d[np.minimum(count, 3)]) / s + (totals[:, 1:] @ d[1:]) / s * p, p)
+            count, total, off = self.orders[k].look(context, columns[-1], split, home, d)
+            p = np.where(total > 0, (count - d[np.minimum(count, 3)] + off * p) / np.where(total > 0, total, 1), p)
         return p
 
     def chunk(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
@@ -370,7 +542,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_training: Column, o
     parts = partitions(spark)
     work = Workspace(spark, "kneser-ney")
     docs = texts(docs, id_col, text_col)
-    with small_batches(spark):
+    with small_batches(spark), shuffles_removed(spark):
         model = train(spark, docs.where(is_training), order, work, parts)
         tokens = int(model.sizes[:, 1].sum())
         sent = spark.sparkContext.broadcast(model)  # numbers by partition and the hot words

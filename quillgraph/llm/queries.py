@@ -136,7 +136,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .kneser_ney import score_documents
 
-    return score_documents(spark, table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, order=2)
+    return score_documents(spark, table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, order=3)
 
 
 @query("op9_mixing")

@@ -261,6 +261,27 @@ def test_kneser_ney(spark, docs, rows, empty, order):
     assert kneser_ney.score_documents(spark, empty, training, order).count() == 0
 
 
+def test_registered_model_has_order_3(spark, sf):
+    from quillgraph.llm.queries import QUERIES
+
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    got = by_id(QUERIES["op1_kneser_ney"](spark, sf))
+    want = by_id(kneser_ney.score_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"), training, 3))
+    assert got.keys() == want.keys() and all(got[i].score == pytest.approx(want[i].score) for i in want)
+
+
+def test_words_of_any_rank_are_counted_once(spark, monkeypatch):
+    """More passes than one, all words hot or none: the same scores."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(300))) for i in range(20)], "doc_id long, text string")
+    found = []
+    for rounds, hot in ((1, 4), (3, 4), (2, 1000), (2, 0)):
+        monkeypatch.setattr(kneser_ney, "ROUNDS", rounds)
+        monkeypatch.setattr(kneser_ney, "HOT_WORDS", hot)
+        found.append(by_id(kneser_ney.score_documents(spark, rows, F.col("doc_id") % 4 > 0, 4)))
+    for other in found[1:]:
+        assert all(other[i].score == pytest.approx(found[0][i].score) for i in range(20))
+
+
 def test_decontaminate(spark, empty):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
