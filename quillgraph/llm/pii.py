@@ -223,24 +223,36 @@ def _any(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] > total[off[:-1]]
 
 
+#: Two-byte letters under U+0180 that :func:`homoglyphs` rewrites; of the other non-ASCII characters all count as odd.
+_MAPPED = np.array([int.from_bytes(chr(c).encode()) for c in range(0xC0, 0x180) if _plain(chr(c)) != chr(c)])
+#: Letters of digit words whose capitals the tokens keep.
+_CAPITALS = str.maketrans({c: c.upper() for w in DIGIT_WORDS for c in w if not c.isascii()})
+#: The bracketed rules of :func:`signs` over bytes; blanks beyond ASCII are odd.
+_BLANK = rb"[\s\x1c-\x1f]*"
+_BOXED = re.compile(_OPEN.encode() + _BLANK + rf"(?:{_AT}|@|{_DOT}|\.)".encode() + _BLANK + _CLOSE.encode(), re.IGNORECASE)
+
+
 def suspects(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """For each document: whether it can have base spans, and whether it shows signs of disguise."""
     data, off = chunk.data, chunk.offsets
     plain = _any((data == 64) | ((data >= 48) & (data <= 57)), off)
     odd = _any((data >= 0xC6) | (data == 0xC2), off)
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    mapped = np.zeros(len(data), bool)
+    mapped[lead] = np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _MAPPED)
+    odd |= _any(mapped, off)
     tokens = Tokens(chunk, lower=True, space=PUNCTUATION)
     if not len(tokens):
         return plain, odd
     one = (tokens.end - tokens.start == 1) & (data[tokens.start] >= 48) & (data[tokens.start] <= 57)
-    digit = np.isin(tokens.hash, _hashes(DIGIT_WORDS)) | one
+    digit = np.isin(tokens.hash, _hashes({*DIGIT_WORDS, *(w.translate(_CAPITALS) for w in DIGIT_WORDS)})) | one
     run = digit.astype(np.int32)
     for size in range(1, LEAST_RUN):
         run[:-size] += digit[size:] if size < len(digit) else 0
     dot = np.isin(tokens.hash, _hashes(DOT_WORDS))
-    at = np.isin(tokens.hash, _hashes(AT_WORDS))
-    boxed = at & np.isin(data[np.maximum(tokens.start - 1, 0)], np.frombuffer(b"[({< ", np.uint8)) & np.isin(data[np.minimum(tokens.end, len(data) - 1)], np.frombuffer(b"])}> ", np.uint8))
-    tight = boxed & ((data[np.maximum(tokens.start - 1, 0)] != 32) | (data[np.minimum(tokens.end, len(data) - 1)] != 32))
-    disguised = odd | _any(run == LEAST_RUN, tokens.first) | _any(dot, tokens.first) | _any(tight, tokens.first) | _any(np.isin(data, np.frombuffer(b"[({<", np.uint8)) & np.concatenate([np.isin(data[1:], np.frombuffer(b".@", np.uint8)), [False]]), off)
+    boxed = np.zeros(len(data), bool)
+    boxed[[m.start() for m in _BOXED.finditer(data.tobytes())]] = True
+    disguised = odd | _any(run == LEAST_RUN, tokens.first) | _any(dot, tokens.first) | _any(boxed, off)
     return plain, disguised
 
 

@@ -362,6 +362,17 @@ def test_pii_disguises_map_back(text, kind, found):
     assert [(k, text[s:e]) for k, s, e in new] == ([(kind, found)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["joe [ at ] example.com", "joe [ @ ] example.com", "joe@example [ . ] com", "joe (\tAT\n) example.com", "joe@ex[ dot ]ample.com", "joe@exſample.com", "joe@exıample.com", "joe@exĳample.com", "10.1.2[ . ]3", "plus ZÉRO UN DEUX TROIS quatre cinq sept huit neuf un", "joe\x1cat\x1cexample\x1cdot\x1ccom"],
+)
+def test_pii_gate_lets_all_disguises_pass(spark, text):
+    new = pii.added(text, pii.detect(text))
+    assert new
+    r = pii.find_pii(spark, spark.createDataFrame([(1, "nothing here"), (2, text)], "doc_id long, text string")).where("doc_id = 2").first()
+    assert r.n_added == len(new)
+
+
 def test_pii_rows(spark, docs, rows, empty):
     extra = spark.createDataFrame([(900, "a@b.co 1.2.3.4 999.1.1.1 +1 (269) 555-3271; 4111 1111 1111 1111", "x", "y", 1, 0.0, 1, 1, b"", "", 1)], SCHEMA)
     got = by_id(pii.find_pii(spark, docs.unionByName(extra)))
