@@ -128,19 +128,40 @@ def edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
-def aligned(items: Items, t: int, text: np.ndarray, diagonal: int, first: int, last: int, length: int, rate: float, step: int = 4) -> bool:
-    """Whether a stretch of the item that covers the shared q-grams aligns within the band."""
+def any_within(patterns: np.ndarray, texts_: np.ndarray, most: int) -> bool:
+    """Whether some row's pattern is within ``most`` edits of some stretch of its text (all rows at once)."""
+    steps = np.arange(texts_.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(patterns), len(steps)), np.int16)
+    for i in range(patterns.shape[1]):
+        new = row + np.int16(1)
+        np.minimum(new[:, 1:], row[:, :-1] + (texts_ != patterns[:, i : i + 1]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        alive = row.min(axis=1) <= most
+        if not alive.all():
+            if not alive.any():
+                return False
+            row, patterns, texts_ = row[alive], patterns[alive], texts_[alive]
+    return True
+
+
+def aligned(items: Items, t: int, text: np.ndarray, diagonal: int, first: int, last: int, length: int, rate: float, tried: np.ndarray | None = None) -> bool:
+    """Whether a stretch of the item that covers the shared q-grams aligns within the band; ``tried`` marks the starts settled before."""
     w, e, _ = budget_of(int(items.n[t]), length, rate)
     whole = items.text(t)
     low, high = max(0, last + Q - w), min(first, len(whole) - w)
     if low > high:
         low, high = max(0, min(low, len(whole) - w)), max(0, min(max(low, high), len(whole) - w))
-    for a in sorted({*range(low, high + 1, step), high}):
-        start = max(0, a + diagonal - e)
-        end = min(len(text), a + w + diagonal + 2 * (e + 1) + e)
-        if end - start >= w - e and edits(whole[a : a + w], text[start:end], e) <= e:
-            return True
-    return False
+    starts = np.arange(low, high + 1)
+    if tried is not None:
+        starts = starts[~tried[starts]]
+        tried[starts] = True
+    if not len(starts):
+        return False
+    # what is before and after the text matches nothing, so it saves no edits
+    place = starts[:, None] + diagonal - e + np.arange(w + 2 * (e + 1) + 2 * e)
+    inside = (place >= 0) & (place < len(text))
+    windows = np.where(inside, text[np.clip(place, 0, len(text) - 1)].astype(np.int16), np.int16(256))
+    return any_within(whole[starts[:, None] + np.arange(w)].astype(np.int16), windows, e)
 
 
 def found_items(items: Items, chunk: Chunk, length: int, rate: float) -> list[list[int]]:
@@ -150,13 +171,12 @@ def found_items(items: Items, chunk: Chunk, length: int, rate: float) -> list[li
     if not len(items.hash) or not len(data):
         return out
     seen: set[tuple[int, int]] = set()
-    tried: set[tuple[int, int, int, int]] = set()
+    tried: dict[tuple[int, int, int], np.ndarray] = {}
     for d, t, diagonal, first, last in regions(items, *items.hits(data, off), length, rate):
-        key = (d, t, diagonal, first // 16)
-        if (d, t) in seen or key in tried:
+        if (d, t) in seen:
             continue
-        tried.add(key)
-        if aligned(items, t, data[off[d] : off[d + 1]], diagonal, first, last, length, rate):
+        done = tried.setdefault((d, t, diagonal), np.zeros(int(items.n[t]) + 1, bool))
+        if aligned(items, t, data[off[d] : off[d + 1]], diagonal, first, last, length, rate, done):
             seen.add((d, t))
             out[d].append(t)
     return [sorted(x) for x in out]

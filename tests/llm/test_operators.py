@@ -309,6 +309,19 @@ def test_decontaminate(spark, empty):
     assert dec.decontaminate(spark, df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_passage_that_aligns_at_one_start_only(spark):
+    rng = np.random.default_rng(5)
+    item = "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 200))
+    for start in (49, 50, 51):
+        passage = list(item[start : start + 100])
+        for k in (1, 15, 30, 45, 60, 75):
+            passage[k] = "z"
+        text = "1 2 3 4 5 6 7 8 " * 20
+        docs = spark.createDataFrame([(1, text + "".join(passage) + text), (2, text + "".join(passage[:40]) + "z" + "".join(passage[41:]) + text)], "doc_id long, text string")
+        found = by_id(dec.decontaminate(spark, docs, spark.createDataFrame([(7, item)], "item_id long, text string")))
+        assert (found[1].items, found[2].items) == ([7], [])
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     items = [(k, " ".join(f"item{k}word{j}" for j in range(20))) for k in range(6)]
     df = spark.createDataFrame([(k, f"before {t} after") for k, t in items] + [(99, "nothing here")], "doc_id long, text string")
