@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import depluralise, naive_plural, split_identifier
+from ..sources.repository import sections
 from .analytics import EXTRA, Tables, bm25, extra, reach, undirected
 
 # Sentence words that name no concept.
@@ -155,20 +156,37 @@ def derive_mentions(t: Tables) -> DataFrame:
 
 
 CORPORA = {
-    "doc": ("Doc", "id", ("title", "summary")),
     "function": ("Function", "symbol", ("signature", "doc_comment")),
     "type": ("Type", "symbol", ("signature", "doc_comment", "body_excerpt")),
     "entity": ("Entity", "id", ("display", "id", "display", "description")),
 }
 
 
-def similar(t: Tables, query: str, kinds: tuple[str, ...] = ("doc", "function", "entity"), top: int = 10) -> DataFrame:
+def whole_docs(t: Tables) -> DataFrame:
+    """(id, path, text, summary) of documents with all of their text; the summary only where it says something else."""
+    body = t["documents"].select(F.col("doc_id").alias("dkey"), "text")
+    other = F.when(~F.coalesce(F.col("text").startswith(F.col("summary")), F.lit(False)), F.col("summary"))
+    return t["Doc"].join(body, "dkey").select("id", "path", "text", other.alias("summary"))
+
+
+def corpus(t: Tables, kind: str) -> DataFrame:
+    """(id, text): documents are title and body, sections their heading and body."""
+    if kind == "doc":
+        return whole_docs(t).select("id", F.concat_ws(" ", "text", "summary").alias("text"))
+    if kind == "section":
+        # a text without a line that starts like a heading has no sections
+        headed = whole_docs(t).where(F.col("text").rlike(r"(?m)^#{1,6}\s+\S"))
+        found = sections(headed.select("path", "text"))
+        return found.select(F.concat_ws("#", "path", "anchor").alias("id"), F.concat_ws(" ", "heading", "text").alias("text"))
+    table, key, columns = CORPORA[kind]
+    return t[table].select(F.col(key).alias("id"), F.concat_ws(" ", *columns).alias("text"))
+
+
+def similar(t: Tables, query: str, kinds: tuple[str, ...] = ("doc", "function", "entity", "section"), top: int = 10) -> DataFrame:
     """The best of several corpora, each scored with its own statistics."""
     out = None
     for k in kinds:
-        table, key, columns = CORPORA[k]
-        rows = t[table].select(F.col(key).alias("id"), F.concat_ws(" ", *columns).alias("text"))
-        found = bm25(rows, query, top).select(F.lit(k).alias("corpus"), "id", "score")
+        found = bm25(corpus(t, k), query, top).select(F.lit(k).alias("corpus"), "id", "score")
         out = found if out is None else out.unionByName(found)
     return out.orderBy(F.desc("score"), "corpus", "id").limit(top)
 

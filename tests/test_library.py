@@ -247,6 +247,20 @@ def test_communities(spark):
     assert analytics.label_propagation(edge_frame(spark, [])).collect() == []
 
 
+def test_similar_reads_whole_documents_and_sections(spark):
+    from quillgraph.operators import concepts
+
+    long = "filler words " * 30 + "zebra\n# Okapi herd\nsavanna text"
+    t = {
+        "documents": spark.createDataFrame([(1, long), (2, "short note"), (3, None)], "doc_id long, text string"),
+        "Doc": spark.createDataFrame([("a", "a.md", 1, long[:120]), ("b", "b.md", 2, "On chunking"), ("c", "c.md", 3, None)], "id string, path string, dkey long, summary string"),
+    }
+    found = lambda q: [(r.corpus, r.id) for r in concepts.similar(t, q, ("doc", "section")).collect()]
+    assert found("zebra") == [("doc", "a")] and found("chunking") == [("doc", "b")]
+    assert sorted(found("savanna")) == [("doc", "a"), ("section", "a.md#okapi-herd")]
+    assert {r.id: r.text for r in concepts.corpus(t, "doc").collect()} == {"a": long, "b": "short note On chunking", "c": ""}
+
+
 def test_bm25_counts_repeated_words(spark):
     d = spark.createDataFrame([("a", "cat dog"), ("b", "cat cat"), ("c", "fish")], "id string, text string")
     once = {r.id: r.score for r in analytics.bm25(d, "cat").collect()}
