@@ -10,16 +10,21 @@ the remaining n - T + 1 short ones, and the long lists are only probed.
   the sums over all chunks order them (:func:`scan`).  A document's short lists
   are its least frequent shingles, ties by hash.
 * The short lists meet by hash range, one packed record per chunk and
-  partition, and are merged there (:func:`merge_lists`).  In place of all pairs
-  each class is first paired with the one it meets most often (:func:`first_pairs`).
-* Every pair is settled by binary probes of one document's shingles in the
-  other's sorted array, mapped from the shared folder (:func:`verify`), against
-  the required overlap of the two sizes.
-* Components of the links found so far make most lists uniform.  Lists that
-  hold several components then pair one member of each (:func:`bridge_pairs`),
-  again and again while that joins components.  What is left gives all pairs across (sizes permitting),
-  which are probed too.  So no link between components is missed, and a group
-  of thousands of near copies costs a pair for each, not its square.
+  partition, and are merged there (:func:`merge_lists`).  A member carries how
+  many of its shingles follow in the common order: two classes are judged in the
+  first short list they share, where that bounds their overlap.
+* Each class is first paired with the one it meets most often
+  (:func:`first_pairs`).  Such pairs are settled by binary probes of one class's
+  shingles in the other's sorted array, mapped from the shared folder
+  (:func:`verify`), against the required overlap of the two sizes.
+* Components of these links make most lists uniform.  The lists that still hold
+  several components are settled where they lie (:func:`settle`): a task reads
+  the members' arrays, finds the links between components and passes on one edge
+  for each component it joined, never a pair.  Lists of more than ``BLOCK``
+  members are dealt as pairs of blocks in the order of size.
+
+So no link between components is missed, pairs are judged and forgotten inside
+a task, and a group of thousands of near copies passes on a row for each member.
 
 Documents with equal shingle sets are one class from the start.
 A null or empty text, or one without words, has no shingles and no links; a
@@ -32,20 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import PACKED, Chunk, Tokens, bucket, chunks, grams, mix, packed, runs, splitmix, spread, unpacked
+from .kernels import PACKED, Chunk, Tokens, bucket, chunks, decode, encode, grams, mix, packed, runs, splitmix, spread, unpacked
 from .repeats import AnchorFiles, slices
 from .shared import Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
 
 #: A shingle is counted as frequent where this many classes of one chunk hold it.
 OFTEN = 2
-#: Rounds that bring components together go on while each finds so many links.
-BRIDGES = 10
-#: Pairs tried for a component in such a round.
-TRIES = 4
+#: Members of a list that are compared as one block, and shingles of the members of a block or of a row of small lists.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Lists of at most so many members are compared pair by pair, longer ones by counting.
+SMALL = 48
+#: In a block, a shingle that one in so many members hold has a long list.
+LONG_SHARE = 16
 
 
 class ShingleSets:
@@ -95,6 +102,11 @@ def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int)
     return den * shared >= num * (a + b - shared)
 
 
+def overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Least shared shingles of linked sets of a and b shingles."""
+    return -(-num * (a + b) // (num + den))
+
+
 def scan(docs: DataFrame, k: int, work: Workspace, parts: int) -> tuple[DataFrame, str]:
     """The table (doc_id, n, cls, check) and the folder of frequent shingles with their counts."""
 
@@ -155,11 +167,12 @@ class Frequent:
         return out
 
 
-LISTS = [np.uint64, np.uint64, np.uint32]
+#: Shingle, class, its size, and how many of its shingles follow from this one on.
+LISTS = [np.uint64, np.uint64, np.uint32, np.uint32]
 
 
 def merge_lists(docs: DataFrame, k: int, num: int, den: int, frequent: str, parts: int) -> DataFrame:
-    """Packed short lists with two members or more: sorted arrays (shingle, class, size)."""
+    """Packed short lists with two members or more: sorted arrays (shingle, class, size, shingles left)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Frequent(frequent, parts)
@@ -177,26 +190,26 @@ def merge_lists(docs: DataFrame, k: int, num: int, den: int, frequent: str, part
             n = s.n[doc]
             short = at < n - required(n, num, den) + 1
             doc, h = doc[short], mix(h[short])  # the least hashes, spread evenly again
-            yield from packed(bucket(h, parts), [h, s.cls[doc], s.n[doc].astype(np.uint32)])
+            yield from packed(bucket(h, parts), [h, s.cls[doc], s.n[doc].astype(np.uint32), (n - at)[short].astype(np.uint32)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, cls, n = unpacked(batches, LISTS)
+        h, cls, n, left = unpacked(batches, LISTS)
         order = np.argsort(h, kind="stable")
         sorted_h = h[order]
         first = runs(sorted_h)
         many = np.diff(np.append(first, len(h))) > 1
         order = order[np.repeat(many, np.diff(np.append(first, len(h))))] if len(first) else order
-        h, cls, n = h[order], cls[order], n[order]
+        h, cls, n, left = h[order], cls[order], n[order], left[order]
         order = np.lexsort((cls, h))
-        h, cls, n = h[order], cls[order], n[order]
+        h, cls, n, left = h[order], cls[order], n[order], left[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-        h, cls, n = h[fresh], cls[fresh], n[fresh]
+        h, cls, n, left = h[fresh], cls[fresh], n[fresh], left[fresh]
         first = runs(h)
         size = np.diff(np.append(first, len(h)))
         keep = np.repeat(size > 1, size) if len(first) else np.zeros(0, bool)
         if keep.any():
-            yield from packed(bucket(h[keep], parts), [h[keep], cls[keep], n[keep]])
+            yield from packed(bucket(h[keep], parts), [h[keep], cls[keep], n[keep], left[keep]])
 
     return docs.mapInArrow(emit, PACKED).repartitionById(parts, "pid").mapInArrow(merge, PACKED)
 
@@ -204,22 +217,10 @@ def merge_lists(docs: DataFrame, k: int, num: int, den: int, frequent: str, part
 PAIRS = "a long, b long"
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of a task's lists, the smaller class first (as longs)."""
-    a, b = a.view(np.int64), b.view(np.int64)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    fresh = np.ones(len(low), bool)
-    fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    low, high = low[fresh], high[fresh]
-    for s in range(0, len(low), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(low[s : s + 100_000]), pa.array(high[s : s + 100_000])], ["a", "b"])
-
-
-def _fits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+def _fits(a: np.ndarray, b: np.ndarray, left_a: np.ndarray, left_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and what is left from the shared shingle on allow a link."""
     a, b = a.astype(np.int64), b.astype(np.int64)
-    return den * np.minimum(a, b) >= num * np.maximum(a, b)
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(left_a, left_b) >= overlap(a, b, num, den))
 
 
 def first_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,11 +232,11 @@ def first_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, cls, n = unpacked([batch], LISTS)
+            h, cls, n, left = unpacked([batch], LISTS)
             first = runs(h)
             size = np.diff(np.append(first, len(h)))
             centre = np.repeat(first, size)
-            ok = (np.arange(len(h)) != centre) & _fits(n, n[centre], num, den)
+            ok = (np.arange(len(h)) != centre) & _fits(n, n[centre], left, left[centre], num, den)
             a, b = cls[centre[ok]].view(np.int64), cls[ok].view(np.int64)
             order = np.lexsort((a, b))
             a, b = a[order], b[order]
@@ -252,74 +253,6 @@ def first_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def bridge_pairs(lists: DataFrame, num: int, den: int, labels: str, parts: int) -> DataFrame:
-    """For each component the ``TRIES`` member pairs with other components that meet in most lists.
-
-    A list that holds several components pairs its first member with one member
-    of each other component, the nearest in size: a row a component, not a pair.
-    """
-
-    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Labels(labels, parts)
-        for batch in batches:
-            h, cls, n = unpacked([batch], LISTS)
-            label = known.of(cls)
-            first = runs(h)
-            size = np.diff(np.append(first, len(h)))
-            centre = np.repeat(first, size)
-            ok = np.flatnonzero((label != label[centre]) & _fits(n, n[centre], num, den))
-            far = np.abs(n[ok].astype(np.int64) - n[centre[ok]].astype(np.int64))
-            order = np.lexsort((cls[ok], far, label[ok], centre[ok]))
-            ok = ok[order]
-            fresh = np.ones(len(ok), bool)
-            fresh[1:] = (centre[ok[1:]] != centre[ok[:-1]]) | (label[ok[1:]] != label[ok[:-1]])
-            ok = ok[fresh]
-            a, b, la, lb = cls[centre[ok]], cls[ok], label[centre[ok]], label[ok]
-            for s in range(0, len(ok), 100_000):
-                e = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[e].view(np.int64)) for x in (a, b, la, lb)], ["a", "b", "la", "lb"])
-
-    met = lists.mapInArrow(bridge, PAIRS + ", la long, lb long").groupBy("a", "b", "la", "lb").agg(F.count("*").alias("met"))
-    rank = Window.partitionBy("lb").orderBy(F.desc("met"), "a", "b")
-    best = met.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= TRIES)
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def cross_pairs(lists: DataFrame, num: int, den: int, labels: str, parts: int) -> DataFrame:
-    """All pairs across components within a list, sizes permitting."""
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Labels(labels, parts)
-        for batch in batches:
-            h, cls, n = unpacked([batch], LISTS)
-            label = known.of(cls)
-            first = runs(h)
-            low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
-            size = np.diff(np.append(first, len(h)))
-            mixed = low != high
-            for s, m in zip(first[mixed], size[mixed]):
-                # by size: partners of a member are a stretch of the larger ones
-                order = np.argsort(n[s : s + m], kind="stable") + s
-                sizes = n[order].astype(np.int64)
-                reach = np.searchsorted(sizes, den * sizes // num, side="right")
-                left, right = [], []
-                held = 0
-                for i in range(m - 1):
-                    js = order[i + 1 : reach[i]]
-                    js = js[label[js] != label[order[i]]]
-                    if len(js):
-                        left.append(np.full(len(js), cls[order[i]]))
-                        right.append(cls[js])
-                        held += len(js)
-                    if held > 500_000:
-                        yield from _pairs(np.concatenate(left), np.concatenate(right))
-                        left, right, held = [], [], 0
-                if left:
-                    yield from _pairs(np.concatenate(left), np.concatenate(right))
-
-    return lists.mapInArrow(cross, PAIRS).distinct()
-
-
 class Labels:
     """Component labels of classes, mapped; a class without one is its own."""
 
@@ -465,23 +398,214 @@ def verify(pairs: DataFrame, folders: list[str], num: int, den: int, parts: int)
             a, c = a[order], c[order]
             classes, place = np.unique(np.concatenate([a, c]), return_inverse=True)
             data, first = sets.load(classes)
-            n = np.diff(first)
-            pa_, pc = place[: len(a)], place[len(a) :]
-            ok = np.zeros(len(a), bool)
-            starts = runs(a)
-            for s, e in zip(starts, np.append(starts[1:], len(a))):
-                mine = data[first[pa_[s]] : first[pa_[s] + 1]]
-                for lo in range(s, e, 512):  # all partners of one class by one probe of its sorted array
-                    others = pc[lo : min(e, lo + 512)]
-                    probes = data[np.repeat(first[others], n[others]) + spread(n[others])]
-                    at = np.minimum(np.searchsorted(mine, probes), len(mine) - 1)
-                    shared = np.add.reduceat(mine[at] == probes, np.cumsum(n[others]) - n[others], dtype=np.int64)
-                    ok[lo : lo + len(others)] = linked(shared, len(mine), n[others], num, den)
+            ok = _probed(place[: len(a)], place[len(a) :], data, first, num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(c[ok].view(np.int64))], ["a", "b"])
 
     return pairs.mapInArrow(probe, PAIRS)
 
 
+#: List, class, its size, shingles left, component, and which of two blocks (1, 2; 0: all are compared).
+UNITS = [np.uint64, np.uint64, np.uint32, np.uint32, np.uint64, np.uint8]
+
+
+def _alive(h: np.ndarray, n: np.ndarray, left: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Members of lists of several components that can be one of a linked pair there."""
+    first = runs(h)
+    size = np.diff(np.append(first, len(h)))
+    n = n.astype(np.int64)
+    # the smaller of a pair has enough left for a partner of its own size
+    base = left >= overlap(n, n, num, den)
+    least = np.minimum.reduceat(np.where(base, n, 1 << 60), first)
+    most = np.maximum.reduceat(np.where(base, n, -1), first)
+    keep = (base | (n > np.repeat(least, size))) & (num * n <= den * np.repeat(most, size))
+    keep &= np.repeat(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first), size)
+    return np.flatnonzero(keep)
+
+
+def units(lists: DataFrame, num: int, den: int, labels: str, parts: int) -> DataFrame:
+    """Packed rows of what is left to compare: runs of small lists, and blocks of long ones by size."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Labels(labels, parts)
+
+        def row(at: np.ndarray, side: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+            key = mix(np.array([len(at)], np.uint64) + arrays[0][at[0]] + mix(arrays[1][at[-1]] + arrays[1][at[0]]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket(key, parts), pa.int32()), pa.array([encode([*(a[at] for a in arrays), side])], pa.binary())], ["pid", "blob"])
+
+        for batch in batches:
+            h, cls, n, left = unpacked([batch], LISTS)
+            if not len(h):
+                continue
+            label = known.of(cls)
+            for _ in range(2):  # a list may hold one component only once others have left
+                alive = _alive(h, n, left, label, num, den)
+                h, cls, n, left, label = (x[alive] for x in (h, cls, n, left, label))
+                if not len(h):
+                    break
+            if not len(h):
+                continue
+            order = np.lexsort((cls, n, h))
+            arrays = [x[order] for x in (h, cls, n, left, label)]
+            h, n = arrays[0], arrays[2].astype(np.int64)
+            first = runs(h)
+            ends = np.append(first[1:], len(h))
+            weight = np.add.reduceat(n, first)
+            whole = (ends - first <= BLOCK) & (weight <= BLOCK_SHINGLES)
+            # small lists, as many in a row as its shingles allow
+            place = (np.cumsum(np.where(whole, weight, 0)) - 1) // BLOCK_SHINGLES
+            at = np.flatnonzero(np.repeat(whole, ends - first))
+            of = np.repeat(place, ends - first)[at]
+            cuts = runs(of)
+            for s, e in zip(cuts, np.append(cuts[1:], len(at))):
+                yield row(at[s:e], np.zeros(e - s, np.uint8), arrays)
+            for s, e in zip(first[~whole], ends[~whole]):
+                total = np.cumsum(n[s:e]) - 1
+                block = np.maximum.accumulate(np.maximum(total // BLOCK_SHINGLES, 0)) * (e - s) + np.arange(e - s) // BLOCK
+                edges = s + np.append(runs(block), e - s)
+                for i in range(len(edges) - 1):
+                    one = np.arange(edges[i], edges[i + 1])
+                    if len(one) > 1:
+                        yield row(one, np.zeros(len(one), np.uint8), arrays)
+                    for j in range(i + 1, len(edges) - 1):
+                        if num * n[edges[j]] > den * n[one[-1]]:
+                            break
+                        other = np.arange(edges[j], edges[j + 1])
+                        yield row(np.concatenate([one, other]), np.repeat(np.array([1, 2], np.uint8), [len(one), len(other)]), arrays)
+
+    return lists.mapInArrow(cut, PACKED)
+
+
+class Joined:
+    """Disjoint sets of 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.up[a], self.up[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+            while ((higher := self.up[self.up]) != self.up).any():
+                self.up = higher
+
+
+def _probed(a: np.ndarray, b: np.ndarray, data: np.ndarray, first: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of arrays (``first[k]`` to ``first[k + 1]`` of data) link, by binary probes; pairs are sorted by a."""
+    n = np.diff(first)
+    ok = np.zeros(len(a), bool)
+    starts = runs(a)
+    for s, e in zip(starts, np.append(starts[1:], len(a))):
+        mine = data[first[a[s]] : first[a[s] + 1]]
+        for lo in range(s, e, 512):  # all partners of one class by one probe of its sorted array
+            others = b[lo : min(e, lo + 512)]
+            probes = data[np.repeat(first[others], n[others]) + spread(n[others])]
+            at = np.minimum(np.searchsorted(mine, probes), len(mine) - 1)
+            shared = np.add.reduceat(mine[at] == probes, np.cumsum(n[others]) - n[others], dtype=np.int64)
+            ok[lo : lo + len(others)] = linked(shared, len(mine), n[others], num, den)
+    return ok
+
+
+def _counted(left: np.ndarray, right: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shared shingles of each member of ``left`` with each of ``right``.
+
+    Short lists are merged by adding one for each pair that meets there; the
+    long ones are probed for all pairs at once, as a product of memberships.
+    """
+    both = np.concatenate([left, right])
+    n = np.diff(first)[both]
+    code = np.unique(data[np.repeat(first[both], n) + spread(n)], return_inverse=True)[1].ravel()
+    order = np.argsort(code, kind="stable")
+    member = np.repeat(np.arange(len(both)), n)[order]
+    start = runs(code[order])
+    end = np.append(start[1:], len(order))
+    out = np.zeros((len(left), len(right)), np.float32 if n.max() < 1 << 24 else np.float64)
+    long = end - start > max(8, len(both) // LONG_SHARE)
+    for s, e in zip(start[~long & (end - start > 1)], end[~long & (end - start > 1)]):
+        cut = s + np.searchsorted(member[s:e], len(left))
+        if s < cut < e:
+            out[member[s:cut, None], member[cut:e] - len(left)] += 1
+    for k in range(0, int(long.sum()), 2048):
+        s, e = start[long][k : k + 2048], end[long][k : k + 2048]
+        has = np.zeros((len(both), len(s)), out.dtype)
+        has[member[np.repeat(s, e - s) + spread(e - s)], np.repeat(np.arange(len(s)), e - s)] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def unit_links(arrays: list[np.ndarray], sets: SetFiles, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the components that the lists of a row join."""
+    unit, cls, n, left, label, side = arrays
+    classes, place = np.unique(cls, return_inverse=True)
+    names, group = np.unique(label, return_inverse=True)
+    data, first = sets.load(classes)
+    joined = Joined(len(names))
+    of = np.zeros(len(classes), np.int64)
+    of[place] = group
+    start = runs(unit)
+    size = np.diff(np.append(start, len(unit)))
+    small = (size <= SMALL) & np.logical_not(np.maximum.reduceat(side, start))
+    for s, e in zip(start[~small], (start + size)[~small]):
+        two = side[s:e] > 0
+        a, b = (place[s:e][side[s:e] == 1], place[s:e][side[s:e] == 2]) if two.all() else (place[s:e], place[s:e])
+        if (joined.up[of[place[s:e]]] == joined.up[of[place[s]]]).all():
+            continue
+        na, nb = np.diff(first)[a][:, None], np.diff(first)[b]
+        x, y = np.nonzero(linked(_counted(a, b, data, first), na, nb, num, den))
+        joined.join(of[a[x]], of[b[y]])
+    at = np.flatnonzero(np.repeat(small, size))
+    after = np.repeat(start + size, size)[at] - at - 1  # partners that follow in the list
+    total = np.cumsum(after)
+    cuts = np.searchsorted(total, np.arange(1_000_000, total[-1] + 1_000_000, 1_000_000)) + 1 if len(at) else []
+    low = 0
+    for high in cuts:
+        mine, reps = at[low:high], after[low:high]
+        low = min(high, len(at))
+        x = np.repeat(mine, reps)
+        y = x + 1 + spread(reps)
+        ok = (joined.up[group[x]] != joined.up[group[y]]) & _fits(n[x], n[y], left[x], left[y], num, den)
+        x, y = place[x[ok]], place[y[ok]]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        pair, met = np.unique(x * len(classes) + y, return_counts=True)
+        pair = pair[np.argsort(-met, kind="stable")]  # those that meet most often first: what they join need not be compared
+        step = 256
+        while len(pair):
+            now, pair = np.sort(pair[:step]), pair[step:]
+            x, y = now // len(classes), now % len(classes)
+            ok = _probed(x, y, data, first, num, den)
+            joined.join(of[x[ok]], of[y[ok]])
+            pair = pair[joined.up[of[pair // len(classes)]] != joined.up[of[pair % len(classes)]]]
+            step = min(2 * step, 1 << 16)
+    moved = np.flatnonzero(joined.up != np.arange(len(names)))
+    return names[moved], names[joined.up[moved]]
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """The classes (cls) in some rows of units."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                cls = np.unique(decode(blob.as_buffer(), UNITS)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64))], ["cls"])
+
+    return rows.mapInArrow(name, "cls long").distinct()
+
+
+def settle(rows: DataFrame, folders: list[str], num: int, den: int, parts: int) -> DataFrame:
+    """Edges between components that some list's members link."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = SetFiles(folders, parts)
+        for batch in batches:
+            for blob in batch.column("blob"):
+                a, b = unit_links(decode(blob.as_buffer(), UNITS), sets, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return rows.repartitionById(parts, "pid").mapInArrow(join, PAIRS)
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the documents under ``den * |A & B| >= num * |A | B|`` on sets of k-word shingles.
 
@@ -498,41 +622,30 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         classes = work.table(classes.select("cls", F.when(F.col("c0") == F.col("c1"), F.col("doc_id")).otherwise(F.raise_error(F.lit("two shingle sets share a 64-bit class id")).cast("long")).alias("doc_id")), "classes")
 
-        stores: list[str] = []
-        have = None
-
-        def check(pairs: DataFrame, step: int) -> DataFrame:
-            """The pairs that link; the sets of classes not met before are written first."""
-            nonlocal have
-            ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-            new = work.table(ends if have is None else ends.join(have, "cls", "left_anti"), f"met-{step}")
-            have = new if have is None else have.unionByName(new)
-            stores.append(work.folder(f"sets-{step}"))
-            write_sets(docs, k, classes.join(new, "cls", "left_semi"), stores[-1], work, f"wanted-{step}", parts)
-            return work.table(verify(pairs, stores, num, den, parts), f"edges-{step}")
-
-        edges = check(work.table(first_pairs(lists, num, den), "first"), 0)
-        labels, step = components(edges, work, "labels-0"), 0
-        while True:
-            write_labels(labels, work.folder(f"known-{step}"), parts)
-            step += 1
-            # components that have a link are brought together by pairs of theirs, as long as that succeeds
-            found = check(work.table(bridge_pairs(lists, num, den, work.folder(f"known-{step - 1}"), parts), f"bridges-{step}"), step)
-            n = found.count()
-            if n:
-                edges = edges.unionByName(found)
-                labels = components(edges, work, f"labels-{step}")
-            if n < BRIDGES:
-                break
-        # what is left: all pairs across components
-        write_labels(labels, work.folder("known-last"), parts)
-        found = check(work.table(cross_pairs(lists, num, den, work.folder("known-last"), parts), "cross"), step + 1)
+        def store(ends: DataFrame, name: str) -> str:
+            """Write the sets of some classes."""
+            folder = work.folder(f"sets-{name}")
+            write_sets(docs, k, classes.join(ends, "cls", "left_semi"), folder, work, f"wanted-{name}", parts)
+            return folder
+
+        pairs = work.table(first_pairs(lists, num, den), "first")
+        met = work.table(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "met")
+        folders = [store(met, "first")]
+        edges = work.table(verify(pairs, folders, num, den, parts), "edges")
+        labels = components(edges, work, "labels")
+        write_labels(labels, work.folder("known"), parts)
+        rows = work.table(units(lists, num, den, work.folder("known"), parts), "units")
+        work.drop("lists", "frequent", "known", "first")
+        ends = work.table(classes_of(rows).join(met, "cls", "left_anti"), "ends")
+        folders.append(store(ends, "rest"))
+        found = work.table(settle(rows, folders, num, den, parts), "found")
         if found.limit(1).count():
             labels = components(edges.unionByName(found), work, "labels-last")
-        work.drop("lists", "frequent", "known-last", *[f"known-{i}" for i in range(step)], *[f"sets-{i}" for i in range(step + 2)])
+        work.drop("sets-first", "sets-rest", "units", "met", "ends")
         named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = named.join(least, "label").select("cls", "component_id")
         out = sets.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"))
         out = work.table(ids_back(out, "doc_id", "component_id"), "result")
+        work.keep("result")
     return out

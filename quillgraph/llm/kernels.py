@@ -35,8 +35,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.array([splitmix(i) | 1 for i in range(256)], dtype=np.uint64)
-_WORD = np.where(SPACE, np.uint64(0), _BYTE)
-_WORD_LOWER = _WORD[LOWER]
+#: Places of a word whose weights are kept in a table.
+_DEEP = 64
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -53,6 +53,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 _QI = pow(_Q, -1, 1 << 64)
+_tables: dict[tuple[bool, bytes], np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,6 +66,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _weight(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """An arbitrary 64-bit value for each byte at each place of a word, without structure between places."""
+    return mix(mix((place.astype(np.uint64) << np.uint64(8) | byte) + np.uint64(_Q)) + np.uint64(_R))
+
+
+def _word_weights(lower: bool, space: np.ndarray) -> np.ndarray:
+    """Weights of the first places, 256 for each; bytes that separate words weigh nothing."""
+    key = (lower, space.tobytes())
+    if key not in _tables:
+        byte = LOWER if lower else np.arange(256, dtype=np.uint8)
+        table = _weight(np.repeat(np.arange(_DEEP), 256), np.tile(byte, _DEEP))
+        table[np.tile(space, _DEEP)] = 0
+        _tables[key] = table
+    return _tables[key]
+
+
 class Chunk:
     """Some rows: the other columns as Arrow arrays, the texts as one byte array."""
 
@@ -128,9 +145,6 @@ class Tokens:
     def __init__(self, chunk: Chunk, lower: bool, space: np.ndarray | None = None):
         """``space``: which of the 256 bytes separate words, by default ASCII white space."""
         data, off = chunk.data, chunk.offsets
-        weights = _WORD_LOWER if lower else _WORD
-        if space is not None:
-            weights = np.where(space, np.uint64(0), _BYTE[LOWER] if lower else _BYTE)
         space_of = SPACE if space is None else space
         n = len(data)
         if n == 0:
@@ -152,9 +166,17 @@ class Tokens:
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(chunk.n), np.diff(self.first))
         if len(self.start):
-            w = weights[data]
-            w *= powers(_Q, n)
-            self.hash = mix(np.add.reduceat(w, self.start) * powers(_QI, n)[self.start])
+            # a sum of one weight for each (place, byte): equal for equal words, and by chance alone for others
+            head = int(self.start[0])
+            size = np.diff(np.append(self.start, n))
+            place = np.arange(n - head, dtype=np.int32) - np.repeat((self.start - head).astype(np.int32), size)
+            data = data[head:]
+            deep = np.flatnonzero(place >= _DEEP)
+            w = _word_weights(lower, space_of)[(np.minimum(place, _DEEP - 1) << 8) | data]
+            if len(deep):
+                byte = LOWER[data[deep]] if lower else data[deep]
+                w[deep] = np.where(space_of[data[deep]], np.uint64(0), _weight(place[deep], byte))
+            self.hash = mix(np.add.reduceat(w, self.start - head))
         else:
             self.hash = np.zeros(0, np.uint64)
 

@@ -73,6 +73,15 @@ class Workspace:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all parts but the named ones."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.base)
+        store = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in store.listStatus(top):
+            if found.getPath().getName() not in names:
+                store.delete(found.getPath(), True)
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -197,6 +197,9 @@ def test_jaccard_at_the_threshold(spark, monkeypatch, often):
     from quillgraph.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    if often == 2:  # lists in many blocks and rows
+        monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400)
     r = random.Random(11)
     data = []
     for _ in range(6):
@@ -483,3 +486,80 @@ def test_pipeline_stages(spark, sf):
         before = docs.count()
     texts = [r.text for r in docs.collect()]
     assert len(set(texts)) == len(texts)
+
+
+def test_words_without_a_common_letter_order_differ(spark):
+    """Words that a polynomial hash modulo a power of two takes for equal, whatever its base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, " ".join([word] * 20)), (4, " ".join([other] * 20))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(spark, df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert all(r.n_removed == 0 for r in substring_dedup(spark, df).collect())
+    got = by_id(kneser_ney.score_documents(spark, df, F.col("doc_id") == 1, 2))
+    assert (got[2].n_known, got[2].train_tokens) == (1, 2)
+
+
+class HeldSets:
+    def __init__(self, sets):
+        self.sets = {c: np.sort(np.array(sorted(s), np.uint64)) for c, s in sets.items()}
+
+    def load(self, classes):
+        found = [self.sets[int(c)] for c in classes]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_lists_are_settled_in_place(monkeypatch, small):
+    """Members of one list: the components of the links that brute force finds, in one block and in two."""
+    from quillgraph.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "SMALL", small)
+    r = random.Random(small)
+    base = list(range(100, 180))
+    sets = {}
+    for c in range(1, 151):
+        mine = set(r.sample(base, r.randint(60, 80))) | {r.randrange(1000, 1040) for _ in range(r.randint(0, 9))} | {1}
+        sets[c] = mine
+    classes = np.array(sorted(sets), np.uint64)
+    n = np.array([len(sets[int(c)]) for c in classes], np.uint32)
+
+    def components_of(sides):
+        parent = {c: c for c in sets}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in sets:
+            for b in sets:
+                if a < b and sides[a - 1] in (0, 3 - sides[b - 1]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    x, y = root(a), root(b)
+                    parent[max(x, y)] = min(x, y)
+        return {c: root(c) for c in sets}
+
+    for side in (np.zeros(150, np.uint8), np.repeat(np.array([1, 2], np.uint8), [60, 90])):
+        a, b = jj.unit_links([np.full(150, 7, np.uint64), classes, n, n, classes, side], HeldSets(sets), 75, 100)
+        got = {c: c for c in sets}
+        for x, y in zip(a.tolist(), b.tolist()):
+            got[x] = y
+        assert got == components_of(side)
+        assert 2 < len(set(got.values())) < 140 and len(a) < 150
+
+
+def test_jaccard_of_many_near_copies(spark):
+    """A large group whose members link to few others: neither lost nor joined."""
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for p in r.sample(range(120), r.randint(1, 4)):
+            w[p] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    _, component = brute_components(rows)
+    got = by_id(jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {i: got[i].component_id for i, _ in rows} == component
+    assert 20 < len(set(component.values())) < 680
