@@ -15,11 +15,13 @@ to the source from its first character's origin to its last one's.  Added spans
 never replace or overlap base spans of their kind.
 
 Signs of disguise are looked for in the bytes of all texts at once, so only the
-few texts that have them are rewritten.  A null text counts as empty.
+few texts that have them are rewritten.  A null text counts as empty.  The time is
+linear in the length of a text, whatever it holds.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -36,7 +38,8 @@ from .shared import Workspace, ids_back, small_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # a match from within a run of digits would also start at the run's first: trying that alone keeps the search linear
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -109,12 +112,13 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 class Traced:
     """A text with the source span of every character."""
 
-    def __init__(self, text: str, start: list[int], end: list[int]):
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
         self.text, self.start, self.end = text, start, end
 
     @classmethod
     def of(cls, text: str) -> Traced:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        start = np.arange(len(text), dtype=np.int64)
+        return cls(text, start, start + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Traced:
         """Put texts in place of stretches (ascending, disjoint); every emitted character stands for the whole stretch."""
@@ -122,19 +126,15 @@ class Traced:
             return self
         text, start, end, at = [], [], [], 0
         for s, e, new in edits:
-            text.append(self.text[at:s])
-            start += self.start[at:s]
-            end += self.end[at:s]
-            if new:
-                text.append(new)
-                start += [self.start[s]] * len(new)
-                end += [self.end[e - 1]] * len(new)
+            text += [self.text[at:s], new]
+            start += [self.start[at:s], np.full(len(new), self.start[s])]
+            end += [self.end[at:s], np.full(len(new), self.end[e - 1])]
             at = e
         text.append(self.text[at:])
-        return Traced("".join(text), start + self.start[at:], end + self.end[at:])
+        return Traced("".join(text), np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]]))
 
     def source(self, s: int, e: int) -> tuple[int, int]:
-        return min(self.start[s:e]), max(self.end[s:e])
+        return int(self.start[s:e].min()), int(self.end[s:e].max())
 
 
 def _plain(c: str) -> str:
@@ -176,29 +176,71 @@ def spelled_digits(t: Traced) -> Traced:
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
-_AT_BOXED = re.compile(rf"\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*", re.IGNORECASE)
-_DOT_BOXED = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
-_SEP = rf"(?:\.|\s+(?:{_DOT})\s+)"
-_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:{_SEP}[A-Za-z0-9-]+)*\s+(?:{_DOT})\s+(?:[A-Za-z0-9-]+{_SEP})*(?:{'|'.join(DOMAIN_ENDS)})(?![A-Za-z0-9-]))", re.IGNORECASE)
-_DOT_AFTER = re.compile(rf"(?<=[A-Za-z0-9-])\s+(?:{_DOT})\s+(?=[A-Za-z0-9-])", re.IGNORECASE)
-_DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\.|\s+(?:{_DOT})\s+)[A-Za-z0-9-]+)+", re.IGNORECASE)
-_NAME = re.compile(rf"[A-Za-z0-9._%+-]+(?:\s+(?:{_DOT})\s+[A-Za-z0-9._%+-]+)+(?=@)", re.IGNORECASE)
-_QUAD = re.compile(rf"[0-9]{{1,3}}(?:\s+(?:{_DOT})\s+[0-9]{{1,3}}){{3}}", re.IGNORECASE)
+_AT_BOXED = re.compile(rf"{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*", re.IGNORECASE)
+_DOT_BOXED = re.compile(rf"{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
+# No quantifier below gives back what it has taken, and no search starts within what another has read: all are linear.
+_SEP = rf"(?:\.|\s++(?:{_DOT})\s++)"
+_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s++(?:{_AT})\s++(?=([A-Za-z0-9-]++(?:{_SEP}[A-Za-z0-9-]++)++))", re.IGNORECASE)
+_SEPARATOR = re.compile(_SEP, re.IGNORECASE)
+_DOT_AFTER = re.compile(rf"(?<=[A-Za-z0-9-])\s++(?:{_DOT})\s++(?=[A-Za-z0-9-])", re.IGNORECASE)
+_DOMAIN = re.compile(rf"@[A-Za-z0-9-]++(?:{_SEP}[A-Za-z0-9-]++)++", re.IGNORECASE)
+_NAME = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s++(?:{_DOT})\s++[A-Za-z0-9._%+-]++)*+", re.IGNORECASE)
+_QUAD = re.compile(rf"[0-9]{{1,3}}(?:\s++(?:{_DOT})\s++[0-9]{{1,3}}){{3}}", re.IGNORECASE)
+
+
+def _boxed(pattern: re.Pattern, text: str, sign: str) -> list[tuple[int, int, str]]:
+    """Edits of the bracketed words, with the blanks around them."""
+    out, done = [], 0
+    for m in pattern.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        done = m.end()
+        out.append((start, done, sign))
+    return out
+
+
+def _spells_domain(labels: str) -> bool:
+    """Whether a domain's end follows some spelled dot."""
+    spelled, at = False, 0
+    for m in [*_SEPARATOR.finditer(labels), None]:
+        if spelled and labels[at : m.start() if m else None].lower() in DOMAIN_ENDS:
+            return True
+        if m:
+            spelled, at = spelled or m[0] != ".", m.end()
+    return False
 
 
 def signs(t: Traced) -> Traced:
-    t = t.rewrite([(*m.span(), "@") for m in _AT_BOXED.finditer(t.text)])
-    t = t.rewrite([(*m.span(), ".") for m in _DOT_BOXED.finditer(t.text)])
-    t = t.rewrite([(*m.span(), "@") for m in _AT_BARE.finditer(t.text)])
+    t = t.rewrite(_boxed(_AT_BOXED, t.text, "@"))
+    t = t.rewrite(_boxed(_DOT_BOXED, t.text, "."))
+    t = t.rewrite([(*m.span(), "@") for m in _AT_BARE.finditer(t.text) if _spells_domain(m[1])])
     for whole in (_DOMAIN, _NAME, _QUAD):
-        t = t.rewrite([(*d.span(), ".") for m in whole.finditer(t.text) for d in _DOT_AFTER.finditer(t.text, *m.span())])
+        found = [m.span() for m in whole.finditer(t.text) if whole is not _NAME or t.text[m.end() : m.end() + 1] == "@"]
+        t = t.rewrite([(*d.span(), ".") for span in found for d in _DOT_AFTER.finditer(t.text, *span)])
     return t
 
 
+class Taken:
+    """Disjoint spans of one kind, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take the span unless it overlaps another."""
+        k = bisect.bisect_left(self.spans, (a, b))
+        if (k and self.spans[k - 1][1] > a) or (k < len(self.spans) and self.spans[k][0] < b):
+            return False
+        self.spans.insert(k, (a, b))
+        return True
+
+
 def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the normalised text shows."""
     plain = homoglyphs(Traced.of(text))
     out: list[tuple[str, int, int]] = []
+    taken = {kind: Taken([(s, e) for k, s, e in base if k == kind]) for kind in KINDS}
     # signs first and digits first: a disguised address may hold digit words, a number dot words
     for chain in ((spelled_digits, signs), (signs,)):
         t = plain
@@ -208,7 +250,7 @@ def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, i
             continue
         for kind, s, e in detect(t.text):
             a, b = t.source(s, e)
-            if not any(k == kind and a < y and x < b for k, x, y in [*base, *out]):
+            if taken[kind].add(a, b):
                 out.append((kind, a, b))
     return out
 
