@@ -10,11 +10,17 @@ kept by a hash of their id: the same ones each time.
 The cells are few (the product of the distinct values), whatever the number of
 documents, and stay in Spark; only the largest deviation comes to the driver.
 
-A null source or language is a value of its own, ``(none)``.  Values without a
-target are left out (factor 0); targets of values that no document has are
-spread over the others.  Where no mixture has all three marginals, raking stops
-after ``rounds`` and the last marginal (topic) holds.  Documents without tokens
-take part with their cell's factor.
+A null source or language is a value of its own, ``(none)``.  Where targets of a
+marginal are given, values that have none, or none over 0, are left out (factor
+0); targets of values that no document has are spread over the others.  Where no
+mixture has all three marginals, raking stops after ``rounds`` and the last
+marginal (topic) holds.  Documents without tokens take part with their cell's
+factor; a cell without any tokens has factor 1 unless a value of it is left out.
+
+Texts are read once: the features of all rows are written, with the columns to
+carry, and the later steps read those.  The cells lie in one partition as long as
+they are few, so that raking exchanges nothing.  Where the factors are too many to
+be broadcast, rows of a hot cell are split by the engine's skew handling.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ from .shared import Workspace
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Up to so many cells are raked in one partition.
+FEW_CELLS = 200_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -37,11 +46,14 @@ def topic_of(text: Column) -> Column:
     """A coarse topic from what the text is made of."""
     size = F.greatest(F.length(text), F.lit(1))
     share = lambda marks: (F.length(text) - F.length(F.translate(text, marks, ""))) / size
+    table, symbols = "|{}<>;=", "%$#*&@^~"
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
-        .when(share("|{}<>;=") > 0.02, "table")
-        .when(share("%$#*&@^~") > 0.02, "symbols")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.4, "capitals")
+        # one pass settles both for most texts
+        .when(share(table + symbols) <= 0.02, F.when(share(CAPITALS) > 0.4, "capitals").otherwise("prose"))
+        .when(share(table) > 0.02, "table")
+        .when(share(symbols) > 0.02, "symbols")
+        .when(share(CAPITALS) > 0.4, "capitals")
         .otherwise("prose")
     )
 
@@ -66,7 +78,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], work: Workspace, round
     """Cells (source, lang, topic, tokens) with ``share``, the raked share of all tokens."""
     now = _with_targets(cells, targets).withColumn("share", F.col("tokens").cast("double"))
     now = work.table(now, "rake-0")
+    few = now.count() <= FEW_CELLS
     for step in range(1, -(-rounds // at_once) + 1):
+        now = now.coalesce(1) if few else now
         for _ in range(at_once):
             for m in MARGINS:
                 sum_m = F.sum("share").over(Window.partitionBy(m))
@@ -102,14 +116,24 @@ def mix(
         n_tokens(F.col("text").cast("string")).alias("n_tokens"),
         *[F.col(c) for c in carry],
     )
+    rows = work.table(rows, "rows")
     cells = work.table(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     given = targets or {}
     wanted = {m: given[m] if m in given else tempered(cells, m, power) for m in MARGINS}
     raked = rake(cells.where("tokens > 0"), wanted, work)
-    factors = raked.withColumn("was", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0))))
-    factors = factors.withColumn("weight", F.col("share") / F.col("was"))
-    factors = work.table(factors.withColumn("probability", F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(0)))).select(*MARGINS, "weight", "probability"), "factors")
+    total, top = cells.agg(F.sum("tokens").alias("all")), F.max("weight").alias("top")
+    weights = raked.join(total, F.lit(True)).select(*MARGINS, (F.col("share") / (F.col("tokens") / F.col("all"))).alias("weight"))
+    # cells without tokens
+    bare = cells.where("tokens = 0").select(*MARGINS)
+    left_out = F.lit(False)
+    for m in given:
+        bare = bare.join(given[m].where("target > 0").select(m).distinct().withColumn(f"has_{m}", F.lit(True)), m, "left")
+        left_out = left_out | F.col(f"has_{m}").isNull()
+    bare = bare.select(*MARGINS, F.when(left_out, 0.0).otherwise(1.0).alias("weight"), F.when(left_out, 0.0).otherwise(1.0).alias("probability"))
+    weights = weights.join(weights.agg(top), F.lit(True)).select(*MARGINS, "weight", F.when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0).alias("probability"))
+    factors = work.table(weights.unionByName(bare), "factors")
     # uniform in [0, 1) from 52 bits of the id's hash
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12) / F.lit(float(1 << 52))
-    out = rows.join(factors, list(MARGINS), "left").withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(1.0))})
-    return out.withColumn("sampled", chance < F.col("probability")).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled", *carry)
+    out = rows.join(factors, list(MARGINS)).withColumn("sampled", chance < F.col("probability")).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled", *carry)
+    work.drop("cells")
+    return out

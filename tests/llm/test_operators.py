@@ -90,6 +90,13 @@ def test_exact_dedup(spark, docs, rows, empty, history):
     assert exact_dedup(spark, empty).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "alone"), (None, "two"), (4, "two"), (5, "same"), (5, "same"), (None, None), (None, "")], "doc_id long, text string")
+    got = sorted((r.text_sha256, r.doc_id is None, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark, df).collect())
+    want = [("alone", None, None, 1, True), ("two", None, 4, 2, False), ("two", 4, 4, 2, True), ("same", 5, 5, 2, True), ("same", 5, 5, 2, True), ("", None, None, 2, True), ("", None, None, 2, True)]
+    assert got == sorted((sha(t.encode()), i is None, i, k, n, kept) for t, i, k, n, kept in want)
+
+
 def brute_windows(items, length):
     """Covered flags of each document's units where a window also starts earlier."""
     seen, out = set(), {}
@@ -478,6 +485,16 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(spark, docs).count() == len(rows)
 
 
+def test_mixing_leaves_out_what_has_no_target(spark):
+    rows = [(1, "a b", "en", "s1"), (2, "", "en", "s2"), (3, "", "en", "s1"), (4, "c d", "en", "s2"), (5, None, None, None), (5, "a b", "en", "s1"), (None, "x y", "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(spark, df, {"source": spark.createDataFrame([("s1", 1.0), ("s3", 0.0)], "source string, target double")}).collect()
+    assert sorted((str(r.doc_id), r.source, r.probability, r.sampled) for r in got) == [
+        ("1", "s1", 1.0, True), ("2", "s2", 0.0, False), ("3", "s1", 1.0, True), ("4", "s2", 0.0, False), ("5", "(none)", 0.0, False), ("5", "s1", 1.0, True), ("None", "s1", 1.0, True)
+    ]
+    assert {r.topic for r in mixing.mix(spark, df).collect()} == {"prose", "empty"}
+
+
 def test_raking_matches_brute_force(spark):
     r = random.Random(10)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): r.randint(1, 500) for a in range(4) for b in range(3) for c in range(2) if r.random() < 0.9}
