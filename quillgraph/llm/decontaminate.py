@@ -12,10 +12,16 @@ each band overlapping the next by half, over a window of w bytes along the item;
 regions that meet the bound are kept (:func:`regions`) and settled by an
 alignment confined to the band (:func:`aligned`).
 
+The alignment needs 4 e + 3 diagonals: the band, and e more on each side, since an
+alignment within e edits strays at most that far from any q-gram it keeps.  Every
+start of the item's stretch that covers a region is tried, so no passage within
+the budget is missed.
+
 The index of the benchmark's q-grams goes to all workers.  Its size is checked:
 a benchmark over ``INDEX_BYTES`` is compared in blocks of items, one scan each.
 Items with fewer than q normalised bytes match nothing.  Null and empty texts
-hold nothing.  Items that repeat are reported under each of their ids.
+hold nothing, null ids are ids like others, and each row has its own result.
+Items that repeat are reported under each of their ids; an item without an id as null.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from .kernels import LOWER, Chunk, byte_grams, chunks, spread
 from .shared import NO_ID, Workspace, ids_back, small_batches, texts
 
 Q = 12
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
@@ -70,8 +76,8 @@ class Items:
         ok = np.arange(len(h)) + Q <= self.off[item + 1]
         order = np.argsort(h[ok], kind="stable")
         self.hash = h[ok][order]
-        self.item = item[ok][order]
-        self.place = (np.arange(len(h))[ok] - self.off[item[ok]])[order]
+        self.item = item[ok][order].astype(np.int32)
+        self.place = (np.arange(len(h))[ok] - self.off[item[ok]])[order].astype(np.int32)
         self.likely = np.zeros(1 << 22, bool)
         self.likely[self.hash >> np.uint64(42)] = True
 
@@ -90,7 +96,7 @@ class Items:
         inside = at + Q <= off[doc + 1]
         at, low, count, doc = at[inside], low[inside], count[inside], doc[inside]
         post = np.repeat(low, count) + spread(count)
-        return np.repeat(doc, count), self.item[post], np.repeat(at - off[doc], count), self.place[post]
+        return np.repeat(doc, count), self.item[post].astype(np.int64), np.repeat(at - off[doc], count), self.place[post].astype(np.int64)
 
 
 def regions(items: Items, doc: np.ndarray, item: np.ndarray, j: np.ndarray, i: np.ndarray, length: int, rate: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -114,28 +120,20 @@ def regions(items: Items, doc: np.ndarray, item: np.ndarray, j: np.ndarray, i: n
             yield int(d[s]), int(t[s]), int(b[s] * 2 * (e[t[s]] + 1) - items.n[t[s]] - half * (e[t[s]] + 1)), int(p[s]), int(p[f])
 
 
-def edits(pattern: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Least edits between the pattern and some stretch of the text, at most ``most`` + 1."""
-    m = len(text)
-    row = np.zeros(m + 1, np.int64)
-    steps = np.arange(m + 1)
-    for c in pattern:
-        new = row + 1
-        np.minimum(new[1:], row[:-1] + (text != c), out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return most + 1
-    return int(row.min())
-
-
 def any_within(patterns: np.ndarray, texts_: np.ndarray, most: int) -> bool:
-    """Whether some row's pattern is within ``most`` edits of some stretch of its text (all rows at once)."""
-    steps = np.arange(texts_.shape[1] + 1, dtype=np.int16)
+    """Whether some row's pattern of w symbols aligns in its band with at most ``most`` edits.
+
+    A text row has w + width - 1 symbols: cell b of the band meets symbol i of
+    the pattern with symbol i + b of the text.  The alignment may start and end
+    at any cell.
+    """
+    w = patterns.shape[1]
+    steps = np.arange(texts_.shape[1] - w + 1, dtype=np.int16)
     row = np.zeros((len(patterns), len(steps)), np.int16)
-    for i in range(patterns.shape[1]):
-        new = row + np.int16(1)
-        np.minimum(new[:, 1:], row[:, :-1] + (texts_ != patterns[:, i : i + 1]), out=new[:, 1:])
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    for i in range(w):
+        new = row + (texts_[:, i : i + len(steps)] != patterns[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # the pattern's symbol is left out
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # symbols of the text are left out
         alive = row.min(axis=1) <= most
         if not alive.all():
             if not alive.any():
@@ -144,21 +142,17 @@ def any_within(patterns: np.ndarray, texts_: np.ndarray, most: int) -> bool:
     return True
 
 
-def aligned(items: Items, t: int, text: np.ndarray, diagonal: int, first: int, last: int, length: int, rate: float, tried: np.ndarray | None = None) -> bool:
+def aligned(items: Items, t: int, text: np.ndarray, diagonal: int, first: int, last: int, length: int, rate: float, tried: np.ndarray) -> bool:
     """Whether a stretch of the item that covers the shared q-grams aligns within the band; ``tried`` marks the starts settled before."""
     w, e, _ = budget_of(int(items.n[t]), length, rate)
     whole = items.text(t)
-    low, high = max(0, last + Q - w), min(first, len(whole) - w)
-    if low > high:
-        low, high = max(0, min(low, len(whole) - w)), max(0, min(max(low, high), len(whole) - w))
-    starts = np.arange(low, high + 1)
-    if tried is not None:
-        starts = starts[~tried[starts]]
-        tried[starts] = True
+    starts = np.arange(max(0, last + Q - w), min(first, len(whole) - w) + 1)
+    starts = starts[~tried[starts]]
+    tried[starts] = True
     if not len(starts):
         return False
     # what is before and after the text matches nothing, so it saves no edits
-    place = starts[:, None] + diagonal - e + np.arange(w + 2 * (e + 1) + 2 * e)
+    place = starts[:, None] + diagonal - e + np.arange(w + 4 * e + 2)
     inside = (place >= 0) & (place < len(text))
     windows = np.where(inside, text[np.clip(place, 0, len(text) - 1)].astype(np.int16), np.int16(256))
     return any_within(whole[starts[:, None] + np.arange(w)].astype(np.int16), windows, e)
@@ -190,25 +184,26 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, le
         work = Workspace(spark, "decontaminate")
         size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, -(-size // INDEX_BYTES))
-        parts = []
+        if blocks > 1:  # several scans: the rows need a name
+            docs = work.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = None
         for k in range(blocks):
             mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
             rows = sorted((r[0], r[1]) for r in mine.toLocalIterator())
             sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [r[1].encode() for r in rows]))
+            name = "doc_id" if blocks == 1 else "row"
 
-            def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            def step(batches: Iterator[pa.RecordBatch], sent=sent, name=name, all_rows=blocks == 1) -> Iterator[pa.RecordBatch]:
                 items = Items(*sent.value)
                 for chunk in chunks(batches):
-                    found = [[int(items.ids[t]) for t in x] for x in found_items(items, chunk, length, rate)]
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.column("doc_id")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "items"])
+                    held = [sorted({int(items.ids[t]) for t in x}) for x in found_items(items, chunk, length, rate)]
+                    at = np.arange(chunk.n) if all_rows else np.flatnonzero([len(x) for x in held])
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk.column(name)[at]), pa.array([held[i] for i in at], pa.list_(pa.int64()))], [name, "items"])
 
-            parts.append(work.table(docs.mapInArrow(step, "doc_id long, items array<long>"), f"block-{k}"))
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.unionByName(more)
+            part = work.table(docs.select(name, "text").mapInArrow(step, f"{name} long, items array<long>"), f"block-{k}")
+            found = part if found is None else found.unionByName(part)
         if blocks > 1:
-            # rows that repeat an id are one document read twice
-            out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            out = docs.select("doc_id").join(out, "doc_id")
-        out = out.withColumn("items", F.transform("items", lambda x: F.when(x != NO_ID, x)))
-        return ids_back(out.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated")))
+            found = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            found = docs.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+        found = found.withColumn("items", F.transform("items", lambda x: F.when(x != NO_ID, x)))
+        return ids_back(found.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated")))

@@ -341,20 +341,66 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
     assert {k: list(x.items) for k, x in got.items()} == {**{k: [k] for k, _ in items}, 99: []}
 
 
-def test_edit_distance_in_band():
-    def brute(p, t):
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, x in enumerate(t, 1):
-                new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
-            row = new
-        return min(row)
-
-    r = random.Random(4)
-    for _ in range(200):
-        p, t = ([r.choice(b"abc") for _ in range(r.randint(1, n))] for n in (12, 20))
-        assert dec.edits(np.array(p, np.uint8), np.array(t, np.uint8), 100) == brute(p, t)
+def normal(text):
+    import re
+
+    return re.sub(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", b" ", (text or "").encode().lower()).lstrip(b" ")
+
+
+def sellers(p, t):
+    """Least edits between p and a stretch of t."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, x in enumerate(t, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def holds(item, text, length, rate, near=None):
+    """Whether a stretch of the item aligns within the budget, by full alignment of every start."""
+    item, text = normal(item).rstrip(b" ") if near is None else normal(item), normal(text)
+    w = min(len(item), length)
+    e = min(int(w * rate), (w + 1) // dec.Q - 1)
+    return e >= 0 and any(sellers(item[s : s + w], text) <= e for s in (range(len(item) - w + 1) if near is None else near))
+
+
+@pytest.mark.parametrize("length", [40, 100])
+def test_decontaminate_finds_all_at_the_budget(spark, length):
+    """Random edits around the budget, at the ends too; brute force tries every start of every item."""
+    r = random.Random(length)
+    letters = "abcdefghijklmnopqrst"
+    rate = 0.06
+    items = ["".join(r.choice(letters) for _ in range(3 * length)) for _ in range(5)]
+    docs, want = [], []
+    for k in range(120):
+        t = r.randrange(5)
+        start = r.randrange(2 * length)
+        p = list(items[t][start : start + length])
+        budget = int(length * rate)
+        for q in range(budget + r.choice([-1, 0, 0, 2, 3, 4])):
+            at = r.choice([r.randrange(len(p)), r.randrange(4), len(p) - 1 - r.randrange(4)])
+            edit = r.randrange(3)
+            p[at : at + (edit != 1)] = [] if edit == 2 else [r.choice("uvwxyz")]
+        docs.append("0123456789" * r.randint(0, 3) + "".join(p) + "9876543210" * r.randint(0, 2))
+        near = range(max(0, start - 8), min(2 * length, start + 8) + 1)
+        want.append(holds(items[t], docs[-1], length, rate, near))
+    assert 30 < sum(want) < 110
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = by_id(dec.decontaminate(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, length, rate))
+    assert [got[k].contaminated for k in range(len(docs))] == want
+
+
+def test_decontaminate_rows_of_one_id(spark, monkeypatch):
+    """Each row has its own result, in one block and in several; null ids too."""
+    items = [(k, " ".join(f"item{k}word{j}" for j in range(20))) for k in range(4)]
+    rows = [(5, "clean"), (5, f"{items[1][1]} {items[2][1]}"), (None, "clean"), (None, items[0][1]), (7, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [("5", 0), ("5", 2), ("7", 0), ("None", 0), ("None", 1)]
+    assert sorted((str(r.doc_id), r.n_items) for r in dec.decontaminate(spark, df, bench).collect()) == want
+    monkeypatch.setattr(dec, "INDEX_BYTES", 300)
+    assert sorted((str(r.doc_id), r.n_items) for r in dec.decontaminate(spark, df, bench).collect()) == want
 
 
 def plain_spans(text):
