@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import PACKED, Chunk, Tokens, bucket, chunks, decode, encode, grams, mix, packed, runs, splitmix, spread, unpacked
 from .repeats import AnchorFiles, slices
-from .shared import Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
+from .shared import Lazy, Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
 
 #: A shingle is counted as frequent where this many classes of one chunk hold it.
 OFTEN = 2
@@ -149,8 +149,8 @@ class Frequent:
 
     def __init__(self, folder: str, parts: int):
         self.parts = parts
-        names = [x[:8] for x in array_names(folder) if x.endswith(".hash")]
-        self.files = {int(x): (read_array(folder, f"{x}.hash", np.uint64), read_array(folder, f"{x}.count", np.uint32)) for x in names}
+        pids = [int(x[:8]) for x in array_names(folder) if x.endswith(".hash")]
+        self.files = Lazy(folder, pids, lambda p: (read_array(folder, f"{p:08d}.hash", np.uint64), read_array(folder, f"{p:08d}.count", np.uint32)))
 
     def of(self, h: np.ndarray) -> np.ndarray:
         order = np.argsort(h)
@@ -159,7 +159,7 @@ class Frequent:
         got = np.zeros(len(h), np.uint32)
         first = runs(pid)
         for s, e in zip(first, np.append(first[1:], len(pid))):
-            if file := self.files.get(int(pid[s])):
+            if (file := self.files.get(int(pid[s]))) is not None:
                 at = np.minimum(np.searchsorted(file[0], sorted_h[s:e]), len(file[0]) - 1)
                 got[s:e] = np.where(file[0][at] == sorted_h[s:e], file[1][at], 0)
         out = np.zeros(len(h), np.uint32)
@@ -258,7 +258,8 @@ class Labels:
 
     def __init__(self, folder: str, parts: int):
         self.parts = parts
-        self.files = {int(x[:8]): (read_array(folder, x, np.uint64), read_array(folder, f"{x[:8]}.label", np.uint64)) for x in array_names(folder) if x.endswith(".node")}
+        pids = [int(x[:8]) for x in array_names(folder) if x.endswith(".node")]
+        self.files = Lazy(folder, pids, lambda p: (read_array(folder, f"{p:08d}.node", np.uint64), read_array(folder, f"{p:08d}.label", np.uint64)))
 
     def of(self, cls: np.ndarray) -> np.ndarray:
         key = mix(cls)
@@ -268,7 +269,7 @@ class Labels:
         out = cls.copy()
         first = runs(pid)
         for s, e in zip(first, np.append(first[1:], len(pid))):
-            if file := self.files.get(int(pid[s])):
+            if (file := self.files.get(int(pid[s]))) is not None:
                 at = np.minimum(np.searchsorted(file[0], sorted_key[s:e]), len(file[0]) - 1)
                 hit = file[0][at] == sorted_key[s:e]
                 out[order[s:e][hit]] = file[1][at[hit]]
@@ -356,12 +357,12 @@ class SetFiles:
 
     def __init__(self, folders: list[str], parts: int):
         self.parts = parts
-        self.files: dict[int, list] = {}
+        names: dict[int, list] = {}
         for folder in folders:
             for x in array_names(folder):
                 if x.endswith(".key"):
-                    self.files.setdefault(int(x[:8]), []).append((read_array(folder, x, np.uint64), read_array(folder, x[:-3] + "span", np.int64).reshape(-1, 2), folder, x[:-3] + "data"))
-        self.data: dict[tuple, np.ndarray] = {}
+                    names.setdefault(int(x[:8]), []).append((folder, x[:-4]))
+        self.files = Lazy(folders[0], names, lambda p: [(read_array(f, f"{x}.key", np.uint64), read_array(f, f"{x}.span", np.int64).reshape(-1, 2), read_array(f, f"{x}.data", np.uint64)) for f, x in names[p]])
 
     def load(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The arrays of some classes, one after the other, and where each begins."""
@@ -371,15 +372,11 @@ class SetFiles:
         found: list = [None] * len(classes)
         first = runs(pid)
         for s, e in zip(first, np.append(first[1:], len(pid))):
-            for keys, spans, folder, name in self.files.get(int(pid[s]), ()):
+            for keys, spans, held in self.files.get(int(pid[s])) or ():
                 at = np.minimum(np.searchsorted(keys, key[order[s:e]]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == key[order[s:e]])
-                if len(hit):
-                    if (folder, name) not in self.data:
-                        self.data[folder, name] = read_array(folder, name, np.uint64)
-                    held = self.data[folder, name]
-                    for i, (lo, size) in zip(order[s:e][hit], spans[at[hit]]):
-                        found[i] = held[lo : lo + size]
+                for i, (lo, size) in zip(order[s:e][hit], spans[at[hit]]):
+                    found[i] = held[lo : lo + size]
         if any(x is None for x in found):
             raise KeyError("a class without its set")
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])

@@ -36,7 +36,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.array([splitmix(i) | 1 for i in range(256)], dtype=np.uint64)
 #: Places of a word whose weights are kept in a table.
-_DEEP = 64
+_DEEP = 256
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -54,6 +54,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 _QI = pow(_Q, -1, 1 << 64)
 _tables: dict[tuple[bool, bytes], np.ndarray] = {}
+_ramps = [np.zeros(0, np.uint16)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,6 +83,13 @@ def _word_weights(lower: bool, space: np.ndarray) -> np.ndarray:
     return _tables[key]
 
 
+def _ramp(n: int) -> np.ndarray:
+    """0, 1, 2, ... modulo 2**16; kept and grown."""
+    if len(_ramps[0]) < n:
+        _ramps[0] = np.arange(max(n, CHUNK_BYTES + (1 << 16))).astype(np.uint16)
+    return _ramps[0][:n]
+
+
 class Chunk:
     """Some rows: the other columns as Arrow arrays, the texts as one byte array."""
 
@@ -168,15 +176,20 @@ class Tokens:
         if len(self.start):
             # a sum of one weight for each (place, byte): equal for equal words, and by chance alone for others
             head = int(self.start[0])
-            size = np.diff(np.append(self.start, n))
-            place = np.arange(n - head, dtype=np.int32) - np.repeat((self.start - head).astype(np.int32), size)
+            start = self.start - head
+            size = np.diff(np.append(start, n - head))
             data = data[head:]
-            deep = np.flatnonzero(place >= _DEEP)
-            w = _word_weights(lower, space_of)[(np.minimum(place, _DEEP - 1) << 8) | data]
-            if len(deep):
+            table = _word_weights(lower, space_of)
+            if size.max() <= _DEEP:
+                place = _ramp(n - head) - np.repeat(start.astype(np.uint16), size)
+                w = table[(place << np.uint16(8)) | data]
+            else:
+                place = np.arange(n - head) - np.repeat(start, size)
+                w = table[(np.minimum(place, _DEEP - 1) << 8) | data]
+                deep = np.flatnonzero(place >= _DEEP)
                 byte = LOWER[data[deep]] if lower else data[deep]
                 w[deep] = np.where(space_of[data[deep]], np.uint64(0), _weight(place[deep], byte))
-            self.hash = mix(np.add.reduceat(w, self.start - head))
+            self.hash = mix(np.add.reduceat(w, start))
         else:
             self.hash = np.zeros(0, np.uint64)
 

@@ -31,6 +31,7 @@ context.  Texts begin after order - 1 start symbols, which are never predicted.
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import PACKED, Chunk, Tokens, bucket, chunks, mix, packed, runs, splitmix, spread, unpacked
-from .shared import Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
+from .shared import Lazy, Workspace, array_names, ids_back, partitions, read_array, small_batches, texts, write_array
 
 END = np.uint64(splitmix(31337))
 #: Words whose contexts are split: those with over 1 / (HOT_WORDS * partitions) of all tokens.
@@ -124,7 +125,8 @@ class Lexicon:
         self.first = np.concatenate([[0], np.cumsum(sizes[:, 0])])
         self.size, self.tokens = int(self.first[-1]), int(sizes[:, 1].sum())
         self.start, self.unknown = self.size, self.size + 1
-        self.files = {int(x[:8]): (read_array(folder, x, np.uint64), read_array(folder, f"{x[:8]}.count", np.int64)) for x in array_names(folder) if x.endswith(".word")}
+        pids = [int(x[:8]) for x in array_names(folder) if x.endswith(".word")]
+        self.files = Lazy(folder, pids, lambda p: (read_array(folder, f"{p:08d}.word", np.uint64), read_array(folder, f"{p:08d}.count", np.int64)))
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash; unknown words have count 0."""
@@ -133,7 +135,7 @@ class Lexicon:
         pid = bucket(unique, self.parts)
         first = runs(pid)
         for s, e in zip(first, np.append(first[1:], len(pid))):
-            if file := self.files.get(int(pid[s])):
+            if (file := self.files.get(int(pid[s]))) is not None:
                 at = np.minimum(np.searchsorted(file[0], unique[s:e]), len(file[0]) - 1)
                 hit = np.flatnonzero(file[0][at] == unique[s:e])
                 number[s + hit] = self.first[pid[s]] + at[hit]
@@ -141,6 +143,21 @@ class Lexicon:
         return number[back], count[back]
 
 
+def hot_words(spark: SparkSession, folder: str, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the words with over 1 / (HOT_WORDS * partitions) of all tokens: fewer than HOT_WORDS * partitions."""
+    parts, tokens = len(sizes), int(sizes[:, 1].sum())
+    offsets = np.cumsum(sizes[:, 0]) - sizes[:, 0]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pid in b.column("id").to_pylist():
+                if sizes[pid, 0]:
+                    count = read_array(folder, f"{pid:08d}.count", np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(offsets[pid] + np.flatnonzero(np.asarray(count) * HOT_WORDS * parts > tokens), pa.int64())], ["word"])
+
+    return np.sort(np.array([r.word for r in spark.range(0, parts, 1, min(parts, 64)).mapInArrow(find, "word long").collect()], np.int64))
+
+
 def padded(numbers: np.ndarray, first: np.ndarray, pad: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens with ``pad`` start symbols before each text, and the places of the tokens among them."""
     place = np.arange(len(numbers)) + np.repeat(np.arange(1, len(first)), np.diff(first)) * pad
@@ -238,7 +255,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *out])
 
 
-def write_grams(folder: str, pid: int, columns: list[np.ndarray], count: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def write_grams(folder: str, pid: int, columns: list[np.ndarray], count: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Write the sorted grams of a partition; the numbers of those counted 1 to 4 times, and split contexts with their totals here."""
     context = gram_hash(columns[:-1])
     begin = runs(context)
@@ -260,7 +277,7 @@ def write_grams(folder: str, pid: int, columns: list[np.ndarray], count: np.ndar
     write_array(folder, f"{pid:08d}.first", np.concatenate([[0], np.cumsum(length[sort])]).astype(np.uint32))
     write_array(folder, f"{pid:08d}.context", context[begin[sort]])
     part = np.flatnonzero(split)
-    return np.array([(count == c).sum() for c in (1, 2, 3, 4)], np.int64), np.column_stack([context[begin[part]].view(np.int64), totals[part]]).ravel()
+    return np.array([(count == c).sum() for c in (1, 2, 3, 4)], np.int64), context[begin[part]], totals[part]
 
 
 def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tuple[list[DataFrame], np.ndarray]:
@@ -268,7 +285,7 @@ def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tupl
     parts, hot, sizes, top = model.parts, model.hot, model.sizes, k == model.order
     folder, words, lexicon_first = f"{work.base}/order-{k}", f"{work.base}/lexicon", np.concatenate([[0], np.cumsum(model.sizes[:, 0])])
     n, rounds = k if top else k + 1, min(ROUNDS, parts)
-    names, schema = ["kind", "pid", "blob", "some", "extra"], "kind int, pid int, blob binary, some array<long>, extra array<long>"
+    names, schema = ["kind", "pid", "blob", "some"], "kind int, pid int, blob binary, some array<long>"
 
     def grams(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words, sizes)
@@ -287,17 +304,18 @@ def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tupl
 
     def rows(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
 
     def written(pid: int, columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of kind 0 for the order below 2, and one of kind 2 with the statistics."""
+        """Rows of kind 0 for the order below 2, of kind 3 with the totals of split contexts, and one of kind 2 with the statistics."""
         if not len(count):
             return
-        some, extra = write_grams(folder, pid, columns, count, hot)
+        some, context, totals = write_grams(folder, pid, columns, count, hot)
+        yield from rows(3, packed(bucket(context, parts), [context, *totals.T]))
         if k == 2:
             lower, left = _single(columns[1])
             yield from rows(0, packed((np.searchsorted(lexicon_first, lower[0], side="right") - 1).astype(np.int32), [lower[0].astype(np.uint32), left.astype(np.uint32)]))
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int64())), pa.array([extra.tolist()], pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int64()))], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = from_planes(unpacked(batches, [np.uint8] * (4 * (n + top))))
@@ -331,21 +349,23 @@ def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tupl
         dealt_out = docs.mapInArrow(lambda batches, turn=turn: grams(batches, turn), PACKED).repartitionById(-(-(parts - turn) // rounds), "pid")
         tables.append(work.table(dealt_out.mapInArrow(settle, schema), f"rows-{k}-{turn}"))
     if not top:
-        again = tables[0]
-        for more in tables[1:]:
-            again = again.unionByName(more)
-        again = again.where("kind = 1").select("pid", "blob").repartitionById(parts, "pid")
+        again = functools.reduce(DataFrame.unionByName, tables).where("kind = 1").select("pid", "blob").repartitionById(parts, "pid")
         tables.append(work.table(again.mapInArrow(add, schema), f"rows-{k}-hot"))
-    stats = [r for t in tables for r in t.where("kind = 2").select("some", "extra").collect()]  # one short row a partition
-    some = np.sum([r.some for r in stats], axis=0) if stats else np.zeros(4)
-    extra = [np.array(r.extra, np.int64).reshape(-1, 5) for r in stats if r.extra]
-    if extra:
-        extra = np.concatenate(extra)
-        key = extra[:, 0].view(np.uint64)
-        order = np.argsort(key)
-        begin = runs(key[order])
-        write_array(folder, "hot.totals", np.add.reduceat(extra[order, 1:], begin).astype(np.int64).ravel())
-        write_array(folder, "hot.context", key[order][begin])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, *sums = unpacked(batches, [np.uint64] + [np.int64] * 4)
+        order = np.argsort(context)
+        begin = runs(context[order])
+        if len(begin):
+            pid = int(bucket(context[:1], parts)[0])
+            write_array(folder, f"{pid:08d}.hottotals", np.add.reduceat(np.column_stack(sums)[order], begin).ravel())
+            write_array(folder, f"{pid:08d}.hotcontext", context[order][begin])
+        yield pa.RecordBatch.from_arrays([pa.array([len(begin)], pa.int64())], ["n"])
+
+    whole = functools.reduce(DataFrame.unionByName, tables)
+    whole.where("kind = 3").select("pid", "blob").repartitionById(parts, "pid").mapInArrow(total, "n long").agg(F.sum("n")).first()
+    some = whole.where("kind = 2").select(*[F.sum(F.element_at("some", c + 1)).alias(f"n{c}") for c in range(4)]).first()
+    some = np.array([x or 0 for x in some])
     return [t.where("kind = 0").select("pid", "blob") for t in tables], some
 
 
@@ -360,9 +380,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
     words = work.folder("lexicon")
     model.sizes = build_lexicon(docs, words, parts)
     lexicon = Lexicon(words, model.sizes)
-    # frequent words are few: less than HOT_WORDS * parts can have so large a share
-    hot = [lexicon.first[pid] + np.flatnonzero(np.asarray(f[1]) * HOT_WORDS * parts > lexicon.tokens) for pid, f in sorted(lexicon.files.items())]
-    model.hot = np.concatenate([*hot, [lexicon.start]]).astype(np.int64)
+    model.hot = np.concatenate([hot_words(spark, words, model.sizes), [lexicon.start]]).astype(np.int64)
     sizes = model.sizes
     if lexicon.size > 0xFFFFFFF0:
         raise ValueError("word numbers are 32 bits wide")
@@ -371,9 +389,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
         model.discount[k] = discounts(some)
         if k > 2:
             work.drop(*[f"rows-{k}-{x}" for x in (*range(ROUNDS), "hot")])
-    rows = tables[0]
-    for more in tables[1:]:
-        rows = rows.unionByName(more)
+    rows = functools.reduce(DataFrame.unionByName, tables)
     folder = work.folder("order-1")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,16 +416,16 @@ class Order:
     def __init__(self, folder: str, parts: int):
         self.parts = parts
         read = lambda x, kind: np.asarray(read_array(folder, x, kind))
-        names = [x[:8] for x in array_names(folder) if x.endswith(".word")]
-        self.context = {int(x): (read(f"{x}.context", np.uint64), read(f"{x}.first", np.uint32)) for x in names}
-        self.grams = {int(x): (read(f"{x}.word", np.uint32), read(f"{x}.count", np.uint8), read(f"{x}.large", np.int64), read(f"{x}.largecount", np.int64)) for x in names}
-        self.wide = {int(x): (read(f"{x}.wide", np.int64), read(f"{x}.totals", np.int64).reshape(-1, 4)) for x in names}
-        hot = "hot.context" in array_names(folder)
-        self.hot = (read("hot.context", np.uint64), read("hot.totals", np.int64).reshape(-1, 4)) if hot else (np.zeros(0, np.uint64), np.zeros((0, 4), np.int64))
+        names = array_names(folder)
+        pids = [int(x[:8]) for x in names if x.endswith(".word")]
+        self.context = Lazy(folder, pids, lambda p: (read(f"{p:08d}.context", np.uint64), read(f"{p:08d}.first", np.uint32)))
+        self.grams = Lazy(folder, pids, lambda p: (read(f"{p:08d}.word", np.uint32), read(f"{p:08d}.count", np.uint8), read(f"{p:08d}.large", np.int64), read(f"{p:08d}.largecount", np.int64)))
+        self.wide = Lazy(folder, pids, lambda p: (read(f"{p:08d}.wide", np.int64), read(f"{p:08d}.totals", np.int64).reshape(-1, 4)))
+        self.hot = Lazy(folder, [int(x[:8]) for x in names if x.endswith(".hotcontext")], lambda p: (read(f"{p:08d}.hotcontext", np.uint64), read(f"{p:08d}.hottotals", np.int64).reshape(-1, 4)))
 
     def spans(self, pid: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which contexts the partition has, their ranks, and where their words begin and end."""
-        known, first = self.context[pid]
+        known, first = self.context.get(pid)
         at = np.minimum(np.searchsorted(known, context), len(known) - 1)
         hit = np.flatnonzero(known[at] == context)
         at = at[hit]
@@ -417,7 +433,7 @@ class Order:
 
     def found(self, pid: int, low: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
         """Counts of the wanted words between the given places of a partition."""
-        words, count, large, many = self.grams[pid]
+        words, count, large, many = self.grams.get(pid)
         out, last = np.zeros(len(want), np.int64), end
         low, end, open_ = low.copy(), end.copy(), np.flatnonzero(low < end)
         while len(open_):
@@ -454,7 +470,7 @@ class Order:
             a[hit], b[hit] = low, end
             t = slice(begin[s], begin[e - 1] + size[e - 1])
             counts[t] = self.found(p, np.repeat(a, size[s:e]), np.repeat(b, size[s:e]), want[t])
-            wide, written = self.wide[p]
+            wide, written = self.wide.get(p)
             if len(wide):
                 at = np.minimum(np.searchsorted(wide, rank), len(wide) - 1)
                 has = wide[at] == rank
@@ -463,14 +479,15 @@ class Order:
             narrow = end - low < WIDE  # what is wide and has no totals here is split
             hit, low, length = hit[narrow], low[narrow], (end - low)[narrow]
             if len(hit):
-                n = self.grams[p][1][np.repeat(low, length) + spread(length)]
+                n = self.grams.get(p)[1][np.repeat(low, length) + spread(length)]
                 starts = np.cumsum(length) - length
                 one, two = (np.add.reduceat(n == c, starts, dtype=np.int64) for c in (1, 2))
                 totals[s + hit] = np.column_stack([np.add.reduceat(n, starts, dtype=np.int64), one, two, length - one - two])
-        if len(self.hot[0]):
-            at = np.minimum(np.searchsorted(self.hot[0], unique), len(self.hot[0]) - 1)
-            hit = self.hot[0][at] == unique
-            totals[hit] = self.hot[1][at[hit]]
+        for s, e in zip(first, np.append(first[1:], len(pid))):
+            if (hot := self.hot.get(int(pid[s]))) is not None:
+                at = np.minimum(np.searchsorted(hot[0], unique[s:e]), len(hot[0]) - 1)
+                hit = np.flatnonzero(hot[0][at] == unique[s:e])
+                totals[s + hit] = hot[1][at[hit]]
         out, sums, off = np.empty(len(word), np.int64), np.empty(len(word)), np.empty(len(word))
         out[order], sums[order], off[order] = counts, np.repeat(totals[:, 0], size), np.repeat(totals[:, 1:] @ discount[1:], size)
         at = np.flatnonzero(split)
@@ -490,7 +507,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.lexicon = Lexicon(f"{model.base}/lexicon", model.sizes)
-        self.left = {int(x[:8]): read_array(f"{model.base}/order-1", x, np.uint32) for x in array_names(f"{model.base}/order-1")}
+        left = f"{model.base}/order-1"
+        self.left = Lazy(left, [int(x[:8]) for x in array_names(left)], lambda p: read_array(left, f"{p:08d}.left", np.uint32))
         self.orders = {k: Order(f"{model.base}/order-{k}", model.parts) for k in range(2, model.order + 1)}
 
     def probabilities(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -501,7 +519,7 @@ class Scorer:
         pid = np.searchsorted(lex.first, numbers[known], side="right") - 1
         for p in np.unique(pid):
             mine = known[pid == p]
-            left[mine] = self.left[int(p)][numbers[mine] - lex.first[p]]
+            left[mine] = self.left.get(int(p))[numbers[mine] - lex.first[p]]
         total, *n = m.unigram
         d = m.discount[1]
         spare = float(np.dot(d[1:], n)) / total if total else 1.0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import CHUNK_BYTES, PACKED, Chunk, Tokens, _slide, bucket, byte_grams, chunks, grams, mix, packed, runs, unpacked
-from .shared import Workspace, array_names, id_partition, read_array, write_array
+from .shared import Lazy, Workspace, array_names, id_partition, read_array, write_array
 
 MAPPED_BYTES = 16 << 30
 #: An anchor is hot from so many different surroundings on, if they are also this many for each chunk that has it.
@@ -127,7 +127,7 @@ class AnchorFiles:
 
     def __init__(self, folder: str, parts: int, low: int, high: int):
         self.parts = parts
-        self.files = {int(x): read_array(folder, x, np.uint64) for x in array_names(folder) if low <= int(x) < high}
+        self.files = Lazy(folder, [int(x) for x in array_names(folder) if low <= int(x) < high], lambda p: read_array(folder, f"{p:08d}", np.uint64))
 
     def has(self, h: np.ndarray) -> np.ndarray:
         order = np.argsort(h)

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
 
 import numpy as np
@@ -176,6 +177,33 @@ def read_array(folder: str, name: str, kind) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+class Lazy:
+    """Values of some keys, loaded when asked for.
+
+    Mapped files are kept, since only the pages that are read take memory.  Of a
+    store that cannot be mapped at most ``KEPT`` values are held at a time.
+    """
+
+    KEPT = 4
+
+    def __init__(self, folder: str, keys: Iterable, load: Callable):
+        self.keys, self.load, self.most = set(keys), load, None if _local(folder) else self.KEPT
+        self.held: dict = {}
+
+    def __contains__(self, key) -> bool:
+        return key in self.keys
+
+    def get(self, key):
+        """The value, or None for an unknown key."""
+        if key not in self.held:
+            if key not in self.keys:
+                return None
+            while self.most and len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]
+            self.held[key] = self.load(key)
+        return self.held[key]
+
+
 def array_names(folder: str) -> list[str]:
     if local := _local(folder):
         return sorted(x for x in os.listdir(local) if not x.startswith(".")) if os.path.isdir(local) else []
