@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import CHUNK_BYTES, PACKED, Chunk, Tokens, _slide, bucket, byte_grams, chunks, grams, mix, packed, runs, unpacked
+from .kernels import CHUNK_BYTES, PACKED, Chunk, Tokens, _slide, bucket, byte_grams, chunks, encode, grams, mix, packed, powers, runs, splitmix, spread, unpacked
 from .shared import Lazy, Workspace, array_names, id_partition, read_array, write_array
 
 MAPPED_BYTES = 16 << 30
@@ -152,6 +152,61 @@ def slices(folder: str, count: int, parts: int, limit: int = MAPPED_BYTES) -> li
     return list(zip(cuts[:-1], cuts[1:]))
 
 
+_P = splitmix(77) | 1
+_PI = pow(_P, -1, 1 << 64)
+_SYMBOL = np.array([splitmix(1000 + i) | 1 for i in range(256)], np.uint64)
+
+
+def hash_slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of some stretches of bytes."""
+    s = np.concatenate([[np.uint64(0)], np.cumsum(_SYMBOL[data] * powers(_P, len(data)))])
+    return mix((s[start + size] - s[start]) * powers(_PI, len(data) + 1)[start])
+
+
+def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """Whether the stretches of ``size`` bytes at a and b are equal, for each pair; sizes are over 0."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(size)
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + step, side="right")))
+        n = size[low:high]
+        k = spread(n)
+        same = data[np.repeat(a[low:high], n) + k] == data[np.repeat(b[low:high], n) + k]
+        out[low:high] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        low = high
+    return out
+
+
+def settled(data: np.ndarray, at: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's contexts: those to send on, and those that repeat an earlier one, byte for byte and around the same place."""
+    content = hash_slices(data, at, size)
+    order = np.lexsort((place, doc, left, content))
+    c, l = content[order], left[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (c[1:] != c[:-1]) | (l[1:] != l[:-1])
+    head = order[np.flatnonzero(fresh)]
+    of = head[np.cumsum(fresh) - 1] if len(head) else head
+    same = size[order] == size[of]
+    same[same] = same_slices(data, at[order[same]], at[of[same]], size[order[same]])
+    moved = (doc[order] != doc[of]) | (place[order] != place[of])
+    return np.concatenate([head, order[~same]]), order[same & moved]
+
+
+def context_rows(pid: np.ndarray, heads: list[np.ndarray], data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[pa.RecordBatch]:
+    """Packed contexts, a row for each target partition: the heads' arrays, then the bytes."""
+    if not len(pid):
+        return []
+    order = np.argsort(pid, kind="stable")
+    pid, start, size = pid[order], start[order], size[order]
+    raw = data[np.repeat(start, size) + spread(size)]
+    cuts = np.concatenate([runs(pid), [len(pid)]])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    heads = [h[order] for h in heads]
+    rows = [encode([h[s:e] for h in heads]) + raw[ends[s] : ends[e]].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
+    return [pa.RecordBatch.from_arrays([pa.array(pid[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], ["pid", "blob"])]
+
+
 RUN_KINDS = [np.int64, np.uint32, np.uint32]
 
 

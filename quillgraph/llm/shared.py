@@ -177,6 +177,18 @@ def read_array(folder: str, name: str, kind) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+def remove_array(folder: str, name: str) -> None:
+    if local := _local(folder):
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(f"{local}/{name}")
+        return
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_file(f"{root}/{name}")
+
+
 class Lazy:
     """Values of some keys, loaded when asked for.
 

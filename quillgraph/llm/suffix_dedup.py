@@ -4,12 +4,13 @@ A byte window of ``length`` can repeat only if its anchor repeats
 (:mod:`.repeats`), so the collection is not all text but the *contexts* of
 repeated anchors: for each occurrence, the bytes of all windows that chose it.
 Contexts are dealt by anchor, aligned at it, and built column by column from the
-right (:class:`Columns`): each round inserts one symbol of every context,
-finds the new suffixes' order from the former order by a stable count of the
-symbols (the last-to-first mapping), and updates the common prefixes by range
-minima over the former ones.  A round reads the former round's order and common
-prefixes from a sequential file in the shared folder and writes its own,
-together with the transform's column, so nothing but one round is in memory.
+right (:class:`Columns`): each round inserts one symbol of every context.  The
+symbols to insert are the former round's transform, in the order of its
+suffixes; their stable count (the last-to-first mapping) gives the new order,
+and the common prefixes follow by range minima over the former ones.  A round
+reads order, common prefixes and transform of the former round from a sequential
+file in the shared folder and writes its own, so nothing but one round is in
+memory.
 
 Windows that start in one column are equal just where the common prefix of
 neighbours stays at ``length`` or more; all but the earliest (smaller id, then
@@ -27,7 +28,6 @@ not mark each other.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -35,47 +35,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernels import PACKED, bucket, chunks, mix, powers, runs, splitmix, spread
-from .repeats import LIMITS, AnchorFiles, Windows, apply_runs, as_runs, covered, repeated_anchors, run_rows, slices
-from .shared import Workspace, _local, ids_back, partitions, small_batches, texts
+from .kernels import PACKED, bucket, chunks, runs, spread
+from .repeats import LIMITS, AnchorFiles, Windows, apply_runs, as_runs, context_rows, covered, hash_slices, repeated_anchors, run_rows, settled, slices
+from .shared import Workspace, ids_back, partitions, read_array, remove_array, small_batches, texts, write_array
 
 GRAM = 32
 _HEAD = [np.uint64, np.int64, np.uint32, np.uint8, np.uint8]
-_P = splitmix(77) | 1
-_PI = pow(_P, -1, 1 << 64)
-_SYMBOL = np.array([splitmix(1000 + i) | 1 for i in range(256)], np.uint64)
-
 
 class RoundFile:
-    """The order, common prefixes and transform of the last finished round."""
+    """The order, common prefixes and transform of the last finished round, one file after the other."""
 
-    def __init__(self, folder: str | None):
-        self.path = None
-        self.held: tuple[np.ndarray, ...] = ()
-        if folder is not None:
-            os.makedirs(folder, exist_ok=True)
-            self.path = f"{folder}/{uuid.uuid4().hex}"
+    def __init__(self, folder: str):
+        self.folder, self.name, self.round = folder, uuid.uuid4().hex, 0
 
     def write(self, order: np.ndarray, common: np.ndarray, transform: np.ndarray) -> None:
-        if self.path is None:
-            self.held = (order, common, transform)
-            return
-        with open(f"{self.path}.new", "wb") as f:
-            f.write(np.uint32(len(order)).tobytes())
-            for a in (order.astype(np.uint32), common.astype(np.uint16), transform.astype(np.uint8)):
-                f.write(a.tobytes())
-        os.replace(f"{self.path}.new", self.path)
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.path is None:
-            return self.held[0], self.held[1]
-        with open(self.path, "rb") as f:
-            n = int(np.frombuffer(f.read(4), np.uint32)[0])
-            return np.frombuffer(f.read(4 * n), np.uint32).astype(np.int64), np.frombuffer(f.read(2 * n), np.uint16).astype(np.int64)
+        parts = [np.array([len(order)], np.uint32), order.astype(np.uint32), common.astype(np.uint16), transform.astype(np.uint8)]
+        write_array(self.folder, f"{self.name}.{self.round + 1}", np.concatenate([a.view(np.uint8) for a in parts]))
+        self.close()
+        self.round += 1
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.asarray(read_array(self.folder, f"{self.name}.{self.round}", np.uint8))
+        n = int(raw[:4].view(np.uint32)[0])
+        return raw[4 : 4 + 4 * n].view(np.uint32).astype(np.int64), raw[4 + 4 * n : 4 + 6 * n].copy().view(np.uint16).astype(np.int64), raw[4 + 6 * n :].copy()
 
     def close(self) -> None:
-        if self.path and os.path.exists(self.path):
-            os.remove(self.path)
+        if self.round:
+            remove_array(self.folder, f"{self.name}.{self.round}")
 
 
 def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -115,23 +101,24 @@ class Columns:
         by_end = np.argsort(self.end, kind="stable")
         ends = self.end[by_end]
         for column in range(int(self.end.max()) - 1, int(self.begin.min()) - 1, -1):
-            order, common = self.file.read()
+            order, common, symbol = self.file.read()
             going = self.begin[order] <= column
             if not going.all():  # contexts that ended on the left leave; ranges join
                 place = np.flatnonzero(going)
                 common = _least_between(common, np.concatenate([[-1], place[:-1]]), place) if len(place) else common[:0]
-                order = order[going]
+                order, symbol = order[going], symbol[going]
             fresh = by_end[np.searchsorted(ends, column + 1) : np.searchsorted(ends, column + 1, side="right")]
             if len(fresh):  # empty suffixes come first in their group
                 fresh = np.sort(fresh)
                 spot = np.searchsorted(self.group[order], self.group[fresh], side="left")
                 order, common = np.insert(order, spot, fresh), np.insert(common, spot, 0)
+                symbol = np.insert(symbol, spot, self.data[self.at[fresh] + column - self.begin[fresh]])
                 # what follows an empty suffix shares nothing with it
                 added = spot + np.arange(len(fresh))
                 after = added + 1
                 after = after[after < len(order)]
                 common[after] = 0
-            symbol = self.data[self.at[order] + column - self.begin[order]]
+            # the transform of the former round holds the symbols to insert; its stable count is the last-to-first mapping
             key = (self.group[order] << 8) | symbol
             moved = np.argsort(key, kind="stable")
             same = np.zeros(len(moved), bool)
@@ -148,25 +135,6 @@ class Columns:
             yield column, order, fresh_common
 
 
-def _hash_slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    s = np.concatenate([[np.uint64(0)], np.cumsum(_SYMBOL[data] * powers(_P, len(data)))])
-    return mix((s[start + size] - s[start]) * powers(_PI, len(data) + 1)[start])
-
-
-def _blobs(pid: np.ndarray, heads: list[np.ndarray], data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch | None:
-    """Packed contexts: the heads' arrays, then the bytes."""
-    if not len(pid):
-        return None
-    order = np.argsort(pid, kind="stable")
-    pid, start, size = pid[order], start[order], size[order]
-    heads = [h[order] for h in heads]
-    raw = data[np.repeat(start, size) + spread(size)]
-    cuts = np.concatenate([runs(pid), [len(pid)]])
-    ends = np.concatenate([[0], np.cumsum(size)])
-    rows = [np.uint32(e - s).tobytes() + b"".join(h[s:e].tobytes() for h in heads) + raw[ends[s] : ends[e]].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(pid[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], ["pid", "blob"])
-
-
 def _contexts(blobs: list, length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     heads, raws = [], []
     for blob in blobs:
@@ -219,7 +187,7 @@ def later_windows(heads: list[np.ndarray], data: np.ndarray, at: np.ndarray, len
 def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) -> DataFrame:
     """Packed runs (doc, start, windows) of byte windows that have an earlier equal."""
     folder, hot, total = repeated_anchors(docs, "byte", GRAM, length, work, parts)
-    rounds = _local(work.folder("rounds"))
+    rounds = work.folder("rounds")
     out = None
     for low, high in slices(folder, total, parts):
 
@@ -242,27 +210,18 @@ def repeated_runs(docs: DataFrame, length: int, work: Workspace, parts: int) ->
                     n = count[heat]
                     alone = np.repeat(begin[heat], n) + spread(n)
                     begin, anchor, count = np.concatenate([begin[~heat], alone]), np.concatenate([anchor[~heat], alone]), np.concatenate([count[~heat], np.ones(len(alone), count.dtype)])
-                    key = np.concatenate([key[~heat], _hash_slices(chunk.data, alone, np.full(len(alone), length))])
+                    key = np.concatenate([key[~heat], hash_slices(chunk.data, alone, np.full(len(alone), length))])
                 local = w.doc(begin)
                 doc = chunk.column("doc_id")[local]
                 size = count + length - 1
-                content = _hash_slices(chunk.data, begin, size)
                 place = begin - w.first[local]
                 left = anchor - begin
-                # settle equal contexts of the chunk here
-                order = np.lexsort((place, doc, left, content))
-                c, l, d, p = content[order], left[order], doc[order], place[order]
-                fresh = np.ones(len(c), bool)
-                fresh[1:] = (c[1:] != c[:-1]) | (l[1:] != l[:-1])
-                head = np.flatnonzero(fresh)
-                of = head[np.cumsum(fresh) - 1]
-                later = order[(d != d[of]) | (p != p[of])]
+                one, later = settled(chunk.data, begin, size, left, doc, place)
                 reps = count[later]
                 marks = as_runs(np.repeat(doc[later], reps), np.repeat(place[later], reps) + spread(reps))
-                one = order[head]
                 h = key[one]
-                rows = _blobs(bucket(h, parts), [h, doc[one], place[one].astype(np.uint32), left[one].astype(np.uint8), count[one].astype(np.uint8)], chunk.data, begin[one], size[one])
-                for kind, bs in ((0, [rows] if rows else []), (1, run_rows(marks, parts))):
+                rows = context_rows(bucket(h, parts), [x[one].astype(k) for x, k in zip((key, doc, place, left, count), _HEAD)], chunk.data, begin[one], size[one])
+                for kind, bs in ((0, rows), (1, run_rows(marks, parts))):
                     for b in bs:
                         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, kind, np.int32))], ["pid", "blob", "kind"])
 
@@ -323,5 +282,5 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 100, id_col
     with small_batches(spark):
         out = apply_runs(docs, repeated_runs(docs, length, work, parts), parts, each, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, kept_sha256 string")
         out = work.table(ids_back(out), "result")
-    work.drop("anchors", "hot", "rounds")
+    work.keep("result")
     return out
