@@ -186,12 +186,20 @@ def train(samples: DataFrame, extract: Extract, fit: Callable[[Samples], bytes])
 
 
 def bounded(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """Rows by the hash of their doc_id, ``most`` on average, or all where there are fewer; never over twice as many."""
+    """The ``most`` rows of least hash of their doc_id (distinct), or all where there are fewer: a function of the set of ids."""
     n = rows.count()
     if n <= most:
         return rows
-    share = int(most / n * (1 << 32))
-    return rows.where(F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary")) < share).limit(2 * most)
+    # about twice as many by their hash alone, so that few are put in order
+    share = min(1 << 32, int(2 * most / n * (1 << 32)) + 1000)
+    key = F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary"))
+    return rows.withColumn("key", key).where(F.col("key") < share).orderBy("key", "doc_id").limit(most).drop("key")
+
+
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chosen documents (a bounded number) with their other columns and a text each: of rows that repeat an id the least."""
+    least = docs.join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return least.join(F.broadcast(ids), "doc_id")
 
 
 class Linear:

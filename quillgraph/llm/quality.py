@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import Dictionary, Linear, Samples, bounded, logistic, ngram_features, score, train, training_ids
+from .features import Dictionary, Linear, Samples, bounded, logistic, ngram_features, one_text, score, train, training_ids
 from .shared import Workspace, ids_back, ship, small_batches, texts
 
 
@@ -77,13 +77,13 @@ def curve(margin: np.ndarray, positive: np.ndarray, steps: int = 100) -> tuple[f
     return float(s), float(o)
 
 
-def fit_quality(most_features: int, cost: float, mixing: float, rounds: int):
+def fit_quality(most_features: int, cost: float, mixing: float, rounds: int, least_docs: int = 3):
     def fit(samples: Samples) -> bytes:
         positive = samples.label == 1
         if not len(positive) or positive.all() or not positive.any():
             sure = 0.0 if not len(positive) else 500.0 if positive.all() else -500.0
             return Linear(np.zeros(0, np.uint64), np.zeros(0), sure).dump()
-        hashes, ratio = log_count_ratios(samples, positive, most_features, 1.0, 3)
+        hashes, ratio = log_count_ratios(samples, positive, most_features, 1.0, least_docs)
         doc, index = Dictionary(hashes).find(samples.doc, samples.feature)
         first = np.searchsorted(doc, np.arange(len(positive) + 1))
         y = np.where(positive, 1.0, -1.0)
@@ -108,13 +108,15 @@ def quality(
     cost: float = 0.1,
     mixing: float = 0.75,
     rounds: int = 15,
+    least_docs: int = 3,
     threshold: float = 0.3,
     text_col: str = "text",
 ) -> DataFrame:
     """Score every document; labels (doc_id, quality) count only where crc32(doc_id) % 5 is not 0.
 
-    ``most_labelled`` bounds the documents that train the model; all documents
-    are scored.  Returns doc_id, held_out, score, predicted (1 at ``threshold``
+    ``most_labelled`` bounds the labelled documents that train the model,
+    ``most_features`` its dictionary: the n-grams that most of those have, and
+    ``least_docs`` of them at least.  All documents are scored.  Returns doc_id, held_out, score, predicted (1 at ``threshold``
     or more), one row per row.
     """
     ship(spark)
@@ -122,8 +124,9 @@ def quality(
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label")).where(training_ids())
     with small_batches(spark):
         work = Workspace(spark, "quality")
-        model = train(docs.join(bounded(known, most_labelled, "q"), "doc_id"), ngram_features, fit_quality(most_features, cost, mixing, rounds))
+        model = train(one_text(docs, bounded(known, most_labelled, "q")), ngram_features, fit_quality(most_features, cost, mixing, rounds, least_docs))
         out = score(spark, docs, model, ngram_features)
         out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
         out = work.table(ids_back(out), "result")
+        work.keep("result")
     return out

@@ -1,7 +1,9 @@
 """Toxicity by non-negative learning from positive and unlabelled text.
 
-The positives are confirmed toxic documents; everything else is unlabelled.
-With class prior p and loss l, the risk of a scorer g is estimated as
+The positives are confirmed toxic documents.  The unlabelled text is a sample of
+all documents that the label table names, confirmed ones included: their labels
+are not looked at, so the sample is what the class prior speaks of.  With class
+prior p and loss l, the risk of a scorer g is estimated as
 
     p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)])
 
@@ -11,8 +13,9 @@ falls below zero, which only overfitting can do, the step instead undoes it
 a dictionary chosen on the sample, trained in numpy by full-batch Adam.
 
 The prior is the share of positives among the labelled training rows unless
-given.  Empty and null texts have no features and score as the bias alone.
-With no positive or no unlabelled text the model knows nothing and scores 0.
+given.  Rows of the label table without a label count as unlabelled text.  Empty
+and null texts have no features and score as the bias alone.  With no positive
+or no other text the model knows nothing and scores 0.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import Dictionary, Linear, Samples, bounded, logistic, score, train, training_ids, without_copies, word_features
-from .shared import NO_ID, Workspace, ids_back, ship, small_batches, texts
+from .features import Dictionary, Linear, Samples, bounded, logistic, one_text, score, train, training_ids, without_copies, word_features
+from .shared import Workspace, ids_back, ship, small_batches, texts
 
 
 def choose(samples: Samples, positive: np.ndarray, most: int, sure: float = 3.0, margin: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
@@ -47,37 +50,54 @@ def choose(samples: Samples, positive: np.ndarray, most: int, sure: float = 3.0,
     return feature[first][best], ratio[best]
 
 
-def nnpu(first: np.ndarray, index: np.ndarray, value: np.ndarray, positive: np.ndarray, dims: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk; ``value[j]`` scales feature j."""
-    n = len(positive)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    pos, unl = positive, ~positive
-    npos, nunl = pos.sum(), unl.sum()
-    w, b = np.zeros(dims + 1), -1.0
-    w[-1] = b
+class Risk:
+    """The estimated risk of weights (the last is the bias) and its slope.
+
+    Document i has the features ``index[first[i]:first[i + 1]]``, scaled by
+    ``value``; ``positive`` marks the confirmed ones, the others are unlabelled.
+    """
+
+    def __init__(self, first: np.ndarray, index: np.ndarray, value: np.ndarray, positive: np.ndarray, prior: float, decay: float):
+        self.index, self.value, self.positive, self.prior, self.decay = index, value, positive, prior, decay
+        self.n = len(positive)
+        self.doc = np.repeat(np.arange(self.n), np.diff(first))
+        self.share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=(w[:-1] * self.value)[self.index], minlength=self.n) + w[-1]
+
+    def terms(self, w: np.ndarray) -> tuple[float, float]:
+        """Risk on the positives, and the estimate of the risk on the negatives; sigmoid loss: l(g) = 1 - s, l(-g) = s."""
+        s = logistic(self.margins(w)) * self.share
+        pos, unl = s[self.positive].sum(), s[~self.positive].sum()
+        return self.prior * (1 - pos), unl - self.prior * pos
+
+    def slope(self, w: np.ndarray) -> np.ndarray:
+        """Of both terms where the second is not negative; else of what undoes the second."""
+        s = logistic(self.margins(w))
+        per = s * (1 - s) * self.share
+        if self.terms(w)[1] >= 0:
+            per[self.positive] *= -2 * self.prior
+        else:
+            per = np.where(self.positive, self.prior * per, -per)
+        out = np.append(np.bincount(self.index, weights=per[self.doc], minlength=len(w) - 1) * self.value, per.sum())
+        out[:-1] += self.decay * w[:-1]
+        return out
+
+
+def nnpu(risk: Risk, dims: int, steps: int = 300, rate: float = 0.05) -> np.ndarray:
+    """Weights and bias of least risk by Adam."""
+    w = np.zeros(dims + 1)
+    w[-1] = -1.0
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(1, steps + 1):
-        g = np.bincount(doc, weights=(w[:-1] * value)[index], minlength=n) + w[-1]
-        s = logistic(g)  # sigmoid loss: l(g) = 1 - s, l(-g) = s
-        slope = s * (1 - s)
-        negative_risk = s[unl].mean() - prior * s[pos].mean()
-        per = np.zeros(n)
-        if negative_risk >= 0:
-            per[pos] = -2 * prior * slope[pos] / npos
-            per[unl] = slope[unl] / nunl
-        else:
-            per[pos] = prior * slope[pos] / npos
-            per[unl] = -slope[unl] / nunl
-        grad = np.empty(dims + 1)
-        grad[:-1] = np.bincount(index, weights=per[doc], minlength=dims) * value + decay * w[:-1]
-        grad[-1] = per.sum()
+        grad = risk.slope(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w[:-1] = np.maximum(w[:-1], 0)  # chosen features can only speak for toxicity
-    return w[:-1] * value, float(w[-1])
+    return w
 
 
-def fit_toxicity(prior: float, most_features: int):
+def fit_toxicity(prior: float, most_features: int, decay: float = 1e-4):
     def fit(samples: Samples) -> bytes:
         samples = without_copies(samples)
         positive = samples.label == 1
@@ -87,8 +107,9 @@ def fit_toxicity(prior: float, most_features: int):
         doc, index = Dictionary(hashes).find(samples.doc, samples.feature)
         first = np.searchsorted(doc, np.arange(len(positive) + 1))
         # features that tell little start with little say
-        weights, bias = nnpu(first, index, np.abs(ratio), positive, len(hashes), prior)
-        return Linear(hashes, weights, bias).dump()
+        value = np.abs(ratio)
+        w = nnpu(Risk(first, index, value, positive, prior, decay), len(hashes))
+        return Linear(hashes, w[:-1] * value, float(w[-1])).dump()
 
     return fit
 
@@ -105,32 +126,25 @@ def toxicity(
 ) -> DataFrame:
     """Score every document; labels (doc_id, toxic) count only where crc32(doc_id) % 5 is not 0.
 
-    ``most_positive`` and ``most_unlabelled`` bound the documents that train
-    the model; all documents are scored.  Returns doc_id, held_out, score,
-    predicted (1 at 0.5 or more), one row per row.
+    ``most_positive`` and ``most_unlabelled`` bound the rows of ``labels`` that
+    train the model, ``most_features`` its dictionary; all documents are scored.
+    Returns doc_id, held_out, score, predicted (1 at 0.5 or more), one row per row.
     """
     ship(spark)
     docs = texts(docs, text_col=text_col)
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(training_ids())
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(training_ids())
     if prior is None:
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(0.9, max(1e-3, share or 0.0))
-    positive_ids = bounded(known.where("toxic = 1").select("doc_id"), most_positive, "p")
-    pool = docs.where(training_ids() & (F.col("doc_id") != NO_ID)).join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    ids = bounded(known.where("toxic = 1").select("doc_id"), most_positive, "p").withColumn("label", F.lit(1))
+    ids = ids.unionByName(bounded(known.select("doc_id"), most_unlabelled, "u").withColumn("label", F.lit(0)))
     with small_batches(spark):
         work = Workspace(spark, "toxicity")
-        rows = docs.join(positive_ids, "doc_id").withColumn("label", F.lit(1)).unionByName(bounded_text(pool, most_unlabelled, "u").withColumn("label", F.lit(0)))
-        model = train(rows, word_features, fit_toxicity(prior, most_features))
+        ids = work.table(ids, "sample")
+        text = one_text(docs, ids.select("doc_id").distinct()).select("doc_id", "text")
+        model = train(text.join(F.broadcast(ids), "doc_id"), word_features, fit_toxicity(prior, most_features))
         out = score(spark, docs, model, word_features)
         out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
         out = work.table(ids_back(out), "result")
+        work.keep("result")
     return out
-
-
-def bounded_text(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """As :func:`bounded`, without reading the texts for the count."""
-    n = rows.select("doc_id").count()
-    if n <= most:
-        return rows
-    share = int(most / n * (1 << 32))
-    return rows.where(F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary")) < share).limit(2 * most)

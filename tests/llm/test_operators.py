@@ -657,3 +657,104 @@ def test_jaccard_of_many_near_copies(spark):
     got = by_id(jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
     assert {i: got[i].component_id for i, _ in rows} == component
     assert 20 < len(set(component.values())) < 680
+
+
+def random_samples(seed, n=60, dims=12):
+    from quillgraph.llm.features import Samples
+
+    r = np.random.default_rng(seed)
+    rows = [np.flatnonzero(r.random(dims) < 0.3) for _ in range(n)]
+    label = (r.random(n) < 0.4).astype(np.int64)
+    names = np.arange(100, 100 + dims, dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    return Samples(label, first, names[np.concatenate(rows)]), rows, label
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.9])
+def test_nnpu_slope_is_the_risks(prior):
+    """The slope against differences of the risk as it is written, on both sides of the correction."""
+    from quillgraph.llm.toxicity import Risk
+
+    samples, rows, label = random_samples(1)
+    r = np.random.default_rng(2)
+    value = r.random(12) + 0.5
+    risk = Risk(samples.first, (samples.feature - 100).astype(np.int64), value, label == 1, prior, 0.01)
+    sides = set()
+    for _ in range(20):
+        w = r.normal(0, 2, 13)
+
+        def parts(w):
+            g = [sum(w[j] * value[j] for j in x) + w[-1] for x in rows]
+            s = [1 / (1 + math.exp(-x)) for x in g]
+            pos, unl = [x for x, y in zip(s, label) if y], [x for x, y in zip(s, label) if not y]
+            return prior * np.mean([1 - x for x in pos]), np.mean(unl) - prior * np.mean(pos)
+
+        def objective(w, negative):
+            a, b = parts(w)
+            return (-b if negative else a + b) + 0.005 * (w[:-1] ** 2).sum()
+
+        a, b = parts(w)
+        assert risk.terms(w) == pytest.approx((a, b))
+        sides.add(b < 0)
+        want = [(objective(w + 1e-5 * e, b < 0) - objective(w - 1e-5 * e, b < 0)) / 2e-5 for e in np.eye(13)]
+        assert risk.slope(w) == pytest.approx(want, abs=1e-6)
+    assert (True in sides) if prior == 0.9 else (False in sides)
+
+
+def test_log_count_ratios_and_dual_descent_match_plain_versions():
+    from quillgraph.llm import quality as q
+
+    samples, rows, label = random_samples(5)
+    hashes, ratio = q.log_count_ratios(samples, label == 1, 100, 1.0, 3)
+    p, n = label.sum(), (1 - label).sum()
+    want = {}
+    for j in range(12):
+        a = sum(1 for x, y in zip(rows, label) if y and j in x)
+        b = sum(1 for x, y in zip(rows, label) if not y and j in x)
+        if a + b >= 3:
+            want[100 + j] = math.log((a + 1) / (p + 2)) - math.log((b + 1) / (n + 2))
+    assert dict(zip(hashes.tolist(), ratio)) == pytest.approx(want)
+    assert set(q.log_count_ratios(samples, label == 1, 4, 1.0, 3)[0].tolist()) <= set(want)
+
+    # the dual's optimum by long projected gradient descent on its box
+    x = np.zeros((60, 13))
+    for i, f in enumerate(rows):
+        x[i, f] = [want.get(100 + j, 0.0) for j in f]
+    x[:, -1] = 1
+    y = np.where(label == 1, 1.0, -1.0)
+    kernel = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(kernel).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (kernel @ alpha - 1), 0, 0.1)
+    value = np.array([want.get(100 + j, 0.0) for j in range(12)])
+    w = q.dual_descent(samples.first, (samples.feature - 100).astype(np.int64), value[(samples.feature - 100).astype(np.int64)], y, 12, 0.1, 2000)
+    primal = lambda w: 0.5 * w @ w + 0.1 * np.maximum(0, 1 - y * (x @ w)).sum()
+    assert primal(w) == pytest.approx(primal((alpha * y) @ x), rel=1e-3)
+
+
+@pytest.mark.parametrize(("operator", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_with_repeated_and_null_ids(spark, operator, column):
+    docs, labels = labelled(spark, "vile awful rotten")
+    more = spark.createDataFrame([(None, "vile awful rotten", "clash"), (None, None, "x"), (7, "another text", "y"), (7, "another text", "y")], "doc_id long, text string, label string")
+    got = operator(spark, docs.unionByName(more), labels.unionByName(labels)).collect()
+    assert len(got) == 408 and sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 7 for r in got) == 3
+    assert all(r.predicted == int(r.score >= (0.5 if operator is toxicity else 0.3)) for r in got)
+
+
+def test_words_with_one_hash_stay_apart():
+    from quillgraph.llm import substring_dedup as sd
+    from quillgraph.llm.repeats import same_slices, settled
+
+    text = b"ab cd ab cd ef "
+    data = np.frombuffer(text, np.uint8)
+
+    class T(list):
+        start, end = np.array([0, 3, 6, 9, 12]), np.array([2, 5, 8, 11, 14])
+        hash = np.array([1, 1, 1, 1, 2], np.uint64)
+
+    name = sd.word_names(T([0] * 5), data)
+    assert name[0] == name[2] and name[1] == name[3] and len(set(name.tolist())) == 3
+    assert same_slices(data, np.array([0, 0, 3]), np.array([6, 3, 9]), np.array([5, 2, 2]), step=3).tolist() == [True, False, True]
+    one = np.zeros(5, np.int64)
+    head, later = settled(data, T.start, np.full(5, 2), one, np.arange(5), one)
+    assert sorted(head.tolist()) == [0, 1, 4] and sorted(later.tolist()) == [2, 3]
