@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Chunk, byte_grams, chunks, spread
-from .shared import NO_ID, Workspace, ids_back, small_batches, texts
+from .shared import NO_ID, Workspace, ids_back, row_type, small_batches, texts
 
 Q = 12
 INDEX_BYTES = 8 << 20
@@ -176,34 +176,38 @@ def found_items(items: Items, chunk: Chunk, length: int, rate: float) -> list[li
     return [sorted(x) for x in out]
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, length: int = 100, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, items (ids of the items of which the document holds a passage), n_items, contaminated; one row per row."""
-    docs = texts(docs, id_col, text_col)
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, length: int = 100, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Returns doc_id, items (ids of the items of which the document holds a passage), n_items, contaminated; one row per row.
+
+    With ``carry`` also ``row``, the columns of docs as a struct.
+    """
+    docs = texts(docs, id_col, text_col, carry)
+    extra = [c for c in docs.columns if c == "row"]
     bench = texts(benchmark, "item_id", "text")
     with small_batches(spark):
         work = Workspace(spark, "decontaminate")
         size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, -(-size // INDEX_BYTES))
         if blocks > 1:  # several scans: the rows need a name
-            docs = work.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+            docs = work.table(docs.withColumn("at", F.monotonically_increasing_id()), "rows")
         found = None
         for k in range(blocks):
             mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
             rows = sorted((r[0], r[1]) for r in mine.toLocalIterator())
             sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [r[1].encode() for r in rows]))
-            name = "doc_id" if blocks == 1 else "row"
+            names = ["doc_id", *extra] if blocks == 1 else ["at"]
 
-            def step(batches: Iterator[pa.RecordBatch], sent=sent, name=name, all_rows=blocks == 1) -> Iterator[pa.RecordBatch]:
+            def step(batches: Iterator[pa.RecordBatch], sent=sent, names=names, all_rows=blocks == 1) -> Iterator[pa.RecordBatch]:
                 items = Items(*sent.value)
                 for chunk in chunks(batches):
                     held = [sorted({int(items.ids[t]) for t in x}) for x in found_items(items, chunk, length, rate)]
-                    at = np.arange(chunk.n) if all_rows else np.flatnonzero([len(x) for x in held])
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.column(name)[at]), pa.array([held[i] for i in at], pa.list_(pa.int64()))], [name, "items"])
+                    out = pa.RecordBatch.from_arrays([*chunk.carried(names), pa.array(held, pa.list_(pa.int64()))], [*names, "items"])
+                    yield out if all_rows else out.filter(pa.array([len(x) > 0 for x in held]))
 
-            part = work.table(docs.select(name, "text").mapInArrow(step, f"{name} long, items array<long>"), f"block-{k}")
+            part = work.table(docs.select("text", *names).mapInArrow(step, f"{names[0]} long{row_type(docs.select(*names))}, items array<long>"), f"block-{k}")
             found = part if found is None else found.unionByName(part)
         if blocks > 1:
-            found = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            found = docs.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+            found = found.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            found = docs.select("at", "doc_id", *extra).join(found, "at", "left").select("doc_id", *extra, F.coalesce("items", F.array().cast("array<long>")).alias("items"))
         found = found.withColumn("items", F.transform("items", lambda x: F.when(x != NO_ID, x)))
-        return ids_back(found.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated")))
+        return ids_back(found.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"), *extra))

@@ -33,6 +33,7 @@ text of fewer words than a shingle has one shingle, its whole sequence.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,8 +108,8 @@ def overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (a + b) // (num + den))
 
 
-def scan(docs: DataFrame, k: int, work: Workspace, parts: int) -> tuple[DataFrame, str]:
-    """The table (doc_id, n, cls, check) and the folder of frequent shingles with their counts."""
+def scan(docs: DataFrame, k: int, work: Workspace, parts: int, digests: bool = False) -> tuple[DataFrame, str]:
+    """The table (doc_id, n, cls, check, digest) and the folder of frequent shingles with their counts."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -118,15 +119,16 @@ def scan(docs: DataFrame, k: int, work: Workspace, parts: int) -> tuple[DataFram
             count = np.diff(np.append(first, len(h)))
             often = count >= OFTEN
             m = chunk.n
+            digest = pa.array([hashlib.sha256(chunk.text(i)).digest() for i in range(m)], pa.binary()) if digests else pa.nulls(m, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.column("doc_id")), pa.array(s.n, pa.int64()), pa.array(s.cls.view(np.int64)), pa.array(s.check.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [pa.array(chunk.column("doc_id")), pa.array(s.n, pa.int64()), pa.array(s.cls.view(np.int64)), pa.array(s.check.view(np.int64)), digest, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names,
             )
             for b in packed(bucket(h[first[often]], parts), [h[first[often]], count[often].astype(np.uint32)]):
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64()) for _ in range(4)], *b.columns], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, pa.int64()) for _ in range(4)], pa.nulls(b.num_rows, pa.binary()), *b.columns], names)
 
-    names = ["doc_id", "n", "cls", "check", "pid", "blob"]
-    seen = work.table(docs.mapInArrow(look, "doc_id long, n long, cls long, check long, pid int, blob binary"), "scan")
+    names = ["doc_id", "n", "cls", "check", "digest", "pid", "blob"]
+    seen = work.table(docs.mapInArrow(look, "doc_id long, n long, cls long, check long, digest binary, pid int, blob binary"), "scan")
     folder = work.folder("frequent")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def scan(docs: DataFrame, k: int, work: Workspace, parts: int) -> tuple[DataFram
         yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int64())], ["n"])
 
     seen.where("pid is not null").select("pid", "blob").repartitionById(parts, "pid").mapInArrow(keep, "n long").agg(F.sum("n")).first()
-    return seen.where("pid is null").select("doc_id", "n", "cls", "check"), folder
+    return seen.where("pid is null").select("doc_id", "n", "cls", "check", "digest"), folder
 
 
 class Frequent:
@@ -603,18 +605,20 @@ def settle(rows: DataFrame, folders: list[str], num: int, den: int, parts: int)
     return rows.repartitionById(parts, "pid").mapInArrow(join, PAIRS)
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Components of the documents under ``den * |A & B| >= num * |A | B|`` on sets of k-word shingles.
 
     Returns doc_id, n_shingles, component_id (the least id reachable by links,
-    itself included), class_id (documents with equal sets share it).  Rows that
-    repeat an id are linked if their texts are.
+    itself included), class_id (documents with equal sets share it), component
+    (a name for each component: rows that share a least id may be in several;
+    null without shingles), and with ``digests`` text_sha256.  Rows that repeat an
+    id are linked if their texts are.
     """
     parts = partitions(spark)
     work = Workspace(spark, "shingles")
     docs = texts(docs, id_col, text_col)
     with small_batches(spark):
-        sets, frequent = scan(docs, k, work, parts)
+        sets, frequent = scan(docs, k, work, parts, digests)
         lists = work.table(merge_lists(docs, k, num, den, frequent, parts), "lists")
         classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c0"), F.max("check").alias("c1"))
         classes = work.table(classes.select("cls", F.when(F.col("c0") == F.col("c1"), F.col("doc_id")).otherwise(F.raise_error(F.lit("two shingle sets share a 64-bit class id")).cast("long")).alias("doc_id")), "classes")
@@ -641,8 +645,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         work.drop("sets-first", "sets-rest", "units", "met", "ends")
         named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "label").select("cls", "component_id")
-        out = sets.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"))
+        named = named.join(least, "label").select("cls", "label", "component_id")
+        out = sets.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("cls")).alias("class_id"), F.when(F.col("n") > 0, F.col("label")).alias("component"), *([F.lower(F.hex("digest")).alias("text_sha256")] if digests else []))
         out = work.table(ids_back(out, "doc_id", "component_id"), "result")
         work.keep("result")
     return out

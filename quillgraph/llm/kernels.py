@@ -106,6 +106,10 @@ class Chunk:
     def column(self, name: str) -> np.ndarray:
         return self.table.column(name).to_numpy()
 
+    def carried(self, names: list[str]) -> list[pa.Array]:
+        """Columns as they came."""
+        return [self.table.column(x).combine_chunks() for x in names]
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 

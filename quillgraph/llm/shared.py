@@ -92,9 +92,15 @@ def partitions(spark: SparkSession) -> int:
 NO_ID = -(1 << 63)
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads, under fixed names; a null text counts as empty."""
-    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The two columns an operator reads, under fixed names; a null text counts as empty.  ``carry`` adds the whole row."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *row)
+
+
+def row_type(df: DataFrame) -> str:
+    """For the schema of a step's output: the carried row, if there is one."""
+    return f", row {df.schema['row'].dataType.simpleString()}" if "row" in df.columns else ""
 
 
 def ids_back(df: DataFrame, *columns: str) -> DataFrame:

@@ -123,15 +123,17 @@ def toxicity(
     most_features: int = 20000,
     prior: float | None = None,
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
     """Score every document; labels (doc_id, toxic) count only where crc32(doc_id) % 5 is not 0.
 
     ``most_positive`` and ``most_unlabelled`` bound the rows of ``labels`` that
     train the model, ``most_features`` its dictionary; all documents are scored.
-    Returns doc_id, held_out, score, predicted (1 at 0.5 or more), one row per row.
+    Returns doc_id, held_out, score, predicted (1 at 0.5 or more), one row per row;
+    with ``carry`` also ``row``, the columns of docs as a struct.
     """
     ship(spark)
-    docs = texts(docs, text_col=text_col)
+    docs = texts(docs, text_col=text_col, carry=carry)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(training_ids())
     if prior is None:
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -144,7 +146,7 @@ def toxicity(
         text = one_text(docs, ids.select("doc_id").distinct()).select("doc_id", "text")
         model = train(text.join(F.broadcast(ids), "doc_id"), word_features, fit_toxicity(prior, most_features))
         out = score(spark, docs, model, word_features)
-        out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+        out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *[c for c in docs.columns if c == "row"])
         out = work.table(ids_back(out), "result")
         work.keep("result")
     return out
