@@ -9,12 +9,11 @@ ends with one end token.  Training takes these steps, each over all documents:
    dealt by their context, so a context's totals come together.  Contexts of
    very frequent words (at most ``HOT_WORDS`` per partition, by their counts)
    are dealt by the whole gram and their totals added up afterwards.
-3. Each lower order counts the distinct left neighbours of its grams: grams one
-   word longer are read from the texts again and dealt by what follows their
-   first word.  Those of which all that is frequent words are dealt by the whole
-   and their numbers of neighbours added up afterwards.
+3. Each lower order counts the distinct left neighbours of its grams.  A gram one
+   word longer is in one partition of the order above, so that partition adds up
+   the neighbours it has of each shorter gram and sends the sum on.
 
-Steps 2 and 3 take ``ROUNDS`` passes over the texts, each for its share of the
+Step 2 takes ``ROUNDS`` passes over the texts, each for its share of the
 partitions, so that only so much of the grams is shuffled at a time; a pass's
 shuffle is removed with it.  Every gram is in exactly one pass.
 
@@ -185,13 +184,9 @@ def all_hot(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([np.isin(c, hot) for c in columns])
 
 
-def dealt(columns: list[np.ndarray], top: bool, hot: np.ndarray, parts: int) -> np.ndarray:
-    """Partition where a gram is counted, or, below the highest order, one word and the gram whose left neighbour it is."""
-    key = columns if top else columns[1:]
-    to = place_of(key, gram_hash(key[:-1]), gram_hash(key), hot, parts)
-    if not top and len(both := np.flatnonzero(all_hot(key, hot))):
-        to[both] = bucket(gram_hash([c[both] for c in columns]), parts)
-    return to
+def dealt(columns: list[np.ndarray], hot: np.ndarray, parts: int) -> np.ndarray:
+    """Partition where a gram is counted."""
+    return place_of(columns, gram_hash(columns[:-1]), gram_hash(columns), hot, parts)
 
 
 def _fresh(columns: list[np.ndarray]) -> np.ndarray:
@@ -280,77 +275,63 @@ def write_grams(folder: str, pid: int, columns: list[np.ndarray], count: np.ndar
     return np.array([(count == c).sum() for c in (1, 2, 3, 4)], np.int64), context[begin[part]], totals[part]
 
 
-def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tuple[list[DataFrame], np.ndarray]:
-    """Write the files of order k; for order 2 packed words with their numbers of left neighbours, and the numbers of grams counted 1 to 4 times."""
+def _count_order(given: DataFrame, k: int, model: Model, work: Workspace) -> tuple[DataFrame, np.ndarray]:
+    """Write the files of order k, for the highest from texts, for others from what the order above left.
+
+    Returns packed rows for the order below (for order 1 words, else grams,
+    with their numbers of left neighbours here), and the numbers of grams
+    counted 1 to 4 times.
+    """
     parts, hot, sizes, top = model.parts, model.hot, model.sizes, k == model.order
     folder, words, lexicon_first = f"{work.base}/order-{k}", f"{work.base}/lexicon", np.concatenate([[0], np.cumsum(model.sizes[:, 0])])
-    n, rounds = k if top else k + 1, min(ROUNDS, parts)
+    rounds = min(ROUNDS, parts)
     names, schema = ["kind", "pid", "blob", "some"], "kind int, pid int, blob binary, some array<long>"
 
     def grams(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words, sizes)
         for chunk in chunks(batches):
             h, first = token_hashes(chunk)
-            text, place = padded(lexicon.look(h)[0], first, n - 1, lexicon.start)
-            columns = [text[place - back].astype(np.uint32) for back in range(n - 1, -1, -1)]
-            to = dealt(columns, top, hot, parts)
+            text, place = padded(lexicon.look(h)[0], first, k - 1, lexicon.start)
+            columns = [text[place - back].astype(np.uint32) for back in range(k - 1, -1, -1)]
+            to = dealt(columns, hot, parts)
             mine = np.flatnonzero(to % rounds == turn)
             columns, to = [c[mine] for c in columns], to[mine]
             order = _order(columns)
             columns, to = [c[order] for c in columns], to[order]
             at = _fresh(columns)
-            count = [np.diff(np.append(at, len(to)))] if top else []
-            yield from packed(to[at] // rounds, planes([*[c[at] for c in columns], *count]))
+            yield from packed(to[at] // rounds, planes([*[c[at] for c in columns], np.diff(np.append(at, len(to)))]))
 
     def rows(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
 
-    def written(pid: int, columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of kind 0 for the order below 2, of kind 3 with the totals of split contexts, and one of kind 2 with the statistics."""
-        if not len(count):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 0 for the order below, of kind 3 with the totals of split contexts, and one of kind 2 with the statistics."""
+        columns = from_planes(unpacked(batches, [np.uint8] * (4 * (k + 1))))
+        if not len(columns[0]):
             return
-        some, context, totals = write_grams(folder, pid, columns, count, hot)
+        columns, count = _summed(columns[:-1], columns[-1])
+        some, context, totals = write_grams(folder, int(dealt([c[:1] for c in columns], hot, parts)[0]), columns, count, hot)
         yield from rows(3, packed(bucket(context, parts), [context, *totals.T]))
         if k == 2:
             lower, left = _single(columns[1])
             yield from rows(0, packed((np.searchsorted(lexicon_first, lower[0], side="right") - 1).astype(np.int32), [lower[0].astype(np.uint32), left.astype(np.uint32)]))
+        else:
+            # a gram is in one partition only, so numbers of left neighbours add up
+            lower = [c[_order(columns[1:])] for c in columns[1:]]
+            at = _fresh(lower)
+            left, lower = np.diff(np.append(at, len(lower[0]))), [c[at] for c in lower]
+            yield from rows(0, packed(dealt(lower, hot, parts), planes([*lower, left])))
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], pa.list_(pa.int64()))], names)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = from_planes(unpacked(batches, [np.uint8] * (4 * (n + top))))
-        if not len(columns[0]):
-            return
-        pid = int(dealt([c[:1] for c in columns[:n]], top, hot, parts)[0])
-        if top:
-            yield from written(pid, *_summed(columns[:-1], columns[-1]))
-            return
-        # each distinct left neighbour once
-        columns = [*columns[1:], columns[0]]
-        order = _order(columns)
-        columns = [c[order] for c in columns]
-        at = _fresh(columns)
-        columns = [c[at] for c in columns[:-1]]
-        at = _fresh(columns)
-        left, columns = np.diff(np.append(at, len(columns[0]))), [c[at] for c in columns]
-        both = all_hot(columns, hot)
-        part = [c[both] for c in columns]
-        yield from rows(1, packed(bucket(gram_hash(part), parts), [*part, left[both].astype(np.uint32)]))
-        yield from written(pid, [c[~both] for c in columns], left[~both])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = unpacked(batches, [np.uint32] * (k + 1))
-        columns, count = _summed(arrays[:-1], arrays[-1])
-        if len(count):
-            yield from written(parts + int(bucket(gram_hash([c[:1] for c in columns]), parts)[0]), columns, count)
-
-    tables = []
-    for turn in range(rounds):
-        dealt_out = docs.mapInArrow(lambda batches, turn=turn: grams(batches, turn), PACKED).repartitionById(-(-(parts - turn) // rounds), "pid")
-        tables.append(work.table(dealt_out.mapInArrow(settle, schema), f"rows-{k}-{turn}"))
-    if not top:
-        again = functools.reduce(DataFrame.unionByName, tables).where("kind = 1").select("pid", "blob").repartitionById(parts, "pid")
-        tables.append(work.table(again.mapInArrow(add, schema), f"rows-{k}-hot"))
+    if top:
+        tables = []
+        for turn in range(rounds):
+            dealt_out = given.mapInArrow(lambda batches, turn=turn: grams(batches, turn), PACKED).repartitionById(-(-(parts - turn) // rounds), "pid")
+            tables.append(work.table(dealt_out.mapInArrow(settle, schema), f"rows-{k}-{turn}"))
+        left = functools.reduce(DataFrame.unionByName, tables)
+    else:
+        left = work.table(given.repartitionById(parts, "pid").mapInArrow(settle, schema), f"rows-{k}")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, *sums = unpacked(batches, [np.uint64] + [np.int64] * 4)
@@ -362,11 +343,9 @@ def _count_order(docs: DataFrame, k: int, model: Model, work: Workspace) -> tupl
             write_array(folder, f"{pid:08d}.hotcontext", context[order][begin])
         yield pa.RecordBatch.from_arrays([pa.array([len(begin)], pa.int64())], ["n"])
 
-    whole = functools.reduce(DataFrame.unionByName, tables)
-    whole.where("kind = 3").select("pid", "blob").repartitionById(parts, "pid").mapInArrow(total, "n long").agg(F.sum("n")).first()
-    some = whole.where("kind = 2").select(*[F.sum(F.element_at("some", c + 1)).alias(f"n{c}") for c in range(4)]).first()
-    some = np.array([x or 0 for x in some])
-    return [t.where("kind = 0").select("pid", "blob") for t in tables], some
+    left.where("kind = 3").select("pid", "blob").repartitionById(parts, "pid").mapInArrow(total, "n long").agg(F.sum("n")).first()
+    some = left.where("kind = 2").select(*[F.sum(F.element_at("some", c + 1)).alias(f"n{c}") for c in range(4)]).first()
+    return left.where("kind = 0").select("pid", "blob"), np.array([x or 0 for x in some])
 
 
 def _single(words: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -384,12 +363,13 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
     sizes = model.sizes
     if lexicon.size > 0xFFFFFFF0:
         raise ValueError("word numbers are 32 bits wide")
+    rows = docs
     for k in range(order, 1, -1):
-        tables, some = _count_order(docs, k, model, work)
+        rows, some = _count_order(rows, k, model, work)
         model.discount[k] = discounts(some)
-        if k > 2:
-            work.drop(*[f"rows-{k}-{x}" for x in (*range(ROUNDS), "hot")])
-    rows = functools.reduce(DataFrame.unionByName, tables)
+        if k < order:
+            work.drop(*names)
+        names = [f"rows-{k}-{x}" for x in range(ROUNDS)] if k == order else [f"rows-{k}"]
     folder = work.folder("order-1")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +386,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int, work: Workspace, par
     total = np.sum(found, axis=0) if found else np.zeros(6)
     model.discount[1] = discounts(total[:4])
     model.unigram = np.array([total[4], total[0], total[1], total[5]], float)
-    work.drop(*[f"rows-2-{x}" for x in (*range(ROUNDS), "hot")])
+    work.drop(*names)
     return model
 
 
@@ -525,13 +505,13 @@ class Scorer:
         spare = float(np.dot(d[1:], n)) / total if total else 1.0
         p = (left - d[np.minimum(left, 3)]) / max(total, 1) + spare / (lex.size + 1)
         text, place = padded(numbers, first, m.order - 1, lex.start)
+        hot = np.isin(text, m.hot)
         for k in range(2, m.order + 1):
             columns = [text[place - back] for back in range(k - 1, -1, -1)]
-            whole, context = gram_hash(columns), gram_hash(columns[:-1])
-            split = all_hot(columns[:-1], m.hot)
-            home = np.where(split, bucket(whole, m.parts), -1)
-            if k < m.order:
-                home[split & np.isin(columns[-1], m.hot)] += m.parts
+            context = gram_hash(columns[:-1])
+            split = np.logical_and.reduce([hot[place - back] for back in range(k - 1, 0, -1)])
+            home = np.full(len(split), -1, np.int32)
+            home[split] = bucket(gram_hash([c[split] for c in columns]), m.parts)
             d = m.discount[k]
             count, total, off = self.orders[k].look(context, columns[-1], split, home, d)
             p = np.where(total > 0, (count - d[np.minimum(count, 3)] + off * p) / np.where(total > 0, total, 1), p)
