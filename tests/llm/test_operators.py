@@ -758,3 +758,61 @@ def test_words_with_one_hash_stay_apart():
     one = np.zeros(5, np.int64)
     head, later = settled(data, T.start, np.full(5, 2), one, np.arange(5), one)
     assert sorted(head.tolist()) == [0, 1, 4] and sorted(later.tolist()) == [2, 3]
+
+
+def table_dir(spark, folder, docs, labels, benchmark):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Every stage against a plain version: nulls, repeated ids and rows, empty and long texts, clashing columns."""
+    import corpus_pipeline as cp
+
+    docs, labels = labelled(spark, "vile awful rotten")
+    items = [(k, " ".join(f"item{k}word{j}" for j in range(9))) for k in range(3)]
+    r = random.Random(21)
+    base = [" ".join(f"v{r.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    near = [b.rsplit(" ", 2)[0] + " other end" for b in base]
+    long = " ".join(f"long{j}" for j in range(40000))
+    more = [(1000 + k, t) for k, t in enumerate(base)] + [(900 + k, t) for k, t in enumerate(near)] + [(None, base[0]), (None, "vile awful rotten"), (None, None), (2000, "same"), (2000, "same"), (2000, "other same id"), (2001, ""), (2002, long), (1500, long + " end"), (2003, f"x {items[1][1]} y"), (None, items[2][1]), (2004, items[0][1][:30])]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "id", "digest", "one", "component", "items"]
+    given = spark.createDataFrame([(r.doc_id, r.text) for r in docs.collect()] + more, "doc_id long, text string")
+    given = given.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit("r").alias("row"), F.lit(7).cast("long").alias("id"), F.lit("d").alias("digest"), F.lit(1).alias("one"), F.lit(2).cast("long").alias("component"), F.lit("i").alias("items"))
+    assert given.columns == names
+    sf_dir = table_dir(spark, tmp_path, given, labels, spark.createDataFrame(items, "item_id long, text string"))
+    rows = lambda df: Counter((x.doc_id, x.text) for x in df.collect())
+
+    now, docs = rows(given), given
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf_dir)
+        before, docs = now, spark.createDataFrame(out.collect(), out.schema)
+        now = rows(docs)
+        assert not now - before
+        if k < 4:
+            assert docs.columns == names
+        if k == 0:
+            gone = before - now
+            assert all("vile awful rotten" in (t or "") for _, t in gone) and sum(gone.values()) > 50
+            assert not any("vile awful rotten" in (t or "") for _, t in now)
+        elif k == 1:
+            best = {}
+            for i, t in before:
+                key = t or ""
+                best[key] = max(best.get(key, -1), -1 if i is None else i)
+            assert Counter({((None if i == -1 else i), key): 1 for key, i in best.items()}) == Counter({(i, t or ""): n for (i, t), n in now.items()})
+        elif k == 2:
+            listed = sorted(before.elements(), key=lambda x: (-1 if x[0] is None else x[0], sha((x[1] or "").encode())))
+            sets, component = brute_components([(n, t) for n, (_, t) in enumerate(listed)])
+            want = [listed[n] for n in range(len(listed)) if component[n] == n]
+            assert Counter(want) == now and len(want) < len(listed)
+        elif k == 3:
+            want = {x for x in before if "item" not in (x[1] or "") or not any(holds(t, x[1], 100, 0.06) for _, t in items)}
+            assert set(now) == want and len(want) == len(before) - 2  # what shares no q-gram holds nothing
+        else:
+            assert 0 < len(now) <= len(before) and {"weight", "probability", "topic", "n_tokens"} <= set(docs.columns)
+    empty = given.limit(0)
+    for _, stage in cp.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0
