@@ -8,6 +8,7 @@ returns a DataFrame.  ``EXTRA`` holds those registered as queries: name to
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -51,7 +52,7 @@ def co_change(commits: DataFrame, most_files: int = 50, least_commits: int = 3,
 
 
 def _driver_commits(t: Tables) -> DataFrame:
-    orders = t["orders"].where("o_orderkey % 29 = 0").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("commit"))
+    orders = t["orders"].select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("commit"))
     files = t["lineitem"].join(t["supplier"], F.expr("s_suppkey = l_suppkey")).select("l_orderkey", F.format_string("n%d.py", "s_nationkey").alias("file"))
     return orders.join(files, F.expr("o_orderkey = l_orderkey")).select("commit", "file", F.col("commit").alias("at"))
 
@@ -59,7 +60,7 @@ def _driver_commits(t: Tables) -> DataFrame:
 @extra(
     "derive_co_change",
     """
-    WITH c AS (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS k, 'n' || s_nationkey || '.py' AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 29 = 0),
+    WITH c AS (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS k, 'n' || s_nationkey || '.py' AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey),
     s AS (SELECT * FROM c WHERE k IN (SELECT k FROM c GROUP BY k HAVING count(*) <= 50)), n AS (SELECT f, count(*) AS n FROM s GROUP BY f),
     p AS (SELECT a.f AS src, b.f AS dst, count(*) AS commits, max(a.k) AS last_co_change_at FROM s a JOIN s b ON a.k = b.k AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
     SELECT src, dst, commits, commits / CAST(x.n + y.n - commits AS DOUBLE) AS jaccard, last_co_change_at FROM p JOIN n x ON x.f = src JOIN n y ON y.f = dst WHERE commits / CAST(x.n + y.n - commits AS DOUBLE) >= 0.05
@@ -153,7 +154,11 @@ def coverage_report(t: Tables) -> DataFrame:
 
 # -------------------------------------------------------------- similarity
 # Words too common to search for.
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "is", "of", "to", "in", "on", "at", "by", "an", "as", "it", "or", "be")
+STOPWORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "man", "new", "now", "old",
+    "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use", "from", "with", "this", "that", "they", "have", "what", "when", "your", "which",
+    "their", "would", "there", "these", "those", "into", "than", "then", "them", "such", "only", "some", "more", "much", "very", "most", "also", "other", "where", "while", "after", "before",
+)
 
 
 def tokens(text):
@@ -186,7 +191,7 @@ def bm25(docs: DataFrame, query: str, top: int = 10, k1: float = 1.5, b: float =
     return scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
 
 
-_BM25 = """, d AS (SELECT id, list_filter(string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({stop})) AS w FROM "Doc"),
+_BM25 = """, d AS (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', title, summary, text)), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({stop})) AS w FROM "Doc" JOIN documents ON doc_id = dkey),
     s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d), h AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM d) WHERE term IN ({words}) GROUP BY id, dl, term), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
     SELECT id, round(sum(q.k * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(a, 1)))), 6) AS score
     FROM h JOIN f USING (term) JOIN (SELECT term, count(*) AS k FROM (VALUES {rows}) AS v(term) GROUP BY term) q USING (term), s GROUP BY id HAVING score > 0 ORDER BY score DESC, id LIMIT 10"""
@@ -201,7 +206,9 @@ def _bm25_sql(query: str) -> str:
 
 @extra("similar_docs_bm25", _bm25_sql(QUERY), "Doc")
 def similar_docs(t: Tables) -> DataFrame:
-    return bm25(t["Doc"].select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias("text")), QUERY)
+    """Over titles, summaries and whole texts."""
+    whole = t["Doc"].join(t["documents"].select(F.col("doc_id").alias("dkey"), "text"), "dkey")
+    return bm25(whole.select("id", F.concat_ws(" ", "title", "summary", "text").alias("text")), QUERY)
 
 
 def cosine_top(vectors: DataFrame, query: list[float], top: int = 10) -> DataFrame:
@@ -241,9 +248,14 @@ def nearest_entities(t: Tables) -> DataFrame:
 
 # -------------------------------------------------------------- traversals
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's frame where the session has a checkpoint folder."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """Cut the lineage of a loop's frame, in the session's checkpoint folder; without one, as in tests, in a new one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
+    return df.checkpoint()
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -280,28 +292,23 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10) -> DataFrame:
-    """(step, id) of the shortest undirected path; among equals, each node has its least parent."""
-    near = reach(undirected(edges), edges.sparkSession.createDataFrame([(source,)], "id string"), most)
-    parents = undirected(edges).join(near.select(F.col("id").alias("src"), F.col("depth").alias("ds")), "src").join(near.select(F.col("id").alias("dst"), F.col("depth").alias("dd")), "dst").where("dd = ds + 1").groupBy("dst", "dd").agg(F.min("src").alias("parent"))
-    path, at = [], target
-    found = near.where(F.col("id") == target).first()
-    if found is None:
-        return edges.sparkSession.createDataFrame([], "step int, id string")
-    steps = {r.dst: r.parent for r in reach_back(parents, target, int(found.depth))}
-    for k in range(int(found.depth), -1, -1):
-        path.append((k, at))
-        at = steps.get(at)
-    return edges.sparkSession.createDataFrame(sorted(path), "step int, id string")
-
+    """(step, id) of the shortest undirected path; among equals, each node has its least parent.
 
-def reach_back(parents: DataFrame, target: str, depth: int) -> list:
-    """The chain of parents of one node: one row a step."""
-    rows, at = [], target
-    for _ in range(depth):
-        r = parents.where(F.col("dst") == at).first()
-        rows.append(r)
-        at = r.parent
-    return rows
+    Empty without a path of ``most`` steps.  One search, then one job that goes
+    back from the target by a join for each step.
+    """
+    spark, both = edges.sparkSession, undirected(edges)
+    near = reach(both, spark.createDataFrame([(source,)], "id string"), most)
+    found = near.where(F.col("id") == target).select("depth").first()
+    if found is None:
+        return spark.createDataFrame([], "step int, id string")
+    at = spark.createDataFrame([(int(found.depth), target)], "step int, id string")
+    path = at
+    for depth in range(int(found.depth) - 1, -1, -1):
+        level = near.where(F.col("depth") == depth).select(F.col("id").alias("src"))
+        at = both.join(at.select(F.col("id").alias("dst")), "dst").join(level, "src").agg(F.min("src").alias("id")).select(F.lit(depth).alias("step"), "id")
+        path = path.unionByName(at)
+    return path.orderBy("step")
 
 
 @extra(
@@ -317,13 +324,13 @@ def doc_subgraph(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------- communities
-def label_propagation(edges: DataFrame, passes: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, passes: int = 50) -> DataFrame:
     """(id, label): synchronous label propagation over undirected edges; the commonest label wins, the least on ties.
 
     A node that would swap labels for ever with a neighbour keeps the lesser of
     its last two, which settles bipartite oscillation.
     """
-    both = undirected(edges.where("src <> dst")).persist()
+    both = _cut(undirected(edges.where("src <> dst")))
     labels = _cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(passes):
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
@@ -14,36 +14,51 @@ from ...sources.driver_tables import ctes
 
 @dataclass(frozen=True)
 class Query:
-    """``params`` holds the parameters with example values, as strings."""
+    """``params`` holds the parameters with example values, as strings; ``defaults`` what stands for those that may be left out."""
 
     name: str
     category: str
     about: str
     params: dict[str, str]
     build: Callable[[SimpleNamespace], Rel]
+    defaults: dict[str, str] = field(default_factory=dict)
 
     def plan(self, /, **given: str) -> Rel:
-        """Missing parameters are errors unless an example value stands for them; others are ignored."""
-        return self.build(SimpleNamespace(**{k: lit(str(given.get(k, v))) for k, v in self.params.items()}))
+        """A parameter without a default must be given; parameters that the query has not are ignored."""
+        values = {**self.defaults, **given}
+        if missing := [k for k in self.params if k not in values]:
+            raise ValueError(f"{self.name}: missing parameter {', '.join(missing)}; it takes {', '.join(self.params)}")
+        return self.build(SimpleNamespace(**{k: lit(str(values[k])) for k in self.params}))
 
     def run(self, tables: Mapping[str, DataFrame], /, **given: str) -> DataFrame:
         return self.plan(**given).spark(tables)
 
-    def sql(self, /, **given: str) -> str:
-        plan = self.plan(**given)
+    def example(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """Run with the example values."""
+        return self.run(tables, **self.params)
+
+    def sql(self) -> str:
+        """The example's plan for another engine."""
+        plan = self.plan(**self.params)
         return ctes(plan.tables()) + plan.sql()
 
     def needs(self) -> set[str]:
         """Tables that must hold rows for the query to say anything."""
-        return self.plan().tables()
+        return self.plan(**self.params).tables()
 
 
 CATALOG: dict[str, Query] = {}
 
 
-def define(category: str, name: str, about: str, build: Callable[[SimpleNamespace], Rel], /, **params: str) -> None:
+def define(category: str, name: str, about: str, build: Callable[[SimpleNamespace], Rel], /, *, optional: dict[str, str] | None = None, **params: str) -> None:
+    """``params`` are examples; ``optional`` gives defaults."""
     assert name not in CATALOG, name
-    CATALOG[name] = Query(name, category, about, params, build)
+    CATALOG[name] = Query(name, category, about, params, build, optional or {})
+
+
+def records(rows: Rel, *fields: str) -> Rel:
+    """All rows as one JSON array of records."""
+    return rel(rows, agg={"list": f"RECORDS({', '.join(f'{f}: {f}' for f in fields)})"}, out={"list": "list"})
 
 
 def cols(alias: str, names: str) -> dict[str, str]:

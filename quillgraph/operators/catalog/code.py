@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ...plans.relation import lit, rel
-from .base import all_of, any_of, cols, count_if, counted, define, dotted, ends, has, ladder, lacks, no_test_symbol, not_stub, outside_tests, ratio, side_by_side, starts
+from .base import all_of, any_of, cols, count_if, counted, define, dotted, ends, has, ladder, lacks, no_test_symbol, not_stub, outside_tests, ratio, records, side_by_side, starts
 
 CALLS, SYMBOLS = "call-graph", "symbol-lookup"
 TESTS = "test-surface"
@@ -201,37 +201,37 @@ define("other-nodes", "endpoint-darkness", "endpoints that touch no entity", lam
 CONTEXT = "context-envelope"
 
 
-def about(rows, text: str):
-    """Neighbours of a node as one string each, joined."""
-    return rel(rows, agg={"list": "SET(item)"}, out={"list": "list"}) if text == "set" else rows
-
-
-def neighbours(edge: str, mine: str, other: str, table: str, key: str, node: str, *shown: str):
-    text = "concat_ws('|', " + ", ".join(f"CAST(o.{c} AS STRING)" for c in shown) + ")"
-    return about(rel(f"{edge} r", (f"{table} o", f"o.{key} = r.{other}"), where=f"r.{mine} = {node}", out={"item": text}, distinct=True), "set")
+def neighbours(edge: str, mine: str, other: str, table: str, key: str, node: str, *shown: str, kind: str | None = None, edge_fields: tuple[str, ...] = ()):
+    """Neighbours of a node over one edge, each once, as records."""
+    out = {**({"kind": lit(kind)} if kind else {}), **cols("o", " ".join(shown)), **cols("r", " ".join(edge_fields))}
+    return records(rel(f"{edge} r", (f"{table} o", f"o.{key} = r.{other}"), where=f"r.{mine} = {node}", out=out, distinct=True), *out)
 
 
 EDGES = ("WIKILINK", "INFORMED_BY", "MD_LINK", "DEPENDS_ON", "SUPERSEDES")
+DOC_FIELDS = ("id", "title", "summary", "path", "kind")
 
 
 def doc_links(mine: str, other: str, node: str):
-    made = [rel(f"{e} r", (("Doc o"), f"o.id = r.{other}"), where=f"r.{mine} = {node}", out={"item": f"concat_ws('|', o.id, o.path, o.kind, CAST(r.line AS STRING), {lit(e)})"}, distinct=True) for e in EDGES]
+    made = [rel(f"{e} r", ("Doc o", f"o.id = r.{other}"), where=f"r.{mine} = {node}", out={**cols("o", " ".join(DOC_FIELDS)), "line": "r.line", "edge_type": lit(e)}, distinct=True) for e in EDGES]
     made[0].union = made[1:]
-    return about(made[0], "set")
+    return records(made[0], *DOC_FIELDS, "line", "edge_type")
 
 
 define(CONTEXT, "node-context-doc", "a document with its tags and links", lambda p: side_by_side(
-    rel("Doc d", where=f"d.id = {p.doc}", out=cols("d", "id title summary path kind role")), about(rel("doc_tags t", where=f"t.doc_id = {p.doc}", out={"item": "t.value"}), "set"), doc_links("dst", "src", p.doc), doc_links("src", "dst", p.doc),
+    rel("Doc d", where=f"d.id = {p.doc}", out=cols("d", "id title summary path kind role")), records(rel("doc_tags t", where=f"t.doc_id = {p.doc}", out={"value": "t.value"}), "value"), doc_links("dst", "src", p.doc), doc_links("src", "dst", p.doc),
     out={**cols("c0", "id title summary path kind role"), "tags": "c1.list", "inbound": "c2.list", "outbound": "c3.list"},
 ), doc="research-33")
 define(CONTEXT, "node-context-entity", "an entity with the documents that cover it", lambda p: side_by_side(
-    rel("Entity e", where=f"e.id = {p.entity}", out=cols("e", "id display description")), about(rel("COVERS r", ("Doc o", "o.id = r.src"), where=f"r.dst = {p.entity}", out={"item": "concat_ws('|', o.id, o.path, o.kind, CAST(r.line AS STRING))"}), "set"),
+    rel("Entity e", where=f"e.id = {p.entity}", out=cols("e", "id display description")), records(rel("COVERS r", ("Doc o", "o.id = r.src"), where=f"r.dst = {p.entity}", out={**cols("o", " ".join(DOC_FIELDS)), "line": "r.line"}), *DOC_FIELDS, "line"),
     out={**cols("c0", "id display description"), "neighbors": "c1.list"},
 ), entity="build-economy")
 define(CONTEXT, "node-context-function", "a function with its documents, entities, type and calls", lambda p: side_by_side(
     rel("Function f", where=f"f.symbol = {p.symbol}", out=cols("f", "symbol file line doc_comment signature")),
-    neighbours("FUNCTION_DEFINED_IN", "src", "dst", "Doc", "id", p.symbol, "id", "path"), neighbours("FUNCTION_BELONGS_TO", "src", "dst", "Entity", "id", p.symbol, "id", "display"), neighbours("FUNCTION_MENTIONS", "src", "dst", "Entity", "id", p.symbol, "id", "display"),
-    neighbours("METHOD_OF", "src", "dst", "Type", "symbol", p.symbol, "symbol"), neighbours("CALLS", "src", "dst", "Function", "symbol", p.symbol, "symbol", "file", "line"), neighbours("CALLS", "dst", "src", "Function", "symbol", p.symbol, "symbol", "file", "line"),
+    neighbours("FUNCTION_DEFINED_IN", "src", "dst", "Doc", "id", p.symbol, "id", "title", "summary", "path", kind="doc"),
+    neighbours("FUNCTION_BELONGS_TO", "src", "dst", "Entity", "id", p.symbol, "id", "display", "description", kind="entity"),
+    neighbours("FUNCTION_MENTIONS", "src", "dst", "Entity", "id", p.symbol, "id", "display", "description", kind="entity", edge_fields=("confidence",)),
+    neighbours("METHOD_OF", "src", "dst", "Type", "symbol", p.symbol, "symbol", "doc_comment", kind="type"),
+    neighbours("CALLS", "src", "dst", "Function", "symbol", p.symbol, "symbol", "file", "line", "doc_comment"),
+    neighbours("CALLS", "dst", "src", "Function", "symbol", p.symbol, "symbol", "file", "line"),
     out={**cols("c0", "symbol file line doc_comment signature"), **{k: f"c{i}.list" for i, k in enumerate(("docs", "entities_belongs", "entities_mentions", "method_of", "calls_out", "calls_in"), 1)}},
 ), symbol="supply/n4/s77().")
-assert any_of

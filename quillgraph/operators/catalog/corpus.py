@@ -49,7 +49,7 @@ ROUTES = (
     ("c0.n >= 100 AND c1.n >= 50", "doc-sparse-coupling-empty-function-rich", "language-loc-distribution + query_similar type=function + functions-of-shape + callgraph-roots"),
     ("c1.n >= 50", "doc-sparse-coupling-empty-function-sparse", "language-loc-distribution + language-distribution + import-fan-out"),
 )
-NO_ROUTE = ("unknown-empty-or-partial", "corpus appears empty or partial — check schema; recommend doc-linter check before retrying")
+NO_ROUTE = ("unknown-empty-or-partial", "corpus appears empty or partial — check schema; run the corpus check before retrying")
 define(DIAG, "corpus-routing-recommendation", "which queries to try first", lambda p: totals(
     FN, FILE, NARRATIVE, COUPLED,
     out={"fn_count": n(0), "file_count": n(1), "narrative_doc_count": n(2), "coupled_with_count": n(3), "route": ladder(*((c, r) for c, r, _ in ROUTES), default=NO_ROUTE[0]), "recommended_primitives": ladder(*((c, t) for c, _, t in ROUTES), default=NO_ROUTE[1])},

@@ -33,7 +33,7 @@ define(GRAPH, "leaf-docs", "documents that nothing links to", lambda p: rel("Doc
 define(GRAPH, "recent-leaf-docs", "newest plain documents without a link in", lambda p: rel("Doc d", ("anti", "WIKILINK x", "x.dst = d.id"), where="d.role = 'doc'", out=cols("d", "id title kind updated"), order=["-updated", "id"], limit=15))
 define(GRAPH, "docs-by-summary-substring", "documents whose summary contains a text", lambda p: rel("Doc d", where=all_of("d.summary IS NOT NULL", has("d.summary", p.substring)), out=cols("d", "doc_id=id title summary"), order=["doc_id"], limit=30), substring="graph-similarity")
 define(GRAPH, "roadmap-unmet-deps", "features that wait for others", lambda p: rel("DEPENDS_ON r", ("Doc a", "a.id = r.src"), ("Doc b", "b.id = r.dst"), where="a.role = 'feature' AND b.role = 'feature' AND b.lifecycle IN ('planning', 'implementing')", out={"feature": "a.id", "unmet_dep": "b.id", "dep_lifecycle": "b.lifecycle"}, order=["feature", "unmet_dep"]))
-define(GRAPH, "phasing", "documents by phase", lambda p: rel("Doc d", by={"phase": "d.phase"}, agg={"docs": "LIST(d.id)", "count": "count(d.id)"}, order=["phase"]))
+define(GRAPH, "phasing", "documents by phase", lambda p: rel("Doc d", by={"phase": "d.phase"}, agg={"docs": "RECORDS(id: d.id, title: d.title)", "count": "count(d.id)"}, order=["phase"]))
 
 # Processes by the beginning of the id.
 PROCESSES = ("research", "interrogation", "user-probe", "audit-run")

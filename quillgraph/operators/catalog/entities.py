@@ -85,7 +85,7 @@ define(AXIS, "coverage-by-entity", "functions that mention each entity", lambda
 define(AXIS, "entity-relations", "authored and derived relations between entities", lambda p: rel(
     "RELATES_TO r", ("Entity a", "a.id = r.src"), ("Entity b", "b.id = r.dst"), out={"from": "a.id", "to": "b.id", "type": "r.type", "origin": "'authored'", "frequency": "r.frequency"},
     union=[rel("ENTITY_CALLS r", ("Entity a", "a.id = r.src"), ("Entity b", "b.id = r.dst"), where=f"r.frequency >= CAST({p.min_calls} AS INT)", out={"from": "a.id", "to": "b.id", "type": "'calls'", "origin": "'derived'", "frequency": "r.frequency"})],
-), min_calls="3")
+), optional={"min_calls": "5"}, min_calls="3")
 define(AXIS, "entity-callers", "callers of the functions of an entity", lambda p: rel(
     rel("FUNCTION_BELONGS_TO b", out=cols("b", "src dst"), union=[rel("FUNCTION_MENTIONS m", out=cols("m", "src dst"))]), ("CALLS c", "c.dst = r.src"), ("Function caller", "caller.symbol = c.src"), ("semi", "Function target", "target.symbol = r.src"),
     alias="r", where=f"r.dst = {p.entity}", out=dotted("caller", "symbol file line"), distinct=True, order=["caller.file", "caller.line", "caller.symbol"],

@@ -27,7 +27,7 @@ listing("test-files-for-domain", "test files of a domain", lambda p: all_of(has(
 listing("test-files-by-stem", "test files of a stem", lambda p: all_of(has("f.path", "test_"), has("f.path", p.stem)), "file_path=path loc", ["-loc", "file_path"], 30, "test-surface", stem="n1")
 
 
-def labelled(name: str, about: str, where, label: str, value: str, shown: str, limit: int, category: str = LAYOUT, order: list[str] | None = None, **params: str) -> None:
+def labelled(name: str, about: str, where, label: str, value: str, shown: str, limit: int | None, category: str = LAYOUT, order: list[str] | None = None, **params: str) -> None:
     define(category, name, about, lambda p: rel("File f", where=where(p), out={**cols("f", shown), label: value}, order=order or [label, "path"], limit=limit), **params)
 
 
@@ -44,7 +44,7 @@ def by_part(parts) -> str:
 labelled("shared-layer-source-files", "well-known shared files", lambda p: all_of("f.language IS NOT NULL", lacks("f.path", "/test", ".gen.", "/generated/"), has("f.path", *(a for a, _ in SHARED))), "layer_role", by_part(SHARED), "path language loc", 50)
 labelled("resource-file-cluster", "files of a resource by layer", lambda p: all_of(has("f.path", p.resource_stem), "f.language IS NOT NULL"), "layer", by_part(RESOURCE), "path language loc", 30, resource_stem="n1")
 labelled("app-route-files", "route files of both ends", lambda p: all_of("f.language IS NOT NULL", any_of(all_of(has("f.path", "backend/"), has("f.path", "/routes/"), lacks("f.path", "/__init__", "/test")), all_of(has("f.path", "frontend/src/routes/"), lacks("f.path", "_layout.tsx", "__root.tsx")))), "layer", ladder((has("f.path", "backend/"), "backend-route"), default="frontend-route"), "path loc", 50)
-labelled("cython-files-by-pattern", "cython files", lambda p: all_of(has("f.path", p.pattern), ends("f.path", *CYTHON)), "cython_kind", ladder((ends("f.path", ".pyx"), "cython-source"), (ends("f.path", ".pxd"), "cython-header"), default="unknown"), "path loc", 100000, order=["path"], pattern="lib")
+labelled("cython-files-by-pattern", "cython files", lambda p: all_of(has("f.path", p.pattern), ends("f.path", *CYTHON)), "cython_kind", ladder((ends("f.path", ".pyx"), "cython-source"), (ends("f.path", ".pxd"), "cython-header"), default="unknown"), "path loc", None, order=["path"], pattern="lib")
 labelled("rust-test-files-by-pattern", "rust tests by kind", lambda p: all_of("f.language = 'rust'", any_of(ends("f.path", "_tests.rs", "_test.rs"), starts("f.path", "tests/"), has("f.path", "/tests/"))), "test_kind", ladder((has("f.path", "tests/common"), "helper"), (any_of(starts("f.path", "tests/"), has("f.path", "/tests/")), "integration"), default="sibling"), "path loc", 50, "test-surface")
 define(LAYOUT, "architectural-layers-by-path", "files and lines by layer", lambda p: rel("File f", where=all_of("f.language IS NOT NULL", lacks("f.path", "test", ".gen.", "/generated/")), by={"architectural_layer": by_part(LAYERS)}, agg={"file_count": "count(*)", "total_loc": "CAST(sum(f.loc) AS BIGINT)"}, order=["-total_loc", "architectural_layer"]))
 

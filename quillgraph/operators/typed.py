@@ -42,8 +42,18 @@ define(READ, "top-entities-in-path", "entities by the functions under a path tha
 TOUCHED = rel("ENDPOINT_TOUCHES_ENTITY t", by={"eid": "t.src"}, agg={"entities": "SET(t.dst)"})
 ENDPOINT = "id kind method path handler_symbol source_file source_line"
 define(READ, "list-endpoints", "endpoints of a kind with the entities they touch", lambda p: rel("Endpoint e", ("left", TOUCHED, "t.eid = e.id", "t"), where=f"e.kind = {p.kind}", out={**cols("e", ENDPOINT), "entities": "coalesce(t.entities, '')"}, order=["id"]), kind="flask")
-KINDS = ("fastapi", "flask", "express", "jaxrs", "mcp", "cli", "spring")
-define(READ, "endpoint-reach-by-kind", "endpoints by kind and how many touch an entity", lambda p: rel("Endpoint e", ("left", TOUCHED, "t.eid = e.id", "t"), where=one_of("e.kind", KINDS), by={"kind": "e.kind"}, agg={"total": "count(e.id)", "reaching": "count(t.eid)"}, order=["kind"]))
+# Kinds of endpoints, all of which are reported.
+KINDS = ("axum", "clap", "mcp", "fastapi", "flask", "express", "jaxrs")
+REACHING = rel("ENDPOINT_TOUCHES_ENTITY t", ("semi", "Entity n", "n.id = t.dst"), out={"eid": "t.src"}, distinct=True)
+
+
+def _kind_rows():
+    made = [rel("Endpoint e", ("left", REACHING, "t.eid = e.id", "t"), where=f"e.kind = {lit(k)}", agg={"total": "count(e.id)", "reaching": "count(t.eid)"}, out={"kind": lit(k), "total": "total", "reaching": "reaching"}) for k in KINDS]
+    made[0].union = made[1:]
+    return made[0]
+
+
+define(READ, "endpoint-reach-by-kind", "endpoints by kind and how many touch an entity; kinds without endpoints count 0", lambda p: _kind_rows())
 define(READ, "functions-mentioning", "functions that mention an entity", lambda p: rel("FUNCTION_MENTIONS m", ("Function f", "f.symbol = m.src"), where=f"m.dst = {p.entity}", out=cols("f", FN), distinct=True, order=["symbol"]), entity="brand-8")
 define(READ, "function-context", "neighbours of a function by relation", lambda p: rel(
     "FUNCTION_DEFINED_IN r", ("Doc o", "o.id = r.dst"), where=f"r.src = {p.symbol}", out={"relation": "'defined_in'", "id": "o.id", "title": "o.title"},

@@ -45,10 +45,16 @@ def _outside_literals(e: str, change) -> str:
     return "".join(change(x) if k % 2 == 0 else x for k, x in enumerate(re.split(r"('(?:[^']|'')*')", e)))
 
 
+def _fields(text: str, form: str) -> str:
+    """``a: x, b: y`` in another form."""
+    return ", ".join(form.format(*(part.strip() for part in x.split(":", 1))) for x in text.split(","))
+
+
 def spark_expr(e: str) -> str:
     def change(x: str) -> str:
         x = re.sub(r"\bBASENAME\(([^()]+)\)", r"element_at(split(\1, '/'), -1)", x)
         x = re.sub(r"\bSET\(([^()]+)\)", r"concat_ws(',', array_sort(collect_set(\1)))", x)
+        x = re.sub(r"\bRECORDS\(([^()]+)\)", lambda m: f"to_json(array_sort(collect_list(struct({_fields(m[1], '{1} AS {0}')}))), map('ignoreNullFields', 'false'))", x)
         return re.sub(r"\bLIST\(([^()]+)\)", r"concat_ws(',', array_sort(collect_list(\1)))", x)
 
     return _spark_literals(_outside_literals(e, change))
@@ -58,6 +64,7 @@ def ansi_expr(e: str) -> str:
     def change(x: str) -> str:
         x = re.sub(r"\bBASENAME\(([^()]+)\)", r"string_split(\1, '/')[-1]", x)
         x = re.sub(r"\bSET\(([^()]+)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')", x)
+        x = re.sub(r"\bRECORDS\(([^()]+)\)", lambda m: f"coalesce(CAST(to_json(list_sort(list(struct_pack({_fields(m[1], '{0} := {1}')})))) AS VARCHAR), '[]')", x)
         x = re.sub(r"\bLIST\(([^()]+)\)", r"coalesce(string_agg(\1, ',' ORDER BY \1), '')", x)
         x = x.replace("startswith(", "starts_with(").replace("endswith(", "ends_with(")
         return re.sub(r"\bdiv\b", "//", x)

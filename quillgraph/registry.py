@@ -18,14 +18,14 @@ def key(name: str) -> str:
 
 def _runner(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query.run(GraphTables(spark, sf_dir))
+        return query.example(GraphTables.of(spark, sf_dir))
 
     run.__doc__ = query.about
     return run
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CATALOG["hub-functions-by-caller-breadth"].run(GraphTables(spark, sf_dir))
+    return CATALOG["hub-functions-by-caller-breadth"].example(GraphTables.of(spark, sf_dir))
 
 
 LINT = {"lint_issues": lint.plan, "lint_summary": lint.summary}
@@ -33,8 +33,8 @@ LINT = {"lint_issues": lint.plan, "lint_summary": lint.summary}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {key(n): _runner(q) for n, q in CATALOG.items()}
-    found |= {n: (lambda spark, sf_dir, f=f: f(GraphTables(spark, sf_dir))) for n, (f, _) in EXTRA.items()}
-    found |= {n: (lambda spark, sf_dir, f=f: f().spark(GraphTables(spark, sf_dir))) for n, f in LINT.items()}
+    found |= {n: (lambda spark, sf_dir, f=f: f(GraphTables.of(spark, sf_dir))) for n, (f, _) in EXTRA.items()}
+    found |= {n: (lambda spark, sf_dir, f=f: f().spark(GraphTables.of(spark, sf_dir))) for n, f in LINT.items()}
     return found
 
 

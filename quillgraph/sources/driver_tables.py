@@ -3,7 +3,12 @@
 Each graph table is one SELECT in SQL that Spark and other engines share, over
 raw tables or earlier graph tables.  Functions are customers, suppliers and
 parts; calls are their order lines; files, coupling, entities, documents, tags
-and links follow from keys by integer arithmetic alone, so every engine agrees.
+and links follow from keys by integer arithmetic alone, so every engine agrees.  A call is an
+order line with a discount of 9 % or more (customer to supplier, supplier to
+part), the first line of any order (part to customer, by dispatch), or a customer
+with orders and the next one; files are coupled by the days on which their
+nations' suppliers got orders.  Edges are filtered by what a row says, never by a
+sample of keys.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import new_version, publish, read_graph
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings")
 
 # Tags the catalogue asks for, with the documents that have them (id modulo m is r).
@@ -63,8 +70,8 @@ PROJECTION: dict[str, str] = {
         SELECT DISTINCT a.symbol AS src, b.symbol AS dst, a.file AS source_file, x.line AS source_line, x.dispatch AS dispatch FROM (
           SELECT 'c' AS ka, o_custkey AS a, 's' AS kb, l_suppkey AS b, l_linenumber AS line, 0 AS dispatch FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount >= 0.09
           UNION ALL SELECT 's', l_suppkey, 'p', l_partkey, l_linenumber, 0 FROM lineitem WHERE l_discount >= 0.09
-          UNION ALL SELECT 'p', l_partkey, 'c', o_custkey, l_linenumber, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_orderkey % 97 = 0
-          UNION ALL SELECT 'c', o_custkey, 'c', o_custkey + 1, 1, 0 FROM orders WHERE o_orderkey % 5 = 0
+          UNION ALL SELECT 'p', l_partkey, 'c', o_custkey, l_linenumber, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+          UNION ALL SELECT 'c', o_custkey, 'c', o_custkey + 1, 1, 0 FROM orders
         ) x JOIN Function a ON a.fkind = x.ka AND a.fkey = x.a JOIN Function b ON b.fkind = x.kb AND b.fkey = x.b""",
     "File": """
         SELECT file AS path, min(language) AS language, 20 + 7 * count(*) + length(file) AS loc,
@@ -76,10 +83,10 @@ PROJECTION: dict[str, str] = {
     "DEFINED_IN_FILE": "SELECT symbol AS src, file AS dst FROM Function",
     "COUPLED_WITH": """
         SELECT a.f AS src, b.f AS dst, count(*) AS commits, max(a.d) AS last_co_change_at, CAST(count(*) AS DOUBLE) / (max(na.n) + max(nb.n) - count(*)) AS jaccard
-        FROM (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 29 = 0) a
-        JOIN (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 29 = 0) b ON a.d = b.d AND a.f < b.f
-        JOIN (SELECT f, count(DISTINCT d) AS n FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 29 = 0) q GROUP BY f) na ON na.f = a.f
-        JOIN (SELECT f, count(DISTINCT d) AS n FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 29 = 0) q GROUP BY f) nb ON nb.f = b.f
+        FROM (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) a
+        JOIN (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) b ON a.d = b.d AND a.f < b.f
+        JOIN (SELECT f, count(DISTINCT d) AS n FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) q GROUP BY f) na ON na.f = a.f
+        JOIN (SELECT f, count(DISTINCT d) AS n FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, concat('backend/app/core/n', CAST(s_nationkey AS STRING), '.py') AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) q GROUP BY f) nb ON nb.f = b.f
         GROUP BY a.f, b.f HAVING count(*) >= 2""",
     "entity_seed": """
         SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS id, p_brand AS display, CAST(substr(p_brand, 7) AS INT) AS n, 'brand' AS entity_class FROM part
@@ -119,7 +126,7 @@ PROJECTION: dict[str, str] = {
     "Endpoint": """
         SELECT concat(kind, ':GET:/p/', CAST(page_id AS STRING)) AS id, kind, CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, concat('/p/', CAST(page_id AS STRING)) AS path, concat('handle_', CAST(page_id AS STRING)) AS handler_symbol,
           concat('backend/app/routes/n', CAST(page_id % 25 AS STRING), '.py') AS source_file, page_id % 200 AS source_line, page_id
-        FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'fastapi' WHEN 1 THEN 'flask' WHEN 2 THEN 'express' WHEN 3 THEN 'jaxrs' WHEN 4 THEN 'mcp' WHEN 5 THEN 'cli' ELSE 'spring' END AS kind FROM pages) p""",
+        FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'fastapi' WHEN 1 THEN 'flask' WHEN 2 THEN 'express' WHEN 3 THEN 'jaxrs' WHEN 4 THEN 'mcp' WHEN 5 THEN 'clap' ELSE 'axum' END AS kind FROM pages) p""",
     "ENDPOINT_HANDLED_BY": f"SELECT e.id AS src, f.symbol AS dst FROM Endpoint e JOIN ({_ends('c')}) f ON f.fkey = e.page_id + 1",
     "ENDPOINT_TOUCHES_ENTITY": "SELECT DISTINCT h.src, m.dst FROM ENDPOINT_HANDLED_BY h JOIN FUNCTION_MENTIONS m ON m.src = h.dst JOIN Endpoint e ON e.id = h.src WHERE e.page_id % 3 = 0",
     "Doc": """
@@ -196,6 +203,17 @@ class GraphTables(Mapping):
         self.spark, self.sf_dir = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
 
+    #: Folders of stored graphs, by the folder of the raw tables; :func:`store_graph` puts them here.
+    STORED: dict[str, str] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+        """The graph of a folder of raw tables: as it was stored, if it was, else as a projection."""
+        tables = cls(spark, sf_dir)
+        if root := cls.STORED.get(sf_dir):
+            tables.made |= read_graph(spark, root, list(PROJECTION))
+        return tables
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in PROJECTION:
@@ -215,3 +233,19 @@ class GraphTables(Mapping):
 
     def __len__(self) -> int:
         return len(PROJECTION)
+
+
+def store_graph(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Write the whole projection of some raw tables as a new version under root; later reads of that folder's graph take it.
+
+    Tables are written in the order of their needs, and each is read back for those made from it.
+    """
+    version = new_version()
+    tables = GraphTables(spark, sf_dir)
+    for name in graph_order(set(PROJECTION)):
+        path = f"{root}/{version}/{name}"
+        tables[name].write.parquet(path)
+        tables.made[name] = spark.read.parquet(path)
+    publish(spark, root, version)
+    GraphTables.STORED[sf_dir] = root
+    return version

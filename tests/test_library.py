@@ -55,7 +55,7 @@ STARRED = ["function-blast-radius-by-file", "hub-functions-by-caller-breadth", "
 
 @pytest.mark.parametrize("name", STARRED)
 def test_catalogue_matches_sql(tables, engine, name):
-    compare(CATALOG[name].run(tables), engine, CATALOG[name].sql())
+    compare(CATALOG[name].example(tables), engine, CATALOG[name].sql())
 
 
 def test_catalogue_is_whole():
@@ -67,15 +67,15 @@ def test_catalogue_is_whole():
 
 def test_all_plans_analyse(tables):
     for q in CATALOG.values():
-        assert q.run(tables).columns
+        assert q.example(tables).columns
 
 
 def test_empty_graph(spark, tables):
     none = {n: spark.createDataFrame([], tables[n].schema) for n in PROJECTION}
     for name in ("corpus-purpose-classifier", "test-coverage-baseline", "corpus-entities-per-doc-ratio", "coupling-density-stats", "function-shape-summary", "loop-process-balance-metric"):
-        assert len(CATALOG[name].run(none).collect()) == 1, name
+        assert len(CATALOG[name].example(none).collect()) == 1, name
     for name in ("hub-functions", "doc-fanin", "entity-cooccurrence", "family-maturity-2d"):
-        assert CATALOG[name].run(none).collect() == []
+        assert CATALOG[name].example(none).collect() == []
 
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in analytics.EXTRA.items() if sql))
@@ -207,16 +207,41 @@ def test_store(spark, tmp_path):
     h = spark.range(20).select(F.col("id").alias("at"))
     assert sorted(r.at for r in store.trim_history(h, 5).collect()) == [15, 16, 17, 18, 19]
     assert [(r.name, r.rows) for r in store.schema_tables({"A": old, "B": new}).collect()] == [("A", 2), ("B", 1)]
+    store.reset_graph(spark, root, {"B": new}, keep=["A"])
+    assert store.read_graph(spark, root, ["A", "B"])["A"].collect()[0].id == 2
 
 
 def test_guarded_sql(spark):
     t = {"People": spark.createDataFrame([("a;b", 1), ("c", 2)], "name string, k int")}
     assert [r.name for r in store.guarded_sql(spark, t, "SELECT name FROM People WHERE name = :n", n="a;b").collect()] == ["a;b"]
     assert store.guarded_sql(spark, t, "WITH x AS (SELECT * FROM People) SELECT * FROM x -- a ; comment").count() == 2
+    assert store.guarded_sql(spark, t, "WITH x AS (SELECT k FROM people), y AS (SELECT max(k) AS k FROM x) SELECT * FROM y JOIN People p USING (k) WHERE EXISTS (SELECT 1 FROM x) AND k IN (SELECT k FROM x) ORDER BY 1 LIMIT 5").count() == 1
+    assert store.guarded_sql(spark, t, "SELECT name, row_number() OVER (ORDER BY k) FROM (VALUES ('q', 3)) v(name, k) UNION ALL SELECT name, k FROM People").count() == 3
     assert store.guarded_sql(spark, t, "SELECT * FROM People", most=1).count() == 1
-    for bad in ("DROP TABLE People", "SELECT 1; SELECT 2", "INSERT INTO People SELECT 'x', 1", "WITH x AS (SELECT 1) INSERT INTO People SELECT 'x', 1"):
-        with pytest.raises(Exception):  # noqa: B017
-            store.guarded_sql(spark, t, bad).collect()
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "DROP TABLE People", "SELECT 1; SELECT 2", "INSERT INTO People SELECT 'x', 1", "", "SET x = 1", "CACHE TABLE People", "EXPLAIN SELECT 1", "SHOW TABLES", "CREATE TABLE z AS SELECT 1", "TRUNCATE TABLE People",
+        "WITH x AS (SELECT 1 AS a) INSERT INTO People SELECT 'x', a FROM x", "WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '{0}' USING parquet SELECT * FROM x", "INSERT OVERWRITE DIRECTORY '{0}' USING parquet SELECT 1",
+        "FROM People INSERT INTO a SELECT name INSERT INTO b SELECT k", "FROM People INSERT OVERWRITE DIRECTORY '{0}' USING parquet SELECT *", "SELECT TRANSFORM(name) USING 'cat' FROM People",
+        "SELECT java_method('java.lang.System', 'getenv', 'PATH')", "SELECT name FROM People WHERE k = (SELECT reflect('java.lang.Math', 'abs', 1))", "SELECT * FROM parquet.`{0}`", "SELECT * FROM Others", "WITH x AS (SELECT * FROM y), y AS (SELECT 1) SELECT * FROM x",
+        "MERGE INTO People USING People AS o ON true WHEN MATCHED THEN DELETE", "DELETE FROM People", "BEGIN SELECT 1; END",
+    ],
+)
+def test_guard_lets_nothing_else_through(spark, tmp_path, bad):
+    t = {"People": spark.createDataFrame([("a", 1)], "name string, k int")}
+    with pytest.raises(ValueError):
+        store.guarded_sql(spark, t, bad.format(tmp_path / "out")).collect()
+    assert not list(tmp_path.iterdir())
+
+
+def test_missing_parameters_are_errors(tables):
+    with pytest.raises(ValueError, match="missing parameter pattern"):
+        CATALOG["entities-by-id-pattern"].run(tables)
+    few, many = CATALOG["entity-relations"].run(tables), CATALOG["entity-relations"].run(tables, min_calls="1", other="ignored")
+    assert few.count() < many.count()
 
 
 def test_changed_files(spark, files):
