@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Chunk, byte_grams, chunks, spread
-from .shared import NO_ID, Workspace, ids_back, row_type, small_batches, texts
+from .shared import NO_ID, Workspace, carried_type, ids_back, small_batches, texts, whole_row
 
 Q = 12
 INDEX_BYTES = 8 << 20
@@ -181,8 +181,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, le
 
     With ``carry`` also ``row``, the columns of docs as a struct.
     """
-    docs = texts(docs, id_col, text_col, carry)
-    extra = [c for c in docs.columns if c == "row"]
+    columns, docs = docs.columns, texts(docs, id_col, text_col, carry)
+    extra = ["text", "rest"] if carry else []
     bench = texts(benchmark, "item_id", "text")
     with small_batches(spark):
         work = Workspace(spark, "decontaminate")
@@ -204,10 +204,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, le
                     out = pa.RecordBatch.from_arrays([*chunk.carried(names), pa.array(held, pa.list_(pa.int64()))], [*names, "items"])
                     yield out if all_rows else out.filter(pa.array([len(x) > 0 for x in held]))
 
-            part = work.table(docs.select("text", *names).mapInArrow(step, f"{names[0]} long{row_type(docs.select(*names))}, items array<long>"), f"block-{k}")
+            part = docs.select(*dict.fromkeys(["text", *names])).mapInArrow(step, f"{names[0]} long{carried_type(docs) if blocks == 1 else ''}, items array<long>")
+            part = work.table(part, f"block-{k}")
             found = part if found is None else found.unionByName(part)
         if blocks > 1:
             found = found.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
             found = docs.select("at", "doc_id", *extra).join(found, "at", "left").select("doc_id", *extra, F.coalesce("items", F.array().cast("array<long>")).alias("items"))
         found = found.withColumn("items", F.transform("items", lambda x: F.when(x != NO_ID, x)))
-        return ids_back(found.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"), *extra))
+        return ids_back(found.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"), *([whole_row(columns, text_col)] if carry else [])))

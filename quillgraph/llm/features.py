@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Chunk, Tokens, chunks, decode, encode, grams, mix, powers, splitmix, _BYTE, _Q, _QI, LOWER
-from .shared import row_type
+from .shared import carried_type
 
 #: Everything ASCII that is no letter or digit separates words.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -231,17 +231,21 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+#: Text bytes that are scored at once: a byte of text costs some hundred bytes of features.
+SCORED_BYTES = 1 << 20
+
+
 def score(spark: SparkSession, docs: DataFrame, model: bytes, extract: Extract) -> DataFrame:
-    """(doc_id, score) for every row, with the carried row if there is one; the model is a few megabytes at most."""
+    """(doc_id, score) for every row, with what is carried; the model is a few megabytes at most."""
     sent = spark.sparkContext.broadcast(model)
-    carry = [c for c in docs.columns if c == "row"]
+    carry = ["text", "rest"] if "rest" in docs.columns else []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = Linear.load(sent.value)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=SCORED_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(chunk.column("doc_id")), pa.array(linear.scores(chunk, extract)), *chunk.carried(carry)], ["doc_id", "score", *carry])
 
-    return docs.mapInArrow(step, "doc_id long, score double" + row_type(docs))
+    return docs.mapInArrow(step, "doc_id long, score double" + carried_type(docs))
 
 
 def training_ids(ids: str = "doc_id", out: int = 0) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -93,14 +93,23 @@ NO_ID = -(1 << 63)
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """The two columns an operator reads, under fixed names; a null text counts as empty.  ``carry`` adds the whole row."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
-    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *row)
+    """The two columns an operator reads, under fixed names; a null text counts as empty.
+
+    With ``carry`` the text stays as it is and ``rest`` holds all other columns; :func:`whole_row` puts them together again.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rest = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest")] if carry else []
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), (text if carry else F.coalesce(text, F.lit(""))).alias("text"), *rest)
+
+
+def carried_type(df: DataFrame) -> str:
+    """For the schema of a step's output: the carried columns, if there are any."""
+    return f", text string, rest {df.schema['rest'].dataType.simpleString()}" if "rest" in df.columns else ""
 
 
-def row_type(df: DataFrame) -> str:
-    """For the schema of a step's output: the carried row, if there is one."""
-    return f", row {df.schema['row'].dataType.simpleString()}" if "row" in df.columns else ""
+def whole_row(names: list[str], text_col: str = "text") -> Column:
+    """The carried row as ``row``, its columns in their order."""
+    return F.struct(*[(F.col("text") if c == text_col else F.col("rest").getField(c)).alias(c) for c in names]).alias("row")
 
 
 def ids_back(df: DataFrame, *columns: str) -> DataFrame:

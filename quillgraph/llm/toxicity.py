@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import Dictionary, Linear, Samples, bounded, logistic, one_text, score, train, training_ids, without_copies, word_features
-from .shared import Workspace, ids_back, ship, small_batches, texts
+from .shared import Workspace, ids_back, ship, small_batches, texts, whole_row
 
 
 def choose(samples: Samples, positive: np.ndarray, most: int, sure: float = 3.0, margin: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def toxicity(
     with ``carry`` also ``row``, the columns of docs as a struct.
     """
     ship(spark)
-    docs = texts(docs, text_col=text_col, carry=carry)
+    names, docs = docs.columns, texts(docs, text_col=text_col, carry=carry)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(training_ids())
     if prior is None:
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -143,10 +143,10 @@ def toxicity(
     with small_batches(spark):
         work = Workspace(spark, "toxicity")
         ids = work.table(ids, "sample")
-        text = one_text(docs, ids.select("doc_id").distinct()).select("doc_id", "text")
+        text = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids.select("doc_id").distinct()).select("doc_id", "text")
         model = train(text.join(F.broadcast(ids), "doc_id"), word_features, fit_toxicity(prior, most_features))
         out = score(spark, docs, model, word_features)
-        out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *[c for c in docs.columns if c == "row"])
+        out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *([whole_row(names, text_col)] if carry else []))
         out = work.table(ids_back(out), "result")
         work.keep("result")
     return out
