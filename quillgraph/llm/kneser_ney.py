@@ -172,21 +172,16 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def place_of(columns: list[np.ndarray], context: np.ndarray, whole: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """Partition of each gram: its context's, or its own where all words of the context are hot."""
-    split = np.ones(len(whole), bool)
-    for c in columns[:-1]:
-        split &= np.isin(c, hot)
-    return bucket(np.where(split, whole, context), parts)
-
-
 def all_hot(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([np.isin(c, hot) for c in columns])
 
 
 def dealt(columns: list[np.ndarray], hot: np.ndarray, parts: int) -> np.ndarray:
-    """Partition where a gram is counted."""
-    return place_of(columns, gram_hash(columns[:-1]), gram_hash(columns), hot, parts)
+    """Partition of each gram: its context's, or its own where all words of the context are hot."""
+    to = bucket(gram_hash(columns[:-1]), parts)
+    if len(split := np.flatnonzero(all_hot(columns[:-1], hot))):
+        to[split] = bucket(gram_hash([c[split] for c in columns]), parts)
+    return to
 
 
 def _fresh(columns: list[np.ndarray]) -> np.ndarray:
@@ -199,11 +194,19 @@ def _fresh(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _order(columns: list[np.ndarray]) -> np.ndarray:
-    """Puts rows in the order of their columns, two of which make one key."""
-    at = len(columns) % 2
-    keys = [columns[0]] if at else []
-    keys += [(columns[i].astype(np.uint64) << np.uint64(32)) | columns[i + 1].astype(np.uint64) for i in range(at, len(columns), 2)]
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    """Puts rows in the order of their columns, as many of which make one key as 64 bits hold."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    keys, left = [], 0
+    for c in columns:
+        bits = max(1, int(c.max()).bit_length())
+        if bits <= left:
+            keys[-1] = keys[-1] << np.uint64(bits) | c.astype(np.uint64)
+            left -= bits
+        else:
+            keys.append(c.astype(np.uint64))
+            left = 64 - bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
 def _summed(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -414,17 +417,24 @@ class Order:
     def found(self, pid: int, low: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
         """Counts of the wanted words between the given places of a partition."""
         words, count, large, many = self.grams.get(pid)
-        out, last = np.zeros(len(want), np.int64), end
-        low, end, open_ = low.copy(), end.copy(), np.flatnonzero(low < end)
-        while len(open_):
-            # the first word that is not less, by halves within each context
-            l, h, w = low[open_], end[open_], want[open_]
-            middle = (l + h) >> 1
-            less = words[middle] < w
-            low[open_] = l = np.where(less, middle + 1, l)
-            end[open_] = h = np.where(less, h, middle)
-            open_ = open_[l < h]
-        ok = np.flatnonzero(low < last)
+        out, at, size = np.zeros(len(want), np.int64), low.copy(), end - low
+        # the first word that is not less, by halves; contexts of like length together
+        for few, most in ((1, 8), (8, 1 << 62)):
+            mine = np.flatnonzero((size > few) & (size <= most))
+            if not len(mine):
+                continue
+            l, n, w = at[mine], size[mine], want[mine]
+            for _ in range(int(n.max()).bit_length()):
+                half = n >> 1
+                l += half * (words[np.maximum(l + half - 1, 0)] < w)
+                n -= half
+            at[mine] = l
+        some = np.flatnonzero(size > 0)
+        l = at[some]
+        l += words[l] < want[some]
+        ok = some[l < end[some]]
+        low = at
+        low[some] = l
         ok = ok[words[low[ok]] == want[ok]]
         n = count[low[ok]].astype(np.int64)
         if len(full := np.flatnonzero(n == 255)):
@@ -514,7 +524,9 @@ class Scorer:
             home[split] = bucket(gram_hash([c[split] for c in columns]), m.parts)
             d = m.discount[k]
             count, total, off = self.orders[k].look(context, columns[-1], split, home, d)
-            p = np.where(total > 0, (count - d[np.minimum(count, 3)] + off * p) / np.where(total > 0, total, 1), p)
+            seen = np.flatnonzero(total)
+            count = count[seen]
+            p[seen] = (count - d[np.minimum(count, 3)] + off[seen] * p[seen]) / total[seen]
         return p
 
     def chunk(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
