@@ -7,7 +7,7 @@ one declarative plan; as SQL it becomes one SELECT, which other engines can run
 to check the result.
 
 Expressions are SQL text in the dialect both sides share, with a few words that
-differ: ``startswith``, ``endswith``, ``a div b`` (integer division) and the
+differ: ``startswith``, ``endswith``, ``regexp_like``, ``a div b`` (integer division) and the
 aggregates ``LIST(x)`` and ``SET(x)`` (all, or distinct, values of a column as
 one comma-joined string in ascending order); ``BASENAME(x)`` is what follows
 the last slash of a path.
@@ -66,7 +66,7 @@ def ansi_expr(e: str) -> str:
         x = re.sub(r"\bSET\(([^()]+)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')", x)
         x = re.sub(r"\bRECORDS\(([^()]+)\)", lambda m: f"coalesce(CAST(to_json(list_sort(list(struct_pack({_fields(m[1], '{0} := {1}')})))) AS VARCHAR), '[]')", x)
         x = re.sub(r"\bLIST\(([^()]+)\)", r"coalesce(string_agg(\1, ',' ORDER BY \1), '')", x)
-        x = x.replace("startswith(", "starts_with(").replace("endswith(", "ends_with(")
+        x = x.replace("startswith(", "starts_with(").replace("endswith(", "ends_with(").replace("regexp_like(", "regexp_matches(")
         return re.sub(r"\bdiv\b", "//", x)
 
     return _outside_literals(e, change)

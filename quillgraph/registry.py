@@ -28,7 +28,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CATALOG["hub-functions-by-caller-breadth"].example(GraphTables.of(spark, sf_dir))
 
 
-LINT = {"lint_issues": lint.plan, "lint_summary": lint.summary}
+LINT = {"lint_issues": lambda: lint.plan(lint.REGISTERED_DAY), "lint_summary": lambda: lint.summary(lint.REGISTERED_DAY)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -134,7 +134,7 @@ PROJECTION: dict[str, str] = {
           concat(CASE WHEN doc_id % 8 = 0 THEN 'docs/design/' ELSE 'docs/' END, CAST(doc_id AS STRING), '.md') AS path,
           CASE doc_id % 11 WHEN 5 THEN 'feature' WHEN 6 THEN CASE doc_id % 4 WHEN 0 THEN 'ontology-entity' WHEN 1 THEN 'ontology-value' WHEN 2 THEN 'ontology-axis' ELSE 'ontology-migration' END WHEN 10 THEN 'index' ELSE 'doc' END AS role,
           CASE doc_id % 7 WHEN 0 THEN 'explanation' WHEN 1 THEN 'how-to' WHEN 2 THEN 'tutorial' WHEN 3 THEN 'reference' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'note' END AS kind,
-          CASE doc_id % 5 WHEN 0 THEN 'planning' WHEN 1 THEN 'implementing' WHEN 2 THEN 'stable' WHEN 3 THEN '' ELSE NULL END AS lifecycle,
+          CASE WHEN doc_id % 39 = 13 THEN 'superseded' WHEN doc_id % 47 = 5 THEN 'archived' ELSE CASE doc_id % 5 WHEN 0 THEN 'planning' WHEN 1 THEN 'implementing' WHEN 2 THEN 'stable' WHEN 3 THEN '' ELSE NULL END END AS lifecycle,
           source AS bounded_context, substr(text, 1, 40) AS title,
           CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 11 IN (2, 3) THEN concat('On ', CASE doc_id % 4 WHEN 0 THEN 'graph-similarity' WHEN 1 THEN 'query-expansion' WHEN 2 THEN 'chunking' ELSE 'code-rag and reranking' END) ELSE substr(text, 1, 120) END AS summary,
           CASE WHEN doc_id % 6 = 0 THEN 'draft' WHEN doc_id % 13 = 0 THEN 'superseded' ELSE 'current' END AS status,
@@ -161,6 +161,28 @@ PROJECTION: dict[str, str] = {
           CASE WHEN event_id % 4 = 0 THEN concat('doc-', CAST(user_id % 15 AS STRING)) ELSE concat('backend/app/core/n', CAST(user_id % 25 AS STRING), '.py') END AS file,
           CAST(event_id % 500 AS INT) AS line, CASE WHEN event_id % 4 = 0 THEN concat('term', CAST(user_id % 12 AS STRING)) ELSE concat('note ', CAST(event_id AS STRING)) END AS message, 'info' AS severity
         FROM events WHERE event_type = 'error'""",
+    # What the checks read: front matter as authored, links and paths as written, declared vocabularies.
+    "doc_front": """
+        SELECT id, CASE WHEN dkey % 83 = 2 THEN 'docs/renamed.md' ELSE path END AS path, CASE WHEN dkey % 61 = 9 THEN NULL WHEN dkey % 73 = 2 THEN 'memo' ELSE role END AS role, CASE WHEN dkey % 61 = 9 THEN 'guide' END AS legacy_type, CASE WHEN dkey % 71 = 4 THEN 'guess' ELSE kind END AS kind, lifecycle, title, summary, updated, dkey,
+          CASE WHEN dkey % 37 = 11 THEN 'auto' WHEN dkey % 41 = 3 THEN 'wip' ELSE status END AS status, CASE WHEN dkey % 17 = 3 THEN NULL ELSE bounded_context END AS bounded_context, CASE dkey % 31 WHEN 3 THEN 'secret' WHEN 4 THEN 'internal' WHEN 5 THEN 'public' END AS visibility,
+          CASE WHEN dkey % 53 = 7 THEN 0 ELSE 1 END AS has_frontmatter, CASE WHEN dkey % 59 = 8 THEN 'mapping values are not allowed here' END AS parse_error, CASE WHEN dkey % 67 IN (6, 17) THEN 1 ELSE 0 END AS has_context_list,
+          CASE WHEN dkey % 12 = 4 THEN 'example' ELSE concat('value-', CAST(dkey AS STRING)) END AS value_id, CASE WHEN dkey % 3 = 1 THEN 'Placeholder domain entity. Replace it.' ELSE 'A real one' END AS description
+        FROM Doc""",
+    "doc_front_line": "SELECT id AS doc_id, 6 AS line, concat('summary: ', CASE dkey % 43 WHEN 7 THEN 'fixes #12' WHEN 8 THEN '\"fixes #12\"' WHEN 9 THEN 'note: this' ELSE 'fixes it' END) AS text FROM Doc",
+    "doc_target": """
+        SELECT id AS src, 'md' AS kind, concat('docs/', CAST(dkey + CASE WHEN dkey % 29 = 4 THEN 1000000000 ELSE 0 END AS STRING), '.md') AS target, 3 AS line FROM Doc WHERE dkey % 8 <> 0
+        UNION ALL SELECT id, 'md', concat('backend/app/core/n', CAST(dkey % 30 AS STRING), '.py'), 4 FROM Doc WHERE dkey % 6 = 1
+        UNION ALL SELECT id, 'path', concat(CASE WHEN dkey % 2 = 0 THEN 'target/' ELSE 'src/' END, CAST(dkey % 9 AS STRING), '.rs'), 8 FROM Doc WHERE dkey % 14 = 3 OR dkey % 14 = 6
+        UNION ALL SELECT id, 'wikilink', CASE WHEN dkey % 3 = 0 THEN id WHEN dkey % 3 = 1 THEN CAST(dkey AS STRING) ELSE concat('gone-', CAST(dkey AS STRING)) END, 9 FROM Doc WHERE dkey % 5 = 2
+        UNION ALL SELECT src, 'wikilink', concat('entity-', dst), line FROM COVERS WHERE inferred = 0 AND line % 3 <> 1
+        UNION ALL SELECT id, CASE WHEN dkey % 2 = 0 THEN 'depends-on' ELSE 'supersedes' END, CASE WHEN dkey % 4 = 3 THEN concat('nowhere-', CAST(dkey AS STRING)) ELSE id END, 2 FROM Doc WHERE dkey % 19 = 7""",
+    "doc_covers": "SELECT src, dst FROM COVERS UNION ALL SELECT id, concat('no-entity-', CAST(dkey % 7 AS STRING)) FROM Doc WHERE dkey % 45 = 1",
+    "known_path": "SELECT path FROM Doc UNION SELECT path FROM File",
+    "bounded_context": "SELECT DISTINCT source AS id FROM documents WHERE source <> (SELECT max(source) FROM documents) UNION ALL SELECT concat('spare-', lower(r_name)) FROM region WHERE r_regionkey < 2",
+    "entity_context": "SELECT e.id AS entity, b.id AS context FROM entity_seed e JOIN (SELECT id, row_number() OVER (ORDER BY id) AS k FROM bounded_context) b ON e.n % 7 = b.k UNION ALL SELECT id, 'elsewhere' FROM entity_seed WHERE n % 11 = 8",
+    "doc_term": "SELECT d.id AS doc_id, e.display AS term, 5 AS line FROM Doc d JOIN (SELECT display, row_number() OVER (ORDER BY id) AS k FROM entity_seed) e ON d.dkey % 29 = e.k WHERE d.dkey % 3 = 1",
+    "code_comment": "SELECT symbol, file, line, doc_comment AS text, CASE fkey % 4 WHEN 0 THEN 'Africa' WHEN 1 THEN 'Middle' WHEN 2 THEN 'Europes' ELSE 'Json' END AS term FROM Function WHERE doc_comment <> ''",
+    "homepage": "SELECT concat('docs/home-', lower(replace(r_name, ' ', '-')), '.md') AS path, CASE r_regionkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('# ', r_name) ELSE '# Old' END AS text, concat('# ', r_name) AS expected FROM region",
     "HAS_FINDING": "SELECT file AS src, id AS dst FROM Finding WHERE kind <> 'unstubbed-concept'",
 }
 
