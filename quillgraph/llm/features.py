@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .kernels import Chunk, Tokens, chunks, decode, encode, grams, mix, powers, splitmix, _BYTE, _Q, _QI, LOWER
 from .shared import carried_type
 
+#: Text bytes at once: a byte of text costs some hundred bytes of features.
+SCORED_BYTES = 1 << 20
 #: Everything ASCII that is no letter or digit separates words.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -123,7 +125,22 @@ class Samples:
 
     def __init__(self, label: np.ndarray, first: np.ndarray, feature: np.ndarray):
         self.label, self.first, self.feature = label, first, feature
-        self.doc = np.repeat(np.arange(len(label)), np.diff(first))
+        self.doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
+
+    def ranges(self, parts: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The features in order, a range of hashes at a time: their places among all, and where each feature's run begins and how long it is.
+
+        Sorting them at once would take several times the memory of the sample.
+        """
+        top = (self.feature >> np.uint64(56)).astype(np.uint8)
+        cuts = [256 * k // parts for k in range(parts + 1)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            at = np.flatnonzero((top >= low) & (top < high))
+            at = at[np.argsort(self.feature[at], kind="stable")]
+            if len(at):
+                f = self.feature[at]
+                first = np.concatenate([[0], np.flatnonzero(f[1:] != f[:-1]) + 1])
+                yield at, first, np.diff(np.append(first, len(f)))
 
 
 def without_copies(samples: Samples, common: float = 0.05, bands: int = 4, size: int = 4) -> Samples:
@@ -133,14 +150,11 @@ def without_copies(samples: Samples, common: float = 0.05, bands: int = 4, size:
     the ``bands``, over features that few documents have.
     """
     n = len(samples.label)
-    order = np.argsort(samples.feature, kind="stable")
-    f = samples.feature[order]
-    if not len(f):
+    few = np.zeros(len(samples.feature), bool)
+    for at, _, count in samples.ranges():
+        few[at] = np.repeat(count <= max(2, common * n), count)
+    if not few.any():
         return samples
-    first = np.concatenate([[0], np.flatnonzero(f[1:] != f[:-1]) + 1])
-    count = np.diff(np.append(first, len(f)))
-    few = np.zeros(len(f), bool)
-    few[order] = np.repeat(count <= max(2, common * n), count)
     doc, feature = samples.doc[few], samples.feature[few]
     has = np.unique(doc)
     at = np.searchsorted(doc, has)
@@ -164,7 +178,7 @@ def train(samples: DataFrame, extract: Extract, fit: Callable[[Samples], bytes])
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=SCORED_BYTES):
             doc, feature = distinct(*extract(chunk))
             cuts = np.searchsorted(doc, np.arange(chunk.n + 1))
             blobs = [feature[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
@@ -175,11 +189,13 @@ def train(samples: DataFrame, extract: Extract, fit: Callable[[Samples], bytes])
         for b in batches:
             ids += b.column("doc_id").to_pylist()
             label += b.column("label").to_pylist()
-            blobs += b.column("blob").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i], blobs[i]))
+            blobs += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("blob")]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i]))  # each at most once
         blobs = [blobs[i] for i in order]
-        first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in blobs])]).astype(np.int64)
-        model = fit(Samples(np.array([label[i] for i in order], np.int64), first, np.frombuffer(b"".join(blobs), np.uint64)))
+        first = np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype(np.int64)
+        feature = np.concatenate([*blobs, np.zeros(0, np.uint64)])
+        del blobs
+        model = fit(Samples(np.array([label[i] for i in order], np.int64), first, feature))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = samples.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(features, "doc_id long, label long, blob binary")
@@ -231,10 +247,6 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-#: Text bytes that are scored at once: a byte of text costs some hundred bytes of features.
-SCORED_BYTES = 1 << 20
-
-
 def score(spark: SparkSession, docs: DataFrame, model: bytes, extract: Extract) -> DataFrame:
     """(doc_id, score) for every row, with what is carried; the model is a few megabytes at most."""
     sent = spark.sparkContext.broadcast(model)

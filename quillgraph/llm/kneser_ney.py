@@ -48,6 +48,8 @@ HOT_WORDS = 4
 ROUNDS = 2
 #: Contexts with so many next words have their totals written.
 WIDE = 16
+#: Text bytes at once: a token takes some hundred bytes while its grams are made or looked up.
+CHUNK_BYTES = 2 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -292,7 +294,7 @@ def _count_order(given: DataFrame, k: int, model: Model, work: Workspace) -> tup
 
     def grams(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words, sizes)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             h, first = token_hashes(chunk)
             text, place = padded(lexicon.look(h)[0], first, k - 1, lexicon.start)
             columns = [text[place - back].astype(np.uint32) for back in range(k - 1, -1, -1)]
@@ -559,7 +561,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_training: Column, o
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(sent.value)
-            for chunk in chunks(batches):
+            for chunk in chunks(batches, limit=CHUNK_BYTES):
                 n, known, base, score = scorer.chunk(chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(chunk.column("doc_id")), pa.array(n, pa.int64()), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

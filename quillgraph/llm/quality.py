@@ -21,16 +21,14 @@ from .shared import Workspace, ids_back, ship, small_batches, texts
 
 def log_count_ratios(samples: Samples, positive: np.ndarray, most: int, alpha: float, least_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of ``least_docs`` documents or more, the most frequent ``most`` of them, with log((p / |p|) / (q / |q|))."""
-    order = np.argsort(samples.feature, kind="stable")
-    feature, kind = samples.feature[order], positive[samples.doc[order]]
-    if not len(feature):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    first = np.concatenate([[0], np.flatnonzero(feature[1:] != feature[:-1]) + 1])
-    total = np.diff(np.append(first, len(feature)))
-    p = np.add.reduceat(kind.astype(np.int64), first)
-    names = feature[first]
-    kept = np.flatnonzero(total >= least_docs)
-    kept = np.sort(kept[np.lexsort((names[kept], -total[kept]))[:most]])
+    names, p, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, first, count in samples.ranges():
+        kept = count >= least_docs
+        names.append(samples.feature[at[first[kept]]])
+        p.append(np.add.reduceat(positive[samples.doc[at]].astype(np.int64), first)[kept])
+        total.append(count[kept])
+    names, p, total = np.concatenate(names), np.concatenate(p), np.concatenate(total)
+    kept = np.sort(np.lexsort((names, -total))[:most])  # names are in order
     p, q = p[kept] + alpha, (total - p)[kept] + alpha
     # counts are of documents with the feature; classes are normalised by their documents
     a, b = max(1, positive.sum()), max(1, (~positive).sum())

@@ -34,20 +34,20 @@ def choose(samples: Samples, positive: np.ndarray, most: int, sure: float = 3.0,
     A feature counts only if its log ratio is over ``margin`` even ``sure``
     standard errors lower: words that a few copies share by chance are not.
     """
-    order = np.argsort(samples.feature, kind="stable")
-    feature, kind = samples.feature[order], positive[samples.doc[order]]
-    if not len(feature):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    first = np.concatenate([[0], np.flatnonzero(feature[1:] != feature[:-1]) + 1])
-    a = np.add.reduceat(kind.astype(np.int64), first)
-    b = np.diff(np.append(first, len(feature))) - a
     np_, nb = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    ratio = np.log((a + 0.5) / (np_ + 1)) - np.log((b + 0.5) / (nb + 1))
-    spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    weight = ratio - sure * spread
-    best = np.lexsort((feature[first], -weight))[:most]
-    best = np.sort(best[weight[best] > margin])
-    return feature[first][best], ratio[best]
+    names, ratios, weights = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)]
+    for at, first, count in samples.ranges():
+        a = np.add.reduceat(positive[samples.doc[at]].astype(np.int64), first)
+        b = count - a
+        ratio = np.log((a + 0.5) / (np_ + 1)) - np.log((b + 0.5) / (nb + 1))
+        weight = ratio - sure * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        good = weight > margin
+        names.append(samples.feature[at[first[good]]])
+        ratios.append(ratio[good])
+        weights.append(weight[good])
+    names, ratios, weights = np.concatenate(names), np.concatenate(ratios), np.concatenate(weights)
+    best = np.sort(np.lexsort((names, -weights))[:most])  # names are in order
+    return names[best], ratios[best]
 
 
 class Risk:
