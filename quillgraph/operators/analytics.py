@@ -371,6 +371,12 @@ def tf_idf_names(members: DataFrame, top: int = 3) -> DataFrame:
     return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("label", "term", "score")
 
 
-@extra("entity_class_names")
+@extra(
+    "entity_class_names",
+    """, w AS (SELECT DISTINCT entity_class AS label, id, unnest(list_filter(string_split_regex(lower(regexp_replace(concat_ws(' ', id, display, description), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({stop}))) AS term FROM "Entity"),
+    f AS (SELECT label, term, count(*) AS tf FROM w GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT label, term, round(tf * ln((1 + (SELECT count(DISTINCT entity_class) FROM "Entity")) / CAST(df AS DOUBLE)), 6) AS score FROM f JOIN d USING (term))
+    SELECT label, term, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS k FROM s) WHERE k <= 3""".format(stop=", ".join(f"'{x}'" for x in STOPWORDS)),
+    "Entity",
+)
 def entity_class_names(t: Tables) -> DataFrame:
     return tf_idf_names(t["Entity"].select(F.col("entity_class").alias("label"), F.concat_ws(" ", "id", "display", "description").alias("text")))

@@ -144,7 +144,12 @@ def entity_communities_louvain(t: Tables) -> DataFrame:
     return louvain_of(t["ENTITY_CALLS"])
 
 
-@extra("entity_ego_graph")
+@extra(
+    "entity_ego_graph",
+    """, e AS (SELECT src, dst, type FROM "RELATES_TO" UNION ALL SELECT src, dst, 'calls' FROM "ENTITY_CALLS"), n AS (SELECT 'brand-8' AS id UNION SELECT dst FROM e WHERE src = 'brand-8' UNION SELECT src FROM e WHERE dst = 'brand-8')
+    SELECT DISTINCT src, dst, type FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""",
+    "RELATES_TO ENTITY_CALLS",
+)
 def entity_ego_graph(t: Tables) -> DataFrame:
     return ego_graph(t["Entity"], t["RELATES_TO"], t["ENTITY_CALLS"], "brand-8", 1)
 

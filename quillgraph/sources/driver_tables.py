@@ -141,7 +141,7 @@ PROJECTION: dict[str, str] = {
           CASE WHEN doc_id % 23 = 0 THEN NULL ELSE concat('2024-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-', lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0')) END AS updated,
           CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('phase-', CAST(doc_id % 4 AS STRING)) END AS phase, doc_id AS dkey
         FROM documents""",
-    "doc_tags": f"SELECT d.id AS doc_id, t.value FROM Doc d JOIN (VALUES {', '.join(f'({v!r}, {m}, {r})' for v, m, r in TAGS)}) AS t(value, m, r) ON d.dkey % t.m = t.r UNION ALL SELECT id, 'only-here' FROM Doc WHERE dkey = 33",
+    "doc_tags": f"SELECT d.id AS doc_id, t.value FROM Doc d JOIN (VALUES {', '.join(f'({v!r}, {m}, {r})' for v, m, r in TAGS)}) AS t(value, m, r) ON d.dkey % t.m = t.r UNION ALL SELECT id, 'only-here' FROM Doc WHERE dkey = 33 UNION ALL SELECT id, 'lone-topic' FROM Doc WHERE dkey = 198",
     "WIKILINK": "SELECT a.id AS src, b.id AS dst, CAST(1 + a.dkey % 40 AS INT) AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey div_ 2 UNION ALL SELECT a.id, b.id, 7 FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey % 12 + 3 WHERE a.dkey % 2 = 0 UNION ALL SELECT a.id, b.id, 9 FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 33 WHERE a.dkey % 3 = 0",
     "MD_LINK": "SELECT a.id AS src, b.id AS dst, 3 AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 5 WHERE a.dkey % 4 = 0",
     "INFORMED_BY": "SELECT a.id AS src, b.id AS dst, 5 AS line FROM Doc a JOIN (SELECT id, dkey FROM Doc) b ON b.dkey = a.dkey + 9 WHERE a.dkey % 6 = 0",
@@ -183,6 +183,16 @@ PROJECTION: dict[str, str] = {
     "doc_term": "SELECT d.id AS doc_id, e.display AS term, 5 AS line FROM Doc d JOIN (SELECT display, row_number() OVER (ORDER BY id) AS k FROM entity_seed) e ON d.dkey % 29 = e.k WHERE d.dkey % 3 = 1",
     "code_comment": "SELECT symbol, file, line, doc_comment AS text, CASE fkey % 4 WHEN 0 THEN 'Africa' WHEN 1 THEN 'Middle' WHEN 2 THEN 'Europes' ELSE 'Json' END AS term FROM Function WHERE doc_comment <> ''",
     "homepage": "SELECT concat('docs/home-', lower(replace(r_name, ' ', '-')), '.md') AS path, CASE r_regionkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('# ', r_name) ELSE '# Old' END AS text, concat('# ', r_name) AS expected FROM region",
+    # What a decoded code index holds.
+    "index_definition": "SELECT file, symbol, 'function' AS kind, line AS begin_line, line + 4 + CAST(fkey % 90 AS INT) AS end_line FROM Function UNION ALL SELECT file, symbol, kind, line, line + 40 FROM Type",
+    "index_occurrence": """
+        SELECT f.file, c.dst AS symbol, f.line + 1 + c.source_line AS line, 'reference' AS role FROM CALLS c JOIN Function f ON f.symbol = c.src
+        UNION ALL SELECT f.file, u.dst, f.line + u.source_line, 'reference' FROM USES_TYPE u JOIN Function f ON f.symbol = u.src
+        UNION ALL SELECT f.file, r.dst, f.line + r.source_line, 'reference' FROM REFERENCES r JOIN Function f ON f.symbol = r.src
+        UNION ALL SELECT a.file, b.symbol, 1, 'import' FROM Function a JOIN Function b ON b.fkind = a.fkind AND b.fkey = a.fkey + 2 WHERE a.file <> b.file""",
+    "index_relation": "SELECT a.symbol AS src, b.symbol AS dst FROM Function a JOIN Function b ON b.fkind = 'p' AND a.fkind = 'p' AND b.fkey = a.fkey + 1 WHERE a.fkey % 10 = 1 UNION ALL SELECT a.symbol, b.symbol FROM Type a JOIN Type b ON b.tkey = a.tkey + 20 UNION ALL SELECT symbol, symbol FROM Type WHERE tkey % 15 = 0",
+    "Migration": "SELECT concat('migration-', CAST(r_regionkey AS STRING)) AS id, CAST(r_regionkey AS INT) AS from_version, CAST(r_regionkey + 1 AS INT) AS to_version, r_name AS about FROM region",
+    "Repo": "SELECT source AS id, concat('/', source) AS root, count(*) AS docs FROM documents WHERE source IS NOT NULL GROUP BY source",
     "HAS_FINDING": "SELECT file AS src, id AS dst FROM Finding WHERE kind <> 'unstubbed-concept'",
 }
 

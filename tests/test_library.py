@@ -362,3 +362,76 @@ def test_ego_graph(spark):
     r = spark.createDataFrame([("a", "b", "part-of")], "src string, dst string, type string")
     c = spark.createDataFrame([("b", "c"), ("c", "d")], "src string, dst string")
     assert {tuple(x) for x in concepts.ego_graph(e, r, c, "a", 2).collect()} == {("a", "b", "part-of"), ("b", "c", "calls")}
+
+
+# --------------------------------------------------------------------- tools
+def test_code_index(spark):
+    from quillgraph.sources import code_index as ci
+
+    d = spark.createDataFrame([("f", "m/outer().", "function", 1, 100), ("f", "m/inner().", "function", 10, 20), ("g", "m/I#run().", "function", 1, 5), ("g", "m/A#run().", "function", 6, 9), ("g", "m/I#", "trait", 1, 9), ("g", "m/A#", "struct", 1, 9), ("g", "m/J#", "trait", 1, 2)], "file string, symbol string, kind string, begin_line int, end_line int")
+    o = spark.createDataFrame([("f", "m/I#run().", 12, "reference"), ("f", "m/I#run().", 50, "reference"), ("f", "m/outer().", 50, "reference"), ("f", "m/A#", 15, "reference"), ("f", "m/A#", 13, "reference"), ("f", "m/A#name.", 13, "reference"), ("f", "m/A#run().", 1, "import"), ("f", "m/I#", 200, "reference")], "file string, symbol string, line int, role string")
+    r = spark.createDataFrame([("m/A#run().", "m/I#run()."), ("m/A#", "m/I#"), ("m/J#", "m/I#"), ("m/A#", "m/A#"), ("m/A#", "ext/X#")], "src string, dst string")
+    assert sorted(tuple(x) for x in ci.calls(d, o, r).collect()) == [("m/inner().", "m/A#run().", "f", 12, 1), ("m/inner().", "m/I#run().", "f", 12, 0), ("m/outer().", "m/A#run().", "f", 50, 1), ("m/outer().", "m/I#run().", "f", 50, 0)]
+    assert [tuple(x) for x in ci.uses_type(d, o).collect()] == [("m/inner().", "m/A#", "f", 13)]
+    assert [tuple(x) for x in ci.field_references(d, o).collect()] == [("m/inner().", "m/A#name.", "f", 13)]
+    assert {tuple(x) for x in ci.type_relations(d, r).collect()} == {("m/A#", "m/I#", "implements"), ("m/J#", "m/I#", "extends"), ("m/A#", "ext/X#", "implements")}
+    assert [tuple(x) for x in ci.imports(d, o).collect()] == [("f", "g", 1)]
+
+
+def test_tools(spark, tables, tmp_path):
+    from quillgraph.operators import tools
+
+    names = tools.available(tables)
+    assert "hub-functions" in names and set(names) <= set(CATALOG)
+    with pytest.raises(KeyError, match="hub-functions"):
+        tools.saved("hub-function")
+    (tmp_path / "a.toml").write_text('name = "big"\nparams = ["least=2", "kind"]\nsql = "SELECT id FROM People WHERE k >= CAST($least AS INT) AND kind = $kind"\n')
+    (tmp_path / "b.toml").write_text("name = ")
+    loaded = tools.load_queries(str(tmp_path))
+    people = {"People": spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 3, "y")], "id string, k int, kind string")}
+    assert list(loaded) == ["big"] and [r.id for r in tools.run_loaded(spark, people, loaded["big"], kind="x").collect()] == ["b"]
+    with pytest.raises(ValueError, match="kind"):
+        tools.run_loaded(spark, people, loaded["big"])
+    got = tools.page(people["People"], [F.col("id")], 1, 1).collect()
+    assert [(r.id, r.total) for r in got] == [("b", 3)]
+
+
+def test_handlers_and_endpoint_rows(spark):
+    from quillgraph.operators import tools
+
+    f = spark.createDataFrame([("a/x/one().", "a/x.py", 1), ("a/y/two().", "a/y.py", 5), ("a/z/two().", "a/z.py", 5), ("a/w/go().", "a/w.py", 3), ("a/w/B#go().", "a/w.py", 9), ("b/q/go().", "b/q.py", 1), ("b/v/solo().", "b/v.py", 1), ("c/v/solo().", "c/v.py", 1)], "symbol string, file string, line int")
+    e = spark.createDataFrame([("1", "flask", "one", "z.py", 1), ("2", "flask", "two", "a/z.py", 1), ("3", "jaxrs", "go", "a/w.py", 4), ("4", "flask", "go", "a/w.py", 4), ("5", "flask", "solo", "b/k.py", 1), ("6", "flask", "none", "b/k.py", 1), ("7", "flask", "two", "a/k.py", 1)], "id string, kind string, handler string, source_file string, source_line int")
+    assert {r.id: r.symbol for r in tools.handlers(e, f).collect()} == {"1": "a/x/one().", "2": "a/z/two().", "3": "a/w/B#go().", "5": "b/v/solo()."}
+    c = spark.createDataFrame([("a.rs", 3, " @endpoint get /x"), ("a.rs", 9, "nothing")], "file string, line int, text string")
+    marked = tools.endpoint_markers(c)
+    found = spark.createDataFrame([("fastapi:GET:/x", "fastapi", "GET", "/x", "b.py", 1), ("flask:GET:/y", "flask", "GET", "/y", "b.py", 2), ("flask:GET:/y", "flask", "GET", "/y", "c.py", 2), ("flask:GET:/z", "flask", "GET", "/z", "c.py", 3)], "id string, kind string, method string, path string, source_file string, source_line int")
+    assert sorted((r.id, r.source_file) for r in tools.merge_endpoints(marked, found, exempt=("flask:GET:/z",)).collect()) == [("flask:GET:/y", "b.py"), ("marker:GET:/x", "a.rs")]
+
+
+def test_files_and_texts(spark):
+    from quillgraph.operators import tools
+
+    d = spark.createDataFrame([("b", "docs/b.md", None, "x " * 300 + "needle " + "y " * 300), ("a", "docs/sub/a.md", "internal", "short"), ("c", "src/c.md", "public", None)], "id string, path string, visibility string, text string")
+    assert [r.json[:9] for r in tools.sitemap(d.select("id", "visibility")).collect()] == ['{"id":"a"', '{"id":"b"', '{"id":"c"']
+    assert [r.id for r in tools.export(d).orderBy("id").collect()] == ["b", "c"] and [r.id for r in tools.export(d, include=("docs/*.md",)).collect()] == ["b"]
+    got = {r.id: r.s for r in d.select("id", tools.snippet(F.col("text"), ["none", "needle"], 60).alias("s")).collect()}
+    assert "needle" in got["b"] and got["b"][0] == got["b"][-1] == "…" and len(got["b"]) == 62 and got["a"] == "short" and got["c"] == ""
+    m = spark.createDataFrame([("core", ["docs/**"]), ("code", ["src/*.md", "lib/?.rs"])], "module string, globs array<string>")
+    assert {(r.path, r.module) for r in tools.modules_by_glob(d, m).collect()} == {("docs/b.md", "core"), ("docs/sub/a.md", "core"), ("src/c.md", "code")}
+    log = spark.createDataFrame([("x", 3), ("x", 9), ("y", 1)], "file string, at int")
+    assert {tuple(r) for r in tools.git_dates(log).collect()} == {("x", 9), ("y", 1)}
+
+
+def test_unauthored_clusters(spark):
+    report = spark.createDataFrame([("l1", 9, 0.5), ("l2", 7, 0.4), ("l3", 2, 0.9), ("l4", 8, 0.01)], "label string, members long, density double")
+    names = spark.createDataFrame([("l1", "Known Thing"), ("l2", "New Thing"), ("l3", "x"), ("l4", "y")], "label string, name string")
+    assert [(r.code, r.subject) for r in lint.unauthored_clusters(report, names, spark.createDataFrame([("known-thing",)], "id string")).collect()] == [("unauthored-cluster", "new-thing")]
+
+
+def test_orphans_and_duplicates(spark, tables):
+    """The two rules that the projection cannot break."""
+    none = {n: spark.createDataFrame([], tables[n].schema) for n in PROJECTION}
+    doc = tables["Doc"].limit(1).collect()[0]
+    twice = {**none, "Doc": spark.createDataFrame([doc, doc], tables["Doc"].schema), "doc_front": spark.createDataFrame([r for r in tables["doc_front"].where(F.col("id") == doc.id).collect()], tables["doc_front"].schema)}
+    found = {r.code for r in lint.issues(twice).collect()}
+    assert {"duplicate-id", "orphan-doc"} <= found
