@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Chunk, Tokens, chunks, decode, encode, grams, mix, powers, splitmix, _BYTE, _Q, _QI, LOWER
+from .kernels import LOWER, NEVER, Chunk, Tokens, chunks, decode, encode, give_back, grams, mix, powers, splitmix, _BYTE, _Q, _QI
 from .shared import carried_type
 
 #: Text bytes at once: a byte of text costs some hundred bytes of features.
@@ -120,6 +120,20 @@ class Dictionary:
         return key // len(self.hashes), key % len(self.hashes)
 
 
+def present(hashes: np.ndarray, samples: Samples) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted hashes each training document has: (document, index), by document."""
+    dictionary, docs, found = Dictionary(hashes), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(samples.feature), STEP):
+        d, at = dictionary.find(samples.doc[s : s + STEP], samples.feature[s : s + STEP])
+        docs.append(d)
+        found.append(at)
+    return np.concatenate(docs), np.concatenate(found)
+
+
+#: Features that are handled at once.
+STEP = 1 << 20
+
+
 class Samples:
     """Training documents: features of document i are ``feature[first[i]:first[i + 1]]``."""
 
@@ -153,19 +167,26 @@ def without_copies(samples: Samples, common: float = 0.05, bands: int = 4, size:
     few = np.zeros(len(samples.feature), bool)
     for at, _, count in samples.ranges():
         few[at] = np.repeat(count <= max(2, common * n), count)
-    if not few.any():
-        return samples
-    doc, feature = samples.doc[few], samples.feature[few]
-    has = np.unique(doc)
-    at = np.searchsorted(doc, has)
+    least = np.full((bands * size, n), NEVER, np.uint64)
+    for s in range(0, len(samples.feature), STEP):
+        mine = few[s : s + STEP]
+        doc, feature = samples.doc[s : s + STEP][mine], samples.feature[s : s + STEP][mine]
+        if not len(doc):
+            continue
+        at = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
+        for k in range(bands * size):
+            low = np.minimum.reduceat(mix(feature ^ np.uint64(splitmix(100 * (k // size) + k % size))), at)
+            least[k, doc[at]] = np.minimum(least[k, doc[at]], low)
+    has = np.flatnonzero(least[0] != NEVER)
     keep = np.ones(n, bool)
     for band in range(bands):
         key = samples.label[has].astype(np.uint64)
         for j in range(size):
-            key = mix(key + np.minimum.reduceat(mix(feature ^ np.uint64(splitmix(100 * band + j))), at)) if len(at) else key
+            key = mix(key + least[band * size + j, has])
         one = np.zeros(n, bool)
         one[has[np.unique(key, return_index=True)[1]]] = True
         keep[has] &= one[has]
+    give_back()
     rows = np.flatnonzero(keep)
     size_of = np.diff(samples.first)[rows]
     return Samples(samples.label[rows], np.concatenate([[0], np.cumsum(size_of)]), samples.feature[keep[samples.doc]])
@@ -184,18 +205,19 @@ def train(samples: DataFrame, extract: Extract, fit: Callable[[Samples], bytes])
             blobs = [feature[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(chunk.column("doc_id")), pa.array(chunk.column("label")), pa.array(blobs, pa.binary())], ["doc_id", "label", "blob"])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Samples:
         ids, label, blobs = [], [], []
         for b in batches:
             ids += b.column("doc_id").to_pylist()
             label += b.column("label").to_pylist()
             blobs += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("blob")]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], label[i]))  # each at most once
-        blobs = [blobs[i] for i in order]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype(np.int64)
-        feature = np.concatenate([*blobs, np.zeros(0, np.uint64)])
-        del blobs
-        model = fit(Samples(np.array([label[i] for i in order], np.int64), first, feature))
+        first = np.concatenate([[0], np.cumsum([len(blobs[i]) for i in order])]).astype(np.int64)
+        return Samples(np.array([label[i] for i in order], np.int64), first, np.concatenate([*(blobs[i] for i in order), np.zeros(0, np.uint64)]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(gathered(batches))
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = samples.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(features, "doc_id long, label long, blob binary")

@@ -9,6 +9,7 @@ shuffle moves few, dense records.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -124,6 +125,23 @@ def _views(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_trim = _trimmer()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Regroup batches to runs of rows of about ``limit`` text bytes (a longer text is a run of its own)."""
     held: list[pa.RecordBatch] = []
@@ -146,6 +164,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
                 held, size, rows = [], 0, 0
     if held:
         yield Chunk(held, text)
+        held = []
+    give_back()
 
 
 class Tokens:
@@ -306,6 +326,7 @@ def unpacked(batches: Iterable[pa.RecordBatch], kinds: list, name: str = "blob")
     parts = [decode(x.as_buffer(), kinds) for b in batches for x in b.column(b.schema.get_field_index(name)) if x.is_valid]
     if not parts:
         return [np.zeros(0, k) for k in kinds]
+    give_back()
     return [np.concatenate(p) for p in zip(*parts)]
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import Dictionary, Linear, Samples, bounded, logistic, ngram_features, one_text, score, train, training_ids
+from .features import Linear, Samples, bounded, logistic, ngram_features, one_text, present, score, train, training_ids
 from .shared import Workspace, ids_back, ship, small_batches, texts
 
 
@@ -82,7 +82,7 @@ def fit_quality(most_features: int, cost: float, mixing: float, rounds: int, lea
             sure = 0.0 if not len(positive) else 500.0 if positive.all() else -500.0
             return Linear(np.zeros(0, np.uint64), np.zeros(0), sure).dump()
         hashes, ratio = log_count_ratios(samples, positive, most_features, 1.0, least_docs)
-        doc, index = Dictionary(hashes).find(samples.doc, samples.feature)
+        doc, index = present(hashes, samples)
         first = np.searchsorted(doc, np.arange(len(positive) + 1))
         y = np.where(positive, 1.0, -1.0)
         w = dual_descent(first, index, ratio[index], y, len(hashes), cost, rounds)

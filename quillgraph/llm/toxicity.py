@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import Dictionary, Linear, Samples, bounded, logistic, one_text, score, train, training_ids, without_copies, word_features
+from .features import Linear, Samples, bounded, logistic, one_text, present, score, train, training_ids, without_copies, word_features
 from .shared import Workspace, ids_back, ship, small_batches, texts, whole_row
 
 
@@ -104,7 +104,7 @@ def fit_toxicity(prior: float, most_features: int, decay: float = 1e-4):
         hashes, ratio = choose(samples, positive, most_features)
         if not positive.any() or positive.all() or not len(hashes):
             return Linear(hashes[:0], np.zeros(0), -500.0).dump()
-        doc, index = Dictionary(hashes).find(samples.doc, samples.feature)
+        doc, index = present(hashes, samples)
         first = np.searchsorted(doc, np.arange(len(positive) + 1))
         # features that tell little start with little say
         value = np.abs(ratio)
