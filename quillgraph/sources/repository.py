@@ -121,15 +121,25 @@ def links(files: DataFrame) -> DataFrame:
     return wiki.unionByName(mark).select("path", "kind", F.trim("target").alias("target"), "line")
 
 
+#: Lines of a log that are ordered together.
+LOG_BLOCK = 4096
+
+
 def git_log(log: DataFrame) -> DataFrame:
     """(commit, at, file) from lines ``hash|unix time|`` followed by file names; (line, text) in log order.
 
-    A running maximum of the header's line number gives each name its commit.
+    Each name belongs to the last header before it: a running maximum within
+    blocks of lines, with what the earlier blocks leave, so only a row for each
+    block is put in one order.
     """
     head = F.col("text").rlike(r"^[0-9a-f]{7,40}\|\d+\|")
-    marked = log.withColumn("at_line", F.max(F.when(head, F.col("line"))).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
-    heads = marked.where(head).select(F.col("line").alias("at_line"), F.split("text", r"\|")[0].alias("commit"), F.split("text", r"\|")[1].cast("long").alias("at"))
-    return marked.where(~head & (F.trim("text") != "")).join(heads, "at_line").select("commit", "at", F.trim("text").alias("file"))
+    rows = log.withColumn("block", F.expr(f"line div {LOG_BLOCK}")).withColumn("head", F.when(head, F.col("line")))
+    ends = rows.groupBy("block").agg(F.max("head").alias("last"))
+    before = ends.select("block", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    running = F.max("head").over(Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumn("own", running).join(before, "block").withColumn("at_line", F.coalesce("own", "carried"))
+    heads = log.where(head).select(F.col("line").alias("at_line"), F.split("text", r"\|")[0].alias("commit"), F.split("text", r"\|")[1].cast("long").alias("at"))
+    return marked.where(F.col("head").isNull() & (F.trim("text") != "")).join(heads, "at_line").select("commit", "at", F.trim("text").alias("file"))
 
 
 _VERBS = "get|post|put|delete|patch|head|options"

@@ -174,7 +174,9 @@ def test_modules(files):
     assert {r.path: (r.language, r.loc) for r in repository.file_table(files).collect()}["app/sub/x.js"] == ("javascript", 1)
 
 
-def test_git_log_and_coupling(spark):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_git_log_and_coupling(spark, monkeypatch, block):
+    monkeypatch.setattr(repository, "LOG_BLOCK", block)
     log = []
     for k in range(4):
         log += [f"abcdef{k}|{1000 + k}|", "a.py", "b.py"] + (["c.py"] if k == 0 else []) + [""]
