@@ -44,8 +44,8 @@ from .shared import Lazy, Workspace, array_names, ids_back, partitions, read_arr
 END = np.uint64(splitmix(31337))
 #: Words whose contexts are split: those with over 1 / (HOT_WORDS * partitions) of all tokens.
 HOT_WORDS = 4
-#: Passes over the texts for each order: what is shuffled at a time is so much less.
-ROUNDS = 2
+#: Passes over the texts for the highest order: what is shuffled at a time is so much less, and the texts are read so often.
+ROUNDS = 1
 #: Contexts with so many next words have their totals written.
 WIDE = 16
 #: Text bytes at once: a token takes some hundred bytes while its grams are made or looked up.
