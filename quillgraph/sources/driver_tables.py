@@ -18,7 +18,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .store import new_version, publish, read_graph
+from .store import new_version, publish
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "embeddings")
 
@@ -234,21 +234,28 @@ class GraphTables(Mapping):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
+        self.stored: str | None = None
 
-    #: Folders of stored graphs, by the folder of the raw tables; :func:`store_graph` puts them here.
-    STORED: dict[str, str] = {}
+    #: Stored graphs by the folder of the raw tables: root, version and tables read so far; :func:`store_graph` puts them here.
+    STORED: dict[str, tuple[str, str, GraphTables]] = {}
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    def of(cls, spark: SparkSession, sf_dir: str) -> GraphTables:
         """The graph of a folder of raw tables: as it was stored, if it was, else as a projection."""
-        tables = cls(spark, sf_dir)
-        if root := cls.STORED.get(sf_dir):
-            tables.made |= read_graph(spark, root, list(PROJECTION))
+        if sf_dir not in cls.STORED:
+            return cls(spark, sf_dir)
+        root, version, tables = cls.STORED[sf_dir]
+        if tables.spark is not spark:  # another session reads anew
+            tables = cls(spark, sf_dir)
+            tables.stored = f"{root}/{version}"
+            cls.STORED[sf_dir] = (root, version, tables)
         return tables
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            if name in PROJECTION:
+            if name in PROJECTION and self.stored:
+                self.made[name] = self.spark.read.parquet(f"{self.stored}/{name}")
+            elif name in PROJECTION:
                 text = PROJECTION[name].replace(" div_ ", " div ")
                 names = [n for n in (*RAW, *PROJECTION) if n != name and re.search(rf"(FROM|JOIN) {n}\b", text)]
                 for n in names:
@@ -279,5 +286,6 @@ def store_graph(spark: SparkSession, sf_dir: str, root: str) -> str:
         tables[name].write.parquet(path)
         tables.made[name] = spark.read.parquet(path)
     publish(spark, root, version)
-    GraphTables.STORED[sf_dir] = root
+    tables.stored = f"{root}/{version}"
+    GraphTables.STORED[sf_dir] = (root, version, tables)
     return version

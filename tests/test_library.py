@@ -216,6 +216,21 @@ def test_store(spark, tmp_path):
     assert store.read_graph(spark, root, ["A", "B"])["A"].collect()[0].id == 2
 
 
+def test_stored_graph_answers_as_the_projection(spark, sf, tables, tmp_path):
+    from quillgraph.sources.driver_tables import store_graph
+
+    folder = str(tmp_path / "graph")
+    try:
+        store_graph(spark, sf, folder)
+        stored = GraphTables.of(spark, sf)
+        assert stored.stored and GraphTables.of(spark, sf) is stored
+        for name in ("hub-functions", "coverage-by-entity"):
+            assert sorted(map(str, CATALOG[name].example(stored).collect())) == sorted(map(str, CATALOG[name].example(tables).collect()))
+        assert store.read_graph(spark, folder, ["Entity"])["Entity"].count() == tables["Entity"].count()
+    finally:
+        GraphTables.STORED.clear()
+
+
 def test_guarded_sql(spark):
     t = {"People": spark.createDataFrame([("a;b", 1), ("c", 2)], "name string, k int")}
     assert [r.name for r in store.guarded_sql(spark, t, "SELECT name FROM People WHERE name = :n", n="a;b").collect()] == ["a;b"]
