@@ -816,3 +816,15 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, sf_dir)
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [substring_dedup, suffix_dedup, jaccard_components, pii.find_pii, exact_dedup, lambda s, d: kneser_ney.score_documents(s, d, F.col("doc_id") != 9, 3), lambda s, d: dec.decontaminate(s, d, d.limit(0).withColumnRenamed("doc_id", "item_id"))],
+    ids=["op7", "op5", "op6", "op10", "op4", "op1", "op2"],
+)
+def test_one_row_for_each_row(spark, operator):
+    """Null ids, repeated ids and repeated rows: as many rows out as in, equal ones alike."""
+    rows = [(None, "a b"), (None, "a b"), (None, None), (5, "x y z"), (5, "x y z"), (5, "other"), (9, ""), (9, "")]
+    got = operator(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
