@@ -144,3 +144,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .sharding import shuffle_into_shards
+
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return shuffle_into_shards(spark, table(spark, sf_dir, "documents"), shards=8).select(
+        "row.doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark, table(spark, sf_dir, "embeddings"), k=16)
+
+
+@query(
+    "op13_conversation_prefix_trie",
+    """
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(sha256(length(r) || ':' || r || x) ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS k, list(CAST(strlen(x) AS BIGINT) ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS n FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, k, n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x // 2, (x % 2) * 3988292384))), 4294967295) % 9 AS h FROM o),
+    b AS (SELECT h.conv_id, coalesce(p.k[1:h.h], []) || h.k[h.h + 1 : len(h.k)] AS k, coalesce(p.n[1:h.h], []) || h.n[h.h + 1 : len(h.n)] AS n FROM h LEFT JOIN o p ON p.conv_id = h.conv_id - h.conv_id % 5),
+    m AS (SELECT conv_id, d, array_to_string(k[1:d], ',') AS key, array_to_string(k[1:d - 1], ',') AS up, CASE WHEN d = 0 THEN 0 ELSE n[d] END AS bytes, len(k) = d AS ends FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM b)),
+    nodes AS (SELECT key, CAST(d AS BIGINT) AS depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY key, d),
+    kids AS (SELECT up AS key, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+    below AS (SELECT a.key, a.depth, sum((s.n_convs - 1) * s.bytes) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+      FROM (SELECT DISTINCT m.d AS depth, m.key, e.d AS low, e.key AS low_key FROM m JOIN m e ON e.conv_id = m.conv_id AND e.d >= m.d) AS a JOIN nodes s ON s.key = a.low_key AND s.depth = a.low LEFT JOIN kids c ON c.key = s.key AND c.depth = s.depth GROUP BY 1, 2)
+    SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children, CAST(l.leaves AS BIGINT) AS n_leaves, CAST(l.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+    FROM nodes x LEFT JOIN nodes p ON p.key = x.up AND p.depth = x.depth - 1 AND x.depth > 0 LEFT JOIN kids c ON c.key = x.key AND c.depth = x.depth JOIN below l ON l.key = x.key AND l.depth = x.depth
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the contract rebuilds them: their first turns come from another one."""
+    from pyspark.sql import functions as F
+
+    from .prefix_trie import prefix_trie, turn_arrays
+
+    own = turn_arrays(table(spark, sf_dir, "conversations"))
+    first = own.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("first"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    none = F.array().cast(own.schema["turns"].dataType)
+    taken = F.when(F.col("first").isNull(), none).otherwise(F.slice("first", F.lit(1), h))
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    rebuilt = own.join(first, F.col("conv_id") - F.col("conv_id") % 5 == F.col("base"), "left").select("conv_id", F.concat(taken, rest).alias("turns"))
+    return prefix_trie(spark, rebuilt)
