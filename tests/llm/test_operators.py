@@ -362,8 +362,8 @@ def holds(item, text, length, rate, near=None):
     """Whether a stretch of the item aligns within the budget, by full alignment of every start."""
     item, text = normal(item).rstrip(b" ") if near is None else normal(item), normal(text)
     w = min(len(item), length)
-    e = min(int(w * rate), (w + 1) // dec.Q - 1)
-    return e >= 0 and any(sellers(item[s : s + w], text) <= e for s in (range(len(item) - w + 1) if near is None else near))
+    e = int(w * rate + 1e-9)
+    return w >= dec.Q and any(sellers(item[s : s + w], text) <= e for s in (range(len(item) - w + 1) if near is None else near))
 
 
 @pytest.mark.parametrize("length", [40, 100])
@@ -392,6 +392,58 @@ def test_decontaminate_finds_all_at_the_budget(spark, length):
     assert [got[k].contaminated for k in range(len(docs))] == want
 
 
+def test_short_items_have_their_whole_budget(spark):
+    """Every length from 12 to 120, edits spread evenly, exactly at the budget and one beyond it."""
+    r = random.Random(9)
+    items, docs, want = [], [], []
+    for n in range(12, 121):
+        item = "".join(r.choice("abcdefghijklmnopqrst") for _ in range(n))
+        items.append((n, item))
+        w = min(n, 100)
+        for more in (0, 1):
+            p, e = list(item[:w]), int(w * 0.06 + 1e-9) + more
+            for k in range(e):
+                p[(k + 1) * w // (e + 1) - (more == 0 and k % 2)] = "z"
+            docs.append(f"0 1 2 3 4 5 6 {'9' * 40}{''.join(p)}{'8' * 40} 7 6 5 4")
+            want.append(holds(item, docs[-1], 100, 0.06))
+    assert all(want[::2]) and not any(want[1::2])
+    got = by_id(dec.decontaminate(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert [got[k].contaminated for k in range(len(docs))] == want
+
+
+def test_random_short_items(spark):
+    """Items of few letters share many grams; brute force over all pairs."""
+    r = random.Random(10)
+    items = [(k, "".join(r.choice("ab c") for _ in range(r.randint(8, 70)))) for k in range(40)]
+    docs = [(k, "".join(r.choice("abc ") for _ in range(r.randint(0, 150)))) for k in range(60)]
+    for k, (_, t) in enumerate(items):
+        p = list(t)
+        for _ in range(r.randint(0, 4)):
+            p[r.randrange(len(p))] = r.choice(["", "a", "x", "bb"])
+        docs.append((100 + k, docs[k][1] + "".join(p) + "cab" * r.randint(0, 5)))
+    got = by_id(dec.decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 40, 0.08))
+    kept = [(k, normal(t)) for k, t in items]
+    want = {d: [k for k, t in kept if holds_normal(t, normal(x), 40, 0.08)] for d, x in docs}
+    assert {d: list(got[d].items) for d in want} == want and sum(map(len, want.values())) > 15
+
+
+def holds_normal(item, text, length, rate):
+    w = min(len(item), length)
+    return w >= dec.Q and any(sellers(item[s : s + w], text) <= int(w * rate + 1e-9) for s in range(len(item) - w + 1))
+
+
+def test_repetitive_texts(spark, monkeypatch):
+    """One letter over and over: bounded runs, equal stretches tried once."""
+    items = [(1, "a" * 300), (2, "ab" * 4000), (3, "a" * 50 + "".join(chr(98 + k % 20) for k in range(60))), (4, "a" * 20_000 + "b" * 100)]
+    docs = [(1, "a" * 200_000), (2, "ab" * 20_000), (3, "b" * 500 + "a" * 93), (4, "b" * 500 + "a" * 94), (5, "xy" * 200_000), (6, "a" * 150 + "b" * 94 + "a" * 10)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {k: list(x.items) for k, x in by_id(dec.decontaminate(spark, frame, bench)).items()}
+    assert got == {1: [1, 4], 2: [2], 3: [4], 4: [1, 4], 5: [], 6: [1, 4]}
+    monkeypatch.setattr(dec, "HITS", 50)
+    some = frame.where("doc_id in (3, 4, 6)")
+    assert {k: list(x.items) for k, x in by_id(dec.decontaminate(spark, some, bench)).items()} == {k: got[k] for k in (3, 4, 6)}
+
+
 def test_decontaminate_rows_of_one_id(spark, monkeypatch):
     """Each row has its own result, in one block and in several; null ids too."""
     items = [(k, " ".join(f"item{k}word{j}" for j in range(20))) for k in range(4)]

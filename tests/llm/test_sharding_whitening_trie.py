@@ -57,7 +57,7 @@ def test_small_matrix_follows_the_law(spark):
     """Partitions of 2 and 4 rows, two shards: what the first sends to shard 0 over 4,000 seeds."""
     children = F.array(*[F.struct(F.lit(p).cast("long").alias("node"), F.lit(n).cast("long").alias("n")) for p, n in ((0, 2), (1, 4))])
     places = F.array(F.lit(3).cast("long"), F.lit(3).cast("long"))
-    drawn = spark.range(4000).select(_share_out(places, children, 2, F.col("id")).alias("c")).collect()
+    drawn = spark.range(4000).select(_share_out(places, children, 2, F.lit(11), F.col("id")).alias("c")).collect()
     assert all([a + b for a, b in zip(r.c[0].counts, r.c[1].counts, strict=True)] == [3, 3] and sum(r.c[0].counts) == 2 for r in drawn)
     got = Counter(r.c[0].counts[0] for r in drawn)
     assert sum((got[k] - 4000 * p) ** 2 / (4000 * p) for k, p in enumerate(chances(6, 3, 2))) < 13.8  # 1 in 1,000
