@@ -4,8 +4,10 @@ Tokens are summed by cell (source, language, topic).  Raking multiplies the
 cells of each source by the factor that gives the source its target, then each
 language's, then each topic's, and repeats until all three marginals hold.  A
 document's calibrated probability is its cell's factor over the largest factor,
-so the kept tokens have the target marginals in expectation, and documents are
-kept by a hash of their id: the same ones each time.
+so the kept tokens have the target marginals in expectation.  Each row has a draw of
+its own, a hash of its id, its text and its place in the table: rows without an id,
+and rows that repeat one, stand or fall by themselves, and the same table read in the
+same way keeps the same rows.
 
 The cells are few (the product of the distinct values), whatever the number of
 documents, and stay in Spark; only the largest deviation comes to the driver.
@@ -17,8 +19,10 @@ mixture has all three marginals, raking stops after ``rounds`` and the last
 marginal (topic) holds.  Documents without tokens take part with their cell's
 factor; a cell without any tokens has factor 1 unless a value of it is left out.
 
-Texts are read once: the features of all rows are written, with the columns to
-carry, and the later steps read those.  The cells lie in one partition as long as
+Without ``carry`` texts are read once: the features of all rows are written and the
+later steps read those.  Rows to carry are not written; their texts are read a second
+time when the factors are known.  Of the tables written on the way only features and
+factors stay, which the result reads.  The cells lie in one partition as long as
 they are few, so that raking exchanges nothing.  Where the factors are too many to
 be broadcast, rows of a hot cell are split by the engine's skew handling.
 """
@@ -99,24 +103,29 @@ def mix(
     targets: dict[str, DataFrame] | None = None,
     power: float = 0.8,
     seed: int = 20,
-    carry: tuple[str, ...] = (),
+    carry: bool = False,
 ) -> DataFrame:
-    """Returns doc_id, source, lang, topic, n_tokens, weight, probability, sampled and the columns to ``carry``, one row per row.
+    """Returns doc_id, source, lang, topic, n_tokens, weight, probability, sampled; one row per row.
 
     ``targets`` has a frame (value, target) for ``source``, ``lang`` and
     ``topic``; a missing one is tempered by ``power``.  ``weight`` scales a
-    document's tokens to the target mixture (1: as often as now).
+    document's tokens to the target mixture (1: as often as now).  With ``carry``
+    also ``row``, the columns of docs as a struct, whatever their names.
     """
     work = Workspace(spark, "mixing")
+    text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
-        topic_of(F.col("text").cast("string")).alias("topic"),
-        n_tokens(F.col("text").cast("string")).alias("n_tokens"),
-        *[F.col(c) for c in carry],
+        topic_of(text).alias("topic"),
+        n_tokens(text).alias("n_tokens"),
+        # uniform in [0, 1) from 52 bits of a hash
+        (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text, F.monotonically_increasing_id()), 12) / F.lit(float(1 << 52))).alias("chance"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
-    rows = work.table(rows, "rows")
+    if not carry:
+        rows = work.table(rows, "rows")
     cells = work.table(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     given = targets or {}
     wanted = {m: given[m] if m in given else tempered(cells, m, power) for m in MARGINS}
@@ -132,8 +141,6 @@ def mix(
     bare = bare.select(*MARGINS, F.when(left_out, 0.0).otherwise(1.0).alias("weight"), F.when(left_out, 0.0).otherwise(1.0).alias("probability"))
     weights = weights.join(weights.agg(top), F.lit(True)).select(*MARGINS, "weight", F.when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0).alias("probability"))
     factors = work.table(weights.unionByName(bare), "factors")
-    # uniform in [0, 1) from 52 bits of the id's hash
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12) / F.lit(float(1 << 52))
-    out = rows.join(factors, list(MARGINS)).withColumn("sampled", chance < F.col("probability")).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled", *carry)
-    work.drop("cells")
-    return out
+    work.keep("rows", "factors")
+    sampled = F.col("chance") < F.col("probability")
+    return rows.join(factors, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", sampled.alias("sampled"), *(["row"] if carry else []))

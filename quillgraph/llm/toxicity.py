@@ -12,8 +12,11 @@ falls below zero, which only overfitting can do, the step instead undoes it
 (the non-negative correction).  The scorer is linear over indicator features of
 a dictionary chosen on the sample, trained in numpy by full-batch Adam.
 
-The prior is the share of positives among the labelled training rows unless
-given.  Rows of the label table without a label count as unlabelled text.  Empty
+Of near copies with the same label one counts (:func:`~.features.without_copies`), in
+the sample of positives and in the unlabelled one, so that what is copied often does
+not pass for evidence.  The prior speaks of the same rows: the share of positives
+among the labelled training rows, times the share of the positives that stays over
+the share of the unlabelled text that stays.  A prior that is given is taken as it is.  Rows of the label table without a label count as unlabelled text.  Empty
 and null texts have no features and score as the bias alone.  With no positive
 or no other text the model knows nothing and scores 0.
 """
@@ -97,9 +100,21 @@ def nnpu(risk: Risk, dims: int, steps: int = 300, rate: float = 0.05) -> np.ndar
     return w
 
 
-def fit_toxicity(prior: float, most_features: int, decay: float = 1e-4):
+def bound_prior(p: float) -> float:
+    return min(0.9, max(1e-3, p))
+
+
+def prior_of_kept(prior: float, before: np.ndarray, after: np.ndarray) -> float:
+    """The prior over the rows that are left of a sample, given both samples' labels (1: positive, 0: unlabelled)."""
+    left = [(after == x).sum() / max(1, (before == x).sum()) for x in (1, 0)]
+    return bound_prior(prior * left[0] / left[1]) if left[0] and left[1] else prior
+
+
+def fit_toxicity(prior: float, most_features: int, given: bool = False, decay: float = 1e-4):
     def fit(samples: Samples) -> bytes:
+        before = samples.label
         samples = without_copies(samples)
+        prior_here = prior if given else prior_of_kept(prior, before, samples.label)
         positive = samples.label == 1
         hashes, ratio = choose(samples, positive, most_features)
         if not positive.any() or positive.all() or not len(hashes):
@@ -108,7 +123,7 @@ def fit_toxicity(prior: float, most_features: int, decay: float = 1e-4):
         first = np.searchsorted(doc, np.arange(len(positive) + 1))
         # features that tell little start with little say
         value = np.abs(ratio)
-        w = nnpu(Risk(first, index, value, positive, prior, decay), len(hashes))
+        w = nnpu(Risk(first, index, value, positive, prior_here, decay), len(hashes))
         return Linear(hashes, w[:-1] * value, float(w[-1])).dump()
 
     return fit
@@ -135,16 +150,17 @@ def toxicity(
     ship(spark)
     names, docs = docs.columns, texts(docs, text_col=text_col, carry=carry)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(training_ids())
+    given = prior is not None
     if prior is None:
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        prior = min(0.9, max(1e-3, share or 0.0))
+        prior = bound_prior(share or 0.0)
     ids = bounded(known.where("toxic = 1").select("doc_id"), most_positive, "p").withColumn("label", F.lit(1))
     ids = ids.unionByName(bounded(known.select("doc_id"), most_unlabelled, "u").withColumn("label", F.lit(0)))
     with small_batches(spark):
         work = Workspace(spark, "toxicity")
         ids = work.table(ids, "sample")
         text = one_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids.select("doc_id").distinct()).select("doc_id", "text")
-        model = train(text.join(F.broadcast(ids), "doc_id"), word_features, fit_toxicity(prior, most_features))
+        model = train(text.join(F.broadcast(ids), "doc_id"), word_features, fit_toxicity(prior, most_features, given))
         out = score(spark, docs, model, word_features)
         out = out.select("doc_id", (~training_ids()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *([whole_row(names, text_col)] if carry else []))
         out = work.table(ids_back(out), "result")

@@ -593,6 +593,38 @@ def test_mixing_leaves_out_what_has_no_target(spark):
     assert {r.topic for r in mixing.mix(spark, df).collect()} == {"prose", "empty"}
 
 
+def test_mixing_draws_by_row(spark):
+    """Rows without an id, rows that repeat one and equal rows are drawn each by itself, as often as expected."""
+    rows = [(None, f"w{k} x", "fr" if k % 5 == 0 else "en") for k in range(1500)] + [(7, "same text", "en")] * 500 + [(8, f"t {k}", "fr") for k in range(100)]
+    df = spark.createDataFrame([(i, t, lang, "s") for i, t, lang in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    share = spark.createDataFrame([("en", 1.0), ("fr", 1.0)], "lang string, target double")
+    got = mixing.mix(spark, df, {"lang": share}).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.doc_id, r.lang].append((r.probability, r.sampled))
+    assert {k: len(v) for k, v in groups.items()} == {(None, "en"): 1200, (None, "fr"): 300, (7, "en"): 500, (8, "fr"): 100}
+    for (p, _), *_ in groups.values():
+        assert 0 < p <= 1
+    for (_, lang), v in groups.items():
+        p = v[0][0]
+        kept = sum(x for _, x in v)
+        assert (kept == len(v)) if lang == "fr" else 0 < p < 0.5 and abs(kept - p * len(v)) < 4 * math.sqrt(len(v) * p * (1 - p)), (lang, kept, p)
+    again = mixing.mix(spark, df, {"lang": share}, carry=True)
+    assert sum(r.sampled for r in again.collect()) == sum(r.sampled for r in got)
+    assert again.select("row.*").columns == df.columns
+
+
+def test_last_stage_keeps_all_columns(spark, sf):
+    """Any columns pass through, those with the operator's names as they are, and none is needed but id, text, lang and source."""
+    import corpus_pipeline
+
+    rows = [(k, f"text {k} of it", "en", "s", f"u{k}", 10 + k, "Kept", -1.5) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, topic int, Weight string, probability double")
+    out = corpus_pipeline.mix_sources(spark, df, sf)
+    assert out.columns == [*df.columns, "mixing_topic", "n_tokens", "mixing_weight", "mixing_probability"]
+    assert [tuple(r)[:8] for r in out.orderBy("doc_id").collect()] == rows
+
+
 def test_raking_matches_brute_force(spark):
     r = random.Random(10)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): r.randint(1, 500) for a in range(4) for b in range(3) for c in range(2) if r.random() < 0.9}
@@ -722,6 +754,16 @@ def random_samples(seed, n=60, dims=12):
     return Samples(label, first, names[np.concatenate(rows)]), rows, label
 
 
+def test_prior_speaks_of_the_rows_that_are_left():
+    """Half of the positives and a fifth of the unlabelled text are copies: the share among the others."""
+    from quillgraph.llm.toxicity import prior_of_kept
+
+    before, after = np.array([1] * 100 + [0] * 1000), np.array([1] * 50 + [0] * 800)
+    assert prior_of_kept(0.1, before, after) == pytest.approx(50 / 800)
+    assert prior_of_kept(0.1, before, before) == pytest.approx(0.1)
+    assert prior_of_kept(0.1, before[:0], before[:0]) == 0.1
+
+
 @pytest.mark.parametrize("prior", [0.05, 0.9])
 def test_nnpu_slope_is_the_risks(prior):
     """The slope against differences of the risk as it is written, on both sides of the correction."""
