@@ -67,9 +67,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents with their weights; their texts and other columns too."""
-    mixed = mix(spark, docs, carry=("text", "n_chars"))
-    return mixed.where("sampled").drop("sampled")
+    """The sampled documents, all columns as they are, with topic, n_tokens, weight and probability; one of these that a document has already is named ``mixing_...``."""
+    taken = {c.lower() for c in docs.columns}
+    added = [F.col(c).alias(f"mixing_{c}" if c in taken else c) for c in ("topic", "n_tokens", "weight", "probability")]
+    return mix(spark, docs, carry=True).where("sampled").select("row.*", *added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
