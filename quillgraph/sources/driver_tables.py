@@ -3,12 +3,13 @@
 Each graph table is one SELECT in SQL that Spark and other engines share, over
 raw tables or earlier graph tables.  Functions are customers, suppliers and
 parts; calls are their order lines; files, coupling, entities, documents, tags
-and links follow from keys by integer arithmetic alone, so every engine agrees.  A call is an
-order line with a discount of 9 % or more (customer to supplier, supplier to
-part), the first line of any order (part to customer, by dispatch), or a customer
-with orders and the next one; files are coupled by the days on which their
-nations' suppliers got orders.  Edges are filtered by what a row says, never by a
-sample of keys.
+and links follow from keys by integer arithmetic alone, so every engine agrees.  Each order
+line is two calls (customer to supplier, supplier to part), the first line of an
+order, if returned, also one by dispatch (part to customer), and a customer with
+urgent orders calls the next one; each part is a type with a field, used by its suppliers; files are coupled
+by the days on which their nations' suppliers got orders.  No row of a raw table is
+left out of the tables it stands for; where only some rows have an edge of a kind
+(tags, links, mentions), what tells them apart is a class that the row carries.
 """
 
 from __future__ import annotations
@@ -68,10 +69,10 @@ PROJECTION: dict[str, str] = {
         ) f""",
     "CALLS": """
         SELECT DISTINCT a.symbol AS src, b.symbol AS dst, a.file AS source_file, x.line AS source_line, x.dispatch AS dispatch FROM (
-          SELECT 'c' AS ka, o_custkey AS a, 's' AS kb, l_suppkey AS b, l_linenumber AS line, 0 AS dispatch FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount >= 0.09
-          UNION ALL SELECT 's', l_suppkey, 'p', l_partkey, l_linenumber, 0 FROM lineitem WHERE l_discount >= 0.09
-          UNION ALL SELECT 'p', l_partkey, 'c', o_custkey, l_linenumber, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
-          UNION ALL SELECT 'c', o_custkey, 'c', o_custkey + 1, 1, 0 FROM orders
+          SELECT 'c' AS ka, o_custkey AS a, 's' AS kb, l_suppkey AS b, l_linenumber AS line, 0 AS dispatch FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+          UNION ALL SELECT 's', l_suppkey, 'p', l_partkey, l_linenumber, 0 FROM lineitem
+          UNION ALL SELECT 'p', l_partkey, 'c', o_custkey, l_linenumber, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_returnflag = 'R'
+          UNION ALL SELECT 'c', o_custkey, 'c', o_custkey + 1, 1, 0 FROM orders WHERE o_orderpriority = '1-URGENT'
         ) x JOIN Function a ON a.fkind = x.ka AND a.fkey = x.a JOIN Function b ON b.fkind = x.kb AND b.fkey = x.b""",
     "File": """
         SELECT file AS path, min(language) AS language, 20 + 7 * count(*) + length(file) AS loc,
@@ -115,20 +116,20 @@ PROJECTION: dict[str, str] = {
           CASE p_partkey % 4 WHEN 0 THEN 'struct' WHEN 1 THEN 'enum' WHEN 2 THEN 'trait' ELSE 'type_alias' END AS kind,
           concat('frontend/src/', CASE p_partkey % 3 WHEN 0 THEN 'tests/' ELSE 'types/' END, lower(replace(p_brand, '#', '')), '.ts') AS file, CAST(p_partkey % 300 AS INT) AS line,
           CASE WHEN p_partkey % 2 = 0 THEN concat('Holds ', p_name) END AS doc_comment, concat('type T', CAST(p_partkey AS STRING)) AS signature, substr(p_name, 1, 30) AS body_excerpt, p_partkey AS tkey
-        FROM part WHERE p_partkey % 5 = 0""",
-    "TYPE_MENTIONS": "SELECT t.symbol AS src, lower(replace(p_brand, '#', '-')) AS dst, 'high' AS confidence FROM Type t JOIN part ON p_partkey = t.tkey WHERE t.tkey % 2 = 0 UNION ALL SELECT t.symbol, s.id, 'low' FROM Type t JOIN part ON p_partkey = t.tkey JOIN entity_seed s ON s.display = p_type AND s.entity_class = 'type'",
-    "USES_TYPE": "SELECT DISTINCT f.symbol AS src, t.symbol AS dst, l_linenumber AS source_line FROM lineitem JOIN Type t ON t.tkey = l_partkey JOIN Function f ON f.fkind = 's' AND f.fkey = l_suppkey WHERE l_discount >= 0.03",
-    "Field": "SELECT concat(symbol, 'f', CAST(tkey AS STRING), '.') AS symbol, CASE tkey % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'owner_id' ELSE 'name' END AS name, symbol AS owner, file, line + 1 AS line FROM Type WHERE tkey % 10 = 0",
-    "REFERENCES": "SELECT u.src, f.symbol AS dst, 'src/use.rs' AS source_file, u.source_line FROM USES_TYPE u JOIN Field f ON f.owner = u.dst WHERE u.source_line <= 2",
+        FROM part""",
+    "TYPE_MENTIONS": "SELECT t.symbol AS src, lower(replace(p_brand, '#', '-')) AS dst, 'high' AS confidence FROM Type t JOIN part ON p_partkey = t.tkey UNION ALL SELECT t.symbol, s.id, 'low' FROM Type t JOIN part ON p_partkey = t.tkey JOIN entity_seed s ON s.display = p_type AND s.entity_class = 'type'",
+    "USES_TYPE": "SELECT DISTINCT f.symbol AS src, t.symbol AS dst, l_linenumber AS source_line FROM lineitem JOIN Type t ON t.tkey = l_partkey JOIN Function f ON f.fkind = 's' AND f.fkey = l_suppkey",
+    "Field": "SELECT concat(symbol, 'f', CAST(tkey AS STRING), '.') AS symbol, CASE tkey % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'owner_id' ELSE 'name' END AS name, symbol AS owner, file, line + 1 AS line FROM Type",
+    "REFERENCES": "SELECT u.src, f.symbol AS dst, 'src/use.rs' AS source_file, u.source_line FROM USES_TYPE u JOIN Field f ON f.owner = u.dst",
     "METHOD_OF": "SELECT f.symbol AS src, t.symbol AS dst FROM Function f JOIN Type t ON f.fkind = 'p' AND t.tkey = f.fkey",
-    "TEST_FOR": f"SELECT a.symbol AS src, b.symbol AS dst, 'high' AS confidence FROM ({_ends('c')}) a JOIN ({_ends('c')}) b ON b.fkey = a.fkey + 3 WHERE a.fkey % 7 = 0 UNION ALL SELECT a.symbol, s.symbol, 'low' FROM ({_ends('c')}) a JOIN ({_ends('s')}) s ON s.fkey = a.fkey WHERE a.fkey % 14 = 0",
+    "TEST_FOR": f"SELECT a.symbol AS src, b.symbol AS dst, 'high' AS confidence FROM ({_ends('c')}) a JOIN ({_ends('c')}) b ON b.fkey = a.fkey + 3 UNION ALL SELECT a.symbol, s.symbol, 'low' FROM ({_ends('c')}) a JOIN ({_ends('s')}) s ON s.fkey = a.fkey",
     "IMPORTS": "SELECT a.path AS src, b.path AS dst, 1 AS import_count FROM (SELECT n_nationkey AS n, concat('backend/app/core/n', CAST(n_nationkey AS STRING), '.py') AS path FROM nation) a JOIN (SELECT n_nationkey AS n, concat('backend/app/', CASE WHEN n_nationkey % 2 = 0 THEN 'core' ELSE 'routes' END, '/n', CAST(n_nationkey AS STRING), '.py') AS path FROM nation) b ON b.n = a.n % 7 OR b.n = a.n % 3",
     "Endpoint": """
         SELECT concat(kind, ':GET:/p/', CAST(page_id AS STRING)) AS id, kind, CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, concat('/p/', CAST(page_id AS STRING)) AS path, concat('handle_', CAST(page_id AS STRING)) AS handler_symbol,
           concat('backend/app/routes/n', CAST(page_id % 25 AS STRING), '.py') AS source_file, page_id % 200 AS source_line, page_id
         FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'fastapi' WHEN 1 THEN 'flask' WHEN 2 THEN 'express' WHEN 3 THEN 'jaxrs' WHEN 4 THEN 'mcp' WHEN 5 THEN 'clap' ELSE 'axum' END AS kind FROM pages) p""",
     "ENDPOINT_HANDLED_BY": f"SELECT e.id AS src, f.symbol AS dst FROM Endpoint e JOIN ({_ends('c')}) f ON f.fkey = e.page_id + 1",
-    "ENDPOINT_TOUCHES_ENTITY": "SELECT DISTINCT h.src, m.dst FROM ENDPOINT_HANDLED_BY h JOIN FUNCTION_MENTIONS m ON m.src = h.dst JOIN Endpoint e ON e.id = h.src WHERE e.page_id % 3 = 0",
+    "ENDPOINT_TOUCHES_ENTITY": "SELECT DISTINCT h.src, m.dst FROM ENDPOINT_HANDLED_BY h JOIN FUNCTION_MENTIONS m ON m.src = h.dst JOIN Endpoint e ON e.id = h.src WHERE e.kind NOT IN ('mcp', 'express')",
     "Doc": """
         SELECT concat(CASE doc_id % 11 WHEN 0 THEN 'research-' WHEN 1 THEN 'research-' WHEN 2 THEN 'interrogation-' WHEN 3 THEN 'user-probe-' WHEN 4 THEN 'audit-run-' WHEN 5 THEN 'feature-' WHEN 6 THEN 'entity-' WHEN 7 THEN 'gap-' WHEN 8 THEN 'session-' WHEN 9 THEN 'prior-art-' ELSE 'ontology-' END, CAST(doc_id AS STRING)) AS id,
           concat(CASE WHEN doc_id % 8 = 0 THEN 'docs/design/' ELSE 'docs/' END, CAST(doc_id AS STRING), '.md') AS path,
@@ -190,7 +191,7 @@ PROJECTION: dict[str, str] = {
         UNION ALL SELECT f.file, u.dst, f.line + u.source_line, 'reference' FROM USES_TYPE u JOIN Function f ON f.symbol = u.src
         UNION ALL SELECT f.file, r.dst, f.line + r.source_line, 'reference' FROM REFERENCES r JOIN Function f ON f.symbol = r.src
         UNION ALL SELECT a.file, b.symbol, 1, 'import' FROM Function a JOIN Function b ON b.fkind = a.fkind AND b.fkey = a.fkey + 2 WHERE a.file <> b.file""",
-    "index_relation": "SELECT a.symbol AS src, b.symbol AS dst FROM Function a JOIN Function b ON b.fkind = 'p' AND a.fkind = 'p' AND b.fkey = a.fkey + 1 WHERE a.fkey % 10 = 1 UNION ALL SELECT a.symbol, b.symbol FROM Type a JOIN Type b ON b.tkey = a.tkey + 20 UNION ALL SELECT symbol, symbol FROM Type WHERE tkey % 15 = 0",
+    "index_relation": "SELECT a.symbol AS src, b.symbol AS dst FROM Function a JOIN Function b ON b.fkind = 'p' AND a.fkind = 'p' AND b.fkey = a.fkey + 1 UNION ALL SELECT a.symbol, b.symbol FROM Type a JOIN Type b ON b.tkey = a.tkey + 20 UNION ALL SELECT symbol, symbol FROM Type WHERE tkey % 15 = 0",
     "Migration": "SELECT concat('migration-', CAST(r_regionkey AS STRING)) AS id, CAST(r_regionkey AS INT) AS from_version, CAST(r_regionkey + 1 AS INT) AS to_version, r_name AS about FROM region",
     "Repo": "SELECT source AS id, concat('/', source) AS root, count(*) AS docs FROM documents WHERE source IS NOT NULL GROUP BY source",
     "HAS_FINDING": "SELECT file AS src, id AS dst FROM Finding WHERE kind <> 'unstubbed-concept'",
