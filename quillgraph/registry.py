@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import concepts, lint, tools, typed  # noqa: F401  (they register their queries)
+from .operators import concepts, lint, search_index, tools, typed  # noqa: F401  (they register their queries)
 from .operators.analytics import EXTRA
 from .operators.catalog import CATALOG, Query
 from .sources.driver_tables import GraphTables
