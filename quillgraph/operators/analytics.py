@@ -11,7 +11,7 @@ import re
 import tempfile
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.driver_tables import ctes
@@ -247,14 +247,20 @@ def nearest_entities(t: Tables) -> DataFrame:
 
 
 # -------------------------------------------------------------- traversals
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what executors share; a new one in local mode without a setting, as in tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="quillgraph-")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's frame, in the session's checkpoint folder; without one, as in tests, in a new one."""
+    """Cut the lineage of a loop's frame, in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

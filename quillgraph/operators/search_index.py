@@ -19,7 +19,6 @@ are counted among those documents.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Mapping
@@ -28,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .analytics import QUERY, STOPWORDS, Tables, bm25, confidence, extra, query_tokens, tokens
+from .analytics import QUERY, STOPWORDS, Tables, bm25, confidence, extra, query_tokens, shared_folder, tokens
 from .concepts import corpus
 
 #: Documents of a range, about.
@@ -146,10 +145,7 @@ def index_of(t: Tables, kinds: tuple[str, ...] = KINDS) -> SearchIndex:
         return SearchIndex(spark, f"{stored}/search")
     if stored:
         return store_index(t, f"{stored}/search")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return store_index(t, f"{folder or tempfile.mkdtemp(prefix='quillgraph-')}/search-{uuid.uuid4().hex}", kinds)
+    return store_index(t, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", kinds)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
