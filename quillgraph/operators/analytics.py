@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -264,6 +265,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A loop's frame, written to the shared folder and read again: its lineage is cut, and it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, depth): nodes reachable along (src, dst) from (id), each at its least depth, the start at 0.
 

@@ -24,24 +24,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .analytics import Tables, _cut, community_report, extra, undirected
+from .analytics import Tables, community_report, extra, held, undirected
 
 #: Classes of a sweep.
-CLASSES = 4
+CLASSES = 3
 EPSILON = 1e-10
 
 
 def ordered_propagation(edges: DataFrame, passes: int = 50) -> DataFrame:
     """(id, label): each node takes the commonest label of its neighbours, the least on ties, node after node in key order, until a sweep changes nothing."""
-    both = _cut(undirected(edges.where("src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))))
-    labels = _cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    both = held(undirected(edges.where("src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))))
+    labels = held(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(passes):
         state = labels.select("id", F.col("label").alias("old"), F.col("label").alias("new"))
         while True:
             seen = both.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")).alias("label"))
             votes = seen.groupBy("id", "label").agg(F.count("*").alias("n"))
             best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("next"))
-            ahead = _cut(state.join(best, "id").select("id", "old", F.col("next").alias("new"), (F.col("next") != F.col("new")).alias("moved")))
+            ahead = held(state.join(best, "id").select("id", "old", F.col("next").alias("new"), (F.col("next") != F.col("new")).alias("moved")))
             state = ahead.select("id", "old", "new")
             if not ahead.where("moved").limit(1).count():
                 break
@@ -82,9 +82,9 @@ def _gains(nodes: DataFrame, both: DataFrame, labels: DataFrame, total: float, r
     near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("to"))
     own = labels.select("id", "label", F.lit(0.0).alias("to"))
     near = near.unionByName(own).groupBy("id", "label").agg(F.sum("to").alias("to"))
-    held = nodes.join(labels, "id").groupBy("label").agg(F.sum("k").alias("held"))
+    sums = nodes.join(labels, "id").groupBy("label").agg(F.sum("k").alias("held"))
     mine = nodes.join(labels.withColumnRenamed("label", "own"), "id").select("id", "k", "own")
-    all_ = near.join(mine, "id").join(held, "label")
+    all_ = near.join(mine, "id").join(sums, "label")
     others = F.col("held") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
     return all_.select("id", "own", "label", (F.col("to") - resolution * F.col("k") * others / total).alias("gain"))
 
@@ -102,31 +102,27 @@ def _best(gains: DataFrame) -> DataFrame:
 
 def _move(nodes: DataFrame, both: DataFrame, labels: DataFrame, total: float, resolution: float, sweeps: int, seed: int) -> DataFrame:
     score = _modularity(nodes, both, labels, total, resolution)
-    idle = 0
     for sweep in range(sweeps):
-        before, moved = labels, 0
+        before, moved = labels, False
         for c in range(CLASSES):
             best = _best(_gains(nodes, both, labels, total, resolution))
             mine = _class(seed + sweep) == c
-            now = _cut(best.select("id", F.when(mine, F.col("label")).otherwise(F.col("own")).alias("label"), (mine & (F.col("label") != F.col("own"))).alias("moved")))
-            moved += now.where("moved").count()
+            now = held(best.select("id", F.when(mine, F.col("label")).otherwise(F.col("own")).alias("label"), (mine & (F.col("label") != F.col("own"))).alias("moved")))
+            moved = moved or bool(now.where("moved").limit(1).count())
             labels = now.select("id", "label")
         if not moved:
             return labels
         after = _modularity(nodes, both, labels, total, resolution)
         if after <= score + EPSILON:
-            labels, idle = before, idle + 1
-            if idle == 2:
-                return labels
-        else:
-            score, idle = after, 0
+            return before
+        score = after
     return labels
 
 
 def _refine(nodes: DataFrame, both: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int) -> DataFrame:
     """(id, label): connected parts of the communities."""
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("x")), labels.select(F.col("id").alias("dst"), F.col("label").alias("y"))
-    inner = _cut(both.join(a, "src").join(b, "dst").where("x = y").select("src", "dst", "w"))
+    inner = held(both.join(a, "src").join(b, "dst").where("x = y").select("src", "dst", "w"))
     parts = nodes.select("id", F.col("id").alias("label"))
     for c in range(2 * CLASSES):
         size = parts.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("id"))
@@ -136,21 +132,21 @@ def _refine(nodes: DataFrame, both: DataFrame, labels: DataFrame, total: float,
         # a node that may leave is no place to go to
         reachable = gains.where("label = own").unionByName(gains.where("label <> own").join(leaving, "label", "left_anti").select(*gains.columns))
         best = _best(reachable).join(leaving.withColumnRenamed("label", "own"), "own", "left_semi").select("id", F.col("label").alias("to"))
-        parts = _cut(parts.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
+        parts = held(parts.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
     return parts
 
 
 def _connected(both: DataFrame, labels: DataFrame) -> DataFrame:
     """Communities cut to their connected parts, named by their least member."""
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("x")), labels.select(F.col("id").alias("dst"), F.col("label").alias("y"))
-    inner = _cut(both.join(a, "src").join(b, "dst").where("x = y").select("src", "dst"))
+    inner = held(both.join(a, "src").join(b, "dst").where("x = y").select("src", "dst"))
     least = labels.select("id", F.col("id").alias("label"))
     while True:
         near = inner.join(least.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         step = least.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         # and to where that one has come
         jump = step.withColumnRenamed("label", "via").join(step.select(F.col("id").alias("via"), F.col("label").alias("far")), "via").select("id", F.least("via", "far").alias("label"))
-        now = _cut(jump.join(least.withColumnRenamed("label", "was"), "id").select("id", "label", (F.col("label") != F.col("was")).alias("moved")))
+        now = held(jump.join(least.withColumnRenamed("label", "was"), "id").select("id", "label", (F.col("label") != F.col("was")).alias("moved")))
         least = now.select("id", "label")
         if not now.where("moved").limit(1).count():
             return least
@@ -158,9 +154,9 @@ def _connected(both: DataFrame, labels: DataFrame) -> DataFrame:
 
 def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, sweeps: int = 20, seed: int = 7) -> DataFrame:
     """(id, label) of a weighted graph (src, dst[, w]); labels are the least members, communities are connected."""
-    first = _cut(_weighted(edges))
+    first = held(_weighted(edges))
     total = first.agg(F.sum("w")).first()[0] or 0.0
-    both, nodes = first, _cut(first.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)))
+    both, nodes = first, held(first.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)))
     of = nodes.select(F.col("id").alias("node"), "id")  # nodes of the first level in those of this one
     labels = nodes.select("id", F.col("id").alias("label"))
     count = nodes.count()
@@ -171,17 +167,17 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, sweeps:
         if left == count:
             break
         count = left
-        up = _cut(parts.join(labels.withColumnRenamed("label", "community"), "id").select("id", F.col("label").alias("part"), "community"))
+        up = held(parts.join(labels.withColumnRenamed("label", "community"), "id").select("id", F.col("label").alias("part"), "community"))
         a, b = up.select(F.col("id").alias("src"), F.col("part").alias("x")), up.select(F.col("id").alias("dst"), F.col("part").alias("y"))
         merged = both.join(a, "src").join(b, "dst").groupBy("x", "y").agg(F.sum("w").alias("w"))
         sums = nodes.join(up, "id").groupBy(F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
         inner = merged.where("x = y").select(F.col("x").alias("id"), F.col("w").alias("inner"))
-        nodes = _cut(sums.join(inner, "id", "left").select("id", "k", (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop")))
-        both = _cut(merged.where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst"), "w"))
-        of = _cut(of.join(up.select("id", "part"), "id").select("node", F.col("part").alias("id")))
-        labels = _cut(up.groupBy(F.col("part").alias("id")).agg(F.first("community").alias("label")))
+        nodes = held(sums.join(inner, "id", "left").select("id", "k", (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop")))
+        both = held(merged.where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst"), "w"))
+        of = held(of.join(up.select("id", "part"), "id").select("node", F.col("part").alias("id")))
+        labels = held(up.groupBy(F.col("part").alias("id")).agg(F.first("community").alias("label")))
     found = of.join(labels, "id").select(F.col("node").alias("id"), "label")
-    return _connected(first, _cut(found))
+    return _connected(first, held(found))
 
 
 @extra("entity_communities_leiden")
