@@ -74,25 +74,30 @@ class SearchIndex:
     folder: str
 
     def __post_init__(self) -> None:
-        self.buckets = self.spark.read.parquet(f"{self.folder}/layout").first()[0]
-        self.classes = self.spark.read.parquet(f"{self.folder}/classes")
-        self.postings = self.spark.read.parquet(f"{self.folder}/postings")
-        self.lengths = self.spark.read.parquet(f"{self.folder}/lengths")
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        self.buckets = read("layout", "buckets int").first()[0]
+        self.classes = read("classes", "corpus string, length_class int, n long, dl long")
+        self.postings = read("postings", "term string, range long, postings array<struct<id:string,tf:int,dl:int>>, n long, most int, least int, corpus string, bucket int")
+        self.lengths = read("lengths", "id string, dl int, corpus string")
+        #: Number and lengths of a corpus, once known: an index does not change.
+        self.sizes: dict[str, tuple] = {}
 
     def blocks(self, kind: str, words: list[str]) -> DataFrame:
         """The words' blocks; nothing else is read."""
-        of = self.spark.createDataFrame([(w,) for w in words], "term string").select(bucket_of(F.col("term"), self.buckets).cast("int").alias("b")).distinct().collect()
-        return self.postings.where((F.col("corpus") == kind) & F.col("bucket").isin([r.b for r in of]) & F.col("term").isin(words))
+        of = self.spark.range(1).select(F.array(*[bucket_of(F.lit(w), self.buckets).cast("int") for w in words])).first()[0]
+        return self.postings.where((F.col("corpus") == kind) & F.col("bucket").isin(sorted(set(of))) & F.col("term").isin(words))
 
     def search(self, kind: str, query: str, top: int = 10, allowed: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """The best (id, score) of a corpus; ``allowed`` (id) is the filter."""
         counts = Counter(query_tokens(query))
-        none = self.spark.createDataFrame([], "id string, score double")
+        none = self.lengths.select("id", F.lit(0.0).alias("score")).where("false")
         if not counts or top < 1:
             return none
         blocks = self.blocks(kind, sorted(counts))
         if allowed is None:
-            size = self.classes.where(F.col("corpus") == kind).agg(F.sum("n"), F.sum("dl")).first()
+            if kind not in self.sizes:
+                self.sizes[kind] = self.classes.where(F.col("corpus") == kind).agg(F.sum("n"), F.sum("dl")).first()
+            size = self.sizes[kind]
             df = blocks.groupBy("term").agg(F.sum("n").alias("n"))
         else:
             allowed = allowed.select(F.col("id").cast("string").alias("id")).distinct()
@@ -141,8 +146,11 @@ def index_of(t: Tables, kinds: tuple[str, ...] = KINDS) -> SearchIndex:
     """The index stored with the graph's version; one is built, once for these tables, where there is none."""
     stored = getattr(t, "stored", None)
     spark = t["Doc"].sparkSession
+    if stored and (known := getattr(t, "search_index", None)) and known.folder == f"{stored}/search":
+        return known
     if stored and _exists(spark, f"{stored}/search/layout"):
-        return SearchIndex(spark, f"{stored}/search")
+        t.search_index = SearchIndex(spark, f"{stored}/search")
+        return t.search_index
     if stored:
         return store_index(t, f"{stored}/search")
     return store_index(t, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", kinds)
@@ -204,9 +212,10 @@ def similar(
     best = found.orderBy(F.desc("score"), "corpus", "id").limit(top)
     # at most the top few from here on
     rows = [(k + 1, *r) for k, r in enumerate(best.collect()) if r.score >= min_score]
-    hits = best.sparkSession.createDataFrame(rows, "rank int, corpus string, id string, score double")
+    each = [F.struct(F.lit(k).alias("rank"), F.lit(c).alias("corpus"), F.lit(i).alias("id"), F.lit(s).alias("score")) for k, c, i, s in rows]
+    hits = best.sparkSession.range(1).select(F.inline(F.array(*each))) if rows else best.select(F.lit(0).alias("rank"), "corpus", "id", "score").where("false")
     levels = ("low", "medium", "high")
-    if levels.index(confidence(hits).first().confidence if rows else "low") < levels.index(min_confidence):
+    if min_confidence != "low" and levels.index(confidence(hits).first().confidence if rows else "low") < levels.index(min_confidence):
         hits = hits.where("false")
     ids = [r[2] for r in rows]
     docs = t["Doc"].where(F.col("id").isin(ids)).select("id", "role", "kind", "lifecycle")

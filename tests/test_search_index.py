@@ -35,8 +35,7 @@ def indexed(spark, tmp_path_factory):
     return docs, other, si.SearchIndex(spark, folder)
 
 
-@pytest.mark.parametrize("query", ["w0", "w1 rare1 w1", "rare3 rare4 w59 w2 w0", "nothing here", "the", "w5 w5 w5 w5 nothing", "W0 w1, w2; w3 w4"])
-@pytest.mark.parametrize("top", [1, 10, 2000])
+@pytest.mark.parametrize("query, top", [("w0", 10), ("w1 rare1 w1", 3), ("rare3 rare4 w59 w2 w0", 10), ("nothing here", 5), ("the", 5), ("W0 w1, w2; w3 w4", 2000)])
 def test_index_equals_scan(indexed, query, top, monkeypatch):
     docs, other, index = indexed
     monkeypatch.setattr(si, "FIRST", 2)
