@@ -9,6 +9,18 @@ from quillgraph.operators.communities import leiden, modularity, ordered_propaga
 from quillgraph.operators.concepts import louvain
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(spark):
+    """Many jobs over few rows: two partitions, planned once."""
+    wanted = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def planted(seed, groups=5, size=8, inside=0.6, across=0.04):
     r = random.Random(seed)
     n = groups * size
