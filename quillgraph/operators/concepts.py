@@ -154,7 +154,19 @@ def entity_ego_graph(t: Tables) -> DataFrame:
     return ego_graph(t["Entity"], t["RELATES_TO"], t["ENTITY_CALLS"], "brand-8", 1)
 
 
-@extra("derive_mentions")
+_SYMBOL_WORDS = "lower(regexp_replace(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'))"
+_WORDS = "list_filter(string_split_regex({}, '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@extra(
+    "derive_mentions",
+    f""", t AS (SELECT DISTINCT id, lower(regexp_replace(name, '[-_]+', ' ', 'g')) AS term FROM (SELECT id, id AS name FROM "Entity" UNION ALL SELECT id, display FROM "Entity") AS n),
+    k AS (SELECT id, term FROM t UNION SELECT id, CASE WHEN regexp_matches(term, '[^aeiou]y$') THEN regexp_replace(term, 'y$', 'ies') WHEN regexp_matches(term, '(s|x|z|ch|sh)$') THEN term || 'es' ELSE term || 's' END FROM t),
+    w AS (SELECT symbol AS src, 1 AS high, {_WORDS.format("lower(coalesce(doc_comment, ''))")} AS w FROM "Function" UNION ALL SELECT symbol, 0, {_WORDS.format(_SYMBOL_WORDS)} FROM "Function"),
+    p AS (SELECT DISTINCT src, high, array_to_string(w[i : i + n - 1], ' ') AS term FROM (SELECT src, high, w, unnest(range(1, len(w) + 1)) AS i FROM w) AS a, (VALUES (1), (2), (3)) AS l(n) WHERE i + n - 1 <= len(w))
+    SELECT src, id AS dst, CASE WHEN max(high) = 1 THEN 'high' ELSE 'low' END AS confidence FROM p JOIN k USING (term) WHERE term <> '' GROUP BY src, id""",
+    "Entity Function",
+)
 def derive_mentions(t: Tables) -> DataFrame:
     e = t["Entity"]
     return mentions(t["Function"].select("symbol", "doc_comment"), term_index(e.select("id", F.col("id").alias("name")).unionByName(e.select("id", F.col("display").alias("name")))))
