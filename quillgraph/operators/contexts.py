@@ -116,16 +116,20 @@ _FN = "{k} AS part, {key} AS id, {title} AS title, {summary} AS summary, '{kind}
 _FUNCTION = {"key": "o.symbol", "title": "o.symbol", "summary": "o.doc_comment", "kind": "function", "path": "o.file"}
 
 
+def _first_supplier(t: Tables) -> str:
+    return t["Function"].where("startswith(symbol, 'supply/')").agg(F.min("symbol")).first()[0]
+
+
 @extra(
     "context_for_a_function",
-    f""", n AS (SELECT DISTINCT {_FN.format(k=0, edge="CALLS_OUT", **_FUNCTION)} FROM "CALLS" c JOIN "Function" o ON o.symbol = c.dst WHERE c.src = 'supply/n4/s77().'
-    UNION ALL SELECT DISTINCT {_FN.format(k=1, edge="CALLS_IN", **_FUNCTION)} FROM "CALLS" c JOIN "Function" o ON o.symbol = c.src WHERE c.dst = 'supply/n4/s77().'
-    UNION ALL SELECT DISTINCT {_FN.format(k=2, edge="DEFINED_IN", key="o.id", title="o.title", summary="o.summary", kind="doc", path="o.path")} FROM "FUNCTION_DEFINED_IN" c JOIN "Doc" o ON o.id = c.dst WHERE c.src = 'supply/n4/s77().'
-    UNION ALL SELECT DISTINCT {_FN.format(k=3, edge="BELONGS_TO", key="o.id", title="o.display", summary="o.description", kind="entity", path="''")} FROM "FUNCTION_BELONGS_TO" c JOIN "Entity" o ON o.id = c.dst WHERE c.src = 'supply/n4/s77().') """ + _NEAR.format(order="id, edge_kind", top=50),
+    f""", n AS (SELECT DISTINCT {_FN.format(k=0, edge="CALLS_OUT", **_FUNCTION)} FROM "CALLS" c JOIN "Function" o ON o.symbol = c.dst WHERE c.src = (SELECT min(symbol) FROM "Function" WHERE starts_with(symbol, 'supply/'))
+    UNION ALL SELECT DISTINCT {_FN.format(k=1, edge="CALLS_IN", **_FUNCTION)} FROM "CALLS" c JOIN "Function" o ON o.symbol = c.src WHERE c.dst = (SELECT min(symbol) FROM "Function" WHERE starts_with(symbol, 'supply/'))
+    UNION ALL SELECT DISTINCT {_FN.format(k=2, edge="DEFINED_IN", key="o.id", title="o.title", summary="o.summary", kind="doc", path="o.path")} FROM "FUNCTION_DEFINED_IN" c JOIN "Doc" o ON o.id = c.dst WHERE c.src = (SELECT min(symbol) FROM "Function" WHERE starts_with(symbol, 'supply/'))
+    UNION ALL SELECT DISTINCT {_FN.format(k=3, edge="BELONGS_TO", key="o.id", title="o.display", summary="o.description", kind="entity", path="''")} FROM "FUNCTION_BELONGS_TO" c JOIN "Entity" o ON o.id = c.dst WHERE c.src = (SELECT min(symbol) FROM "Function" WHERE starts_with(symbol, 'supply/'))) """ + _NEAR.format(order="id, edge_kind", top=50),
     "Function CALLS FUNCTION_DEFINED_IN FUNCTION_BELONGS_TO Doc Entity",
 )
 def context_for_a_function(t: Tables) -> DataFrame:
-    return context_for(t, "supply/n4/s77().", 50)
+    return context_for(t, _first_supplier(t), 50)
 
 
 # ------------------------------------------------------------------ ego graph
@@ -196,11 +200,11 @@ def impact(t: Tables, symbol: str, depth: int = 3) -> DataFrame:
 
 @extra(
     "impact_whole",
-    """, RECURSIVE r(id, depth) AS (SELECT symbol, 0 FROM "Function" WHERE symbol = 'supply/n4/s77().' UNION SELECT c.src, r.depth + 1 FROM r JOIN "CALLS" c ON c.dst = r.id WHERE r.depth < 2), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+    """, RECURSIVE r(id, depth) AS (SELECT symbol, 0 FROM "Function" WHERE symbol = (SELECT min(symbol) FROM "Function" WHERE starts_with(symbol, 'supply/')) UNION SELECT c.src, r.depth + 1 FROM r JOIN "CALLS" c ON c.dst = r.id WHERE r.depth < 2), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
     SELECT 'caller' AS part, m.id, m.depth, f.file AS label FROM m JOIN "Function" f ON f.symbol = m.id WHERE m.depth > 0
     UNION ALL SELECT 'entity', id, NULL, display FROM "Entity" WHERE id IN (SELECT dst FROM "FUNCTION_MENTIONS" WHERE src IN (SELECT id FROM m) UNION SELECT dst FROM "FUNCTION_BELONGS_TO" WHERE src IN (SELECT id FROM m))
     UNION ALL SELECT 'endpoint', id, NULL, path FROM "Endpoint" WHERE id IN (SELECT src FROM "ENDPOINT_HANDLED_BY" WHERE dst IN (SELECT id FROM m))""",
     "Function CALLS Entity FUNCTION_MENTIONS FUNCTION_BELONGS_TO Endpoint ENDPOINT_HANDLED_BY",
 )
 def impact_whole(t: Tables) -> DataFrame:
-    return impact(t, "supply/n4/s77().", 2)
+    return impact(t, _first_supplier(t), 2)
