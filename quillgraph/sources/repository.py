@@ -51,6 +51,14 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
 
 
+def pieces(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, pos, line, piece): what a pattern that covers any text cuts a file into, with the line that each piece begins at."""
+    cut = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "piece"))
+    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
+    before = F.sum(breaks).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return cut.select("path", "pos", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("line"), "piece")
+
+
 def documents(files: DataFrame) -> DataFrame:
     """(path, id, title, summary, ..., tags, covers, body) of markdown files, from their front matter.
 
