@@ -18,8 +18,8 @@ def slugify(text: Column) -> Column:
 
 
 def heading_slug(text: Column) -> Column:
-    """Anchor of a heading: signs but dashes and underscores drop, spaces become dashes."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\w\s-]", ""), r"\s", "-")
+    """Anchor of a heading: signs but dashes and underscores drop, spaces become dashes; letters and digits of all scripts stay."""
+    return F.replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{IsAlphabetic}\p{N} _-]", ""), F.lit(" "), F.lit("-"))
 
 
 def naive_plural(word: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import communities, concepts, contexts, edit_join, incremental, java_routes, lint, search_index, terms, tools, typed, vector_index  # noqa: F401  (they register their queries)
+from .operators import communities, concepts, contexts, edit_join, incremental, java_routes, lint, readers, search_index, terms, tools, typed, vector_index  # noqa: F401  (they register their queries)
 from .operators.analytics import EXTRA
 from .operators.catalog import CATALOG, Query
 from .sources.driver_tables import GraphTables

@@ -7,7 +7,7 @@ is the unit of order and files spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading_slug
@@ -25,6 +25,25 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return df.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
+# Folders of build output and caches.
+SKIPPED = ("target", ".git", ".obsidian", "node_modules", "bin", "obj", ".dart_tool", ".nuxt", ".output", ".next", "dist", "coverage")
+
+
+def authored(files: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """The files (path, ...) outside skipped folders and outside a ``build`` folder beside a Gradle script.
+
+    Folders above the root do not count; rows keep all their columns, repeated ones stay.
+    """
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    kept = files.where(~F.arrays_overlap(folders, F.lit(list(skipped)))) if skipped else files
+    scripts = kept.where(F.col("path").rlike(r"(?:^|/)build\.gradle(?:\.kts)?$")).select(F.regexp_replace("path", r"[^/]*$", "").alias("root")).distinct()
+    # what stands before each folder of that name: an equality joins it with the scripts' folders
+    before = F.transform(F.filter(F.sequence(F.lit(1), F.size(folders)), lambda k: F.element_at(folders, k) == "build"), lambda k: F.array_join(F.transform(F.slice(folders, F.lit(1), k - 1), lambda x: F.concat(x, F.lit("/"))), ""))
+    built = kept.where(F.array_contains(folders, "build")).select("path", F.explode(before).alias("root")).join(scripts, "root").select("path").distinct()
+    return kept.join(built, "path", "left_anti").select(*files.columns)
+
+
 def file_table(files: DataFrame) -> DataFrame:
     """(path, language, loc): lines are line ends."""
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
@@ -51,19 +70,23 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
 
 
-def pieces(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, pos, line, piece): what a pattern that covers any text cuts a file into, with the line that each piece begins at."""
-    cut = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "piece"))
+def pieces(files: DataFrame, pattern: str, adoc: str | None = None) -> DataFrame:
+    """(path, pos, line, piece): what a pattern that covers any text cuts a file into, with the line that each piece begins at; .adoc files may have a pattern of their own."""
+    cut_by = lambda x: F.regexp_extract_all("text", F.lit(x), F.lit(0))
+    each = F.when(is_adoc(F.col("path")), cut_by(adoc)).otherwise(cut_by(pattern)) if adoc else cut_by(pattern)
+    cut = files.select("path", F.posexplode(each).alias("pos", "piece"))
     breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
     before = F.sum(breaks).over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     return cut.select("path", "pos", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("line"), "piece")
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """(path, id, title, summary, ..., tags, covers, body) of markdown files, from their front matter.
+def documents(files: DataFrame, by_path: bool = False) -> DataFrame:
+    """(path, id, title, summary, ..., tags, covers, body) of markdown and AsciiDoc files, from their front matter.
 
-    A byte order mark is skipped.  A file without front matter gets its id from
-    its name and its title from its first heading.
+    A byte order mark is skipped.  A file without front matter gets the role doc, the
+    status stable, its first paragraph (300 characters at most) as summary, its title
+    from its first heading and its id from its name or, ``by_path``, from its whole path
+    (for a root with settings of its own, where names such as index repeat).
     """
     text = F.regexp_replace("text", "^﻿", "")
     front = F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)", 1)
@@ -82,12 +105,19 @@ def documents(files: DataFrame) -> DataFrame:
         return F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
 
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
-    heading = F.regexp_extract("body", r"(?m)^#[ \t]+(.+?)[ \t]*$", 1)
+    heading = F.when(is_adoc(F.col("path")), F.regexp_extract("body", r"(?md)^= +(\S[^\n]*?)\s*$", 1)).otherwise(F.regexp_extract("body", r"(?m)^#[ \t]+(.+?)[ \t]*$", 1))
+    made = F.col("front") == ""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("path", r"\.[^./]+$", "")), r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-|-$", "")
+    # lines that are neither empty nor of a heading, an attribute, a fence, a list of attributes or a remark
+    prose = r"[ \t]*+(?!#|=|:|```|----|\[|<!--)\S[^\n]*+"
+    first = F.trim(F.regexp_replace(F.regexp_extract("body", rf"(?md)^{prose}(?:\n{prose})*+", 0), r"\s*\n\s*", " "))
+    summary = F.when(F.length(first) > 300, F.concat(F.substring(first, 1, 300), F.lit("…"))).otherwise(F.nullif(first, F.lit("")))
+    given = {"summary": summary, "role": F.lit("doc"), "status": F.lit("stable")}
     return base.select(
         "path",
-        F.coalesce(scalar("id"), name).alias("id"),
+        F.coalesce(scalar("id"), slug if by_path else name).alias("id"),
         F.coalesce(scalar("title"), F.when(heading != "", heading), name).alias("title"),
-        *[scalar(k).alias(k) for k in ("summary", "role", "kind", "lifecycle", "status", "updated", "phase")],
+        *[(F.when(made, given[k]).otherwise(scalar(k)) if k in given else scalar(k)).alias(k) for k in ("summary", "role", "kind", "lifecycle", "status", "updated", "phase")],
         scalar("bounded_context").alias("bounded_context"),
         listed("tags").alias("tags"),
         listed("covers").alias("covers"),
@@ -96,37 +126,83 @@ def documents(files: DataFrame) -> DataFrame:
     )
 
 
-def _outside_code(doc_lines: DataFrame) -> DataFrame:
-    """Lines outside fences; a fence line switches."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("text").rlike(r"^\s*(```|~~~)")
-    marked = doc_lines.withColumn("fences", F.sum(fence.cast("int")).over(w)).withColumn("is_fence", fence)
-    return marked.where((F.col("fences") % 2 == 0) & ~F.col("is_fence")).drop("fences", "is_fence")
+# A fence is closed by a line that begins with the same marker, or by the end of the text.
+# Loops are possessive: a long block needs no deep stack.
+def _fenced(markers: str) -> str:
+    return rf"(?md)^[ \t]*+({markers})[^\n]*+(?:\n(?![ \t]*+\1)[^\n]*+)*+(?:\n[ \t]*+\1[^\n]*+)?+\n?+"
+
+
+#: A file in blocks of code and single lines; AsciiDoc has two more markers.
+MARKDOWN_PIECE = rf"{_fenced('```|~~~')}|[^\n]*+\n|[^\n]++"
+ADOC_PIECE = rf"{_fenced(r'```|~~~|----|\.\.\.\.')}|[^\n]*+\n|[^\n]++"
+
+
+def is_adoc(path: Column) -> Column:
+    return path.endswith(".adoc")
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """(path, heading, anchor, level, line, text): headings outside code; a repeated anchor gets -1, -2 and so on."""
-    every = lines(files)
-    heads = _outside_code(every).where(F.col("text").rlike(r"^#{1,6}\s+\S")).select("path", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"), F.regexp_replace("text", r"^#+\s+|\s+#*\s*$", "").alias("heading"))
-    heads = heads.withColumn("slug", heading_slug(F.col("heading")))
-    again = F.row_number().over(Window.partitionBy("path", "slug").orderBy("line")) - 1
-    heads = heads.withColumn("anchor", F.when(again > 0, F.concat_ws("-", "slug", again)).otherwise(F.col("slug")))
-    heads = heads.withColumn("end", F.lead("line", 1, 1 << 30).over(Window.partitionBy("path").orderBy("line")))
-    body = every.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("text").alias("t"))
-    # the last heading at or before a line, by a running maximum: no range join
-    w = Window.partitionBy("p").orderBy("l").rowsBetween(Window.unboundedPreceding, 0)
-    at = body.join(heads.select(F.col("path").alias("p"), F.col("line").alias("l"), F.lit(True).alias("is_head")), ["p", "l"], "left")
-    at = at.withColumn("head", F.max(F.when(F.col("is_head"), F.col("l"))).over(w)).where("head IS NOT NULL AND is_head IS NULL")
-    text = at.groupBy("p", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "t"))), lambda x: x["t"]), "\n").alias("text"))
-    return heads.join(text, (F.col("path") == F.col("p")) & (F.col("line") == F.col("head")), "left").select("path", "heading", "anchor", "level", "line", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text"))
+    """(path, heading, anchor, level, line, text): headings outside code, with the text up to the next one.
+
+    Markdown has ``#`` to ``######`` behind three blanks at most, AsciiDoc (by the
+    file's ending) ``=`` to ``======`` at the start of a line.  A repeated anchor gets
+    -1, -2 and so on.  Text before the first heading belongs to none; null and empty
+    texts have no sections.  Paths are unique.
+    """
+    adoc = is_adoc(F.col("path"))
+    rows = pieces(files, MARKDOWN_PIECE, ADOC_PIECE)
+    row = F.regexp_replace("piece", r"\r?\n\z", "")
+    found = F.when(adoc, F.regexp_extract(row, r"(?s)\A(={1,6}) (.*)\z", 1)).otherwise(F.regexp_extract(row, r"(?s)\A {0,3}(#{1,6})(?:[ \t].*)?\z", 1))
+    title = F.when(adoc, F.regexp_extract(row, r"(?s)\A={1,6} (.*)\z", 1)).otherwise(F.regexp_replace(F.regexp_extract(row, r"(?s)\A {0,3}#{1,6}(?:[ \t](.*))?\z", 1), r"[ \t]*#*[ \t]*\z", ""))
+    title = F.regexp_replace(title, r"\A\s+|\s+\z", "")
+    rows = rows.withColumn("head", F.when(found != "", F.when(title != "", F.struct("pos", title.alias("heading"), F.length(found).alias("level"), "line"))))
+    # a running count of headings: no join, and one exchange of a file's pieces
+    rows = rows.withColumn("k", F.count("head").over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).where("k > 0")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("pos", "piece")))), lambda x: x["piece"]), "")
+    heads = rows.groupBy("path", "k").agg(F.max("head").alias("head"), text.alias("text")).withColumn("slug", heading_slug(F.col("head.heading")))
+    again = F.row_number().over(Window.partitionBy("path", "slug").orderBy("k")) - 1
+    anchor = F.when(again > 0, F.concat_ws("-", "slug", again)).otherwise(F.col("slug"))
+    return heads.select("path", "head.heading", anchor.alias("anchor"), "head.level", "head.line", F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), r"\A\s+|\s+\z", "").alias("text"))
+
+
+# Endings of paths that stand in code spans.
+PATH_ENDINGS = "md|rs|toml|yaml|yml|json|sh|ts|tsx|py|js|jsx|txt|lock|sql|conf|ini|env|dockerfile|html|css|scss|proto|graphql|mjs|cjs|kt|java|go|c|cpp|h|hpp"
+URL = r"(?i)\A(?:https?://|mailto:|ftps?://|tel:)"
+_INLINE = r"(?:[^`\n]++|\n(?![ \t]*+\n))*+"
+_LINKS = rf"(?<!`)`(?!`){_INLINE}`(?!`)|(?<!`)(``++)(?:[^`\n]++|\n(?![ \t]*+\n)|(?<!`)`(?!`))*+\2(?!`)|\[\[[^\]|#]++(?:#[^\]|]++)?(?:\|[^\]]++)?\]\]|\]\([^)\n]*+\)|xref:[^\[\s]++\[|!\[[^\]\n]*+\]\([^)\n]*+\)|(?:[^`\[\]x!\n]++|x(?!ref:)|!(?!\[))++|[\s\S]"
+MARKDOWN_LINK = rf"{_fenced('```|~~~')}|{_LINKS}"
+ADOC_LINK = rf"{_fenced(r'```|~~~|----|\.\.\.\.')}|{_LINKS}"
 
 
 def links(files: DataFrame) -> DataFrame:
-    """(path, kind, target, line): wiki links and markdown links outside code."""
-    plain = _outside_code(lines(files)).withColumn("text", F.regexp_replace("text", "`[^`]*`", ""))
-    wiki = plain.select("path", "line", F.lit("wikilink").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)"), 1)).alias("target"))
-    mark = plain.select("path", "line", F.lit("md_link").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s#]+\.(?:md|adoc))"), 1)).alias("target"))
-    return wiki.unionByName(mark).select("path", "kind", F.trim("target").alias("target"), "line")
+    """(path, kind, target, line): wiki links, markdown links and AsciiDoc references outside code, and paths in code spans.
+
+    * ``wikilink``: ``[[target]]``, with an anchor or a label or not; it may be wrapped.
+    * ``md_link``: ``[label](target)`` but for addresses and bare anchors; the anchor and a title drop.
+    * ``xref``: ``xref:target[label]`` of .adoc files, but for coordinates and addresses (a colon).
+    * ``inline_path``: a code span, not the label of a link, that begins with ``./`` or ``../``, or has a
+      folder and a known ending, and has no blank, pattern sign or brace and is not absolute.
+
+    Images are no links.  Code by indentation counts as text.  Paths of files are unique.
+    """
+    adoc = is_adoc(F.col("path"))
+    rows = pieces(files, MARKDOWN_LINK, ADOC_LINK)
+    p, by_file = F.col("piece"), Window.partitionBy("path").orderBy("pos")
+    # a span directly between brackets is a label
+    label = (F.lag("piece").over(by_file) == "[") & F.coalesce(F.lead("piece").over(by_file).startswith("]("), F.lit(False))
+    rows = rows.withColumn("label", label).where(p.rlike(r"\A(?:\[\[.|\]\(|xref:.|`)") & ~p.rlike(r"\A```[^`]*\n"))
+    span = F.trim(F.regexp_replace(p, r"\A`++|`++\z", ""))
+    wiki = F.trim(F.regexp_replace(F.regexp_extract(p, r"\A\[\[([^\]|#]+)", 1), "[\r\n]", ""))
+    mark = F.regexp_extract(p, r"\A\]\(\s*<?([^)\s#>]*)", 1)
+    xref = F.regexp_extract(p, r"\Axref:([^\[\s#]+)", 1)
+    path_like = span.rlike(r"\A[^\s*?{<]+\z") & ~span.rlike(r"\A(?:~/|/)") & ~span.rlike(URL) & (span.rlike(r"\A\.\.?/") | span.rlike(rf"(?i)\A[^#]*/[^/#]*\.(?:{PATH_ENDINGS})(?::[^/#.]*)?(?:#.*)?\z"))
+    one = (
+        F.when(p.startswith("[["), F.struct(F.lit("wikilink").alias("kind"), wiki.alias("target")))
+        .when(p.startswith("]("), F.when(~mark.rlike(URL), F.struct(F.lit("md_link").alias("kind"), mark.alias("target"))))
+        .when(p.startswith("xref:"), F.when(adoc & ~xref.contains(":"), F.struct(F.lit("xref").alias("kind"), xref.alias("target"))))
+        .when(path_like & ~F.coalesce("label", F.lit(False)), F.struct(F.lit("inline_path").alias("kind"), span.alias("target")))
+    )
+    return rows.withColumn("one", one).where("one.target <> ''").select("path", "one.kind", "one.target", "line")
 
 
 #: Lines of a log that are ordered together.
@@ -173,21 +249,42 @@ def endpoints(files: DataFrame) -> DataFrame:
     return found.select(F.concat_ws(":", "kind", "method", "route").alias("id"), "kind", "method", F.col("route").alias("path"), "handler", F.col("path").alias("source_file"), F.col("line").alias("source_line"))
 
 
-def findings(files: DataFrame, markers: tuple[str, ...] = ("TODO", "FIXME", "HACK", "XXX")) -> DataFrame:
-    """(id, kind, file, line, message): markers in comments."""
-    pattern = rf"(?:#|//|--|/\*).*?\b({'|'.join(markers)})\b:?\s*(.*)$"
-    rows = lines(files).withColumn("kind", F.lower(F.regexp_extract("text", pattern, 1))).where("kind <> ''")
-    return rows.select(F.concat_ws(":", "path", "line").alias("id"), "kind", F.col("path").alias("file"), "line", F.trim(F.regexp_extract("text", pattern, 2)).alias("message"))
+# Line comments by file ending.
+COMMENTS = {"rs": "//", "ts": "//", "tsx": "//", "js": "//", "jsx": "//", "mjs": "//", "cjs": "//", "java": "//", "py": "#"}
+
+
+def _cut_bytes(text: Column, most: int) -> Column:
+    """At most so many bytes of a text, whole characters alone, with a sign where it was cut."""
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # one character for each byte
+    head = F.regexp_extract(latin, rf"(?s)\A(.{{0,{most}}})(?![\x80-\xBF])", 1)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.encode(head, "ISO-8859-1"), "UTF-8"), F.lit("…")))
+
+
+def findings(files: DataFrame, markers: tuple[str, ...] = ("TODO", "FIXME", "XXX", "HACK"), most: int = 200) -> DataFrame:
+    """(id, kind, file, line, message, severity): the first marker of each line that begins as a comment of its language.
+
+    A marker is a word in capitals.  FIXME and HACK are warnings, others tell; a
+    message longer than ``most`` bytes is cut.  Files of other languages have none.
+    """
+    prefix = F.try_element_at(F.create_map(*[F.lit(x) for kv in COMMENTS.items() for x in kv]), F.regexp_extract("path", r"\.([^./]+)$", 1))
+    rows = lines(files.where(prefix.isNotNull())).withColumn("text", F.regexp_replace("text", r"\A\s+", "")).where(F.startswith("text", prefix))
+    body = F.regexp_replace(F.expr("text"), r"\A(?://|#)\s*", "")
+    pattern = rf"(?s)\A(?:.*?[^A-Za-z0-9])??({'|'.join(markers)})(?![A-Za-z0-9])\s*:?(.*)\z"
+    rows = rows.select("path", "line", F.regexp_extract(body, pattern, 1).alias("marker"), F.regexp_replace(F.regexp_extract(body, pattern, 2), r"\A\s+|\s+\z", "").alias("message")).where("marker <> ''")
+    kind = F.lower("marker")
+    return rows.select(F.concat_ws(":", "path", "line", kind).alias("id"), kind.alias("kind"), F.col("path").alias("file"), "line", _cut_bytes(F.col("message"), most).alias("message"), F.when(F.col("marker").isin("FIXME", "HACK"), "warning").otherwise("info").alias("severity"))
 
 
 def innermost(occurrences: DataFrame, spans: DataFrame) -> DataFrame:
     """Each occurrence (file, line, ...) with the innermost of the spans (file, symbol, begin, end) that hold it.
 
     Spans are cut to blocks of 64 lines, so the join is an equality on (file,
-    block) with a short residual.
+    block) with a short residual.  Repeated occurrences are counted and come back
+    as often as they were given.
     """
     blocks = spans.withColumn("block", F.explode(F.sequence(F.expr("begin div 64"), F.expr("end div 64"))))
-    rows = occurrences.withColumn("_k", F.monotonically_increasing_id()).withColumn("block", F.expr("line div 64"))
+    rows = occurrences.groupBy(*occurrences.columns).agg(F.count("*").alias("_n")).withColumn("block", F.expr("line div 64"))
     found = rows.join(blocks, ["file", "block"]).where("line BETWEEN begin AND end")
     best = F.min_by("symbol", F.struct(F.expr("end - begin"), F.col("symbol"))).alias("enclosing")
-    return found.groupBy("_k", *occurrences.columns).agg(best).drop("_k")
+    each = found.groupBy("_n", *occurrences.columns).agg(best)
+    return each.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
