@@ -1,10 +1,10 @@
-"""Sections and links of the files that all documents stand for."""
+"""Sections and links of the files that all documents stand for, and the ontology that all customers stand for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..sources import repository
+from ..sources import ontology, repository
 from .analytics import Tables, extra
 
 # An AsciiDoc file for each document, its whole text within a block of code; markers
@@ -47,3 +47,23 @@ def derive_doc_sections(t: Tables) -> DataFrame:
 def derive_doc_links(t: Tables) -> DataFrame:
     """All links outside code."""
     return repository.links(adoc_files(t))
+
+
+ENTITY_FILES = """
+    SELECT concat('ontology/customer-', c_custkey, '.md') AS path, concat('---\\nrole: ontology-entity\\ntitle: "Entity: ', c_name, '"\\nvalue_id: customer-', c_custkey, '\\ndisplay: \\'It\\'\\'s ', c_name, '\\'  # shown\\ndescription: >-\\n  Buys in\\n  ', c_mktsegment, '\\nstatus: ', CASE WHEN c_custkey % 9 = 4 THEN 'candidate' ELSE 'current' END,
+        '\\nsynonyms: [client-', c_custkey, ', "', lower(c_mktsegment), ' buyer"]\\ncode_terms:\\n  - get-c', c_custkey, '\\nrelates_to:\\n  - target: nation-', c_nationkey, '\\n    type: lives_in\\n  - {{target: segment-', lower(c_mktsegment), ', type: buys_in}}\\n  - target: dropped\\nattributes:\\n  nation: ', c_nationkey, '\\n  open: true\\n---\\n# ', c_name) AS text
+    FROM {customer} WHERE c_custkey IS NOT NULL
+    UNION ALL SELECT concat('ontology/z-', c_custkey, '.md'), concat('---\\nrole: ontology-entity\\nvalue_id: customer-', c_custkey, '\\ndisplay: Later\\n---\\n') FROM {customer} WHERE c_custkey IS NOT NULL"""
+
+
+@extra(
+    "derive_ontology_entities",
+    """WITH c AS (SELECT DISTINCT * FROM customer WHERE c_custkey IS NOT NULL)
+    SELECT 'customer-' || c_custkey AS id, 'It''s ' || c_name AS display, 'Buys in ' || c_mktsegment AS description, CASE WHEN c_custkey % 9 = 4 THEN 'candidate' ELSE 'current' END AS status, 'client-' || c_custkey || '|' || lower(c_mktsegment) || ' buyer' AS synonyms, 'get-c' || c_custkey AS code_terms,
+        'lives_in>nation-' || c_nationkey || '|buys_in>segment-' || lower(c_mktsegment) AS relations, 'nation=' || c_nationkey || '|open=true' AS attributes, 'ontology/customer-' || c_custkey || '.md' AS path FROM c""",
+)
+def derive_ontology_entities(t: Tables) -> DataFrame:
+    """All entities; each is declared twice, and the file with the lesser path counts."""
+    customer = t["customer"]
+    found = ontology.entities(customer.sparkSession.sql(ENTITY_FILES, customer=customer))
+    return found.selectExpr("id", "display", "description", "status", "array_join(synonyms, '|') AS synonyms", "array_join(code_terms, '|') AS code_terms", "array_join(transform(relates_to, r -> concat(r.type, '>', r.target)), '|') AS relations", "array_join(attributes, '|') AS attributes", "path")

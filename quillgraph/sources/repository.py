@@ -7,6 +7,8 @@ is the unit of order and files spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,47 @@ def pieces(files: DataFrame, pattern: str, adoc: str | None = None) -> DataFrame
     return cut.select("path", "pos", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("line"), "piece")
 
 
+def front_matter(files: DataFrame) -> DataFrame:
+    """(path, front, body): the lines between the first two rules of a file, '' if there are none; a byte order mark is skipped."""
+    text = F.regexp_replace("text", "^﻿", "")
+    front = F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)", 1)
+    body = F.when(front != "", F.regexp_replace(text, r"^---\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|$)", "")).otherwise(text)
+    return files.select("path", front.alias("front"), body.alias("body"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scalar(key: str) -> Column:
+    """A key's text in ``front``: plain, quoted or a block (``>`` joins its lines, ``|`` keeps them); null if there is none."""
+    row = F.regexp_extract("front", rf"(?md)^{key}:[ \t]+([^\n]*?)[ \t\r]*$", 1)
+    block = F.regexp_extract("front", rf"(?md)^{key}:[ \t]+[>|][+-]?[ \t\r]*\n((?:(?:[ \t]+[^\n]*+)?(?:\n|\z))+?)(?=\S|\z)", 1)
+    kept = F.regexp_replace(F.regexp_replace(block, r"(?md)^[ \t]+|\r$", ""), r"\A\s+|\s+\z", "")
+
+    def value(r: Column) -> Column:
+        double = F.replace(F.regexp_extract(r, r'^"((?:[^"\\]++|\\.)*+)"', 1), F.lit('\\"'), F.lit('"'))
+        single = F.replace(F.regexp_extract(r, r"^'((?:[^']++|'')*+)'", 1), F.lit("''"), F.lit("'"))
+        plain = F.regexp_replace(r, r"(?:^|\s)#.*$|\s+$|^(?:~|null)\s*(?:#.*)?$", "")
+        return F.when(r.startswith('"'), double).when(r.startswith("'"), single).when(r.rlike(r"^>[+-]?$"), F.regexp_replace(kept, r"\s*\n\s*", " ")).when(r.rlike(r"^\|[+-]?$"), kept).otherwise(plain)
+
+    return F.get(F.filter(F.array(bound(row, value)), lambda x: x != ""), F.lit(0))
+
+
+def listed(key: str) -> Column:
+    """A key's list in ``front``: in brackets, one item a line, or a single text."""
+    inline = F.regexp_extract("front", rf"(?m)^{key}:[ \t]*\[([^\]]*)\]", 1)
+    block = F.regexp_extract("front", rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[^\n]*\n?)+)", 1)
+    given = F.struct(inline.alias("inline"), block.alias("block"), F.coalesce(scalar(key), F.lit("")).alias("one"))
+
+    def items(g: Column) -> Column:
+        each = F.when(g["inline"] != "", F.split(g["inline"], ",")).when(g["block"] != "", F.split(F.regexp_replace(g["block"], r"(?m)^[ \t]*-[ \t]*", ""), "\n"))
+        return each.when((g["one"] != "") & ~g["one"].startswith("["), F.array(g["one"])).otherwise(F.array())
+
+    return F.filter(F.transform(bound(given, items), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+
+
 def documents(files: DataFrame, by_path: bool = False) -> DataFrame:
     """(path, id, title, summary, ..., tags, covers, body) of markdown and AsciiDoc files, from their front matter.
 
@@ -88,22 +131,7 @@ def documents(files: DataFrame, by_path: bool = False) -> DataFrame:
     from its first heading and its id from its name or, ``by_path``, from its whole path
     (for a root with settings of its own, where names such as index repeat).
     """
-    text = F.regexp_replace("text", "^﻿", "")
-    front = F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)", 1)
-    body = F.when(front != "", F.regexp_replace(text, r"^---\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|$)", "")).otherwise(text)
-    base = files.select("path", front.alias("front"), body.alias("body"))
-
-    def scalar(key: str):
-        found = F.regexp_extract("front", rf"(?m)^{key}:[ \t]*[\"']?([^\n\"']*?)[\"']?[ \t]*(?:\s#.*)?$", 1)
-        return F.when(found != "", found)
-
-    def listed(key: str):
-        inline = F.regexp_extract("front", rf"(?m)^{key}:[ \t]*\[([^\]]*)\]", 1)
-        block = F.regexp_extract("front", rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[^\n]*\n?)+)", 1)
-        one = F.coalesce(scalar(key), F.lit(""))
-        items = F.when(inline != "", F.split(inline, ",")).when(block != "", F.split(F.regexp_replace(block, r"(?m)^[ \t]*-[ \t]*", ""), "\n")).when((one != "") & ~one.startswith("["), F.array(one)).otherwise(F.array())
-        return F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
-
+    base = front_matter(files)
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
     heading = F.when(is_adoc(F.col("path")), F.regexp_extract("body", r"(?md)^= +(\S[^\n]*?)\s*$", 1)).otherwise(F.regexp_extract("body", r"(?m)^#[ \t]+(.+?)[ \t]*$", 1))
     made = F.col("front") == ""

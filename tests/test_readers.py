@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 import re
 
-from quillgraph.sources import repository
+from quillgraph.operators import terms
+from quillgraph.sources import ontology, repository
 
 
 def table(spark, rows):
@@ -109,3 +110,48 @@ def test_innermost_keeps_repeated_rows(spark):
     spans = spark.createDataFrame([("f", "outer", 1, 300), ("f", "inner", 100, 200)], "file string, symbol string, begin int, `end` int")
     got = repository.innermost(spark.createDataFrame([("f", 150, "a")] * 3 + [("f", 150, "b"), ("g", 1, "c")], "file string, line int, tag string"), spans)
     assert sorted((r.tag, r.enclosing) for r in got.collect()) == [("a", "inner")] * 3 + [("b", "inner")]
+
+
+def test_ontology(spark):
+    order = """role: ontology-entity
+value_id: order
+display: "The \\"Order\\""
+description: |
+  it's one
+  of two
+status: stable
+ontology_version: 4
+bounded_contexts: [pricing, sync]
+source_modules: ["backend/order/**/*.py", "backend/q.py"]
+code_terms: [order-line]
+code_veto:
+  - order-by
+relates_to:
+  - target: pricing-rule
+    type: depends_on
+  - type: "feeds_into"
+    target: 'shipment' # sent
+  - target: nothing
+attributes:
+  - key: size
+    value: 3
+  - value: lost
+entity_class: noun"""
+    files = [
+        ("b.md", f"---\n{order}\n---\nbody"), ("a.md", "---\nrole: ontology-entity\nvalue_id: item\nattributes: {open: true, kind: 'x y'}\n---\n"), ("c.md", "---\nrole: ontology-entity\nvalue_id: item\ndisplay: Later\n---\n"),
+        ("d.md", "---\ntype: ontology-value\naxis_id: role\nvalue_id: adr\nallowed_lifecycle: [current]\nfilename_pattern: '^adr-\\d+'\n---\n"), ("e.md", "---\nrole: ontology-value\naxis_id: colour\nvalue_id: red\n---\n"),
+        ("f.md", "---\nrole: ontology-migration\nontology_version: 7\n---\n"), ("g.md", "---\nrole: ontology-entity\nvalue_id: ~\n---\n"), ("h.md", None), ("i.md", ""), ("j.md", "---\nrole: doc\nontology_version: 9\n---\n"),
+    ]
+    df = table(spark, files)
+    found = ontology.entities(df)
+    rows = {r.id: r for r in found.collect()}
+    assert set(rows) == {"order", "item"} and rows["item"].display == "item" and rows["item"].attributes == ["open=true", "kind=x y"]
+    r = rows["order"]
+    assert (r.display, r.description, r.status, r.entity_class, r.bounded_contexts, r.source_modules) == ('The "Order"', "it's one\nof two", "stable", "noun", ["pricing", "sync"], ["backend/order/**/*.py", "backend/q.py"])
+    assert (r.code_terms, r.code_veto, r.synonyms, r.attributes) == (["order-line"], ["order-by"], [], ["size=3"])
+    assert sorted(tuple(x) for x in ontology.relations(found).collect()) == [("order", "pricing-rule", "depends_on"), ("order", "shipment", "feeds_into")]
+    assert [(v.axis, v.id, v.allowed_lifecycle, v.filename_pattern, v.requires_axes) for v in ontology.values(df).collect()] == [("role", "adr", ["current"], "^adr-\\d+", [])]
+    assert ontology.version(df).first().version == 7 and ontology.version(df.limit(0)).first().version == 0
+    # what was read is what mentions are found by
+    symbols = spark.createDataFrame([("a/orders().", ""), ("a/order_line().", ""), ("a/order_by().", ""), ("b/Item#", "")], "symbol string, doc_comment string")
+    assert sorted((m.src, m.dst) for m in terms.entity_mentions(symbols, found).collect()) == [("a/order_line().", "order"), ("b/Item#", "item")]
