@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import repository
 from ..sources.repository import pieces
 from .analytics import Tables, extra, held
 
@@ -154,6 +155,11 @@ def routes(files: DataFrame, folded: bool = True) -> DataFrame:
     return found.select(F.concat_ws(":", F.lit("jaxrs"), "method", "route").alias("id"), F.lit("jaxrs").alias("kind"), "method", F.col("route").alias("path"), "handler", F.col("path").alias("source_file"), F.col("line").alias("source_line"))
 
 
+def endpoints(files: DataFrame, folded: bool = True) -> DataFrame:
+    """Routes of all languages that have a reader: Python and script files line by line, Java with its constants."""
+    return repository.endpoints(files).unionByName(routes(files, folded))
+
+
 # Java sources that the parts and their brands stand for: a class of constants for each
 # brand, one of them made of another, and a resource class for each part.  ``ROOT`` alone
 # has as many values as there are brands.

@@ -254,6 +254,8 @@ def git_log(log: DataFrame) -> DataFrame:
     return marked.where(F.col("head").isNull() & (F.trim("text") != "")).join(heads, "at_line").select("commit", "at", F.trim("text").alias("file"))
 
 
+# Words that end a call and name no handler.
+RESERVED = ("function", "async", "await", "return", "true", "false", "null", "undefined")
 _VERBS = "get|post|put|delete|patch|head|options"
 
 
@@ -261,7 +263,8 @@ def endpoints(files: DataFrame) -> DataFrame:
     """(id, kind, method, path, handler, source_file, source_line) of web routes found by pattern.
 
     Python decorators take the next ``def`` within 20 lines as the handler, by
-    a window over the following lines.
+    a window over the following lines; a script's call takes the name that is its
+    last argument.  Java has a reader of its own (``operators.java_routes``).
     """
     rows = lines(files)
     name = F.regexp_extract("text", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", 1)
@@ -271,8 +274,10 @@ def endpoints(files: DataFrame) -> DataFrame:
     given = F.regexp_extract("text", r"methods\s*=\s*\[([^\]]*)\]", 1)
     methods = F.when(given != "", F.regexp_extract_all(F.upper(given), F.lit(r"([A-Z]+)"), 1)).otherwise(F.array(F.lit("GET")))
     flask = rows.where(F.col("path").endswith(".py") & F.col("text").rlike(r"^\s*@\w+\.route\(")).select(F.lit("flask").alias("kind"), F.explode(methods).alias("method"), F.regexp_extract("text", r"\(\s*[\"']([^\"']*)", 1).alias("route"), "handler", "path", "line")
-    express = rows.where(F.col("path").rlike(r"\.[jt]sx?$") & F.col("text").rlike(rf"\b(?:app|router)\.({_VERBS})\(\s*[\"'`]")).select(
-        F.lit("express").alias("kind"), F.upper(F.regexp_extract("text", rf"\.({_VERBS})\(", 1)).alias("method"), F.regexp_extract("text", r"\(\s*[\"'`]([^\"'`]*)", 1).alias("route"), F.nullif(F.regexp_extract("text", r",\s*([A-Za-z_$][\w$.]*)\s*\)\s*;?\s*$", 1), F.lit("")).alias("handler"), "path", "line")
+    called = rf"^\s*(?:(?:export|return|await|const|let|var)\s+)?\w+\.({_VERBS}|all)\s*\(\s*[\"'`]([^\"'`]+)[\"'`](.*)$"
+    last = F.regexp_extract(F.regexp_extract("text", called, 3), r",\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\)\s*;?\s*$", 1)
+    express = rows.where(F.col("path").rlike(r"\.[jt]sx?$") & F.col("text").rlike(called)).select(
+        F.lit("express").alias("kind"), F.upper(F.regexp_extract("text", called, 1)).alias("method"), F.regexp_extract("text", called, 2).alias("route"), F.when((last != "") & ~last.isin(*RESERVED), last).alias("handler"), "path", "line")
     found = fast.unionByName(flask).unionByName(express)
     return found.select(F.concat_ws(":", "kind", "method", "route").alias("id"), "kind", "method", F.col("route").alias("path"), "handler", F.col("path").alias("source_file"), F.col("line").alias("source_line"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import random
 import re
 
-from quillgraph.operators import terms
-from quillgraph.sources import ontology, repository
+from quillgraph.operators import java_routes, terms
+from quillgraph.sources import code_index, ontology, repository
 
 
 def table(spark, rows):
@@ -155,3 +155,17 @@ entity_class: noun"""
     # what was read is what mentions are found by
     symbols = spark.createDataFrame([("a/orders().", ""), ("a/order_line().", ""), ("a/order_by().", ""), ("b/Item#", "")], "symbol string, doc_comment string")
     assert sorted((m.src, m.dst) for m in terms.entity_mentions(symbols, found).collect()) == [("a/order_line().", "order"), ("b/Item#", "item")]
+
+
+def test_script_routes_and_java(spark):
+    js = "router.get('/a', auth, list);\nreturn api.all(\"/b\", true);\n  app.post(`/c`, (req) => {\nx.app.get('/no', f);\nv2.delete('/d', a.b)\n"
+    got = java_routes.endpoints(table(spark, [("s.ts", js), ("A.java", 'import javax.ws.rs.*;\n@Path("a")\nclass A {\n@GET int x() {}\n}')]))
+    assert sorted((r.kind, r.method, r.path, r.handler) for r in got.collect()) == [("express", "ALL", "/b", None), ("express", "DELETE", "/d", None), ("express", "GET", "/a", "list"), ("express", "POST", "/c", None), ("jaxrs", "GET", "/a", "x")]
+
+
+def test_imports_by_lines(spark):
+    defs = spark.createDataFrame([("b.py", "b/f()."), ("c.py", "c/g()."), ("a.py", "a/h().")], "file string, symbol string")
+    occ = spark.createDataFrame([("a.py", "b/f().", 1, "reference"), ("a.py", "b/f().", 1, "reference"), ("a.py", "c/g().", 3, "reference"), ("a.py", "a/h().", 2, "reference"), ("c.py", "b/f().", 5, "import"), ("c.py", "a/h().", 1, "reference")], "file string, symbol string, line int, role string")
+    at = code_index.import_lines(table(spark, [("a.py", "from b import f\n  import a\nimportant = g\n"), ("c.py", "import a"), ("d.py", None)]))
+    assert sorted(tuple(r) for r in code_index.imports(defs, occ, at).collect()) == [("a.py", "b.py", 1), ("c.py", "b.py", 1)]
+    assert [tuple(r) for r in code_index.imports(defs, occ).collect()] == [("c.py", "b.py", 1)]
