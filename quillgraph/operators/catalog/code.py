@@ -103,7 +103,8 @@ def shape(c: str, cf: str, e: str) -> str:
 
 def degree(mine: str, other: str, where: str | None = None):
     """Distinct functions on the other end of a function's calls, and their files."""
-    return rel("CALLS r", ("Function o", f"o.symbol = r.{other} AND r.src <> r.dst"), where=where, by={"k": f"r.{mine}"}, agg={"n": "count(DISTINCT o.symbol)", "files": "count(DISTINCT o.file)"})
+    fast = rel({"dst": "callers d", "src": "callees d"}[mine], out=cols("d", "k n files")) if where is None else None
+    return rel("CALLS r", ("Function o", f"o.symbol = r.{other} AND r.src <> r.dst"), where=where, by={"k": f"r.{mine}"}, agg={"n": "count(DISTINCT o.symbol)", "files": "count(DISTINCT o.file)"}, fast=fast)
 
 
 SHAPED = rel(
@@ -138,7 +139,8 @@ def file_calls(where: str):
     """(file_path, impl_count, internal_count, external_count) of files of functions that meet a condition on f."""
     mine = rel("Function f", where=all_of(where, outside_tests("f")), out=cols("f", "symbol file"))
     per = rel(mine, by={"file_path": "file"}, agg={"impl_count": "count(*)"})
-    calls = rel(mine, ("CALLS r", "r.src = m.symbol"), ("Function c", "c.symbol = r.dst"), alias="m", by={"fp": "m.file"}, agg={"i": "sum(CASE WHEN c.file = m.file THEN 1 ELSE 0 END)", "e": "sum(CASE WHEN c.file <> m.file THEN 1 ELSE 0 END)"})
+    calls = rel(mine, ("CALLS r", "r.src = m.symbol"), ("Function c", "c.symbol = r.dst"), alias="m", by={"fp": "m.file"}, agg={"i": "sum(CASE WHEN c.file = m.file THEN 1 ELSE 0 END)", "e": "sum(CASE WHEN c.file <> m.file THEN 1 ELSE 0 END)"},
+        fast=rel("call_ends f", where=all_of(where, outside_tests("f")), by={"fp": "f.file"}, agg={"i": "sum(CASE WHEN f.dst_file = f.file THEN f.n ELSE 0 END)", "e": "sum(CASE WHEN f.dst_file <> f.file THEN f.n ELSE 0 END)"}))
     return rel(per, ("left", calls, "k.fp = p.file_path", "k"), alias="p", out={"file_path": "p.file_path", "impl_count": "p.impl_count", "internal_count": "CAST(coalesce(k.i, 0) AS BIGINT)", "external_count": "CAST(coalesce(k.e, 0) AS BIGINT)"})
 
 
@@ -163,7 +165,8 @@ define(CALLS, "leaf-with-deps-files-by-path-prefix", "such files by the beginnin
 define(CALLS, "leaf-with-deps-count-by-basename", "number of such files", lambda p: rel(leaves(ends("f.file", p.basename)), agg={"template_instance_count": "count(file_path)"}), basename=".tsx")
 define(CALLS, "template-directory-survey", "files under a path with a label of their calls", lambda p: rel(
     rel("File f", ("left", "Function t", f"t.file = f.path AND {lacks('t.symbol', 'tests/')}"), where=all_of(starts("f.path", p.path_prefix), lacks("f.path", "tests/")), by={"file_path": "f.path"}, agg={"impl_count": "count(t.symbol)"}),
-    ("left", rel("Function t", ("CALLS r", "r.src = t.symbol"), ("Function c", "c.symbol = r.dst"), where=all_of(lacks("t.symbol", "tests/"), "c.file <> t.file"), by={"fp": "t.file"}, agg={"k": "count(*)"}), "x.fp = i.file_path", "x"), alias="i",
+    ("left", rel("Function t", ("CALLS r", "r.src = t.symbol"), ("Function c", "c.symbol = r.dst"), where=all_of(lacks("t.symbol", "tests/"), "c.file <> t.file"), by={"fp": "t.file"}, agg={"k": "count(*)"},
+        fast=rel("call_ends t", where=all_of(starts("t.file", p.path_prefix), lacks("t.symbol", "tests/"), "t.dst_file <> t.file"), by={"fp": "t.file"}, agg={"k": "sum(t.n)"})), "x.fp = i.file_path", "x"), alias="i",
     out={"file_path": "i.file_path", "impl_count": "i.impl_count", "external_count": "coalesce(x.k, 0)", "sub_shape": ladder(("i.impl_count <= 2 AND coalesce(x.k, 0) > 0", "leaf-with-deps"), ("i.impl_count = 0", "data-only"), ("coalesce(x.k, 0) = 0", "no-call-or-self-contained"), default="other")}, order=["file_path"], limit=100,
 ), path_prefix="backend/")
 define(CALLS, "function-call-count-between-files", "calls from one file to another", lambda p: counted("CALLS r", ("Function c", "c.symbol = r.src"), ("Function t", "t.symbol = r.dst"), where=all_of(f"c.file = {p.caller_file}", f"t.file = {p.callee_file}", lacks("c.file", "tests/"), lacks("t.symbol", "tests/")), name="call_count"), caller_file="backend/app/core/n1.py", callee_file="backend/app/core/n3.py")
@@ -182,7 +185,8 @@ def spread(files: str, what: str) -> str:
     return ladder((f"{files} >= 5", f"api-tier-{what}"), (f"{files} >= 2", f"mid-tier-{what}"), default=f"internal-cluster-{what}")
 
 
-HUBS = rel(rel("Function f", ("CALLS r", "r.dst = f.symbol"), ("Function c", "c.symbol = r.src"), where=all_of(outside_tests("f"), not_stub("f")), by=cols("f", "symbol file"), agg={"distinct_callers": "count(DISTINCT c.symbol)", "caller_files": "count(DISTINCT c.file)"}, having="distinct_callers >= 5"),
+_HUB = rel("callers d", where=all_of(lacks("d.file", "tests/"), lacks("d.k", "tests/"), not_stub("d"), "d.n >= 5"), out={"symbol": "d.k", "file": "d.file", "distinct_callers": "d.n", "caller_files": "d.files"})
+HUBS = rel(rel("Function f", ("CALLS r", "r.dst = f.symbol"), ("Function c", "c.symbol = r.src"), where=all_of(outside_tests("f"), not_stub("f")), by=cols("f", "symbol file"), agg={"distinct_callers": "count(DISTINCT c.symbol)", "caller_files": "count(DISTINCT c.file)"}, having="distinct_callers >= 5", fast=_HUB),
            out={**{k: k for k in ("symbol", "file", "distinct_callers", "caller_files")}, "spread_label": spread("caller_files", "hub")})
 TYPE_HUBS = rel(rel("Type t", ("USES_TYPE r", "r.dst = t.symbol"), ("Function c", "c.symbol = r.src"), where=all_of(outside_tests("t"), outside_tests("c")), by=cols("t", "symbol kind file"), agg={"distinct_users": "count(DISTINCT c.symbol)", "user_files": "count(DISTINCT c.file)"}, having="distinct_users >= 5"),
                 out={**{k: k for k in ("symbol", "kind", "file", "distinct_users", "user_files")}, "spread_label": spread("user_files", "type")})

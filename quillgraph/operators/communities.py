@@ -183,10 +183,11 @@ def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, sweeps:
 @extra("entity_communities_leiden")
 def entity_communities_leiden(t: Tables) -> DataFrame:
     """Communities of entities by the calls between their functions, weighted by how often."""
-    edges = t["ENTITY_CALLS"].select("src", "dst", F.col("frequency").alias("w"))
-    return community_report(leiden(edges), t["ENTITY_CALLS"])
+    calls = held(t["ENTITY_CALLS"])
+    return community_report(leiden(calls.select("src", "dst", F.col("frequency").alias("w"))), calls)
 
 
 @extra("entity_communities_ordered")
 def entity_communities_ordered(t: Tables) -> DataFrame:
-    return community_report(ordered_propagation(t["ENTITY_CALLS"]), t["ENTITY_CALLS"])
+    calls = held(t["ENTITY_CALLS"])
+    return community_report(ordered_propagation(calls), calls)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .analytics import Tables, extra, reach, undirected
+from .analytics import Tables, extra, held, reach, undirected
 
 #: Links between documents.
 DOC_EDGES = ("WIKILINK", "MD_LINK", "DEPENDS_ON", "INFORMED_BY", "SUPERSEDES")
@@ -136,6 +136,7 @@ def context_for_a_function(t: Tables) -> DataFrame:
 def ego_edges(t: Tables, centre: str, depth: int = 2) -> DataFrame:
     """(source, target, type): relations and calls that meet an entity within depth - 1 steps of the centre, and the documents, functions and endpoints of those entities."""
     between = t["RELATES_TO"].select("src", "dst", F.lit("relates_to").alias("type")).unionByName(t["ENTITY_CALLS"].select("src", "dst", F.lit("entity_calls").alias("type"))).distinct()
+    between = held(between)  # few, and read by each step
     start = t["Entity"].where(F.col("id") == centre).select("id")
     if depth < 1:
         return between.where("false").select(F.col("src").alias("source"), F.col("dst").alias("target"), "type")

@@ -82,7 +82,10 @@ class Join:
 
 @dataclass
 class Rel:
-    """See the module.  ``by`` and ``agg`` group; ``having``, ``out`` and ``order`` see the names given there (or in ``out``)."""
+    """See the module.  ``by`` and ``agg`` group; ``having``, ``out`` and ``order`` see the names given there (or in ``out``).
+
+    ``fast`` is another block with the same rows, which Spark runs where the tables it needs are at hand; the SQL stays that of the block.
+    """
 
     source: Source
     alias: str = "t"
@@ -96,6 +99,7 @@ class Rel:
     order: list[str] = field(default_factory=list)
     limit: int | None = None
     union: list[Rel] = field(default_factory=list)
+    fast: Rel | None = None
 
     def tables(self) -> set[str]:
         found: set[str] = set()
@@ -105,6 +109,9 @@ class Rel:
 
     # ------------------------------------------------------------- Spark
     def spark(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        if self.fast is not None and all(n in tables for n in self.fast.tables()):
+            return self.fast.spark(tables)
+
         def frame(s: Source) -> DataFrame:
             return tables[s] if isinstance(s, str) else s.spark(tables)
 
