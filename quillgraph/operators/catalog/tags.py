@@ -140,10 +140,15 @@ define(TAGS, "tag-axis-loose-ends", "summaries that name a tag the document lack
 ))
 define(TAGS, "singleton-tags", "tags of one document", lambda p: rel("doc_tags t", by={"tag": "t.value"}, agg={"k": "count(DISTINCT t.doc_id)", "only_doc": "min(t.doc_id)"}, having="k = 1", out={"tag": "tag", "only_doc": "only_doc"}, order=["tag"]))
 define(TAGS, "entities-coupled-to-tag", "entities that a tag's documents cover", lambda p: rel("COVERS c", ("Entity e", "e.id = c.dst"), ("semi", "Doc d", "d.id = c.src"), ("semi", "doc_tags", f"t.doc_id = c.src AND t.value = {p.tag}", "t"), by=cols("e", "entity_id=id display"), agg={"tag_doc_count": "count(DISTINCT c.src)"}, order=["-tag_doc_count", "entity_id"], limit=25), tag="research")
+_LINKED = ("WIKILINK w", ("Doc a", "a.id = w.src"), ("Doc b", "b.id = w.dst"), *(tagged(x, "research", f"r{x}") for x in "ab"), *(tagged(x, "index", f"i{x}", "anti") for x in "ab"))
+_PAIR = {"doc_a": "a.id", "doc_b": "b.id", "title_a": "a.title", "title_b": "b.title"}
+# the tags that linked documents share, of these pairs alone: not all pairs of documents with a tag
+_SHARED = rel(rel("WIKILINK w", where="w.src < w.dst", out={"a": "w.src", "b": "w.dst"}, distinct=True), ("doc_tags x", "x.doc_id = p.a"), ("semi", "doc_tags y", "y.doc_id = p.b AND y.value = x.value"), alias="p", where=meaningful("x.value", GENERAL), out={"da": "p.a", "db": "p.b"})
 define(TAGS, "research-pairs-without-shared-family-tag", "linked research without a telling tag in common", lambda p: rel(
-    "WIKILINK w", ("Doc a", "a.id = w.src"), ("Doc b", "b.id = w.dst"), *(tagged(x, "research", f"r{x}") for x in "ab"), *(tagged(x, "index", f"i{x}", "anti") for x in "ab"),
+    *_LINKED,
     ("anti", rel("doc_tags x", ("doc_tags y", "y.value = x.value"), where=all_of(meaningful("x.value", GENERAL), "x.doc_id < y.doc_id"), out={"da": "x.doc_id", "db": "y.doc_id"}), "s.da = a.id AND s.db = b.id", "s"),
-    where="a.id < b.id", out={"doc_a": "a.id", "doc_b": "b.id", "title_a": "a.title", "title_b": "b.title"}, order=["doc_a", "doc_b"],
+    where="a.id < b.id", out=_PAIR, order=["doc_a", "doc_b"],
+    fast=rel(*_LINKED, ("anti", _SHARED, "s.da = a.id AND s.db = b.id", "s"), where="a.id < b.id", out=_PAIR, order=["doc_a", "doc_b"]),
 ))
 USE = rel("doc_tags t", ("semi", "doc_tags", "r.doc_id = t.doc_id AND r.value = 'research'", "r"), by={"value": "t.value"}, agg={"docs": "count(DISTINCT t.doc_id)"})
 define(TAGS, "research-docs-with-all-singleton-meaningful-tags", "research whose telling tags no other research has", lambda p: rel(

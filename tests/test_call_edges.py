@@ -75,3 +75,14 @@ def test_counts_move_no_texts(odd):
     plan = CATALOG["hub-spread-distribution"].example(tables)._jdf.queryExecution().optimizedPlan().toString()
     held = [x for x in plan.splitlines() if "Join" in x or "Aggregate" in x]
     assert held and not any("symbol" in x for x in held)
+
+
+def test_pairs_with_tags_are_few(odd):
+    """Tags are compared for linked documents only; no join pairs all documents of a tag."""
+    tables, plain = odd
+    plan = CATALOG["research-pairs-without-shared-family-tag"].plan()
+    quick = plan.spark(tables)
+    plan.fast = None
+    assert same(quick, plan.spark(plain)) > 10
+    text = quick._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join Inner" in x and x.count("value#") == 2 and x.count("=") == 1 for x in text.splitlines())
