@@ -119,6 +119,29 @@ def calls(raw: Mapping[str, DataFrame]) -> DataFrame:
     return distinct_calls(raw).select(symbol_of("src").alias("src"), symbol_of("dst").alias("dst"), file_of("src").alias("source_file"), F.col("line").alias("source_line"), "dispatch")
 
 
+def keys(raw: Mapping[str, DataFrame], kind: str, by: str, line: bool = False, customers: DataFrame | None = None) -> DataFrame:
+    """(a, b[, line]) of a kind's calls, once each and by the keys of the raw tables alone, dealt by one of the ends.
+
+    Rows are moved once to be made distinct, and lie where the end they are dealt by is
+    looked up or counted.  ``customers`` (c, ...) adds what is said of a customer, to its
+    orders, which are fewer than their lines.
+    """
+    if kind == "cc":
+        found = raw["orders"].where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("a"), F.expr("o_custkey + 1").alias("b"), F.lit(1).alias("line"))
+    else:
+        of = raw["lineitem"].select("l_orderkey", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("line"), "l_returnflag")
+        if kind == "pc":
+            of = of.where("line = 1 AND l_returnflag = 'R'")
+        if "c" in kind:
+            order = raw["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c")).where("c IS NOT NULL")
+            if customers is not None:
+                order = order.join(customers, "c")
+            of = of.where(f"{kind.replace('c', '')} IS NOT NULL").join(order, "l_orderkey")
+        found = of.withColumnsRenamed({kind[0]: "a", kind[1]: "b"})
+    more = [x for x in (customers.columns if customers is not None else ()) if x != "c"]
+    return found.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", *(["line"] if line else []), *more).repartition(F.col(by)).distinct()
+
+
 def call_ends(raw: Mapping[str, DataFrame]) -> DataFrame:
     """(symbol, file, dst_symbol, dst_file, n): calls with what their ends' rows of Function say; n such pairs of rows."""
     known = distinct_calls(raw).where("src_home IS NOT NULL AND dst_home IS NOT NULL")
@@ -134,19 +157,29 @@ def degree(raw: Mapping[str, DataFrame], mine: str, other: str) -> DataFrame:
     return each.select(symbol_of(mine).alias("k"), file_of(mine).alias("file"), "n", "files")
 
 
+#: What a function's symbol begins with, by kind.
+_BEGINS = {"c": ("backend/", "app/"), "s": ("supply/",), "p": ("web/",)}
+
+
+def named(table: DataFrame, kind: str) -> DataFrame:
+    """(at, to, w): what a table (src, dst) of symbols says of the keys of a kind, and how often; a symbol ends in its key."""
+    begins = " OR ".join(f"startswith(src, '{x}')" for x in _BEGINS[kind])
+    at = F.regexp_extract("src", r"(-?[0-9]+)\(\)\.$", 1).cast("long")
+    return table.where(begins).groupBy(at.alias("at"), F.col("dst").alias("to")).agg(F.count(F.lit(1)).alias("w"))
+
+
 def between(raw: Mapping[str, DataFrame], source: DataFrame, target: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(src, dst, frequency): calls between what functions stand for, by (src, dst) tables of symbols; what stands for itself is left out.
 
     ``kinds`` are those calls whose ends can be in the two tables.
     """
-    known = ends(raw)
-
-    def of(table: DataFrame, end: str, name: str) -> DataFrame:
-        return table.join(known, F.col("src") == F.col("symbol")).select(F.col("home").alias(f"{end}_home"), F.col("key").alias(f"{end}_key"), F.col("dst").alias(name))
-
-    first = distinct_calls(raw, kinds).select(*ENDS).join(of(source, "src", "a"), ["src_home", "src_key"]).groupBy("a", "dst_home", "dst_key").agg(F.count(F.lit(1)).alias("k"))
-    both = first.join(of(target, "dst", "b"), ["dst_home", "dst_key"]).where("a <> b")
-    return both.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("k").alias("frequency"))
+    found = None
+    for kind in kinds:
+        a = named(source, kind[0]).select(F.col("at").alias("a"), F.col("to").alias("src"), F.col("w").alias("k"))
+        b = named(target, kind[1]).select(F.col("at").alias("b"), F.col("to").alias("dst"), F.col("w").alias("l"))
+        one = keys(raw, kind, "b", line=True).join(b, "b").join(a, "a").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.expr("k * l")).alias("frequency"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("src", "dst").agg(F.sum("frequency").alias("frequency"))
 
 
 def _occurrences(parts: list[tuple[Column, Column]], times: str) -> Column:

@@ -86,3 +86,15 @@ def test_pairs_with_tags_are_few(odd):
     assert same(quick, plan.spark(plain)) > 10
     text = quick._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join Inner" in x and x.count("value#") == 2 and x.count("=") == 1 for x in text.splitlines())
+
+
+def _sides(df):
+    """Distincts and groupings that hold the homes of both ends of a call."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "Aggregate" in x and "src_home" in x and "dst_home" in x], plan
+
+
+def test_calls_of_entities_are_made_distinct_by_raw_keys(odd):
+    tables, _ = odd
+    wide, plan = _sides(tables["ENTITY_CALLS"])
+    assert not wide and "RepartitionByExpression [" in plan
