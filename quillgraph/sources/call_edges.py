@@ -150,11 +150,27 @@ def call_ends(raw: Mapping[str, DataFrame]) -> DataFrame:
 
 def degree(raw: Mapping[str, DataFrame], mine: str, other: str) -> DataFrame:
     """(k, file, n, files): the functions on the other end of a function's calls, and their files; no call is from a function to itself."""
-    pairs = rows(raw).where("src_home IS NOT NULL AND dst_home IS NOT NULL").select(*ENDS).distinct()
-    keys = [f"{mine}_home", f"{mine}_key"]
-    by_file = pairs.groupBy(*keys, file_of(other).alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    each = by_file.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("of").alias("files"))
-    return each.select(symbol_of(mine).alias("k"), file_of(mine).alias("file"), "n", "files")
+    at = int(mine == "dst")
+    end, far = "ab"[at], "ab"[1 - at]
+    out = None
+    for m in "csp":
+        found = None
+        for kind in (k for k in KINDS if k[at] == m):
+            o = kind[1 - at]
+            # a key's symbols by file: the file's form, which the key gives, and the nation or brand as the file has it
+            of = functions(raw, o).where("e.home IS NOT NULL").groupBy("at", F.expr("concat(substr(e.home, 1, 2), lower(substr(e.home, 5)))").alias("of")).agg(F.count(F.lit(1)).alias("h"))
+            if kind == "cs" and o == "c":
+                each = keys(raw, kind, end, customers=of.withColumnRenamed("at", "c"))
+            else:
+                # lines of a part are dealt by the part, whichever end is counted: the other end is looked up by what is near, and counts are summed before they are moved
+                each = keys(raw, kind, "b" if kind == "sp" else end).join(of.withColumnRenamed("at", far), far)
+            each = each.select(F.col(end).alias("at"), "of", "h")
+            found = each if found is None else found.unionByName(each)
+        sums = found.groupBy("at").agg(F.sum("h").alias("n"), F.count_distinct("of").alias("files"))
+        homes = functions(raw, m).where("e.home IS NOT NULL").select("at", F.col("e.home").alias(f"{mine}_home"))
+        one = sums.join(homes, "at").select(F.col("at").alias(f"{mine}_key"), f"{mine}_home", "n", "files")
+        out = one if out is None else out.unionByName(one)
+    return out.select(symbol_of(mine).alias("k"), file_of(mine).alias("file"), "n", "files")
 
 
 #: What a function's symbol begins with, by kind.

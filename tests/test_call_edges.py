@@ -98,3 +98,10 @@ def test_calls_of_entities_are_made_distinct_by_raw_keys(odd):
     tables, _ = odd
     wide, plan = _sides(tables["ENTITY_CALLS"])
     assert not wide and "RepartitionByExpression [" in plan
+
+
+def test_counts_of_callers_are_of_raw_keys(odd):
+    tables, _ = odd
+    for name in ("function-hub-files", "hub-spread-distribution", "hub-functions-by-caller-breadth", "function-shape-by-file", "functions-of-shape"):
+        wide, plan = _sides(CATALOG[name].example(tables))
+        assert not wide and "RepartitionByExpression [" in plan, name
