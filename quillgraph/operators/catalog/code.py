@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ...plans.relation import lit, rel
+from ...sources.call_edges import ends_under
 from .base import all_of, any_of, cols, count_if, counted, define, dotted, ends, has, ladder, lacks, no_test_symbol, not_stub, outside_tests, ratio, records, side_by_side, starts
 
 CALLS, SYMBOLS = "call-graph", "symbol-lookup"
@@ -130,23 +131,28 @@ define(CALLS, "dead-files", "files none of whose functions is called or handles
 ))
 
 
+def _ends_under(prefix: str) -> str:
+    """By a parameter, which is a literal."""
+    return ends_under(prefix[1:-1].replace("''", "'"))
+
+
 def _cohesion(i: str, e: str, k: str) -> str:
     share = f"({e} * 100) div ({i} + {e})"
     return ladder((f"{k} = 0", "empty"), (f"{i} + {e} = 0", "stub-only-cython"), (f"{e} = 0", "cohesive"), (f"{k} <= 2 AND {i} = 0", "leaf-with-deps"), (f"{share} <= 10", "mostly-cohesive"), (f"{share} <= 67", "balanced-dependent"), default="heavily-dependent")
 
 
-def file_calls(where: str):
-    """(file_path, impl_count, internal_count, external_count) of files of functions that meet a condition on f."""
+def file_calls(where: str, ends: str = "call_ends"):
+    """(file_path, impl_count, internal_count, external_count) of files of functions that meet a condition on f; ``ends`` has the calls of all of these."""
     mine = rel("Function f", where=all_of(where, outside_tests("f")), out=cols("f", "symbol file"))
     per = rel(mine, by={"file_path": "file"}, agg={"impl_count": "count(*)"})
     calls = rel(mine, ("CALLS r", "r.src = m.symbol"), ("Function c", "c.symbol = r.dst"), alias="m", by={"fp": "m.file"}, agg={"i": "sum(CASE WHEN c.file = m.file THEN 1 ELSE 0 END)", "e": "sum(CASE WHEN c.file <> m.file THEN 1 ELSE 0 END)"},
-        fast=rel("call_ends f", where=all_of(where, outside_tests("f")), by={"fp": "f.file"}, agg={"i": "sum(CASE WHEN f.dst_file = f.file THEN f.n ELSE 0 END)", "e": "sum(CASE WHEN f.dst_file <> f.file THEN f.n ELSE 0 END)"}))
+        fast=rel(f"{ends} f", where=all_of(where, outside_tests("f")), by={"fp": "f.file"}, agg={"i": "sum(CASE WHEN f.dst_file = f.file THEN f.n ELSE 0 END)", "e": "sum(CASE WHEN f.dst_file <> f.file THEN f.n ELSE 0 END)"}))
     return rel(per, ("left", calls, "k.fp = p.file_path", "k"), alias="p", out={"file_path": "p.file_path", "impl_count": "p.impl_count", "internal_count": "CAST(coalesce(k.i, 0) AS BIGINT)", "external_count": "CAST(coalesce(k.e, 0) AS BIGINT)"})
 
 
 COHESION = {**{k: k for k in ("file_path", "impl_count", "internal_count", "external_count")}, "external_pct": ratio("external_count", "(internal_count + external_count)", "100"), "cohesion_label": _cohesion("internal_count", "external_count", "impl_count")}
 for _suffix, _first in (("", "-external_pct"), ("-asc", "external_pct")):
-    define(CALLS, f"per-file-cohesion-by-path-prefix{_suffix}", "cohesion of the files under a path", lambda p, o=_first: rel(file_calls(starts("f.file", p.path_prefix)), out=COHESION, order=[o, "file_path"], limit=30), path_prefix="frontend/")
+    define(CALLS, f"per-file-cohesion-by-path-prefix{_suffix}", "cohesion of the files under a path", lambda p, o=_first: rel(file_calls(starts("f.file", p.path_prefix), _ends_under(p.path_prefix)), out=COHESION, order=[o, "file_path"], limit=30), path_prefix="frontend/")
 define(CALLS, "module-cohesion-classifier", "cohesion of the functions that match a text", lambda p: rel(
     rel(rel("Function f", where=all_of(has("f.symbol", p.pattern), outside_tests("f")), out=cols("f", "symbol file")), ("left", rel("CALLS r", ("Function c", "c.symbol = r.dst"), out={"src": "r.src", "cf": "c.file"}), "k.src = b.symbol", "k"), alias="b",
         agg={"impl_count": "count(DISTINCT b.symbol)", "i": count_if("k.cf = b.file"), "e": count_if("k.cf <> b.file")}),
@@ -154,19 +160,19 @@ define(CALLS, "module-cohesion-classifier", "cohesion of the functions that matc
 ), pattern="web/Brand1")
 
 
-def leaves(where: str):
-    return rel(file_calls(where), where="impl_count <= 2 AND internal_count = 0 AND external_count > 0")
+def leaves(where: str, ends: str = "call_ends"):
+    return rel(file_calls(where, ends), where="impl_count <= 2 AND internal_count = 0 AND external_count > 0")
 
 
 ANY = "1 = 1"
 define(CALLS, "leaf-with-deps-files", "small files that only call others", lambda p: rel(leaves(ANY), order=["-external_count", "impl_count", "file_path"], limit=50))
 define(CALLS, "leaf-with-deps-files-by-basename", "such files by the end of their path", lambda p: rel(leaves(ends("f.file", p.basename)), order=["-external_count", "file_path"], limit=50), basename=".spec.tsx")
-define(CALLS, "leaf-with-deps-files-by-path-prefix", "such files by the beginning of their path", lambda p: rel(leaves(starts("f.file", p.path_prefix)), order=["-external_count", "file_path"], limit=50), path_prefix="frontend/")
+define(CALLS, "leaf-with-deps-files-by-path-prefix", "such files by the beginning of their path", lambda p: rel(leaves(starts("f.file", p.path_prefix), _ends_under(p.path_prefix)), order=["-external_count", "file_path"], limit=50), path_prefix="frontend/")
 define(CALLS, "leaf-with-deps-count-by-basename", "number of such files", lambda p: rel(leaves(ends("f.file", p.basename)), agg={"template_instance_count": "count(file_path)"}), basename=".tsx")
 define(CALLS, "template-directory-survey", "files under a path with a label of their calls", lambda p: rel(
     rel("File f", ("left", "Function t", f"t.file = f.path AND {lacks('t.symbol', 'tests/')}"), where=all_of(starts("f.path", p.path_prefix), lacks("f.path", "tests/")), by={"file_path": "f.path"}, agg={"impl_count": "count(t.symbol)"}),
     ("left", rel("Function t", ("CALLS r", "r.src = t.symbol"), ("Function c", "c.symbol = r.dst"), where=all_of(lacks("t.symbol", "tests/"), "c.file <> t.file"), by={"fp": "t.file"}, agg={"k": "count(*)"},
-        fast=rel("call_ends t", where=all_of(starts("t.file", p.path_prefix), lacks("t.symbol", "tests/"), "t.dst_file <> t.file"), by={"fp": "t.file"}, agg={"k": "sum(t.n)"})), "x.fp = i.file_path", "x"), alias="i",
+        fast=rel(f"{_ends_under(p.path_prefix)} t", where=all_of(starts("t.file", p.path_prefix), lacks("t.symbol", "tests/"), "t.dst_file <> t.file"), by={"fp": "t.file"}, agg={"k": "sum(t.n)"})), "x.fp = i.file_path", "x"), alias="i",
     out={"file_path": "i.file_path", "impl_count": "i.impl_count", "external_count": "coalesce(x.k, 0)", "sub_shape": ladder(("i.impl_count <= 2 AND coalesce(x.k, 0) > 0", "leaf-with-deps"), ("i.impl_count = 0", "data-only"), ("coalesce(x.k, 0) = 0", "no-call-or-self-contained"), default="other")}, order=["file_path"], limit=100,
 ), path_prefix="backend/")
 define(CALLS, "function-call-count-between-files", "calls from one file to another", lambda p: counted("CALLS r", ("Function c", "c.symbol = r.src"), ("Function t", "t.symbol = r.dst"), where=all_of(f"c.file = {p.caller_file}", f"t.file = {p.callee_file}", lacks("c.file", "tests/"), lacks("t.symbol", "tests/")), name="call_count"), caller_file="backend/app/core/n1.py", callee_file="backend/app/core/n3.py")

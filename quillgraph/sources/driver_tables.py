@@ -207,6 +207,7 @@ BY_KEY = {
     "index_occurrence": lambda t: call_edges.references(t).unionByName(t.from_sql(PROJECTION["index_occurrence"].rsplit("UNION ALL ", 1)[1].replace("1, 'import'", "1 AS line, 'import' AS role").replace("b.symbol, 1", "b.symbol AS symbol, 1"))),
     # steps of queries
     "call_ends": call_edges.call_ends,
+    **{f"call_ends_{k}": lambda t, k=k: call_edges.call_ends(t, tuple(x for x in call_edges.KINDS if x[0] == k)) for k in "csp"},
     "callers": lambda t: call_edges.degree(t, "dst", "src"),
     "callees": lambda t: call_edges.degree(t, "src", "dst"),
     "belongs_calls": lambda t: call_edges.between(t, t["FUNCTION_BELONGS_TO"], t["FUNCTION_BELONGS_TO"], ("sp",)),

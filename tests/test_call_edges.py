@@ -105,3 +105,13 @@ def test_counts_of_callers_are_of_raw_keys(odd):
     for name in ("function-hub-files", "hub-spread-distribution", "hub-functions-by-caller-breadth", "function-shape-by-file", "functions-of-shape"):
         wide, plan = _sides(CATALOG[name].example(tables))
         assert not wide and "RepartitionByExpression [" in plan, name
+
+
+def test_calls_of_files_under_a_path_are_of_kinds_that_it_can_hold(odd):
+    tables, plain = odd
+    wide, plan = _sides(CATALOG["template-directory-survey"].example(tables))
+    assert not wide and not any("l_partkey" in x for x in plan.splitlines() if "Relation [" not in x)
+    assert [call_edges.ends_under(x) for x in ("backend/app", "frontend/", "lib/brand11", "src/supply/n4.rs", "b", "", "zz")] == ["call_ends_c", "call_ends_p", "call_ends_p", "call_ends_s", "call_ends_c", "call_ends", "call_ends"]
+    for prefix in ("frontend/", "lib/", "src/", "", "backend/tests/"):
+        q = CATALOG["template-directory-survey"]
+        same(q.run(tables, path_prefix=prefix), q.run(plain, path_prefix=prefix))
