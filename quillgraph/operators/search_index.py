@@ -4,12 +4,15 @@ A posting list is cut into blocks: a word's documents of one range.  Ranges hold
 documents of about one length (quarter powers of two) and about :data:`RANGE` of them,
 so a block's least length and most occurrences bound what any document in it can
 score, for any k1, b and mean length, and blocks of all words align.  A frequent word
-is as many rows as it has ranges; no row grows with the corpus.
+is as many rows as it has ranges; no row grows with the corpus.  A posting is two
+numbers, a document's place in its range and its occurrences; ids and lengths stand once
+for each document.
 
 A search reads the blocks of its words alone: files are laid out by a hash of the word
 and sorted by it.  It bounds each range by the sum over words, scores the documents of
 the few ranges of highest bound, and then only those ranges whose bound reaches the
-score of the last of the best so far.  Scores, ties and statistics are those of
+score of the last of the best so far.  Under a filter all blocks of its words are read
+once, and what passes is kept and scored.  Scores, ties and statistics are those of
 :func:`~.analytics.bm25` over the same texts.
 
 With a filter the corpus is what passes it: number, lengths and document frequencies
@@ -24,44 +27,56 @@ from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .analytics import QUERY, STOPWORDS, Tables, bm25, confidence, extra, query_tokens, shared_folder, tokens
+from .analytics import QUERY, STOPWORDS, Tables, bm25, confidence, extra, held, query_tokens, shared_folder, tokens
 from .concepts import corpus
 
 #: Documents of a range, about.
 RANGE = 4096
 #: Postings of a bucket of words, about.
 BUCKET = 2_000_000
+#: What postings look like; an index of another form is refused.
+FORM = 2
 #: Ranges that are scored first.
 FIRST = 8
 KINDS = ("doc", "function", "type", "entity", "section")
 
 
 def build_index(corpora: Mapping[str, DataFrame], folder: str, buckets: int | None = None) -> None:
-    """Write the index of some corpora of (id, text) to a new folder."""
+    """Write the index of some corpora of (id, text) to a new folder.
+
+    Texts are moved once, to their range: a task counts and gathers the words of whole
+    ranges, and what it sends on are blocks, of numbers alone.
+    """
     spark = next(iter(corpora.values())).sparkSession
     rows = None
     for kind, df in corpora.items():
         here = df.select(F.lit(kind).alias("corpus"), F.col("id").cast("string").alias("id"), tokens(F.col("text")).alias("words"))
         rows = here if rows is None else rows.unionByName(here)
-    rows = rows.withColumn("dl", F.size("words")).withColumn("length_class", F.floor(F.log2(F.col("dl") + 1) * 4).cast("int"))
+    rows = rows.select("corpus", "id", F.size("words").alias("dl"), F.array_join("words", " ").alias("words"))
+    rows = held(rows.withColumn("length_class", F.floor(F.log2(F.col("dl") + 1) * 4).cast("int")))  # read three times
     classes = rows.groupBy("corpus", "length_class").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
     classes.write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
-    width = classes.select("corpus", "length_class", F.ceil(F.col("n") / RANGE).cast("long").alias("width"))
+    # a range is counted by one task, so long texts have narrower ones
+    width = classes.select("corpus", "length_class", F.ceil(F.greatest(F.col("n") / RANGE, F.col("dl") / BUCKET)).cast("long").alias("width"))
     # a corpus has at most some 130 classes
     placed = rows.join(F.broadcast(width), ["corpus", "length_class"]).withColumn("range", F.col("length_class") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), "width"))
-    placed.select("corpus", "id", "dl").write.partitionBy("corpus").parquet(f"{folder}/lengths")
+    # a document's place is its rank in its range, by what names it in searches
+    rank = Window.partitionBy("corpus", "range").orderBy("id", "dl")
+    lengths = placed.select("corpus", "range", "id", "dl").repartition("corpus", "range").groupBy("corpus", "range", "id", "dl").agg(F.count(F.lit(1)).alias("rows")).withColumn("place", F.dense_rank().over(rank) - 1)
+    lengths.sortWithinPartitions("corpus", "range").write.partitionBy("corpus").parquet(f"{folder}/lengths")
     total = classes.agg(F.sum("dl")).first()[0] or 0
     buckets = buckets or max(1, min(4096, -(-total // BUCKET)))
-    tf = placed.select("corpus", "range", "id", "dl", F.explode("words").alias("term")).groupBy("corpus", "term", "range", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    blocks = tf.groupBy("corpus", "term", "range").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+    parts = max(1, min(16384, -(-4 * total // BUCKET)))
+    words = placed.select("corpus", "range", "id", "dl", "words").repartition(parts, "corpus", "range").withColumn("place", F.dense_rank().over(rank) - 1).where("dl > 0")
+    tf = words.select("corpus", "range", "place", "dl", F.explode(F.split("words", " ")).alias("term")).groupBy("corpus", "range", "term", "place", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    blocks = tf.groupBy("corpus", "range", "term").agg(F.collect_list("place").alias("places"), F.collect_list("tf").alias("tfs"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets).cast("int"))
-    order = ["corpus", "bucket", "term", "range"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("corpus", "bucket").parquet(f"{folder}/postings")
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
+    blocks.repartition("corpus", "bucket").sortWithinPartitions("corpus", "bucket", "term", "range").write.partitionBy("corpus", "bucket").parquet(f"{folder}/postings")
+    spark.createDataFrame([(buckets, FORM)], "buckets int, form int").coalesce(1).write.parquet(f"{folder}/layout")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -75,10 +90,12 @@ class SearchIndex:
 
     def __post_init__(self) -> None:
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        self.buckets = read("layout", "buckets int").first()[0]
+        self.buckets, form = read("layout", "buckets int, form int").first()
+        if form != FORM:
+            raise ValueError(f"the index in {self.folder} has another form: store it anew")
         self.classes = read("classes", "corpus string, length_class int, n long, dl long")
-        self.postings = read("postings", "term string, range long, postings array<struct<id:string,tf:int,dl:int>>, n long, most int, least int, corpus string, bucket int")
-        self.lengths = read("lengths", "id string, dl int, corpus string")
+        self.postings = read("postings", "term string, range long, places array<int>, tfs array<int>, n long, most int, least int, corpus string, bucket int")
+        self.lengths = read("lengths", "range long, place int, id string, dl int, rows long, corpus string")
         #: Number and lengths of a corpus, once known: an index does not change.
         self.sizes: dict[str, tuple] = {}
 
@@ -94,15 +111,20 @@ class SearchIndex:
         if not counts or top < 1:
             return none
         blocks = self.blocks(kind, sorted(counts))
+        here = self.lengths.where(F.col("corpus") == kind)
+        chosen = None
         if allowed is None:
             if kind not in self.sizes:
                 self.sizes[kind] = self.classes.where(F.col("corpus") == kind).agg(F.sum("n"), F.sum("dl")).first()
             size = self.sizes[kind]
             df = blocks.groupBy("term").agg(F.sum("n").alias("n"))
         else:
+            # what passes is found once, and so are its postings, which counts and scores both read
             allowed = allowed.select(F.col("id").cast("string").alias("id")).distinct()
-            size = self.lengths.where(F.col("corpus") == kind).join(allowed, "id", "left_semi").agg(F.count(F.lit(1)), F.sum("dl")).first()
-            df = _each(blocks).join(allowed, "id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+            here = held(here.join(allowed, "id", "left_semi").select("range", "place", "id", "dl", "rows"))
+            size = here.agg(F.sum("rows"), F.sum(F.col("dl") * F.col("rows"))).first()
+            chosen = held(_each(blocks, here))
+            df = chosen.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         n = size[0] or 0
         if not n:
             return none
@@ -116,24 +138,26 @@ class SearchIndex:
         def part(tf: Column, dl: Column) -> Column:
             return of_word[F.col("term")] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
-        def scored(some: DataFrame) -> DataFrame:
-            each = _each(some)
-            if allowed is not None:
-                each = each.join(allowed, "id", "left_semi")
+        def scored(each: DataFrame) -> DataFrame:
             best = each.groupBy("id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), 6).alias("score"))
             return best.where("score > 0").orderBy(F.desc("score"), "id").limit(top)
 
+        if chosen is not None:
+            return scored(chosen)
         bounds = blocks.groupBy("range").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
         first = [r.range for r in bounds.orderBy(F.desc("bound"), "range").limit(FIRST + 1).collect()]
         if len(first) <= FIRST:
-            return scored(blocks)
-        so_far = [r.score for r in scored(blocks.where(F.col("range").isin(first[:FIRST]))).collect()]
+            return scored(_each(blocks, here))
+        some = F.col("range").isin(first[:FIRST])
+        so_far = [r.score for r in scored(_each(blocks.where(some), here.where(some))).collect()]
         least = so_far[-1] if len(so_far) == top else 0.0
-        return scored(blocks.join(bounds.where(F.col("bound") >= least - 1e-6).select("range"), "range", "left_semi"))
+        return scored(_each(blocks.join(bounds.where(F.col("bound") >= least - 1e-6).select("range"), "range", "left_semi"), here))
 
 
-def _each(blocks: DataFrame) -> DataFrame:
-    return blocks.select("term", F.inline("postings"))
+def _each(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, term, tf, dl) of the blocks' documents that are among these."""
+    each = blocks.select("term", "range", F.inline(F.arrays_zip("places", "tfs"))).withColumnsRenamed({"places": "place", "tfs": "tf"})
+    return each.join(docs.select("range", "place", "id", "dl"), ["range", "place"]).select("id", "term", "tf", "dl")
 
 
 def store_index(t: Tables, folder: str, kinds: tuple[str, ...] = KINDS) -> SearchIndex:

@@ -94,3 +94,14 @@ def test_index_of_a_stored_graph(spark, sf, tmp_path, monkeypatch):
     for kind, args in (("function", {"repo": repo}), ("page", {})):
         with pytest.raises(ValueError):
             si.similar(t, query, kind, **args)
+
+
+def test_postings_are_numbers_and_equal_ids_share_a_place(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "w1 w2 w2"), ("a", "w2 w2 w3"), ("b", "w1"), ("a", "w1 w1"), (None, "w1 w2 w4"), ("c", "")], "id string, text string")
+    si.build_index({"doc": docs}, str(tmp_path / "i"))
+    index = si.SearchIndex(spark, str(tmp_path / "i"))
+    assert "string" not in str(index.postings.select("places", "tfs").schema).lower()
+    for query in ("w1 w2", "w2 w3 w4"):
+        assert index.search("doc", query).collect() == bm25(docs, query).collect()
+        some = docs.where("id <> 'b'")
+        assert index.search("doc", query, 10, some.select("id")).collect() == bm25(some, query).collect()
