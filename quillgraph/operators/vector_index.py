@@ -9,10 +9,12 @@ all cells if need be, so a narrow filter loses nothing.
 
 Many queries are answered in blocks: a cell's vectors and its queries are dealt to parts of
 :data:`BLOCK` rows or so, whatever their number, and a task multiplies two parts and keeps
-the best of each query.  Pairs above a cosine come from the same blocks: a vector is sent to
-each cell that can hold a partner, by the triangle inequality between angles (the angle to
-the centroid is at most the cell's widest angle plus that of the threshold), so all are
-found; equal vectors are one, with a table of their members.
+the best of each query.  Pairs above a cosine come from groups of cells, of one to four
+blocks: a vector is sent once to each group with a cell that can hold a partner, by the
+triangle inequality between angles (the angle to the centroid is at most the cell's widest
+angle plus that of the threshold), so all are found, and two groups meet in one task; equal
+vectors are one, with a table of their members.  Where a threshold reaches every cell, n
+vectors are moved n / (4 * :data:`BLOCK`) times, whatever the number of cells.
 
 Vectors are compared by direction: a zero vector has cosine 0 to all.  Null vectors and
 those with null or non-finite entries are left out, as are those of another length than
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .analytics import Tables, _PROBE, extra, shared_folder
+from .analytics import Tables, _PROBE, extra, held, shared_folder
 
 #: Vectors that centroids are fitted on, at most; and queries that the number of probes is measured with.
 SAMPLE, MEASURED = 20_000, 100
@@ -38,6 +40,8 @@ SAMPLE, MEASURED = 20_000, 100
 CELLS = 4096
 #: Rows of one side of a block, about.
 BLOCK = 4096
+#: Rows that a task compares at a time with all of the other side.
+SLICE = 512
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -84,15 +88,35 @@ def _nearest_cells(centroids: np.ndarray, n: int):
     return cells
 
 
-def _reached_cells(centroids: np.ndarray, radius: np.ndarray, threshold: float):
-    """The cells that can hold a vector within the threshold of this one."""
-    most = radius + math.acos(threshold) + 1e-9
+def _grouped(sizes: dict[int, int], centroids: np.ndarray) -> tuple[int, dict[int, tuple[int, int]]]:
+    """How many groups, and of each cell with vectors its first group and in how many it is: cells that lie along the widest axis share a group, a large cell is several."""
+    most = min(4 * BLOCK, max(BLOCK, sum(sizes.values()) // 16))
+    axis = np.linalg.svd(centroids, full_matrices=False)[2][0]
+    of, last, held_by_last = {}, -1, most
+    for c in sorted(sizes, key=lambda c: (float(centroids[c] @ axis), c)):
+        n = -(-sizes[c] // most)
+        if n > 1:
+            of[c] = (last + 1, n)
+            last, held_by_last = last + n, most
+        else:
+            if held_by_last + sizes[c] > most:
+                last, held_by_last = last + 1, 0
+            of[c] = (last, 1)
+            held_by_last += sizes[c]
+    return last + 1, of
+
+
+def _reached_groups(centroids: np.ndarray, radius: np.ndarray, of: dict[int, tuple[int, int]], threshold: float):
+    """The groups with a cell that can hold a vector within the threshold of this one, its own among them."""
+    most = radius + math.acos(threshold - 1e-6) + 1e-9  # what rounds to the threshold counts
+    groups = {c: np.arange(first, first + n) for c, (first, n) in of.items()}
 
     @F.pandas_udf("array<int>")
-    def cells(v: pd.Series) -> pd.Series:
-        return pd.Series([np.flatnonzero(a <= most).astype(np.int32) for a in _angle(_matrix(v) @ centroids.T)])
+    def reached(v: pd.Series, own: pd.Series) -> pd.Series:
+        near = _angle(_matrix(v) @ centroids.T) <= most
+        return pd.Series([np.unique(np.concatenate([[o], *(groups[c] for c in np.flatnonzero(a) if c in groups)])).astype(np.int32) for a, o in zip(near, own, strict=True)])
 
-    return cells
+    return reached
 
 
 def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -221,20 +245,31 @@ class VectorIndex:
         """
         if not 0 < threshold <= 1:
             raise ValueError("threshold: over 0, at most 1")
-        one = self.members().where(F.col("id") == F.col("stands_for")).select("id").join(self.vectors, "id")
-        asked = one.select(F.col("id").alias("query"), "v", F.explode(_reached_cells(self.centroids, self.radius, threshold)(F.col("v"))).alias("cell"))
-        left, right = _blocks(one.select("cell", "id", "v"), asked)
+        one = held(self.members().where(F.col("id") == F.col("stands_for")).select("id").join(self.vectors.select("id", "v", "cell"), "id"))
+        _, of = _grouped({r.cell: r.n for r in one.groupBy("cell").agg(F.count("*").alias("n")).collect()}, self.centroids)
+        # a row for each cell
+        parts = self.spark.createDataFrame([(c, first, n) for c, (first, n) in of.items()], "cell int, first int, n int")
+        placed = one.join(F.broadcast(parts), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(5)), "n")).cast("int").alias("own"))
+        met = placed.select("id", "v", "own", F.explode(_reached_groups(self.centroids, self.radius, of, threshold)("v", "own")).alias("other"))
+        dealt = met.select("id", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
         kind = one.schema["id"].dataType.simpleString()
 
-        def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"src": b["query"][:0], "dst": a["id"][:0], "score": np.zeros(0)})
-            q, score = b["query"].to_numpy(), np.round(_matrix(b["q"]) @ _matrix(a["v"]).T, 6)
-            i, j = np.nonzero(score >= threshold)
-            out = pd.DataFrame({"src": q[i], "dst": a["id"].to_numpy()[j], "score": score[i, j]})
-            return out[out["src"] < out["dst"]]
-
-        return left.cogroup(right).applyInPandas(near, f"src {kind}, dst {kind}, score double")
+        def near(rows: pd.DataFrame) -> pd.DataFrame:
+            x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+            found = [pd.DataFrame({"src": rows["id"][:0], "dst": rows["id"][:0], "score": np.zeros(0)})]
+            a, b = rows[rows["own"] == x], rows[rows["own"] == y]
+            if len(a) and len(b):
+                left, right, ids, others = _matrix(a["v"]), _matrix(b["v"]).T, a["id"].to_numpy(), b["id"].to_numpy()
+                for k in range(0, len(left), SLICE):
+                    score = left[k : k + SLICE] @ right
+                    i, j = np.nonzero(score >= threshold - 1e-6)
+                    src, dst, score = ids[k + i], others[j], np.round(score[i, j], 6)
+                    swap = src > dst
+                    keep = (score >= threshold) & ((src < dst) if x == y else True)
+                    found.append(pd.DataFrame({"src": np.where(swap, dst, src)[keep], "dst": np.where(swap, src, dst)[keep], "score": score[keep]}))
+            return pd.concat(found) if len(found) == 1 else pd.concat(found[1:])
+
+        return dealt.groupBy("x", "y").applyInPandas(near, f"src {kind}, dst {kind}, score double")
 
     def members(self) -> DataFrame:
         """(id, stands_for): each vector with the least id of those equal to it."""

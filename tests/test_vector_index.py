@@ -82,3 +82,17 @@ def test_nothing_to_index(spark, tmp_path):
     assert vi.VectorIndex.build(empty, str(tmp_path / "e")) is None
     one = vi.VectorIndex.build(spark.createDataFrame([("x", [1.0, 0.0])], "id string, embedding array<float>"), str(tmp_path / "o"))
     assert [tuple(r) for r in one.search([2.0, 0.0]).collect()] == [("x", 1.0)] and one.pairs(0.5).count() == 0
+
+
+def test_pairs_move_vectors_by_groups_of_cells(monkeypatch):
+    """How often a vector is moved follows the groups, which follow the vectors: many small cells share one."""
+    monkeypatch.setattr(vi, "BLOCK", 50)
+    c = np.random.default_rng(4).standard_normal((300, 8))
+    sizes = {k: 1 + k % 7 for k in range(299)} | {299: 1000}
+    n, of = vi._grouped(sizes, c)
+    most = min(4 * 50, max(50, sum(sizes.values()) // 16))
+    held = np.zeros(n)
+    for k, (first, parts) in of.items():
+        held[first : first + parts] += sizes[k] / parts
+    assert set(of) == set(sizes) and held.max() <= most and n <= 2 * sum(sizes.values()) / most + 2
+    assert vi._grouped({}, c) == (0, {})
