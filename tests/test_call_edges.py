@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillgraph.operators import analytics
+from quillgraph.operators import analytics, communities, concepts, contexts
 from quillgraph.operators.catalog import CATALOG
 from quillgraph.sources import call_edges
 from quillgraph.sources.driver_tables import PROJECTION, RAW, GraphTables
@@ -115,3 +115,20 @@ def test_calls_of_files_under_a_path_are_of_kinds_that_it_can_hold(odd):
     for prefix in ("frontend/", "lib/", "src/", "", "backend/tests/"):
         q = CATALOG["template-directory-survey"]
         same(q.run(tables, path_prefix=prefix), q.run(plain, path_prefix=prefix))
+
+
+@pytest.mark.parametrize("query", [concepts.entity_ego_graph, contexts.entity_ego_edges, communities.entity_communities_ordered])
+def test_queries_of_entity_calls_are_those_of_the_sql(odd, query):
+    tables, plain = odd
+    assert same(query(tables), query(plain)) > 0
+
+
+def test_queries_of_entity_calls_move_them_once(odd, monkeypatch):
+    """The calls are written once, by raw keys, and all that follows reads them."""
+    tables, _ = odd
+    for module, query in ((concepts, concepts.entity_ego_graph), (communities, communities.entity_communities_ordered)):
+        plans, held = [], module.held
+        monkeypatch.setattr(module, "held", lambda df, plans=plans, held=held: (plans.append(_sides(df)), held(df))[1])
+        _, after = _sides(query(tables))
+        raw = [x for x in plans if "l_partkey" in x[1]]
+        assert len(raw) == 1 and not raw[0][0] and "RepartitionByExpression [" in raw[0][1] and "l_partkey" not in after
