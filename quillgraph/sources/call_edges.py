@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A file is what stands before and after the nation or brand, by form: customers, suppliers, then parts.
@@ -119,12 +119,10 @@ def calls(raw: Mapping[str, DataFrame]) -> DataFrame:
     return distinct_calls(raw).select(symbol_of("src").alias("src"), symbol_of("dst").alias("dst"), file_of("src").alias("source_file"), F.col("line").alias("source_line"), "dispatch")
 
 
-def keys(raw: Mapping[str, DataFrame], kind: str, by: str, line: bool = False, customers: DataFrame | None = None) -> DataFrame:
-    """(a, b[, line]) of a kind's calls, once each and by the keys of the raw tables alone, dealt by one of the ends.
+def pairs(raw: Mapping[str, DataFrame], kind: str, line: bool = False, customers: DataFrame | None = None) -> DataFrame:
+    """(a, b[, line]) of a kind's calls by the keys of the raw tables alone, as often as the rows say it.
 
-    Rows are moved once to be made distinct, and lie where the end they are dealt by is
-    looked up or counted.  ``customers`` (c, ...) adds what is said of a customer, to its
-    orders, which are fewer than their lines.
+    ``customers`` (c, ...) adds what is said of a customer, to its orders, which are fewer than their lines.
     """
     if kind == "cc":
         found = raw["orders"].where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("a"), F.expr("o_custkey + 1").alias("b"), F.lit(1).alias("line"))
@@ -139,7 +137,49 @@ def keys(raw: Mapping[str, DataFrame], kind: str, by: str, line: bool = False, c
             of = of.where(f"{kind.replace('c', '')} IS NOT NULL").join(order, "l_orderkey")
         found = of.withColumnsRenamed({kind[0]: "a", kind[1]: "b"})
     more = [x for x in (customers.columns if customers is not None else ()) if x != "c"]
-    return found.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", *(["line"] if line else []), *more).repartition(F.col(by)).distinct()
+    return found.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", *(["line"] if line else []), *more)
+
+
+def keys(raw: Mapping[str, DataFrame], kind: str, by: str, line: bool = False, customers: DataFrame | None = None) -> DataFrame:
+    """What :func:`pairs` says, once each and dealt by one of the ends.
+
+    Rows are moved once to be made distinct, and lie where the end they are dealt by is
+    looked up or counted.
+    """
+    return pairs(raw, kind, line, customers).repartition(F.col(by)).distinct()
+
+
+#: Groups of parts that lines are dealt to; a supplier's row goes to each.
+CELLS = 128
+
+
+def beside(found: DataFrame, far: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(cell, a, b, ...) of calls, once each, with the columns of ``far`` (a, ...) and ``near`` (b, ...), as inner joins give them.
+
+    Lines are moved once, however many suppliers there are: to the cell of their part, as
+    the part's row is, and each supplier's row is laid in every cell.  Within a cell rows
+    are sorted by an end, where what is said of it stands before its lines and is carried on.
+    """
+    cell, more = F.expr(f"pmod(hash(b), {CELLS})"), found.columns
+
+    def said(of: DataFrame, end: str) -> DataFrame:
+        return of.groupBy(end).agg(F.collect_list(F.struct(*[x for x in of.columns if x != end])).alias(f"of_{end}"))
+
+    def carried(df: DataFrame, end: str, other: str) -> DataFrame:
+        before = Window.partitionBy("cell", end).orderBy(F.col(other).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(f"of_{end}", F.last(f"of_{end}", ignorenulls=True).over(before)).where(f"{other} IS NOT NULL AND ({end} IS NULL OR of_{end} IS NOT NULL)")
+
+    laid = found.withColumn("cell", cell).unionByName(said(far, "a").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))), allowMissingColumns=True)
+    if near is not None:
+        laid = laid.unionByName(said(near, "b").withColumn("cell", cell), allowMissingColumns=True)
+    ends = ["of_a"] + (["of_b"] if near is not None else [])
+    once = laid.repartition(F.col("cell")).groupBy("cell", *more).agg(*[F.first(x, ignorenulls=True).alias(x) for x in ends])
+    once = carried(once, "a", "b")
+    if near is not None:
+        once = carried(once, "b", "a")
+    for x in ends:
+        once = once.select(*[c for c in once.columns if c != x], F.inline(x))
+    return once
 
 
 def call_ends(raw: Mapping[str, DataFrame], kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -175,12 +215,15 @@ def degree(raw: Mapping[str, DataFrame], mine: str, other: str) -> DataFrame:
             of = functions(raw, o).where("e.home IS NOT NULL").groupBy("at", F.expr("concat(substr(e.home, 1, 2), lower(substr(e.home, 5)))").alias("of")).agg(F.count(F.lit(1)).alias("h"))
             if kind == "cs" and o == "c":
                 each = keys(raw, kind, end, customers=of.withColumnRenamed("at", "c"))
+            elif kind == "sp" and o == "s":
+                each = beside(pairs(raw, kind), of.withColumnRenamed("at", far))
             else:
-                # lines of a part are dealt by the part, whichever end is counted: the other end is looked up by what is near, and counts are summed before they are moved
+                # lines of a part are dealt by the part: it is looked up by what is near, and counts are summed before they are moved
                 each = keys(raw, kind, "b" if kind == "sp" else end).join(of.withColumnRenamed("at", far), far)
-            each = each.select(F.col(end).alias("at"), "of", "h")
+            each = each.select(*[x for x in ("cell",) if x in each.columns], F.col(end).alias("at"), "of", "h")
             found = each if found is None else found.unionByName(each)
-        sums = found.groupBy("at").agg(F.sum("h").alias("n"), F.count_distinct("of").alias("files"))
+        # a part has one cell, where its lines are counted
+        sums = found.groupBy(*[x for x in ("cell", "at") if x in found.columns]).agg(F.sum("h").alias("n"), F.count_distinct("of").alias("files"))
         homes = functions(raw, m).where("e.home IS NOT NULL").select("at", F.col("e.home").alias(f"{mine}_home"))
         one = sums.join(homes, "at").select(F.col("at").alias(f"{mine}_key"), f"{mine}_home", "n", "files")
         out = one if out is None else out.unionByName(one)
@@ -207,7 +250,8 @@ def between(raw: Mapping[str, DataFrame], source: DataFrame, target: DataFrame,
     for kind in kinds:
         a = named(source, kind[0]).select(F.col("at").alias("a"), F.col("to").alias("src"), F.col("w").alias("k"))
         b = named(target, kind[1]).select(F.col("at").alias("b"), F.col("to").alias("dst"), F.col("w").alias("l"))
-        one = keys(raw, kind, "b", line=True).join(b, "b").join(a, "a").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.expr("k * l")).alias("frequency"))
+        met = beside(pairs(raw, kind, line=True), a, b) if kind == "sp" else keys(raw, kind, "b", line=True).join(b, "b").join(a, "a")
+        one = met.where("src <> dst").groupBy("src", "dst").agg(F.sum(F.expr("k * l")).alias("frequency"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("src", "dst").agg(F.sum("frequency").alias("frequency"))
 

@@ -132,3 +132,16 @@ def test_queries_of_entity_calls_move_them_once(odd, monkeypatch):
         _, after = _sides(query(tables))
         raw = [x for x in plans if "l_partkey" in x[1]]
         assert len(raw) == 1 and not raw[0][0] and "RepartitionByExpression [" in raw[0][1] and "l_partkey" not in after
+
+
+def test_lines_of_parts_are_moved_once_when_suppliers_are_many(spark, odd):
+    """Without a broadcast, as where suppliers are many, lines are not moved again for what is said of their supplier."""
+    tables, _ = odd
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = call_edges.between(tables, tables["FUNCTION_BELONGS_TO"], tables["FUNCTION_MENTIONS"], ("sp",))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(cell#" in plan and "SortMergeJoin [a#" not in plan
+        assert "hashpartitioning(cell#" in call_edges.degree(tables, "dst", "src")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
