@@ -13,7 +13,8 @@ the best of each query.  Pairs above a cosine come from groups of cells, of one
 blocks: a vector is sent once to each group with a cell that can hold a partner, by the
 triangle inequality between angles (the angle to the centroid is at most the cell's widest
 angle plus that of the threshold), so all are found, and two groups meet in one task; equal
-vectors are one, with a table of their members.  Where a threshold reaches every cell, n
+vectors are one, with a table of their members, or rows of many ids that a task pairs where
+all pairs are asked for, which it gives out piece by piece.  Where a threshold reaches every cell, n
 vectors are moved n / (4 * :data:`BLOCK`) times, whatever the number of cells.
 
 Vectors are compared by direction: a zero vector has cosine 0 to all.  Null vectors and
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +44,8 @@ CELLS = 4096
 BLOCK = 4096
 #: Rows that a task compares at a time with all of the other side.
 SLICE = 512
+#: Ids of equal vectors that are one row, about; and pairs that a task gives out at a time, about.
+COPIES, OUT = 256, 500_000
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -75,6 +79,12 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 12, seed: int =
     return c
 
 
+def _listed(lists: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and of each list where it begins in them and how many there are."""
+    n = lists.map(len).to_numpy(np.int64)
+    return np.concatenate([np.asarray(x) for x in lists]), np.cumsum(n) - n, n
+
+
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
@@ -238,39 +248,59 @@ class VectorIndex:
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
-    def pairs(self, threshold: float = 0.8) -> DataFrame:
+    def pairs(self, threshold: float = 0.8, copies: bool = False) -> DataFrame:
         """(src, dst, score): all pairs of different vectors with at least this cosine, src before dst.
 
-        Of equal vectors the one with the least id stands for all (:meth:`members`).
+        Of equal vectors the one with the least id stands for all (:meth:`members`); with ``copies``
+        each of them has its pairs, with those equal to it too.
         """
         if not 0 < threshold <= 1:
             raise ValueError("threshold: over 0, at most 1")
-        one = held(self.members().where(F.col("id") == F.col("stands_for")).select("id").join(self.vectors.select("id", "v", "cell"), "id"))
-        _, of = _grouped({r.cell: r.n for r in one.groupBy("cell").agg(F.count("*").alias("n")).collect()}, self.centroids)
+        one = held(self._copies() if copies else self._copies().groupBy("v").agg(F.min(F.struct("first", "cell")).alias("x")).select("v", "x.cell", "x.first", F.array("x.first").alias("ids"), F.lit(1).alias("n")))
+        _, of = _grouped({r.cell: r.n for r in one.groupBy("cell").agg(F.sum("n").alias("n")).collect()}, self.centroids)
         # a row for each cell
-        parts = self.spark.createDataFrame([(c, first, n) for c, (first, n) in of.items()], "cell int, first int, n int")
-        placed = one.join(F.broadcast(parts), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(5)), "n")).cast("int").alias("own"))
-        met = placed.select("id", "v", "own", F.explode(_reached_groups(self.centroids, self.radius, of, threshold)("v", "own")).alias("other"))
-        dealt = met.select("id", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        kind = one.schema["id"].dataType.simpleString()
-
-        def near(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = self.spark.createDataFrame([(c, first, n) for c, (first, n) in of.items()], "cell int, first_group int, groups int")
+        placed = one.join(F.broadcast(parts), "cell").select("ids", "v", (F.col("first_group") + F.pmod(F.xxhash64("first", F.lit(5)), "groups")).cast("int").alias("own"))
+        met = placed.select("ids", "v", "own", F.explode(_reached_groups(self.centroids, self.radius, of, threshold)("v", "own")).alias("other"))
+        dealt = met.select("ids", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        kind = self.vectors.schema["id"].dataType.simpleString()
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(batches), ignore_index=True)
             x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-            found = [pd.DataFrame({"src": rows["id"][:0], "dst": rows["id"][:0], "score": np.zeros(0)})]
             a, b = rows[rows["own"] == x], rows[rows["own"] == y]
-            if len(a) and len(b):
-                left, right, ids, others = _matrix(a["v"]), _matrix(b["v"]).T, a["id"].to_numpy(), b["id"].to_numpy()
-                for k in range(0, len(left), SLICE):
-                    score = left[k : k + SLICE] @ right
-                    i, j = np.nonzero(score >= threshold - 1e-6)
-                    src, dst, score = ids[k + i], others[j], np.round(score[i, j], 6)
-                    swap = src > dst
-                    keep = (score >= threshold) & ((src < dst) if x == y else True)
-                    found.append(pd.DataFrame({"src": np.where(swap, dst, src)[keep], "dst": np.where(swap, src, dst)[keep], "score": score[keep]}))
-            return pd.concat(found) if len(found) == 1 else pd.concat(found[1:])
+            if not len(a) or not len(b):
+                return
+            left, right = _matrix(a["v"]), _matrix(b["v"]).T
+            (ids, start, n), (others, other_start, other_n) = _listed(a["ids"]), _listed(b["ids"])
+            for k in range(0, len(left), SLICE):
+                score = left[k : k + SLICE] @ right
+                i, j = np.nonzero(score >= threshold - 1e-6)
+                score = np.round(score[i, j], 6)
+                keep = (score >= threshold) & ((k + i <= j) if x == y else True)  # a row meets itself: its ids are of equal vectors
+                i, j, score = k + i[keep], j[keep], score[keep]
+                size = n[i] * other_n[j]
+                cut = np.cumsum(size) // OUT
+                for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(cut)) + 1):
+                    pair = np.repeat(at, size[at])
+                    within = np.arange(len(pair)) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+                    p, q = within // other_n[j[pair]], within % other_n[j[pair]]
+                    own = (i[pair] != j[pair]) | (p < q) if x == y else np.ones(len(pair), bool)
+                    src, dst, of_pair = ids[start[i[pair]] + p][own], others[other_start[j[pair]] + q][own], score[pair][own]
+                    swap, differ = src > dst, src != dst
+                    yield pd.DataFrame({"src": np.where(swap, dst, src)[differ], "dst": np.where(swap, src, dst)[differ], "score": of_pair[differ]})
 
         return dealt.groupBy("x", "y").applyInPandas(near, f"src {kind}, dst {kind}, score double")
 
+    def _copies(self) -> DataFrame:
+        """(v, cell, ids, first, n): equal vectors as one row, or as several of about :data:`COPIES` ids each, ``first`` the least; rows without an id are left out."""
+        each = self.vectors.where("id IS NOT NULL").withColumn("of", F.xxhash64("id", F.lit(7)))
+        parts = each.groupBy("v").agg(F.min("cell").alias("cell"), F.ceil(F.count("*") / COPIES).alias("parts")).where("parts > 1")
+        # at most one row for each COPIES vectors
+        many = each.select("id", "v", "cell", "of").join(F.broadcast(parts.select("v", "parts")), "v", "left").withColumn("part", F.pmod("of", F.coalesce("parts", F.lit(1))))
+        rows = many.groupBy("v", "part").agg(F.min("cell").alias("cell"), F.sort_array(F.collect_list("id")).alias("ids"))
+        return rows.select("v", "cell", "ids", F.col("ids")[0].alias("first"), F.size("ids").alias("n"))
+
     def members(self) -> DataFrame:
         """(id, stands_for): each vector with the least id of those equal to it."""
         least = self.vectors.groupBy("v").agg(F.min("id").alias("stands_for"))
@@ -305,5 +335,6 @@ def similar_vectors_filtered(t: Tables) -> DataFrame:
     "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.4",
 )
 def similar_vector_pairs(t: Tables) -> DataFrame:
-    """All pairs from a cosine of 0.4 on."""
-    return _index(t).pairs(0.4)
+    """All pairs from a cosine of 0.4 on, those of equal vectors too."""
+    index = _index(t)
+    return index.pairs(0.4, copies=True) if index else t["embeddings"].where("false").select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("score"))

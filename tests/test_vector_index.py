@@ -96,3 +96,28 @@ def test_pairs_move_vectors_by_groups_of_cells(monkeypatch):
         held[first : first + parts] += sizes[k] / parts
     assert set(of) == set(sizes) and held.max() <= most and n <= 2 * sum(sizes.values()) / most + 2
     assert vi._grouped({}, c) == (0, {})
+
+
+def test_pairs_of_equal_vectors(spark, tmp_path, monkeypatch):
+    """Each of several equal vectors has all pairs, with those equal to it too, in whatever rows and pieces they come."""
+    for name, value in {"BLOCK": 50, "COPIES": 4, "OUT": 30}.items():
+        monkeypatch.setattr(vi, name, value)
+    vectors = clustered(5, n=150)
+    vectors |= {500 + k: vectors[3] for k in range(23)} | {600 + k: 2 * vectors[7] for k in range(3)} | {700: np.zeros(16), 701: np.zeros(16)}
+    rows = [*vectors.items(), (3, vectors[3]), (None, vectors[3])]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "id long, embedding array<double>")
+    index = vi.VectorIndex.build(df, str(tmp_path / "c"))
+    rows = [(k, v / np.linalg.norm(v) if v.any() else v) for k, v in rows if k is not None]
+    m = np.array([v for _, v in rows])
+    score = np.round(m @ m.T, 6)
+    want = sorted((rows[i][0], rows[j][0], float(score[i, j])) for i, j in zip(*np.nonzero(score >= 0.8), strict=True) if rows[i][0] < rows[j][0])
+    found = sorted(tuple(r) for r in index.pairs(0.8, copies=True).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in want] and np.allclose([x[2] for x in found], [x[2] for x in want], atol=2e-6)
+    assert {(3, 500), (500, 522), (7, 600), (600, 602)} <= {x[:2] for x in found} and (700, 701) not in {x[:2] for x in found}
+
+
+def test_the_query_of_pairs_has_equal_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0])]
+    t = {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>")}
+    assert sorted(tuple(r) for r in vi.similar_vector_pairs(t).collect()) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0)]
+    assert vi.similar_vector_pairs({"embeddings": t["embeddings"].where("vec_id < 0")}).collect() == []
